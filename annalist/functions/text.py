@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 ACCENTED = "ăâîșşțţĂÂÎȘŞȚŢ"
 FOLDED = "aaissttAAISSTT"
 
-SPACES = r"[\s ]+"
+# White space, Unicode spaces included.
+WHITE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACES = f"[{WHITE}]+"
 
 
 def _latin_table() -> tuple[str, str]:

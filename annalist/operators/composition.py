@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annalist.functions.intervals import active_on, active_on_bounded, days_inclusive
-from annalist.operators.asof import best_per_key, latest_on
+from annalist.functions.intervals import active_on, days_inclusive
 from annalist.operators.ranges import join_overlapping
-from annalist.operators.sets import top_per_key
 
 COMPUTED = "computed_vote_support"
 
@@ -26,14 +24,26 @@ def active_mandates(stops: DataFrame, mandates: DataFrame, windows: DataFrame) -
         "stop_id", F.col("s_s").alias("as_of"), "mandate_id", "member_id", "chamber")
 
 
-def with_group(seats: DataFrame, memberships: DataFrame, groups: DataFrame) -> DataFrame:
+def best_at_stops(
+    stops: DataFrame, intervals: DataFrame, keys: Sequence[str], span: tuple[str, str], take: Sequence[str], rank: Sequence[str]
+) -> DataFrame:
+    """Per (stop, key): ``take`` of the greatest-``rank`` interval active then.
+
+    The stops are looked up, not the seats, so the seats are read once."""
+    s = stops.select("stop_id", F.col("as_of").alias("d_s"), F.col("as_of").alias("d_e"))
+    return join_overlapping(intervals, s, [], span, ("d_s", "d_e")).groupBy("stop_id", *keys).agg(
+        F.max_by(F.struct(*take), F.struct(*rank)).alias("__best")
+    ).select("stop_id", *keys, *[F.col(f"__best.{c}").alias(c) for c in take])
+
+
+def with_group(seats: DataFrame, stops: DataFrame, memberships: DataFrame, groups: DataFrame) -> DataFrame:
     """Latest membership on the day, in a group of the seat's chamber."""
-    g = groups.select(F.col("id").alias("group_id"), "party_id", F.col("short_name").alias("group_name"), F.col("chamber").alias("__gc"))
+    g = groups.select(F.col("id").alias("group_id"), "party_id", F.col("short_name").alias("group_name"), "chamber")
     ms = memberships.join(g, "group_id").select(
-        F.concat_ws("|", "member_id", "__gc").alias("__seat"), F.col("id").alias("__msid"), "group_id", "party_id",
-        "group_name", F.col("starts_on").alias("__s"), F.col("ends_on").alias("__e"))
-    keyed = seats.withColumn("__seat", F.concat_ws("|", "member_id", "chamber"))
-    return latest_on(keyed, ms, "__seat", "as_of", "__s", "__e", ["group_id", "party_id", "group_name"], ["__s", "__msid"]).drop("__seat")
+        "member_id", "chamber", F.col("id").alias("ms_id"), "group_id", "party_id", "group_name",
+        F.col("starts_on").alias("ms_s"), F.col("ends_on").alias("ms_e"))
+    best = best_at_stops(stops, ms, ["member_id", "chamber"], ("ms_s", "ms_e"), ["group_id", "party_id", "group_name"], ["ms_s", "ms_id"])
+    return seats.join(best, ["stop_id", "member_id", "chamber"], "left")
 
 
 def _usable(alignments: DataFrame, mode: str) -> DataFrame:
@@ -41,44 +51,49 @@ def _usable(alignments: DataFrame, mode: str) -> DataFrame:
     return alignments.where(computed if mode == "computed" else ~computed)
 
 
-def resolve_alignment(seats: DataFrame, member: DataFrame, group: DataFrame, party: DataFrame, mode: str = "official") -> DataFrame:
+def resolve_alignment(
+    seats: DataFrame, stops: DataFrame, member: DataFrame, group: DataFrame, party: DataFrame, mode: str = "official"
+) -> DataFrame:
     """Alignment of the member, else the group, else the party on the day; in
     official mode 'opposition' where that day has any official alignment and
     the seat has a party or group, else 'unknown'. Inputs: (id, target_id,
     starts_on, ends_on, alignment, basis)."""
-    out = seats
-    for prefix, rows, target in (("m", member, "member_id"), ("g", group, "group_id"), ("p", party, "party_id")):
+    out, found = seats, []
+    for rows, target in ((member, "member_id"), (group, "group_id"), (party, "party_id")):
         usable = _usable(rows, mode).select(
-            F.col("target_id").alias(target), F.col("id").alias(f"{prefix}_id"), F.col("starts_on").alias(f"{prefix}_s"),
-            F.col("ends_on").alias(f"{prefix}_e"), F.struct("alignment", "basis").alias(f"{prefix}_row"))
-        out = latest_on(out, usable, target, "as_of", f"{prefix}_s", f"{prefix}_e", [f"{prefix}_row"], [f"{prefix}_s", f"{prefix}_id"])
-    found = F.coalesce("m_row", "g_row", "p_row")
-    default = F.lit("unknown")
+            F.col("target_id").alias(target), F.col("id").alias("a_id"), F.col("starts_on").alias("a_s"),
+            F.col("ends_on").alias("a_e"), F.struct("alignment", "basis").alias(f"by_{target}"))
+        best = best_at_stops(stops, usable, [target], ("a_s", "a_e"), [f"by_{target}"], ["a_s", "a_id"])
+        out = out.join(best, ["stop_id", target], "left")
+        found.append(f"by_{target}")
+    hit = F.coalesce(*[F.col(c) for c in found])
+    default, basis = F.lit("unknown"), F.lit("unknown")
     if mode == "official":
-        days = seats.select("stop_id", F.col("as_of").alias("d_s"), F.col("as_of").alias("d_e")).distinct()
+        days = stops.select("stop_id", F.col("as_of").alias("d_s"), F.col("as_of").alias("d_e"))
         known = None
         for rows in (member, group, party):
-            part = _usable(rows, mode).select("starts_on", "ends_on").distinct()
+            part = _usable(rows, mode).select(F.col("starts_on").alias("k_s"), F.col("ends_on").alias("k_e"))
             known = part if known is None else known.unionByName(part)
-        covered = join_overlapping(days, known.distinct().select(F.col("starts_on").alias("k_s"), F.col("ends_on").alias("k_e")), [],
-                                   ("d_s", "d_e"), ("k_s", "k_e")).select("stop_id", F.lit(True).alias("__known")).distinct()
+        covered = join_overlapping(days, known.distinct(), [], ("d_s", "d_e"), ("k_s", "k_e")).select(
+            "stop_id", F.lit(True).alias("__known")).distinct()
         out = out.join(covered, "stop_id", "left")
-        default = F.when(F.col("__known") & (F.col("group_id").isNotNull() | F.col("party_id").isNotNull()), "opposition").otherwise("unknown")
-        basis = F.when(default == "opposition", "manual_curation").otherwise("unknown")
-    else:
-        basis = F.lit("unknown")
-    shown = out.withColumn("alignment", F.coalesce(found["alignment"], default)).withColumn("basis", F.coalesce(found["basis"], basis))
-    return shown.drop("m_row", "g_row", "p_row", "__known")
+        opposed = F.coalesce(F.col("__known"), F.lit(False)) & (F.col("group_id").isNotNull() | F.col("party_id").isNotNull())
+        default = F.when(opposed, "opposition").otherwise("unknown")
+        basis = F.when(opposed, "manual_curation").otherwise("unknown")
+    shown = out.withColumn("alignment", F.coalesce(hit["alignment"], default)).withColumn("basis", F.coalesce(hit["basis"], basis))
+    return shown.drop(*found, "__known")
 
 
 def cap_seats(seats: DataFrame, counts: dict[str, int]) -> DataFrame:
     """Official number of seats per chamber, in (group, name, id) order; a
-    seat without a group comes last. Chambers without a count keep all."""
+    seat without a group comes last. Only chambers with a count are seated."""
     ordered = [F.coalesce("group_name", F.lit("zzzz")).asc(), F.col("display_name").asc(), F.col("mandate_id").asc()]
-    out = seats.where(~F.col("chamber").isin(*counts)) if counts else seats
+    rank = F.row_number().over(Window.partitionBy("stop_id", "chamber").orderBy(*ordered))
+    own = F.lit(0)
     for chamber, number in counts.items():
-        out = out.unionByName(top_per_key(seats.where(F.col("chamber") == chamber), ["stop_id", "chamber"], ordered, number))
-    return out
+        own = F.when(F.col("chamber") == chamber, F.lit(number)).otherwise(own)
+    # the literal bound lets Spark cut each chamber's rows before the shuffle
+    return seats.withColumn("__rn", rank).where(F.col("__rn") <= max(counts.values())).where(F.col("__rn") <= own).drop("__rn")
 
 
 def composition(
@@ -88,25 +103,18 @@ def composition(
     """Seats of every stop at once: group, party and alignment on its day."""
     named = active_mandates(stops, mandates, windows).join(
         members.select(F.col("id").alias("member_id"), "display_name"), "member_id")
-    seated = with_group(named, memberships, groups)
-    return cap_seats(resolve_alignment(seated, member_align, group_align, party_align, mode), counts)
-
-
-def most_common(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
-    """Most frequent value per key; the one seen first along ``order`` wins a tie."""
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct(*order)).alias("__first"))
-    # a value first seen earlier ranks higher: negate by ranking on count, then taking the least first position
-    top = counted.groupBy(*keys).agg(F.max("__n").alias("__top"))
-    kept = counted.join(top, list(keys)).where(F.col("__n") == F.col("__top"))
-    return kept.groupBy(*keys).agg(F.min_by(value, F.col("__first")).alias(value))
+    seated = with_group(named, stops, memberships, groups)
+    return cap_seats(resolve_alignment(seated, stops, member_align, group_align, party_align, mode), counts)
 
 
 def group_summary(seats: DataFrame) -> DataFrame:
-    """Seats and most common alignment per group."""
+    """Seats and most common alignment per group; of equally common ones the
+    one seen first in name order."""
     keys = ["stop_id", "chamber", "group_id"]
-    grouped = seats.where(F.col("group_id").isNotNull())
-    return grouped.groupBy(*keys).agg(F.count(F.lit(1)).alias("seats")).join(
-        most_common(grouped, keys, "alignment", ["display_name", "mandate_id"]), keys)
+    counted = seats.where(F.col("group_id").isNotNull()).groupBy(*keys, "alignment").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("display_name", "mandate_id")).alias("seen"))
+    return counted.groupBy(*keys).agg(
+        F.sum("n").alias("seats"), F.min_by("alignment", F.struct(-F.col("n"), F.col("seen"))).alias("alignment"))
 
 
 def window_stops(windows: DataFrame, mandates: DataFrame, as_of: str) -> DataFrame:

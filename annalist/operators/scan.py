@@ -31,7 +31,7 @@ def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: C
     """
     sliced = df.withColumn(SLICE, slice_by)
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
-    values = F.struct(F.lit(True).alias("__is"), *[F.col(c).alias(n) for n, c in previous.items()])
+    values = F.struct(F.lit(True).alias("__present"), *[F.col(c).alias(n) for n, c in previous.items()])
     local = sliced.withColumn("__prev", F.lag(values).over(inside))
     ends = sliced.groupBy(*keys, SLICE).agg(F.max_by(values, F.struct(*order)).alias("__last"))
     along = Window.partitionBy(*keys).orderBy(SLICE)

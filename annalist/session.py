@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_dir: str | None = None
+
 
 def local_session(cores: str | int = "*", app: str = "annalist") -> SparkSession:
     """Session for tests and the bench. A cluster supplies its own."""
@@ -36,15 +39,16 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if spark.sparkContext.getCheckpointDir():
-        return spark.sparkContext.getCheckpointDir()
-    return tempfile.mkdtemp(prefix="annalist-")
+    global _local_dir
+    if _local_dir is None:
+        _local_dir = tempfile.mkdtemp(prefix="annalist-")
+    return _local_dir
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage and go on from there, so that a lost
-    executor costs one re-read, not a replay of every earlier round."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and go on from the written table. A
+    lost executor then costs one re-read, not a replay of every earlier round,
+    and the planner knows the table's size."""
+    path = f"{shared_dir(df.sparkSession)}/annalist/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
