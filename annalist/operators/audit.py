@@ -63,13 +63,13 @@ def issue_key(kind: str, entity, reason=None):
 
 def health_issues(scored: DataFrame) -> DataFrame:
     """One issue per document and reason."""
-    rows = scored.select(F.col("document_id").alias("entity_id"), F.explode("reasons").alias("reason"))
+    rows = scored.select(F.col("document_id").alias("entity_id"), F.explode_outer("reasons").alias("reason")).where(F.col("reason").isNotNull())
     return _issues(rows, "ocr", issue_key("ocr", F.col("entity_id"), F.col("reason")))
 
 
 def section_issues(parsed: DataFrame) -> DataFrame:
     """One issue per document and warning; those of a document share a key."""
-    rows = parsed.select(F.col("document_id").alias("entity_id"), F.explode("warnings").alias("reason"))
+    rows = parsed.select(F.col("document_id").alias("entity_id"), F.explode_outer("warnings").alias("reason")).where(F.col("reason").isNotNull())
     return _issues(rows, "weak-section-parse", issue_key("weak-section-parse", F.col("entity_id")))
 
 

@@ -1,4 +1,4 @@
 """Imports every query module, so that the registry is full."""
 
-from annalist.plans import directories, documents, intervals, readmodels, resolving  # noqa: F401
+from annalist.plans import directories, documents, ingesting, intervals, paging, readmodels, resolving  # noqa: F401
 from annalist.plans.registry import REGISTRY, check_sql, spark_queries  # noqa: F401
