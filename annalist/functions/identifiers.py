@@ -65,8 +65,8 @@ def identifier_values(text: Column) -> Column:
 
 def canonical(identifiers: Column) -> Column:
     """Senate L, then deputies, then B, then BP, then the first."""
-    picks = [F.get(F.filter(identifiers, lambda x, p=p: x["prefix"] == p), F.lit(0)) for p in PREFERENCE]
-    return F.coalesce(*picks, F.get(identifiers, F.lit(0)))
+    pick = lambda p: F.get(F.filter(identifiers, lambda x: x["prefix"] == p), F.lit(0))
+    return F.coalesce(*[pick(p) for p in PREFERENCE], F.get(identifiers, F.lit(0)))
 
 
 def identifier_record(identifiers: Column) -> Column:

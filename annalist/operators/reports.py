@@ -45,11 +45,13 @@ def superseded(rows: DataFrame, canonical: DataFrame, keys: Sequence[str], by: s
     return rows.join(canonical.select(*keys).distinct(), list(keys), "left_semi").groupBy(*keys, by).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def dependents(pair: Sequence, children: dict[str, DataFrame], key: str) -> DataFrame:
-    """Rows of each child table that hang on each of two parent ids."""
+def dependents(parents: DataFrame, children: dict[str, DataFrame], key: str) -> DataFrame:
+    """Rows of each child table that hang on each of the parents(id), as one
+    would weigh them before merging duplicates."""
+    ids = parents.select(F.col("id").alias(key)).distinct()
     out = None
     for name, rows in children.items():
-        part = rows.where(F.col(key).isin(*pair)).groupBy(F.col(key).alias("parent_id")).agg(F.count(F.lit(1)).alias("rows")).withColumn("child", F.lit(name))
+        part = rows.join(ids, key, "left_semi").groupBy(F.col(key).alias("parent_id")).agg(F.count(F.lit(1)).alias("rows")).withColumn("child", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 

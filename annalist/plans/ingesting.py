@@ -176,12 +176,17 @@ def _(t):
     return rp.superseded(t.mandates, t.mandates.where("constituency = 'Circ 8'"), ["legislature_id", "chamber"], "constituency")
 
 
-@query("g29_dependent_rows", "G29", """
-    SELECT 'votes' AS child, bill_id AS parent_id, count(*) AS rows FROM votes WHERE bill_id IN (11, 12) GROUP BY 2
-    UNION ALL SELECT 'events', bill_id, count(*) FROM bill_events WHERE bill_id IN (11, 12) GROUP BY 2
-    UNION ALL SELECT 'sponsors', bill_id, count(*) FROM sponsors WHERE bill_id IN (11, 12) GROUP BY 2""")
+DOUBLES = """(SELECT id FROM bills WHERE deputies_identifier IN (SELECT deputies_identifier FROM bills GROUP BY 1 HAVING count(*) > 1))"""
+
+
+@query("g29_dependent_rows", "G29", f"""
+    SELECT 'votes' AS child, bill_id AS parent_id, count(*) AS rows FROM votes WHERE bill_id IN {DOUBLES} GROUP BY 2
+    UNION ALL SELECT 'events', bill_id, count(*) FROM bill_events WHERE bill_id IN {DOUBLES} GROUP BY 2
+    UNION ALL SELECT 'sponsors', bill_id, count(*) FROM sponsors WHERE bill_id IN {DOUBLES} GROUP BY 2""")
 def _(t):
-    return rp.dependents((11, 12), {"votes": t.votes, "events": t.bill_events, "sponsors": t.sponsors}, "bill_id")
+    shared = t.bills.where("deputies_identifier IS NOT NULL").groupBy("deputies_identifier").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    doubles = t.bills.join(shared, "deputies_identifier", "left_semi")
+    return rp.dependents(doubles, {"votes": t.votes, "events": t.bill_events, "sponsors": t.sponsors}, "bill_id")
 
 
 @query("g38_people_merged", "G38", """
