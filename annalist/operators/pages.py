@@ -20,6 +20,7 @@ from annalist.functions.identifiers import find_identifiers, parse_identifier
 from annalist.functions.text import clean, match_words, slug, words
 from annalist.functions.urls import canonical_url, chamber_of, kind_of, profile_key, query_param
 from annalist.operators.sets import first_wins, last_wins
+from annalist.session import width
 
 PAGE = (
     "page_id long, links array<struct<position:int,href:string,text:string>>, "
@@ -165,9 +166,10 @@ def parse(pages: DataFrame, spread: bool = True) -> DataFrame:
             yield pd.DataFrame(rows, columns=["page_id", "links", "cells", "blocks"])
 
     # parsing costs far more than moving a page: spread a small input over all cores
-    width = pages.sparkSession.sparkContext.defaultParallelism
-    return pages.select("page_id", "url", "html").repartition(width).mapInPandas(batches, PAGE) if spread else pages.select(
-        "page_id", "url", "html").mapInPandas(batches, PAGE)
+    rows = pages.select("page_id", "url", "html")
+    if spread:
+        rows = rows.repartition(width(pages.sparkSession))
+    return rows.mapInPandas(batches, PAGE)
 
 
 def links(pages: DataFrame) -> DataFrame:

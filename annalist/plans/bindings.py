@@ -11,11 +11,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from annalist.session import spread_scan
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
+# Tables whose rows cost far more to work on than to move.
+TEXT_TABLES = ("documents", "pages")
+
 PARTY_OF_NUMBER = (
     "CASE {n} WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'LARGE' WHEN 2 THEN 'MEDIUM' "
     "WHEN 3 THEN 'PROMO' WHEN 4 THEN 'SMALL' ELSE 'STANDARD' END"
@@ -271,7 +276,8 @@ class Tables:
                 reads = {used: getattr(self, used) for used in set(re.findall(r"\{(\w+)\}", text))}
                 self._cache[name] = self.spark.sql(text, **reads)
             elif name in BASE_TABLES:
-                self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                scan = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._cache[name] = spread_scan(scan) if name in TEXT_TABLES else scan
             else:
                 raise AttributeError(name)
         return self._cache[name]

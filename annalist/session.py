@@ -52,3 +52,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/annalist/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def width(spark: SparkSession) -> int:
+    """Partitions for work whose cost lies in the rows, not in their size."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """A file scan with fewer splits than cores, spread over all cores. A table
+    of many files keeps its own splits and is not shuffled."""
+    spark = scan.sparkSession
+    if scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        return scan
+    return scan.repartition(width(spark))
