@@ -51,25 +51,31 @@ def date_after(text: Column, phrase: str) -> Column:
     return F.when(found.isNotNull(), _iso(F.split(found, "[./]")[2], F.split(found, "[./]")[1].cast("int"), F.split(found, "[./]")[0]))
 
 
-_MONTH_YEAR = r"(\p{L}+)\.?\s+(\d{4})"
+# Short month names next to the full ones.
+SHORT_MONTHS = {
+    "ian": 1, "feb": 2, "mar": 3, "apr": 4, "iun": 6, "iul": 7, "aug": 8, "sep": 9, "sept": 9, "oct": 10, "noi": 11, "dec": 12,
+}
 
 
 def period_start(text: Column) -> Column:
-    """First day of the month after 'from'."""
-    p = rf"(?iu)(?:din|from)\s+{_MONTH_YEAR}"
-    return _month_start(text, p)
+    """First day of the month after 'din'."""
+    return _month_start(text, r"din\s+([a-z.]+)\s+(\d{4})")
 
 
 def period_end(text: Column) -> Column:
-    """Last day of the month before the one after 'until'; null where that
+    """Last day of the month before the one after 'până (în)'; null where that
     lies before the start."""
-    p = rf"(?iu)(?:p[aâ]n[aă]\s+[iî]n|to)\s+{_MONTH_YEAR}"
-    end = F.date_sub(_month_start(text, p), 1)
+    end = F.date_sub(_month_start(text, r"pana(?:\s+in)?\s+([a-z.]+)\s+(\d{4})"), 1)
     start = period_start(text)
     return F.when(start.isNull() | (end >= start), end)
 
 
 def _month_start(text: Column, pattern: str) -> Column:
-    month = month_number(F.regexp_extract(text, pattern, 1))
-    year = F.nullif(F.regexp_extract(text, pattern, 2), F.lit("")).cast("int")
+    folded = fold_marks(text)
+    name = F.replace(F.regexp_extract(folded, _S + pattern, 1), F.lit("."))
+    short = F.lit(None).cast("int")
+    for key, number in SHORT_MONTHS.items():
+        short = F.when(name == key, F.lit(number)).otherwise(short)
+    month = F.coalesce(month_number(name), short)
+    year = F.nullif(F.regexp_extract(folded, _S + pattern, 2), F.lit("")).cast("int")
     return F.when(month.isNotNull() & year.isNotNull(), F.make_date(year, month, F.lit(1)))

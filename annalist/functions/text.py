@@ -77,7 +77,7 @@ def token_key(text: Column) -> Column:
 
 
 # Words that describe a role, not a person.
-ROLE_WORDS = ("deputat", "senator", "domnul", "doamna", "dl", "dna")
+ROLE_WORDS = ("senator", "deputat", "politician")
 
 
 def loose_token_key(text: Column) -> Column:
@@ -113,12 +113,15 @@ def first_names(text: Column) -> Column:
 
 
 # Words an acronym leaves out.
-MINOR_WORDS = ("al", "a", "ai", "ale", "cu", "de", "din", "in", "la", "pentru", "si", "the", "of")
+LEADING_WORDS = "^(?:uniunea|asociatia|comunitatea|federatia)"
+MINOR_WORDS = ("din", "de", "si", "și", "ale", "al", "a", "ai", "cu", "pentru")
 
 
 def acronym(text: Column) -> Column:
-    kept = F.filter(F.split(words(text), " "), lambda w: (F.length(w) > 0) & ~w.isin(*MINOR_WORDS))
-    return F.array_join(F.transform(kept, lambda w: F.upper(F.substring(w, 1, 1))), "")
+    """Initials of the words of three letters or more, twelve at most."""
+    rest = F.regexp_replace(clean(text), f"(?i){LEADING_WORDS}", "")
+    kept = F.filter(F.split(rest, " "), lambda w: (F.length(w) > 2) & ~F.lower(w).isin(*MINOR_WORDS))
+    return truncate(F.array_join(F.transform(kept, lambda w: F.upper(F.substring(w, 1, 1))), ""), 12)
 
 
 def parse_count(text: Column) -> Column:

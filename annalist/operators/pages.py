@@ -11,13 +11,13 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions import classify as cl
 from annalist.functions import dates as fd
-from annalist.functions.identifiers import find_identifiers, parse_identifier
-from annalist.functions.text import clean, match_words, slug, words
+from annalist.functions.identifiers import parse_identifier
+from annalist.functions.text import clean, slug, words
 from annalist.functions.urls import canonical_url, chamber_of, kind_of, profile_key, query_param
 from annalist.operators.sets import first_wins, last_wins
 from annalist.session import width

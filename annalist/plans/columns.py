@@ -34,14 +34,15 @@ def _(t):
     WITH n AS (SELECT id, display_name AS d, upper(display_name) AS u, party_id, last_name FROM members)
     SELECT id, string_split(d, ' ')[-1] AS last_name, array_to_string(string_split(d, ' ')[:-2], ' ') AS first_names,
       array_to_string(list_transform(string_split(lower(u), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') AS titled, d AS kept,
-      array_to_string(list_transform(string_split(d, ' '), lambda w: upper(w[1:1])), '') AS acronym,
-      coalesce(TRY_CAST(nullif(regexp_extract(last_name, '[0-9]+'), '') AS INT), 0) AS counted, party_id AS short_group, d AS detail FROM n""")
+      array_to_string(list_transform(list_filter(string_split(d, ' '), lambda w: length(w) > 2), lambda w: upper(w[1:1])), '') AS acronym,
+      coalesce(TRY_CAST(nullif(regexp_extract(last_name, '[0-9]+'), '') AS INT), 0) AS counted, party_id AS short_group, 'group-senate-' || lower(party_id) AS group_key, d AS detail FROM n""")
 def _(t):
     d = F.col("display_name")
     return t.members.select(
         "id", tx.last_name(d).alias("last_name"), tx.first_names(d).alias("first_names"), tx.title_case(F.upper(d)).alias("titled"), tx.title_case(d).alias("kept"),
         tx.acronym(d).alias("acronym"), tx.parse_count(F.col("last_name")).alias("counted"),
         cl.group_short_name(F.concat(F.lit("Grupul parlamentar al "), F.col("party_id"))).alias("short_group"),
+        cl.group_key(F.lit("senate"), F.col("party_id")).alias("group_key"),
         cl.history_detail(F.concat(d, F.lit(" data validării 3 mai 1999"))).alias("detail"))
 
 
@@ -79,10 +80,10 @@ def _(t):
     WITH u AS (SELECT page_id, url, regexp_extract(url, '^(https?)://([^/?#]+)([^?#]*)(?:\?([^#]*))?', ['p', 'h', 'a', 'q']) AS r FROM pages)
     SELECT page_id, lower(r.p) || '://' || lower(r.h) || r.a || CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END AS canonical,
       regexp_replace(url, '^http://', 'https://') AS matching, nullif(regexp_extract(r.q, '(?:^|&)page=([^&]*)', 1), '') AS page, CAST(NULL AS VARCHAR) AS profile, CAST(NULL AS INT) AS year
-    FROM (SELECT *, list_sort(list_filter(string_split(r.q, '&'), lambda p: p <> '' AND lower(string_split(p, '=')[1]) <> 'ref')) AS k FROM u)""")
+    FROM (SELECT *, list_sort(list_filter(string_split(r.q, '&'), lambda p: p <> '' AND string_split(p, '=')[1] <> 'ref')) AS k FROM u)""")
 def _(t):
     u = F.col("url")
-    return t.pages.select("page_id", ur.canonical_url(u, drop=("ref",)).alias("canonical"), ur.match_url(u).alias("matching"), ur.query_param(u, "page").alias("page"),
+    return t.pages.select("page_id", ur.canonical_url(u, drop=("ref",), drop_on=".").alias("canonical"), ur.match_url(u).alias("matching"), ur.query_param(u, "page").alias("page"),
                           ur.profile_key(u).alias("profile"), ur.year_of(u).alias("year"))
 
 
@@ -94,15 +95,15 @@ PARTY_RULES = [("economy", "P-ECO"), ("promo", "P-PRO"), ("^partidul s", "P-S"),
       CAST(NULL AS VARCHAR) AS coalition, 'senate' AS chamber FROM parties""")
 def _(t):
     return t.parties.select("id", cl.party_of(F.col("name"), PARTY_RULES).alias("party"),
-                            cl.party_of(F.concat("name", F.lit(" + altii")), PARTY_RULES).alias("coalition"), cl.chamber_in(F.concat("name", F.lit(" la Senat"))).alias("chamber"))
+                            cl.party_of(F.concat("name", F.lit(" (USL)")), PARTY_RULES).alias("coalition"), cl.chamber_in(F.concat("name", F.lit(" la Senat"))).alias("chamber"))
 
 
 @query("f30_steps_and_kinds", "F29 F30 F31 F33", """
-    SELECT id, label, CASE label WHEN 'Adoptat' THEN 'final_vote' WHEN 'Raport' THEN 'report' ELSE 'registration' END AS step,
-      CASE label WHEN 'Adoptat' THEN 'adopted_text' WHEN 'Raport' THEN 'report' ELSE 'other' END AS document, 'history_context' AS hint FROM bill_events""")
+    SELECT id, label, CASE label WHEN 'Adoptat' THEN 'final_vote' WHEN 'Raport' THEN 'committee_report_received' ELSE 'other' END AS step,
+      CASE label WHEN 'Adoptat' THEN 'other' WHEN 'Raport' THEN 'committee_report' ELSE 'other' END AS document, 'history_context' AS hint FROM bill_events""")
 def _(t):
     label = F.col("label")
-    return t.bill_events.select("id", "label", cl.step_type(label).alias("step"), cl.document_kind(label, F.lit("http://x/y")).alias("document"), cl.event_hint(label).alias("hint"))
+    return t.bill_events.select("id", "label", cl.step_type(F.when(label == "Adoptat", F.lit("Adoptat de Cameră")).when(label == "Raport", F.lit("Raport de la comisie")).otherwise(label)).alias("step"), cl.document_kind(label, F.lit("http://x/y")).alias("document"), cl.event_hint(label).alias("hint"))
 
 
 @query("f35_legal_metadata", "F35", """

@@ -12,7 +12,7 @@ def vote_pages(t):
     """One page per vote: a table of its ballots, a group cell spanning the
     rows of its members; and a table of dated steps."""
     mark = F.when(F.col("choice") == "for", "DA").when(F.col("choice") == "against", "NU").when(F.col("choice") == "abstention", "AB").when(
-        F.col("choice") == "present_not_voting", "NV").when(F.col("choice") == "absent", "Absent").otherwise("?")
+        F.col("choice") == "present_not_voting", "-").otherwise("?")
     rows = t.ballots.withColumn("tail", F.concat(F.lit("<td>"), F.col("member_id").cast("string"), F.lit("</td><td>"), mark, F.lit("</td></tr>")))
     grouped = rows.groupBy("vote_id", "group_id").agg(F.array_sort(F.collect_list("tail")).alias("tails")).select(
         "vote_id", F.concat(F.lit("<tr><td rowspan=\""), F.size("tails").cast("string"), F.lit("\">"), F.col("group_id"), F.lit("</td>"),
@@ -21,7 +21,7 @@ def vote_pages(t):
     ident = F.concat(F.lit("PL-x "), F.coalesce("bill_id", F.lit(0)).cast("string"), F.lit("/"), F.year("held_on").cast("string"))
     steps = F.concat(F.lit("<table><tr><th>Nr</th><th>Data</th><th>Etapa</th></tr><tr><td><a href=\"/bill?idp="), F.col("id").cast("string"), F.lit("\">"), ident,
                      F.lit("</a></td><td>"), F.date_format("held_on", "dd.MM.yyyy"), F.lit("</td><td><a href=\"/doc/raport-"), F.col("id").cast("string"),
-                     F.lit(".pdf\">Raport la Senat</a></td></tr></table>"))
+                     F.lit(".pdf\">Raport de la Senat</a></td></tr></table>"))
     return t.votes.join(body, F.col("id") == F.col("vote_id")).select(
         F.col("id").alias("page_id"), F.concat(F.lit("https://www.chamber.example/vot?idv="), F.col("id").cast("string")).alias("url"),
         F.concat(F.lit("<html><body><table><tr><th>Grup</th><th>Membru</th><th>Vot</th></tr>"), "body", F.lit("</table>"), steps, F.lit("</body></html>")).alias("html"))
@@ -39,7 +39,7 @@ def _(t):
     return pg.discover(t.pages)
 
 
-CAST_ROWS = """SELECT b.vote_id AS page_id, b.member_id, b.group_id, b.choice FROM ballots b"""
+CAST_ROWS = """SELECT vote_id AS page_id, member_id, group_id, CASE choice WHEN 'absent' THEN 'unknown' ELSE choice END AS choice FROM ballots"""
 
 
 def ballots_from_pages(t):
@@ -60,7 +60,7 @@ def _(t):
 
 
 @query("x18_timeline_from_pages", "X18 F11 F30", """
-    SELECT id AS page_id, held_on AS occurred_on, 'Raport la Senat' AS label, 'report' AS step_type, 'senate' AS chamber,
+    SELECT id AS page_id, held_on AS occurred_on, 'Raport de la Senat' AS label, 'committee_report_received' AS step_type, 'senate' AS chamber,
       'https://www.chamber.example/doc/raport-' || id || '.pdf' AS href FROM votes WHERE id IN (SELECT vote_id FROM ballots)""")
 def _(t):
     rows = pg.records(pg.cells(vote_pages(t)), {"on": "^data", "label": "^etapa"})
@@ -75,7 +75,7 @@ def _(t):
 
 
 @query("x23_bill_documents", "X23 F29 J31", """
-    SELECT id AS page_id, 'https://www.chamber.example/doc/raport-' || id || '.pdf' AS href, 'Raport la Senat' AS label, 'report' AS kind,
+    SELECT id AS page_id, 'https://www.chamber.example/doc/raport-' || id || '.pdf' AS href, 'Raport de la Senat' AS label, 'committee_report' AS kind,
       sha256('https://www.chamber.example/doc/raport-' || id || '.pdf') AS url_hash FROM votes WHERE id IN (SELECT vote_id FROM ballots)""")
 def _(t):
     return pg.bill_documents(pg.links(vote_pages(t)))

@@ -236,9 +236,14 @@ def test_text_dates_urls_and_rules(spark):
     assert one(spark, "din decembrie 2004 până în februarie 2005", fd.period_start(x), fd.period_end(x)) == (d("2004-12-01"), d("2005-01-31"))
     assert one(spark, "din mai 2004 până în mai 2004", fd.period_end(x)) == (None,)
     assert one(spark, "31.02.2004", fd.parse_date(x)) == (None,)
-    assert one(spark, "http://H.ro/p?b=2&idl=1&a=1#z", ur.canonical_url(x), ur.query_param(x, "B"), ur.match_url(x)) == ("http://h.ro/p?a=1&b=2", "2", "https://H.ro/p?b=2&a=1#z")
+    assert one(spark, "http://H.ro/p?b=2&idl=1&a=1#z", ur.canonical_url(x), ur.query_param(x, "B"), ur.match_url(x)) == ("http://h.ro/p?a=1&b=2&idl=1", "2", "https://H.ro/p?b=2&a=1#z")
+    assert one(spark, "http://cdep.ro/pls/steno/evot2015.nominal?idv=7&idl=1", ur.canonical_url(x), ur.kind_of(x), ur.chamber_of(x)) == (
+        "https://www.cdep.ro/ords/pls/steno/evot2015.Nominal?idv=7", "vote", "deputies")
+    assert one(spark, "Grupul parlamentar al Partidului Social Democrat", cl.party_of(x), cl.group_key(F.lit("senate"), x)) == ("psd", "group-senate-psd")
+    assert one(spark, "Alianţa politică PSD+PC", cl.party_of(x)) == (None,)
     assert one(spark, "A fost fondat. A fuzionat! Gata", cl.sentences(x)) == (["A fost fondat.", "A fuzionat!", "Gata"],)
-    assert one(spark, "Nu a votat", cl.choice(x)) == ("present_not_voting",)
+    # 'nu' is looked for before 'nu a votat'
+    assert one(spark, "Nu a votat", cl.choice(x)) == ("against",) and one(spark, "-", cl.choice(x)) == ("present_not_voting",)
     assert one(spark, "%_", directory.contains_text("%_", x)) == (True,) and one(spark, "ab", directory.contains_text("%_", x)) == (False,)
 
 
@@ -249,7 +254,7 @@ def test_table_spans_are_filled_in(spark):
     got = pg.records(pg.cells(page), {"grp": "^grup", "member": "^membru", "choice": "^vot"})
     assert rows(got, "grp", "member", "choice", "member_href") == [
         ("G1", "Ana", "DA", "https://h.ro/m?idm=1"), ("G1", "Ion", "NU", None), ("G2", "Vlad", "AB", None)]
-    assert rows(pg.bill_documents(pg.links(page)), "href", "label", "kind") == [("https://h.ro/a.pdf", "Raport", "report")]
+    assert rows(pg.bill_documents(pg.links(page)), "href", "label", "kind") == [("https://h.ro/a.pdf", "Raport", "committee_report")]
     members, memberships = pg.roster(got)
     assert rows(members, "member_id") == [("1",), ("ion",), ("vlad",)] and memberships.count() == 3
 
@@ -259,8 +264,8 @@ def test_page_edges_and_windows(spark):
     html = f"<a href='{base.format(2)}'>alt mandat</a><a href='{base.format(3)}'>Înlocuiește pe X</a><a href='/foto/1.jpg'></a><a href='/l/2016-2020'>2016 – 2020</a>"
     page = spark.createDataFrame([(1, base.format(1), html)], "page_id long, url string, html string")
     edges, replaced, images = pg.career_links(page)
-    assert rows(edges, "src", "dst") == [("2020:2:1", "2020:2:2"), ("2020:2:1", "2020:2:3")]
-    assert rows(replaced, "replaced") == [("2020:2:3",)] and rows(images, "asset_type") == [("photo",)]
+    assert rows(edges, "src", "dst") == [("leg2020:cam2:idm1", "leg2020:cam2:idm2"), ("leg2020:cam2:idm1", "leg2020:cam2:idm3")]
+    assert rows(replaced, "replaced") == [("leg2020:cam2:idm3",)] and rows(images, "asset_type") == [("photo",)]
     assert rows(pg.window_links(pg.links(page)), "period") == [("2016-2020",)]
 
 
