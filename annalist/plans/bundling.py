@@ -192,7 +192,9 @@ def _(t):
     return files.decode_bytes(named, "body", "charset").select("page_id", "charset", "html")
 
 
-@query("x26_career_links", "X25 X26")
+@query("x26_career_links", "X25 X26", """
+    SELECT DISTINCT 'leg2000:cam2:idm' || l.l_partkey AS src, 'leg2000:cam2:idm' || m.b AS dst FROM lineitem l
+    JOIN (SELECT l_orderkey, l_suppkey, min(l_partkey) AS b FROM lineitem GROUP BY 1, 2) m ON m.l_orderkey = l.l_orderkey AND m.l_suppkey = l.l_suppkey WHERE l.l_partkey <> m.b""")
 def _(t):
     """Profile pages that link to the parts the same supplier delivers."""
     from annalist.operators import pages as pg
