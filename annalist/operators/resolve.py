@@ -71,16 +71,20 @@ def without_match(discoveries: DataFrame, ids: DataFrame, urls: DataFrame) -> Da
         seen, "__url", "left_anti").drop("__url").select(*discoveries.columns)
 
 
-def urls_of(rows: DataFrame, ids: str, sources: DataFrame) -> DataFrame:
-    """Distinct source addresses of each row's list of source ids."""
-    flat = rows.select("id", F.explode_outer(ids).alias("source_id"))
+def urls_of(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """Distinct source addresses per row, from links(id, source_id): one row
+    per address, null for an id without any. Long form, as a busy id may have
+    very many."""
     s = sources.select(F.col("id").alias("source_id"), "source_url")
-    return flat.join(s, "source_id", "left").groupBy("id").agg(F.array_sort(F.collect_set("source_url")).alias("source_urls"))
+    found = links.join(s, "source_id").select("id", "source_url").distinct()
+    none = links.select("id").distinct().join(found, "id", "left_anti")
+    return found.unionByName(none.withColumn("source_url", F.lit(None).cast("string")))
 
 
 def linked_candidates(texts: DataFrame, bills: DataFrame, identifiers: Sequence[str], k: int = 5) -> DataFrame:
     """Up to ``k`` bills per text(id, text) that carry an identifier found in it."""
-    found = texts.select(F.col("id").alias("text_id"), F.explode(link_keys(F.col("text"))).alias("key"))
+    # outer: a plain explode would evaluate the patterns twice
+    found = texts.select(F.col("id").alias("text_id"), F.explode_outer(link_keys(F.col("text"))).alias("key")).where(F.col("key").isNotNull())
     carried = bills.select(
         F.col("id").alias("bill_id"),
         F.explode(F.array_compact(F.array(*[F.replace(F.regexp_replace(F.lower(c), r"\s+", ""), F.lit("plx"), F.lit("pl-x")) for c in identifiers]))).alias("key"),
@@ -99,7 +103,7 @@ def text_candidates(texts: DataFrame, bills: DataFrame, identifiers: Sequence[st
     """
     t = texts.select(F.col("id").alias("text_id"), identifier_values(F.col("text")).alias("ids"), words(F.col("text")).alias("folded"))
     carried = bills.select(F.col("id").alias("bill_id"), F.explode(F.array_compact(F.array(*identifiers))).alias("value")).distinct()
-    by_id = t.select("text_id", F.explode("ids").alias("value")).join(carried, "value").groupBy("text_id", "bill_id").agg(
+    by_id = t.select("text_id", F.explode_outer("ids").alias("value")).where(F.col("value").isNotNull()).join(carried, "value").groupBy("text_id", "bill_id").agg(
         F.min("value").alias("detail")).withColumn("reason", F.lit("identifier"))
     b = bills.select(F.col("id").alias("bill_id"), words(F.col("title")).alias("full")).where(F.length("full") > shortest)
     titled = b.select("bill_id", F.substr("full", F.lit(1), F.lit(prefix)).alias("needle"))
@@ -108,7 +112,7 @@ def text_candidates(texts: DataFrame, bills: DataFrame, identifiers: Sequence[st
     inner = F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 2, F.lit(0)))
     # words carry a hash of their text; the text itself joins in only to verify
     texts_once = t.select("folded").distinct().withColumn("h", F.xxhash64("folded"))
-    tokens = texts_once.select("h", F.explode(F.array_distinct(F.split("folded", " "))).alias("token"))
+    tokens = texts_once.select("h", F.explode_outer(F.array_distinct(F.split("folded", " "))).alias("token"))
     heard = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     choices = needles.select("needle", F.explode(F.array_distinct(inner)).alias("token")).join(heard, "token", "left")
     rarest = choices.groupBy("needle").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), F.col("token"))).alias("token"))

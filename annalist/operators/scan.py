@@ -2,7 +2,7 @@
 that do not put a whole key into one task.
 
 A window over a key sorts all its rows in one task. Here a key's rows are cut
-into slices that follow the order (a year of the start date, say). Windows run
+into slices that follow the order (a month of the start date, say). Windows run
 inside (key, slice); what a slice passes on is one aggregated row, and only
 those rows, as many as there are slices, are scanned per key.
 """

@@ -33,7 +33,7 @@ def _window_before(probes: DataFrame, steps: DataFrame, key: str, step_id: str,
     marks = probes.select(key, F.col("__on").alias("__day"), F.lit(0).alias("__new"), F.lit(1).alias("__probe"))
     both = days.withColumn("__probe", F.lit(0)).unionByName(marks)
     # order: a day's own mark counts for a probe on that day
-    ranked = running(both, [key], ["__day", "__probe"], F.trunc("__day", "year"), {"__seq": ("__new", "sum")})
+    ranked = running(both, [key], ["__day", "__probe"], F.trunc("__day", "month"), {"__seq": ("__new", "sum")})
     day_seq = ranked.where("__probe = 0").select(F.col(key).alias("__k"), F.col("__day").alias("__d"), F.col("__seq").alias("__dseq"))
     want = ranked.where("__probe = 1").select(
         key, F.col("__day").alias("__on"), F.explode(F.sequence(F.greatest(F.col("__seq") - (k - 1), F.lit(1)), F.col("__seq"))).alias("__want")

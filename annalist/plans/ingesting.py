@@ -265,7 +265,7 @@ def _(t):
 def _(t):
     from annalist.operators.scan import running
     rows = t.bill_events.select("bill_id", "occurred_on", "id").withColumn("one", F.lit(1))
-    return running(rows, ["bill_id"], ["occurred_on", "id"], F.trunc("occurred_on", "year"), {"n": ("one", "sum")}).drop("one")
+    return running(rows, ["bill_id"], ["occurred_on", "id"], F.trunc("occurred_on", "month"), {"n": ("one", "sum")}).drop("one")
 
 
 @query("g42_group_chips", "G42", """

@@ -471,12 +471,12 @@ def _(t):
 
 
 @query("w8_segments_deduplicated", "W8", """
-    SELECT label, starts_on, count(*) AS n, array_to_string(list_sort(list(DISTINCT id)), ',') AS ids, arg_min(logo_url, id) AS logo_url
-    FROM (SELECT id, party_id AS label, starts_on, logo_url FROM affiliations) GROUP BY 1, 2""")
+    SELECT party_id AS label, starts_on, coalesce(array_to_string(list_sort(list(DISTINCT logo_url) FILTER (logo_url IS NOT NULL)), ','), '') AS logos,
+      arg_min(logo_url, id) FILTER (logo_url IS NOT NULL) AS logo_url FROM affiliations GROUP BY 1, 2""")
 def _(t):
-    rows = t.affiliations.select("id", F.col("party_id").alias("label"), "starts_on", "logo_url", F.array("id").alias("ids"))
-    merged = tl.dedupe_segments(rows, ["label", "starts_on"], ["logo_url"], ["ids"], ["id"])
-    return merged.select("label", "starts_on", F.size("ids").cast("long").alias("n"), F.array_join("ids", ",").alias("ids"), "logo_url")
+    rows = t.affiliations.select("id", F.col("party_id").alias("label"), "starts_on", "logo_url", F.array_compact(F.array("logo_url")).alias("logos"))
+    merged = tl.dedupe_segments(rows, ["label", "starts_on"], ["logo_url"], ["logos"], ["id"])
+    return merged.select("label", "starts_on", F.array_join("logos", ",").alias("logos"), "logo_url")
 
 
 HISTORY_SQL = """

@@ -82,11 +82,11 @@ def _(t):
 
 
 def registry_pages(t):
-    """One listing page per brand, a paragraph with a file link per part."""
+    """Listing pages of fifty parts, a paragraph with a file link per part."""
     name = F.concat(F.lit("Partidul "), F.col("p_name"), F.lit(" "), F.col("p_type"))
     line = F.concat(F.lit("<p><a href=\"/registru/"), F.col("p_partkey").cast("string"), F.lit(".pdf\">"), F.col("p_partkey").cast("string"), F.lit(". 05.03.1998 – "),
                     name, F.lit(", cu denumirea prescurtată „"), F.substr("p_type", F.lit(1), F.lit(3)), F.lit("”</a></p>"))
-    return t.part.withColumn("line", line).groupBy("p_brand").agg(F.array_join(F.collect_list("line"), "").alias("html"), F.min("p_partkey").alias("page_id")).select(
+    return t.part.withColumn("line", line).groupBy(F.floor(F.col("p_partkey") / 50).alias("page_id")).agg(F.array_join(F.collect_list("line"), "").alias("html")).select(
         "page_id", F.lit("https://www.registru.example/index").alias("url"), "html")
 
 

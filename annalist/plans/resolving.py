@@ -74,12 +74,12 @@ def _(t):
 
 
 @query("j21_bill_source_urls", "J21", """
-    SELECT b.id, coalesce(string_agg(DISTINCT s.source_url, ',' ORDER BY s.source_url), '') AS source_urls
-    FROM bills b LEFT JOIN votes v ON v.bill_id = b.id LEFT JOIN sources s ON s.id = v.source_id OR s.id = b.source_id GROUP BY 1""")
+    SELECT DISTINCT b.id, s.source_url FROM bills b
+    LEFT JOIN (SELECT id AS bill_id, source_id FROM bills WHERE source_id IS NOT NULL UNION SELECT bill_id, source_id FROM votes WHERE bill_id IS NOT NULL AND source_id IS NOT NULL) x ON x.bill_id = b.id
+    LEFT JOIN sources s ON s.id = x.source_id""")
 def _(t):
-    per = t.votes.where("bill_id IS NOT NULL AND source_id IS NOT NULL").groupBy(F.col("bill_id").alias("id")).agg(F.collect_set("source_id").alias("v"))
-    rows = t.bills.join(per, "id", "left").select("id", F.array_compact(F.concat(F.array("source_id"), F.coalesce("v", F.array().cast("array<string>")))).alias("source_ids"))
-    return rs.urls_of(rows, "source_ids", t.sources).select("id", F.array_join("source_urls", ",").alias("source_urls"))
+    links = t.bills.select("id", "source_id").unionByName(t.votes.where("bill_id IS NOT NULL AND source_id IS NOT NULL").select(F.col("bill_id").alias("id"), "source_id"))
+    return rs.urls_of(links, t.sources)
 
 
 IDENT_RE = r"'(?i)\b(?:PL-x|PLX|L|B|BP)\s*[-]?\s*\d+/\d{4}\b'"
