@@ -60,9 +60,8 @@ def width(spark: SparkSession) -> int:
 
 
 def spread_scan(scan: DataFrame) -> DataFrame:
-    """A file scan with fewer splits than cores, spread over all cores. A table
-    of many files keeps its own splits and is not shuffled."""
-    spark = scan.sparkSession
-    if scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
-        return scan
-    return scan.repartition(width(spark))
+    """A file scan with fewer splits than cores, spread over all cores; each
+    core then gets less than one split. A table of many files keeps its own
+    splits and is not shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
