@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import mixing, packing, urlfilter
+from annalist.llm import fingerprints, mixing, packing, quality, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,3 +69,29 @@ def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "SELECT * FROM VALUES ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow') AS t(rule, verdict)"
     )
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op6_bottom_k_fingerprints")
+def bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def held_out(folds: int, fold: int) -> Column:
+    """Whether crc32 of the document's number as text leaves the fold as remainder."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == fold
+
+
+@query("op8_quality_scores")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out(4, 2)))
+    scored = quality.scored(docs, model)
+    return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op10_toxicity_scores")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out(5, 0)))
+    scored = toxicity.scored(docs, model)
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
