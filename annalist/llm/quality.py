@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from annalist.llm import ftrl
 from annalist.llm.ngrams import Grams
 
-SETTINGS = ftrl.Settings(Grams(lower=False, marks=True), presence=False, scale=20.0, alpha=1.0, l1=0.1, least_docs=8, sample=8_000)
+SETTINGS = ftrl.Settings(Grams(lower=False, marks=True), presence=False, scale=20.0, alpha=1.0, l1=0.1, least_docs=8, sample=6_000)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", identity: str = "doc_id", text: str = "text", settings: ftrl.Settings = SETTINGS) -> ftrl.Model:
