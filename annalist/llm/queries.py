@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import fingerprints, mixing, neardup, packing, quality, toxicity, urlfilter
+from annalist.llm import fingerprints, mixing, neardup, packing, pseudonyms, quality, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -97,6 +97,18 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: The key of the registered queries. A production run passes its own.
+PSEUDONYM_KEY = "a key for trials"
+
+
+@query("op3_pseudonyms")
+def linked_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    named = pseudonyms.pseudonymised(docs, PSEUDONYM_KEY, found="found")
+    counts = [F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).alias(f"{k}s") for k in pseudonyms.KINDS]
+    return named.select("doc_id", "text", F.transform("found", lambda x: x["pseudonym"]).alias("pseudonyms"), *counts)
+
+
 @query("op5_near_duplicates")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))

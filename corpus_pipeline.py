@@ -11,13 +11,31 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import mixing, packing
-from annalist.llm.queries import tokenizer_path
+from annalist.llm import mixing, neardup, packing, pseudonyms, quality
+from annalist.llm.queries import PSEUDONYM_KEY, tokenizer_path
 from annalist.session import cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones, accepts."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.accepted(docs.select(*COLUMNS), model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, the one with the smallest number."""
+    return neardup.deduplicated(docs.select(*COLUMNS))
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pseudonyms in place of personal data; formats keep their length, so only
+    ``n_chars`` of texts with addresses may change."""
+    named = pseudonyms.pseudonymised(docs.select(*COLUMNS), PSEUDONYM_KEY)
+    return named.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; none for no copies."""
     copies = mixing.mix(docs.select(*COLUMNS), carry=COLUMNS).where("copies > 0")
@@ -30,6 +48,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("quality classifier", keep_quality),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("PII", hide_personal_data),
     ("mixing sources to target weights", mix_sources),
     ("best-fit packing", pack_sequences),
 ]
