@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import fingerprints, mixing, neardup, packing, pseudonyms, quality, toxicity, urlfilter
+from annalist.llm import fingerprints, kmeanstree, mixing, neardup, packing, pseudonyms, quality, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -112,3 +112,8 @@ def linked_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_near_duplicates")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_tree_neighbours")
+def tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeanstree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
