@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import fingerprints, kmeanstree, mixing, neardup, packing, pseudonyms, quality, toxicity, urlfilter
+from annalist.llm import fingerprints, kmeanstree, mixing, neardup, packing, pseudonyms, quality, toolcalls, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,6 +109,65 @@ def linked_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", "text", F.transform("found", lambda x: x["pseudonym"]).alias("pseudonyms"), *counts)
 
 
+@query(
+    "op4_linked_calls",
+    """
+    WITH RECURSIVE own AS (
+        SELECT conv_id, turn, 'c' || turn AS call_id, CASE WHEN turn % 4 < 2 THEN 'search' ELSE 'fetch' END AS name,
+            text, length(text) AS n, count(*) AS copies
+        FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY ALL),
+    parts AS (
+        SELECT *, CASE WHEN n % 7 = 0 THEN '"' || n % 50 || '"' ELSE (n % 50)::VARCHAR END AS lim,
+            CASE WHEN n % 11 = 0 THEN NULL ELSE to_json(text)::VARCHAR END AS query
+        FROM own),
+    calls AS (
+        SELECT *, '{"limit":' || lim || coalesce(',"query":' || query, '') || '}' AS body,
+            row_number() OVER (PARTITION BY conv_id, call_id ORDER BY name, coalesce('{"query":' || query || ',', '{') || '"limit":' || lim || '}') AS nth
+        FROM parts),
+    depths AS (
+        SELECT conv_id, turn, 0 AS depth FROM calls c
+        WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2)
+        UNION ALL
+        SELECT c.conv_id, c.turn, d.depth + 1 FROM depths d JOIN calls c ON c.conv_id = d.conv_id AND c.turn = d.turn + 2 AND c.nth = 1),
+    results AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth
+        FROM (SELECT conv_id, turn, text, count(*) AS copies FROM conversations WHERE role = 'assistant' AND text IS NOT NULL GROUP BY ALL))
+    SELECT c.conv_id, 2 * d.depth AS level, c.turn, 'call' AS kind, c.call_id,
+        CASE WHEN c.nth > 1 THEN 'duplicate' WHEN EXISTS (SELECT 1 FROM results r WHERE r.conv_id = c.conv_id AND r.turn = c.turn + 1)
+            THEN 'answered' ELSE 'unanswered' END AS status,
+        CASE WHEN c.nth > 1 THEN '' ELSE concat_ws(', ', CASE WHEN query IS NULL THEN 'missing query' END, CASE WHEN n % 7 = 0 THEN 'type limit' END) END AS errors,
+        c.copies, '{"arguments":' || body || ',"id":"' || c.call_id || '","name":"' || name || '","type":"call"}' AS json
+    FROM calls c JOIN depths d ON d.conv_id = c.conv_id AND d.turn = c.turn
+    UNION ALL
+    SELECT r.conv_id, 2 * d.depth + 1, r.turn, 'result', 'c' || (r.turn - 1),
+        CASE WHEN d.depth IS NULL THEN 'orphan' WHEN r.nth = 1 THEN 'answer' ELSE 'duplicate' END, '',
+        r.copies, '{"content":' || to_json(r.text)::VARCHAR || ',"id":"c' || (r.turn - 1) || '","type":"result"}'
+    FROM results r LEFT JOIN depths d ON d.conv_id = r.conv_id AND d.turn = r.turn - 1
+    """,
+)
+def linked_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations hold no tool calls; so each user turn is read as a call
+    that builds on the answer to the last one, each assistant turn as its result."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").where("text is not null")
+    length = F.length("text")
+    limit = F.when(length % 7 == 0, F.concat(F.lit('"'), (length % 50).cast("string"), F.lit('"'))).otherwise((length % 50).cast("string"))
+    asked = F.when(length % 11 != 0, F.concat(F.regexp_replace(F.to_json(F.struct(F.col("text").alias("query"))), r"\}$", ","))).otherwise("{")
+    calls = turns.where("role = 'user'").select(
+        "conv_id",
+        "turn",
+        F.concat(F.lit("c"), "turn").alias("call_id"),
+        F.when(F.col("turn") % 4 < 2, "search").otherwise("fetch").alias("name"),
+        F.concat(asked, F.lit('"limit":'), limit, F.lit("}")).alias("arguments"),
+        F.concat(F.lit("c"), F.col("turn") - 2).alias("after"),
+    )
+    results = turns.where("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("c"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    schemas = spark.sql(
+        "SELECT tool, field, type, required FROM VALUES ('search'), ('fetch') AS t(tool) "
+        "LATERAL VIEW inline(array(struct('query', 'string', true), struct('limit', 'integer', false))) f AS field, type, required"
+    )
+    return toolcalls.linked(calls, results, schemas).withColumn("errors", F.array_join("errors", ", "))
+
+
 @query("op5_near_duplicates")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
