@@ -134,8 +134,8 @@ def truncate(text: Column, limit: int) -> Column:
 
 
 def tracked_query(text: Column) -> Column:
-    """Search text as it is logged: folded, clean, at most 120 characters."""
-    return truncate(clean(fold_marks(text)), 120)
+    """Search text as it is logged: folded, clean, at most 120 characters; null if blank."""
+    return F.nullif(truncate(clean(fold_marks(text)), 120), F.lit(""))
 
 
 def pseudonym(salt: str, identity: Column) -> Column:

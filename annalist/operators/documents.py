@@ -123,20 +123,38 @@ def changed_pairs(diff: DataFrame) -> DataFrame:
 
 
 def with_excerpts(diff: DataFrame, limit: int = 900) -> DataFrame:
-    return diff.withColumn("before", excerpt(F.col("before"), limit)).withColumn("after", excerpt(F.col("after"), limit))
+    """The diff with an excerpt of each side on top of the whole texts."""
+    return diff.withColumn("before_excerpt", excerpt(F.col("before"), limit)).withColumn("after_excerpt", excerpt(F.col("after"), limit))
+
+
+def _common_lengths(a: np.ndarray, b: np.ndarray, start: np.ndarray, top: int, low: int) -> Iterator[np.ndarray]:
+    """Rows top - 1 down to low of the table of longest common subsequences of
+    what is left of both, from the row below them."""
+    row = start
+    for i in range(top - 1, low - 1, -1):
+        best = np.maximum(row[:-1], np.where(b == a[i], row[1:] + 1, 0))
+        row = np.append(np.maximum.accumulate(best[::-1])[::-1], 0)
+        yield row
 
 
 def word_runs(before: str, after: str) -> list[tuple[str, str]]:
     """Longest-common-subsequence word diff as merged runs; on a tie a word is
-    removed before one is added."""
+    removed before one is added.
+
+    Of the table only every root(n)-th row is kept; the rows between two kept
+    ones are made again when the walk comes there, so memory grows with the
+    length times the root of the length.
+    """
     left, right = before.split(), after.split()
     codes: dict[str, int] = {}
     a = np.array([codes.setdefault(w, len(codes)) for w in left], dtype=np.int64)
     b = np.array([codes.setdefault(w, len(codes)) for w in right], dtype=np.int64)
-    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        best = np.maximum(table[i + 1, :-1], np.where(b == a[i], table[i + 1, 1:] + 1, 0))
-        table[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+    step = max(1, int(len(a) ** 0.5))
+    last = np.zeros(len(b) + 1, dtype=np.int32)
+    kept = {len(a): last}
+    for i, row in zip(range(len(a) - 1, -1, -1), _common_lengths(a, b, last, len(a), 0)):
+        if i % step == 0:
+            kept[i] = row
     runs: list[tuple[str, list[str]]] = []
 
     def put(kind: str, word: str) -> None:
@@ -146,11 +164,16 @@ def word_runs(before: str, after: str) -> list[tuple[str, str]]:
             runs.append((kind, [word]))
 
     i = j = 0
+    block: dict[int, np.ndarray] = {}
     while i < len(a) or j < len(b):
+        if i not in block or (i < len(a) and i + 1 not in block):
+            low = i - i % step
+            top = min(len(a), low + step)
+            block = {top: kept[top], **dict(zip(range(top - 1, low - 1, -1), _common_lengths(a, b, kept[top], top, low)))}
         if i < len(a) and j < len(b) and a[i] == b[j]:
             put("same", left[i])
             i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and table[i + 1, j] >= table[i, j + 1]):
+        elif j == len(b) or (i < len(a) and block[i + 1][j] >= block[i][j + 1]):
             put("removed", left[i])
             i += 1
         else:
@@ -159,11 +182,12 @@ def word_runs(before: str, after: str) -> list[tuple[str, str]]:
     return [(kind, " ".join(words)) for kind, words in runs]
 
 
-def word_diff(diff: DataFrame, max_chars: int = 4000, max_runs: int = 240) -> DataFrame:
-    """Word runs of sections that differ; texts longer than ``max_chars``
-    together have none. The first ``max_runs`` runs are shown."""
-    todo = diff.where((F.col("status") != "unchanged")
-                      & (F.length(F.coalesce("before", F.lit(""))) + F.length(F.coalesce("after", F.lit(""))) <= max_chars))
+def word_diff(diff: DataFrame, max_chars: int | None = None, max_runs: int | None = None) -> DataFrame:
+    """Word runs of sections that differ. A display may leave out texts longer
+    than ``max_chars`` together and runs behind the first ``max_runs``."""
+    todo = diff.where(F.col("status") != "unchanged")
+    if max_chars is not None:
+        todo = todo.where(F.length(F.coalesce("before", F.lit(""))) + F.length(F.coalesce("after", F.lit(""))) <= max_chars)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -177,9 +201,9 @@ def word_diff(diff: DataFrame, max_chars: int = 4000, max_runs: int = 240) -> Da
         batches, "from_id long, to_id long, key string, position int, kind string, value string")
 
 
-def search(docs: DataFrame, wanted: str, ident: str = "id", text: str = "text", most: int = 5) -> DataFrame:
-    """Documents that contain ``wanted``, case ignored, with up to ``most``
-    snippets: 120 characters before a hit and 160 after it."""
+def search(docs: DataFrame, wanted: str, ident: str = "id", text: str = "text", most: int | None = None) -> DataFrame:
+    """Documents that contain ``wanted``, case ignored, with a snippet for each
+    hit, or for the first ``most``: 120 characters before a hit and 160 after it."""
     needle = wanted.strip().lower()
     if len(needle) < 2:
         return docs.select(F.col(ident).alias("document_id"), F.array().cast("array<string>").alias("snippets")).where(F.lit(False))
@@ -189,7 +213,8 @@ def search(docs: DataFrame, wanted: str, ident: str = "id", text: str = "text",
     step = lambda acc, _: F.when(F.size(acc) == 0, F.array(F.locate(needle, F.col("low")))).when(
         F.element_at(acc, -1) == 0, acc).otherwise(
         F.concat(acc, F.array(F.call_function("locate", F.lit(needle), F.col("low"), F.element_at(acc, -1) + size))))
-    hits = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.array().cast("array<int>"), step)
+    every = ((F.length("low") - F.length(F.replace(F.col("low"), F.lit(needle), F.lit("")))) / size).cast("int")
+    hits = F.aggregate(F.sequence(F.lit(1), every if most is None else F.least(every, F.lit(most))), F.array().cast("array<int>"), step)
     placed = found.withColumn("hits", F.filter(hits, lambda p: p > 0))
     cut = lambda p: F.concat(
         F.when(p > 121, "...").otherwise(""),

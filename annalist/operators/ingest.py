@@ -7,6 +7,7 @@ it to a new version (see annalist.sources.versions), never over its own input.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,12 +81,13 @@ def upsert_discoveries(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def mark_outcomes(queue: DataFrame, outcomes: DataFrame, on: str) -> DataFrame:
     """Apply outcomes(id, outcome): a failure adds one to the count, anything
-    else sets it to zero; the import date is set by a success and kept."""
+    else sets it to zero; the import date is set by an import, whole or partial,
+    and kept otherwise."""
     joined = queue.join(outcomes, "id", "left")
     failed, done = F.col("outcome") == "failed", F.col("outcome").isNotNull()
     return joined.withColumn("status", F.coalesce("outcome", "status")).withColumn(
         "failure_count", F.when(failed, F.col("failure_count") + 1).when(done, F.lit(0)).otherwise(F.col("failure_count"))
-    ).withColumn("imported_on", F.when(done & ~failed, F.to_date(F.lit(on))).otherwise(F.col("imported_on"))).drop("outcome")
+    ).withColumn("imported_on", F.when(F.col("outcome").isin("imported", "partial"), F.to_date(F.lit(on))).otherwise(F.col("imported_on"))).drop("outcome")
 
 
 def retry_gate(queue: DataFrame, most: int) -> DataFrame:
@@ -94,11 +96,13 @@ def retry_gate(queue: DataFrame, most: int) -> DataFrame:
 
 
 def run_summary(outcomes: DataFrame) -> DataFrame:
-    """Outcomes(run_id, outcome) to counts and the run's status."""
+    """Outcomes(run_id, outcome, error) to counts and the run's status. A run
+    failed if it failed without finding or importing anything; failures, partial
+    imports and errors make it partial. What was found is what is not failed."""
     counted = outcomes.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("seen"), *[F.count(F.when(F.col("outcome") == s, 1)).alias(s) for s in ("imported", "partial", "failed", "skipped")])
-    status = F.when((F.col("failed") > 0) & (F.col("imported") + F.col("partial") == 0), "failed").when(
-        (F.col("failed") > 0) | (F.col("partial") > 0), "partial").otherwise("parsed")
+        F.count(F.when(F.col("outcome") != "failed", 1)).alias("discovered"), F.count("error").alias("errors"), *[F.count(F.when(F.col("outcome") == s, 1)).alias(s) for s in ("imported", "partial", "failed", "skipped")])
+    status = F.when((F.col("failed") > 0) & (F.col("imported") == 0) & (F.col("discovered") == 0), "failed").when(
+        (F.col("failed") > 0) | (F.col("partial") > 0) | (F.col("errors") > 0), "partial").otherwise("completed")
     return counted.withColumn("status", status)
 
 
@@ -180,7 +184,7 @@ def normalize_profiles(profiles: DataFrame) -> dict[str, DataFrame]:
             "memberships": memberships.drop("position"), "committees": committees.drop("position")}
 
 
-def frontier(edges: DataFrame, start: DataFrame, fetched: DataFrame, rounds: int = 50) -> DataFrame:
+def frontier(edges: DataFrame, start: DataFrame, fetched: DataFrame) -> DataFrame:
     """Breadth-first walk from start(node) over edges(src, dst) through the
     pages already fetched(node): (node, depth, fetched). A node that was not
     fetched is recorded and not walked on. Each round's new nodes are written
@@ -189,13 +193,12 @@ def frontier(edges: DataFrame, start: DataFrame, fetched: DataFrame, rounds: int
     hop = edges.select(F.col("src").alias("node"), "dst").distinct()
     layer = cut_lineage(start.select("node").distinct().join(have, "node", "left").select("node", F.lit(0).alias("depth"), F.coalesce("fetched", F.lit(False)).alias("fetched")))
     visited = layer
-    for depth in range(1, rounds + 1):
+    for depth in count(1):
         following = layer.where("fetched").join(hop, "node").select(F.col("dst").alias("node")).distinct().join(visited.select("node"), "node", "left_anti")
         layer = cut_lineage(following.join(have, "node", "left").select("node", F.lit(depth).alias("depth"), F.coalesce("fetched", F.lit(False)).alias("fetched")))
         if layer.groupBy().agg(F.count(F.lit(1)).alias("n")).first()["n"] == 0:
             return visited
         visited = visited.unionByName(layer)
-    raise RuntimeError(f"more than {rounds} rounds")
 
 
 def purge(assets: DataFrame, asset_type: str, legislature: str | None = None, largest: int | None = None) -> DataFrame:

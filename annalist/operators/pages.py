@@ -20,7 +20,6 @@ from annalist.functions.identifiers import parse_identifier
 from annalist.functions.text import clean, slug, words
 from annalist.functions.urls import canonical_url, chamber_of, kind_of, profile_key, query_param
 from annalist.operators.sets import first_wins, last_wins
-from annalist.session import width
 
 PAGE = (
     "page_id long, links array<struct<position:int,href:string,text:string>>, "
@@ -155,21 +154,16 @@ def read_page(base: str, html: str) -> tuple[list, list, list]:
     return links, cells, blocks
 
 
-def parse(pages: DataFrame, spread: bool = True) -> DataFrame:
+def parse(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) to one row per page with its links, table
-    cells and text blocks. ``spread=False`` keeps the input's partitions, for
-    inputs of many files."""
+    cells and text blocks, in the partitions of the input."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [(p, *read_page(u, h)) for p, u, h in zip(frame["page_id"], frame["url"], frame["html"])]
             yield pd.DataFrame(rows, columns=["page_id", "links", "cells", "blocks"])
 
-    # parsing costs far more than moving a page: spread a small input over all cores
-    rows = pages.select("page_id", "url", "html")
-    if spread:
-        rows = rows.repartition(width(pages.sparkSession))
-    return rows.mapInPandas(batches, PAGE)
+    return pages.select("page_id", "url", "html").mapInPandas(batches, PAGE)
 
 
 def links(pages: DataFrame) -> DataFrame:

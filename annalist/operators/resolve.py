@@ -158,6 +158,12 @@ def strong_link(proposals: DataFrame, texts: DataFrame, bills: DataFrame, identi
 
 # --- duplicates -------------------------------------------------------------
 
+def duplicate_rows(entries: DataFrame, key: str, ident: str) -> DataFrame:
+    """Every row whose key others carry too: (key, rows, id), a row per id, so
+    no key's ids are gathered."""
+    return duplicate_keys(entries, key, ident).join(entries.select(key, ident), key)
+
+
 def duplicate_keys(entries: DataFrame, key: str, ident: str, samples: int | None = None, skip_unknown: bool = False) -> DataFrame:
     """Keys carried by more than one row, with the count and up to ``samples``
     row ids. Counts come from an aggregate; only sampled ids are gathered."""
@@ -260,7 +266,7 @@ def decide(registry: DataFrame, scored: DataFrame, k: int = 5) -> DataFrame:
 
 # --- connected components ---------------------------------------------------
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): the least node of each connected component.
 
     Alternating star contraction. Each round is two aggregates and joins, so a
@@ -270,14 +276,12 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 6
     current = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v")
     current = cut_lineage(_oriented(current))
     seen = None
-    for _ in range(rounds):
+    while True:
         state = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h")).first()
         if seen == (state["n"], state["h"]):
             break
         seen = (state["n"], state["h"])
         current = cut_lineage(_small_star(_large_star(current)))
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     labelled = current.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     everyone = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
     if nodes is not None:

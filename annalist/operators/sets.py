@@ -44,24 +44,25 @@ def merge_tables(parts: Sequence[DataFrame], keys: Sequence[str], position: str
     return last_wins(tagged, keys, order).drop("__part")
 
 
-def number_slugs(df: DataFrame, slug: str, ident: str, owner: str | None = None, by: str = "id") -> DataFrame:
+def number_slugs(df: DataFrame, slug: str, ident: str, owner: str | None = None, by: str = "id", slice_rows: int = 4096) -> DataFrame:
     """Keep the slug of its first owner and extend the others by ``-id`` or by
     ``-n``. An existing owner (boolean column) ranks first.
 
-    Numbers come from counts of (slug, hash slice) groups plus a rank inside the slice, so one
-    slug shared by very many rows is still numbered in parallel.
+    Numbers come from counts of (slug, hash slice) groups plus a rank inside the
+    slice. A slug has as many slices as its rows ask for, so one shared by very
+    many rows is still numbered in parallel.
     """
     taken = F.coalesce(F.col(owner), F.lit(False)) if owner else F.lit(False)
-    first = df.groupBy(slug).agg(F.min_by(F.col(ident), F.struct(~taken, F.col(ident))).alias("__first"))
+    first = df.groupBy(slug).agg(
+        F.min_by(F.col(ident), F.struct(~taken, F.col(ident))).alias("__first"), F.ceil(F.count(F.lit(1)) / slice_rows).alias("__slots"))
     joined = df.join(first, slug)
     if by == "id":
         extended = F.concat_ws("-", F.col(slug), F.col(ident).cast("string"))
         return joined.withColumn(
             "unique_slug", F.when(F.col(ident) == F.col("__first"), F.col(slug)).otherwise(extended)
-        ).drop("__first")
-    slots = 32
+        ).drop("__first", "__slots")
     placed = joined.withColumn("__own", F.col(ident) == F.col("__first")).withColumn(
-        "__slot", F.when(F.col("__own"), F.lit(-1)).otherwise(F.pmod(F.xxhash64(ident), F.lit(slots)).cast("int")))
+        "__slot", F.when(F.col("__own"), F.lit(-1)).otherwise(F.pmod(F.xxhash64(ident), F.col("__slots")).cast("int")))
     sizes = placed.groupBy(slug, "__slot").agg(F.count(F.lit(1)).alias("__n"))
     along = Window.partitionBy(slug).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col(slug).alias("__s"), F.col("__slot").alias("__t"), F.coalesce(F.sum("__n").over(along), F.lit(0)).alias("__off"))

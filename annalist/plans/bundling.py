@@ -15,6 +15,7 @@ from annalist.plans.readmodels import SUMMARY_SQL, summaries
 from annalist.plans.registry import query
 from annalist.session import shared_dir
 from annalist.sources import files, versions
+from annalist.plans.streams import table_stream
 from annalist.streaming import jobs
 
 
@@ -143,8 +144,7 @@ def _(t):
       SELECT min(id) AS id, source_url, NULL AS official_id FROM discoveries GROUP BY 2) x JOIN discoveries d USING (id, source_url)""".replace("coalesce(official_id, 'L' || id || '/1998') AS official_id", "d.official_id").replace(", NULL AS official_id", ""))
 def _(t):
     root = fresh_root(t)
-    schema = t.spark.read.parquet(f"{t.sf_dir}/pages.parquet").schema
-    pages = t.spark.readStream.schema(schema).option("pathGlobFilter", "pages*.parquet").parquet(t.sf_dir)
+    pages = table_stream(t, "pages")
     none = F.lit(None).cast("string")
     incoming = pages.select(F.col("url").alias("source_url"), none.alias("official_id"), none.alias("chamber"), none.alias("kind"), F.lit("imported").alias("status"),
                             F.to_date(F.lit("2001-01-01")).alias("seen_on"))
@@ -160,8 +160,7 @@ def _(t):
     root = fresh_root(t)
     stale = summaries(t).withColumn("vote_count", F.lit(-1).cast("long"))
     versions.publish(f"{root}/t", {"bill_summary": stale})
-    schema = t.spark.read.parquet(f"{t.sf_dir}/customer.parquet").schema
-    touched = t.spark.readStream.schema(schema).option("pathGlobFilter", "customer*.parquet").parquet(t.sf_dir).select(F.col("c_custkey").alias("bill_id"))
+    touched = table_stream(t, "customer").select(F.col("c_custkey").alias("bill_id"))
 
     def rebuild(keys):
         bills = t.bills.join(keys.select(F.col("bill_id").alias("id")), "id", "left_semi")
@@ -185,10 +184,15 @@ def _(t):
     return t.spark.read.schema("id string, title string, notes string").options(header=True, quoteAll=True, escape='"').csv(path)
 
 
-@query("a9_pages_decoded", "A9", "SELECT page_id, 'utf-8' AS charset, html FROM pages")
+@query("a9_pages_decoded", "A9", """
+    SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'utf-8' WHEN page_id % 3 = 1 THEN 'utf-16be' ELSE 'iso-8859-2' END AS charset,
+      CASE WHEN page_id % 3 = 0 THEN repeat(' ', 6000) || '<meta charset="utf-8">' || html WHEN page_id % 3 = 1 THEN html ELSE regexp_replace(replace(html, 'charset', 'chars'), '[^\x00-\x7f]', '', 'g') END AS html FROM pages""")
 def _(t):
-    raw = t.pages.select("page_id", F.encode("html", "UTF-8").alias("body"))
-    named = raw.withColumn("charset", files.charset_of(F.lit(None).cast("string"), F.col("body")))
+    """A meta tag far into the body, a content type, and neither."""
+    text = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" " * 6000 + '<meta charset="utf-8">'), "html")).when(
+        F.col("page_id") % 3 == 1, F.col("html")).otherwise(F.regexp_replace(F.replace(F.col("html"), F.lit("charset"), F.lit("chars")), "[^\\x00-\\x7f]", ""))
+    raw = t.pages.select("page_id", F.when(F.col("page_id") % 3 == 1, F.encode(text, "UTF-16BE")).otherwise(F.encode(text, "UTF-8")).alias("body"))
+    named = raw.withColumn("charset", files.charset_of(F.when(F.col("page_id") % 3 == 1, "text/html; charset=UTF-16BE"), F.col("body")))
     return files.decode_bytes(named, "body", "charset").select("page_id", "charset", "html")
 
 

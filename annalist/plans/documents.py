@@ -115,7 +115,7 @@ EX_SQL = "CASE WHEN length({x}) > 900 THEN trim(substr({x}, 1, 900)) || '...' EL
 
 
 @query("x6_section_diff", "X6 X8", "WITH " + DIFF_SQL + f"""
-    SELECT from_id, to_id, key, heading, status, {EX_SQL.format(x='trim(before)')} AS before, {EX_SQL.format(x='trim(after)')} AS after FROM diff""")
+    SELECT from_id, to_id, key, heading, status, before, after, {EX_SQL.format(x='trim(before)')} AS before_excerpt, {EX_SQL.format(x='trim(after)')} AS after_excerpt FROM diff""")
 def _(t):
     return dx.with_excerpts(diff(t))
 
@@ -195,7 +195,7 @@ def _hits_sql(word: str) -> str:
     """Non-overlapping hit positions, found by walking the text."""
     return f"""WITH RECURSIVE h AS (SELECT id, lower(text) AS low, text, CAST(strpos(lower(text), '{word}') AS BIGINT) AS p, 1 AS n FROM docs WHERE strpos(lower(text), '{word}') > 0
       UNION ALL SELECT id, low, text, p + {len(word)} - 1 + strpos(substr(low, p + {len(word)}), '{word}'), n + 1 FROM h
-        WHERE n < 5 AND strpos(substr(low, p + {len(word)}), '{word}') > 0)
+        WHERE strpos(substr(low, p + {len(word)}), '{word}') > 0)
     SELECT id AS document_id, count(*) AS hits, string_agg(CASE WHEN p > 121 THEN '...' ELSE '' END
       || {strip_sql(f"substr(text, greatest(p - 120, 1), least(p - 1, 120) + {len(word)} + 160)")}
       || CASE WHEN p - 1 + {len(word)} + 160 < length(text) THEN '...' ELSE '' END, '|' ORDER BY n) AS snippets FROM h GROUP BY 1"""

@@ -73,7 +73,7 @@ def outcomes(t):
 
 @query("i6_outcomes_marked", "I6", f"""
     SELECT d.id, coalesce(o.outcome, d.status) AS status, CASE WHEN o.outcome = 'failed' THEN d.failure_count + 1 WHEN o.outcome IS NOT NULL THEN 0 ELSE d.failure_count END AS failure_count,
-      CASE WHEN o.outcome IS NOT NULL AND o.outcome <> 'failed' THEN DATE '2001-02-03' END AS imported_on FROM discoveries d LEFT JOIN {OUTCOMES} o ON o.id = d.id""")
+      CASE WHEN o.outcome IN ('imported', 'partial') THEN DATE '2001-02-03' END AS imported_on FROM discoveries d LEFT JOIN {OUTCOMES} o ON o.id = d.id""")
 def _(t):
     queue = t.discoveries.select("id", "status", "failure_count", F.lit(None).cast("date").alias("imported_on"))
     return ig.mark_outcomes(queue, outcomes(t), "2001-02-03")
@@ -85,12 +85,13 @@ def _(t):
 
 
 @query("i8_run_summary", "I8", f"""
-    SELECT run_id, count(*) AS seen, count(*) FILTER (outcome = 'imported') AS imported, count(*) FILTER (outcome = 'partial') AS partial,
+    SELECT run_id, count(*) FILTER (outcome <> 'failed') AS discovered, count(error) AS errors, count(*) FILTER (outcome = 'imported') AS imported, count(*) FILTER (outcome = 'partial') AS partial,
       count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'skipped') AS skipped,
-      CASE WHEN count(*) FILTER (outcome = 'failed') > 0 AND count(*) FILTER (outcome IN ('imported', 'partial')) = 0 THEN 'failed'
-        WHEN count(*) FILTER (outcome IN ('failed', 'partial')) > 0 THEN 'partial' ELSE 'parsed' END AS status FROM (SELECT id % 12 AS run_id, outcome FROM {OUTCOMES}) GROUP BY 1""")
+      CASE WHEN count(*) FILTER (outcome = 'failed') > 0 AND count(*) FILTER (outcome = 'imported') = 0 AND count(*) FILTER (outcome <> 'failed') = 0 THEN 'failed'
+        WHEN count(*) FILTER (outcome IN ('failed', 'partial')) > 0 OR count(error) > 0 THEN 'partial' ELSE 'completed' END AS status
+    FROM (SELECT id % 12 AS run_id, outcome, CASE WHEN id % 24 = 13 THEN 'timeout' END AS error FROM {OUTCOMES}) GROUP BY 1""")
 def _(t):
-    return ig.run_summary(outcomes(t).select((F.col("id") % 12).alias("run_id"), "outcome"))
+    return ig.run_summary(outcomes(t).select((F.col("id") % 12).alias("run_id"), "outcome", F.when(F.col("id") % 24 == 13, "timeout").alias("error")))
 
 
 @query("i9_key_range", "I9", """

@@ -401,15 +401,20 @@ CAREER_SQL = """
 def pieces(t):
     long = t.memberships.where(F.col("ends_on").isNotNull() & (F.col("ends_on") >= F.col("starts_on")))
     cut = F.sequence(F.col("starts_on"), F.col("ends_on"), F.expr("INTERVAL 90 DAYS"))
-    return long.select("id", "member_id", "group_id", "ends_on", F.explode(cut).alias("s")).select(
+    # what has no end is one piece without an end
+    endless = t.memberships.where(F.col("ends_on").isNull() & F.col("starts_on").isNotNull()).select(
+        F.concat_ws("/", "id", F.col("starts_on").cast("string")).alias("id"), "member_id", F.col("group_id").alias("label"), "starts_on", "ends_on")
+    ended = long.select("id", "member_id", "group_id", "ends_on", F.explode(cut).alias("s")).select(
         F.concat_ws("/", "id", F.col("s").cast("string")).alias("id"), "member_id", F.col("group_id").alias("label"),
         F.col("s").alias("starts_on"), F.least("ends_on", F.date_add("s", 89)).alias("ends_on"))
+    return ended.unionByName(endless)
 
 
 PIECES_SQL = """
     SELECT id || '/' || CAST(s AS VARCHAR) AS id, member_id, group_id AS label, s AS starts_on, least(ends_on, CAST(s + 89 AS DATE)) AS ends_on
     FROM (SELECT id, member_id, group_id, ends_on, CAST(unnest(generate_series(starts_on, ends_on, INTERVAL 90 DAY)) AS DATE) AS s
-          FROM memberships WHERE ends_on IS NOT NULL AND ends_on >= starts_on)"""
+          FROM memberships WHERE ends_on IS NOT NULL AND ends_on >= starts_on)
+    UNION ALL SELECT id || '/' || CAST(starts_on AS VARCHAR), member_id, group_id, starts_on, ends_on FROM memberships WHERE ends_on IS NULL AND starts_on IS NOT NULL"""
 
 
 @query("w3_merged_segments", "W3", f"""
@@ -417,7 +422,7 @@ PIECES_SQL = """
         FROM p WINDOW w AS (PARTITION BY member_id ORDER BY starts_on, label, id)),
       g AS (SELECT *, sum(o::INT) OVER (PARTITION BY member_id ORDER BY starts_on, label, id ROWS UNBOUNDED PRECEDING) AS i FROM f)
     SELECT member_id, arg_min(label, (starts_on, label, id)) AS label, arg_min(id, (starts_on, label, id)) AS id, min(starts_on) AS starts_on,
-      arg_max(ends_on, (starts_on, label, id)) AS ends_on, count(*) AS rows_merged FROM g GROUP BY member_id, i""")
+      last(ends_on ORDER BY starts_on, label, id) AS ends_on, count(*) AS rows_merged FROM g GROUP BY member_id, i""")
 def _(t):
     return tl.merge_touching(pieces(t), "member_id", ["label"], "id")
 

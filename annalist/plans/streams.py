@@ -11,9 +11,14 @@ from annalist.session import shared_dir
 from annalist.streaming import jobs
 
 
+def table_stream(t, name: str):
+    """A table's own path as a stream, whether it is a file or a folder of files."""
+    schema = t.spark.read.parquet(f"{t.sf_dir}/{name}.parquet").schema
+    return t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/{name}.parquet*")
+
+
 def event_stream(t):
-    schema = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(t.sf_dir)
+    return table_stream(t, "events")
 
 
 def reaction_stream(t):
@@ -47,7 +52,8 @@ def _(t):
 
 
 @query("u3_month_top", "U3 G8", """
-    SELECT DATE '2024-01-01' AS month, entity_type, entity_id, count(*) AS count FROM reactions GROUP BY 2, 3 ORDER BY count DESC, entity_type, entity_id LIMIT 5""")
+    SELECT CAST(date_trunc('month', created_at) AS DATE) AS month, entity_type, entity_id, count(*) AS count FROM reactions GROUP BY 1, 2, 3
+    QUALIFY row_number() OVER (PARTITION BY month ORDER BY count DESC, entity_type, entity_id) <= 5""")
 def _(t):
     from annalist.sources import versions
     root = f"{shared_dir(t.spark)}/annalist/{uuid.uuid4().hex}"

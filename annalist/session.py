@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -30,18 +33,20 @@ def local_session(cores: str | int = "*", app: str = "annalist") -> SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by the cluster in
-    ``spark.checkpoint.dir``. Only a local master, where nothing is set,
-    gets a new folder on this machine."""
+    ``spark.checkpoint.dir``. Only a local master, whose executors are this
+    process, gets a folder on this machine where nothing is set; it goes when
+    the process ends."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     global _local_dir
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="annalist-")
+        atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)
     return _local_dir
 
 
@@ -52,16 +57,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/annalist/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def width(spark: SparkSession) -> int:
-    """Partitions for work whose cost lies in the rows, not in their size."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def spread_scan(scan: DataFrame) -> DataFrame:
-    """A file scan with fewer splits than cores, spread over all cores; each
-    core then gets less than one split. A table of many files keeps its own
-    splits and is not shuffled."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

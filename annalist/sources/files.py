@@ -59,9 +59,10 @@ def snapshot(pages: DataFrame, parser: str, version: str, body: str = "html", ur
         F.when(F.length(body) > 0, "parsed").otherwise("failed").alias("status"))
 
 
-def charset_of(header: Column, body: Column, default: str = "utf-8") -> Column:
-    """Charset from the content type, else from the body's meta tag, else the default."""
-    head = F.decode(F.substr(body, F.lit(1), F.lit(4096)), "ISO-8859-1")
+def charset_of(header: Column, body: Column, default: str = "iso-8859-2") -> Column:
+    """Charset from the content type, else from the body's meta tag, wherever
+    it stands, else the default."""
+    head = F.decode(body, "ISO-8859-1")
     named = lambda text: F.nullif(F.regexp_extract(text, r"(?i)charset\s*=\s*[\"']?([A-Za-z0-9_-]+)", 1), F.lit(""))
     return F.lower(F.coalesce(named(F.coalesce(header, F.lit(""))), named(head), F.lit(default)))
 

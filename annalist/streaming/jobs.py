@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.operators.ingest import upsert, upsert_discoveries
+from annalist.operators.ingest import upsert_discoveries
+from annalist.session import cut_lineage
 from annalist.sources import versions
 
 
@@ -31,31 +32,26 @@ def once_per_visitor(stream: DataFrame, at: str = "created_at", horizon: str | N
     return stream.withWatermark(at, horizon).dropDuplicatesWithinWatermark(keys)
 
 
-def monthly_counts(stream: DataFrame, at: str, keys: Sequence[str], lateness: str = "7 days") -> DataFrame:
-    """Counts per calendar month and key. A row later than the watermark is
-    dropped; that bounds the state."""
-    return stream.withWatermark(at, lateness).groupBy(F.window(at, "1 day").alias("day"), *keys).agg(F.count(F.lit(1)).alias("n"))
+def keep_monthly_top(stream: DataFrame, at: str, keys: Sequence[str], root: str, checkpoint: str, k: int = 5):
+    """The top ``k`` keys of each month, published with the day counts.
 
-
-def month_table(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Day counts of monthly_counts summed per month."""
-    return daily.groupBy(F.date_trunc("month", F.col("day.start")).alias("month"), *keys).agg(F.sum("n").alias("count"))
-
-
-def keep_monthly_top(stream: DataFrame, at: str, keys: Sequence[str], root: str, checkpoint: str, k: int = 5, lateness: str = "7 days"):
-    """Day counts upserted per micro-batch, the month's top ``k`` published with them."""
+    Every micro-batch adds its own day counts under its number. A batch that is
+    run again replaces its rows; a row that comes late, however late, still
+    counts, and no state is held in the stream.
+    """
     from annalist.operators.sets import top_per_key
 
-    def publish(batch: DataFrame, _: int) -> None:
+    def publish(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.select(F.col("day.start").alias("day"), *keys, "n")
-        daily = upsert(versions.read(spark, root, "daily"), fresh, ["day", *keys]) if versions.current(spark, root) else fresh
-        months = daily.groupBy(F.date_trunc("month", "day").alias("month"), *keys).agg(F.sum("n").alias("count"))
+        fresh = batch.groupBy(F.to_date(at).alias("day"), *keys).agg(F.count(F.lit(1)).alias("n")).withColumn("batch", F.lit(number).cast("long"))
+        fresh = cut_lineage(fresh)
+        if versions.current(spark, root):
+            fresh = versions.read(spark, root, "daily").where(F.col("batch") != number).unionByName(fresh)
+        months = fresh.groupBy(F.date_trunc("month", "day").alias("month"), *keys).agg(F.sum("n").alias("count"))
         top = top_per_key(months, ["month"], [F.desc("count"), *[F.asc(c) for c in keys]], k)
-        versions.publish(root, {"daily": daily, "top": top})
+        versions.publish(root, {"daily": fresh, "top": top})
 
-    counts = monthly_counts(stream, at, keys, lateness)
-    return counts.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", checkpoint)
+    return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
 
 
 def merge_discoveries(stream: DataFrame, root: str, checkpoint: str):
