@@ -52,52 +52,62 @@ class Model:
     bias: float
 
 
-def vectors(texts: pa.Array, settings: Settings) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, codes, values) of each text: its sparse vector."""
-    for codes, docs, rows in features(texts, settings.grams):
-        size = np.bincount(docs, minlength=len(rows))
-        both, count = np.unique((docs.astype(np.int64) << 32) | codes, return_counts=True)
+@dataclass(frozen=True)
+class Sparse:
+    """Sparse vectors one after another: vector k is ``ends[k] : ends[k + 1]``."""
+
+    codes: np.ndarray
+    values: np.ndarray
+    ends: np.ndarray
+
+
+def vectors(texts: pa.Array, settings: Settings) -> Sparse:
+    """The sparse vectors of an array of texts, in its order."""
+    codes, values, sizes = [np.empty(0, np.int32)], [np.empty(0, np.float32)], [np.empty(0, np.int64)]
+    for found, docs, rows in features(texts, settings.grams):
+        total = np.bincount(docs, minlength=len(rows))
+        both, count = np.unique((docs.astype(np.int64) << 32) | found, return_counts=True)
         doc = both >> 32
-        value = np.ones(len(both)) if settings.presence else settings.scale * count / np.maximum(size[doc], 1)
-        at = np.searchsorted(doc, np.arange(len(rows) + 1))
-        for k, row in enumerate(rows):
-            part = slice(at[k], at[k + 1])
-            yield int(row), (both[part] & 0xFFFFFFFF).astype(np.int32), value[part].astype(np.float32)
+        codes.append((both & 0xFFFFFFFF).astype(np.int32))
+        values.append((np.ones(len(both)) if settings.presence else settings.scale * count / np.maximum(total[doc], 1)).astype(np.float32))
+        sizes.append(np.bincount(doc, minlength=len(rows)))
+    return Sparse(np.concatenate(codes), np.concatenate(values), np.r_[0, np.cumsum(np.concatenate(sizes))])
 
 
-def fit_shard(examples: list[tuple[np.ndarray, np.ndarray, int]], settings: Settings, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_shard(examples: Sparse, labels: np.ndarray, settings: Settings, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
     """(codes, weights, bias) after ``epochs`` passes in a shuffled order. The
-    bias is a coordinate without L1."""
-    size = 1 << settings.grams.bits
-    count = np.bincount(np.concatenate([codes for codes, _, _ in examples]), minlength=size)
-    used = np.flatnonzero(count >= settings.least_docs)
-    place = np.full(size, -1, np.int32)
-    place[used] = np.arange(len(used))
-    rows = []
-    for codes, values, label in examples:
-        own = place[codes]
-        kept = own >= 0
-        rows.append((np.append(own[kept], len(used)), np.append(values[kept], 1.0), label))
-    z, n, l1 = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.full(len(used) + 1, settings.l1)
-    l1[-1] = 0.0
-
-    def weight(own: np.ndarray | slice) -> np.ndarray:
-        rate = (settings.beta + np.sqrt(n[own])) / settings.alpha + settings.l2
-        return -np.sign(z[own]) * np.maximum(np.abs(z[own]) - l1[own], 0.0) / rate
+    bias is a coordinate of its own, without L1."""
+    often = np.bincount(examples.codes, minlength=1 << settings.grams.bits) >= settings.least_docs
+    used = np.flatnonzero(often)
+    kept = often[examples.codes]
+    own, values = np.searchsorted(used, examples.codes[kept]), examples.values[kept].astype(np.float64)
+    ends = np.r_[0, np.cumsum(kept)][examples.ends]
+    alpha, beta, l1, l2 = settings.alpha, settings.beta, settings.l1, settings.l2
+    z, n, bias_z, bias_n = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
+
+    def weight(of_z: np.ndarray, of_n: np.ndarray) -> np.ndarray:
+        return -np.sign(of_z) * np.maximum(np.abs(of_z) - l1, 0.0) / ((beta + np.sqrt(of_n)) / alpha + l2)
+
+    def bias() -> float:
+        return -bias_z / ((beta + bias_n**0.5) / alpha + l2)
 
     rng = np.random.default_rng(seed)
     for _ in range(settings.epochs):
-        for k in rng.permutation(len(rows)):
-            own, values, label = rows[k]
-            w = weight(own)
-            gradient = (1 / (1 + np.exp(-np.clip(w @ values, -35, 35))) - label) * values
-            before = n[own]
-            after = before + gradient * gradient
-            n[own] = after
-            z[own] += gradient - (np.sqrt(after) - np.sqrt(before)) / settings.alpha * w
-    final = weight(slice(None))
-    kept = np.flatnonzero(final[:-1])
-    return used[kept], final[kept], float(final[-1])
+        for k in rng.permutation(len(labels)):
+            at, x = own[ends[k] : ends[k + 1]], values[ends[k] : ends[k + 1]]
+            was_z, was_n = z[at], n[at]
+            w = weight(was_z, was_n)
+            raw, b = float(w @ x), bias()
+            error = 1 / (1 + np.exp(-min(max(raw + b, -35.0), 35.0))) - labels[k]
+            gradient = error * x
+            new_n = was_n + gradient * gradient
+            n[at] = new_n
+            z[at] = was_z + gradient - (np.sqrt(new_n) - np.sqrt(was_n)) / alpha * w
+            bias_z += error - ((bias_n + error * error) ** 0.5 - bias_n**0.5) / alpha * b
+            bias_n += error * error
+    final = weight(z, n)
+    kept_codes = np.flatnonzero(final)
+    return used[kept_codes], final[kept_codes], float(bias())
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, identity: str, text: str, settings: Settings, seed: int = 5) -> Model:
@@ -116,19 +126,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, identity: str, text: str
     examples = shown.join(F.broadcast(chosen), "__id").groupBy("__id", "__label").agg(F.min("__text").alias("__text"))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, order = [], []
-        for batch in batches:
-            own = batch.column(1).to_pylist()
-            ids = batch.column(2).to_pylist()
-            for row, codes, values in vectors(batch.column(0), settings):
-                held.append((codes, values, own[row]))
-                order.append(ids[row])
-        if held:
-            held = [held[k] for k in np.argsort(np.array(order, np.int64), kind="stable")]
-            kept, weights, bias = fit_shard(held, settings, seed)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1), pa.int64()), pa.array(np.append(weights, bias), pa.float64())], names=["code", "weight"])
-
-    dealt = examples.select("__text", "__label", F.xxhash64("__id").alias("__spot")).repartition(settings.shards, "__spot")
+        tables = [b for b in batches if len(b)]
+        if not tables:
+            return
+        table = pa.Table.from_batches(tables).sort_by("__id")
+        kept, weights, bias = fit_shard(vectors(table["__text"].combine_chunks(), settings), table["__label"].to_numpy(), settings, seed)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1), pa.int64()), pa.array(np.append(weights, bias), pa.float64())], names=["code", "weight"])
+
+    dealt = examples.select("__id", "__text", "__label").repartition(settings.shards, F.xxhash64("__id"))
     parts = dealt.mapInArrow(train, "code long, weight double").groupBy("code").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("shards"))
     rows = parts.collect()  # at most 2**bits + 1 numbers
     trained = max((r["shards"] for r in rows if r["code"] == -1), default=1)

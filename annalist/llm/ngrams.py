@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 WORDS_KEPT = 200_000
 #: What stands before and after a word: anything but letters, marks and digits.
 _EDGES = re.compile(r"^([\W_]*)(.*?)([\W_]*)$", re.S)
@@ -59,7 +59,7 @@ def _parts(chunk: str, lower: bool, stem: int) -> tuple[int, int, int]:
 
 
 def features(texts: pa.Array, grams: Grams) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(codes, documents, rows) by slices of about 4 MB of text: each gram's
+    """(codes, documents, rows) by slices of about 1 MB of text: each gram's
     code below 2**bits, the place of its document in ``rows``, and the row numbers.
     Null and blank texts have no grams."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from annalist.llm import ftrl
 from annalist.llm.ngrams import Grams
 
-SETTINGS = ftrl.Settings(Grams(skips=1, stem=4), presence=True, alpha=10.0, l1=5.0, l2=0.0, epochs=6, least_docs=5, sample=8_000)
+SETTINGS = ftrl.Settings(Grams(skips=1, stem=4), presence=True, alpha=10.0, l1=5.0, l2=0.0, epochs=6, least_docs=5, sample=6_000)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", identity: str = "doc_id", text: str = "text", settings: ftrl.Settings = SETTINGS) -> ftrl.Model:
