@@ -101,11 +101,16 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 PSEUDONYM_KEY = "a key for trials"
 
 
+def _is(value: str) -> Callable[[Column], Column]:
+    return lambda x: x == value
+
+
 @query("op3_pseudonyms")
 def linked_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     named = pseudonyms.pseudonymised(docs, PSEUDONYM_KEY, found="found")
-    counts = [F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).alias(f"{k}s") for k in pseudonyms.KINDS]
+    kinds = F.transform("found", lambda x: x["kind"])
+    counts = [F.size(F.filter(kinds, _is(k))).alias(f"{k}s") for k in pseudonyms.KINDS]
     return named.select("doc_id", "text", F.transform("found", lambda x: x["pseudonym"]).alias("pseudonyms"), *counts)
 
 
