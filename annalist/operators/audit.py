@@ -28,6 +28,19 @@ def issue(rows: DataFrame, code: str, severity: str, ident: str, samples: int) -
     return tag(total).join(tag(listed), "code").where("count > 0").select("code", F.lit(severity).alias("severity"), "count", "samples")
 
 
+def unmatched_discoveries(discoveries: DataFrame, identifiers: DataFrame, bill_urls: DataFrame, vote_urls: DataFrame) -> DataFrame:
+    """Imported and partial discoveries that no stored row answers for: bills by
+    identifiers(official_id) or bill_urls(source_url), votes by
+    vote_urls(source_url). Spellings of an address that agree are the same."""
+    from annalist.functions.urls import match_url
+
+    done = discoveries.where(F.col("status").isin("imported", "partial")).withColumn("address", match_url(F.col("source_url")))
+    known = lambda urls: urls.select(match_url(F.col("source_url")).alias("address")).distinct()
+    bills = done.where("kind = 'bill'").join(identifiers.select("official_id").distinct(), "official_id", "left_anti").join(known(bill_urls), "address", "left_anti")
+    votes = done.where("kind <> 'bill'").join(known(vote_urls), "address", "left_anti")
+    return bills.select("id").unionByName(votes.select("id"))
+
+
 def audit_report(issues: list[DataFrame]) -> DataFrame:
     report = issues[0]
     for one in issues[1:]:

@@ -325,6 +325,11 @@ _WINDOW = "held_on >= DATE '1997-01-01' AND held_on < DATE '1999-01-01'"
     _issue_sql("duplicate_bill_title_date_chamber", "warning", f"""SELECT key AS i FROM (SELECT chamber_of_origin || '|' || coalesce(CAST(coalesce(submitted_on, latest_event_on) AS VARCHAR), 'unknown') || '|'
         || {WORDS_SQL.format(x="regexp_replace(title, '[0-9]{3,}', '')")} AS key
         FROM bills b JOIN ({SUMMARY_SQL}) s ON s.bill_id = b.id) WHERE key NOT LIKE '%unknown%' GROUP BY key HAVING count(*) > 1"""),
+    _issue_sql("duplicate_vote_title_date_chamber_totals", "warning", f"""SELECT key AS i FROM (SELECT chamber || '|' || held_on || '|' || {WORDS_SQL.format(x='title')} || '|' || for_count || '|' || against
+        || '|' || abstention || '|' || present_not_voting AS key FROM votes) WHERE key NOT LIKE '%unknown%' GROUP BY key HAVING count(*) > 1"""),
+    _issue_sql("imported_discovery_without_db_match", "warning", """SELECT id AS i FROM discoveries WHERE status IN ('imported', 'partial') AND CASE WHEN kind = 'bill'
+        THEN NOT EXISTS (SELECT 1 FROM bills b WHERE official_id IN (b.senate_identifier, b.deputies_identifier)) AND NOT EXISTS (SELECT 1 FROM sources s JOIN bills b ON b.source_id = s.id WHERE replace(s.source_url, 'http://', 'https://') = replace(discoveries.source_url, 'http://', 'https://'))
+        ELSE NOT EXISTS (SELECT 1 FROM sources s JOIN votes v ON v.source_id = s.id WHERE replace(s.source_url, 'http://', 'https://') = replace(discoveries.source_url, 'http://', 'https://')) END"""),
     _issue_sql("vote_without_linked_bill", "warning", f"SELECT id AS i FROM votes WHERE bill_id IS NULL AND {_WINDOW}"),
     _issue_sql("weak_vote_title", "warning", f"""SELECT id AS i FROM votes WHERE {_WINDOW} AND (length({WORDS_SQL.format(x='title')}) < 18
         OR {WORDS_SQL.format(x='title')} IN ('chamber vote', 'senate vote', 'vot', 'vot final', 'vot electronic', 'proiect de hotarare'))"""),
@@ -336,10 +341,17 @@ def _(t):
     title = F.regexp_replace("title", "[0-9]{3,}", "")
     prints = t.bills.join(summaries(t).withColumnRenamed("bill_id", "id"), "id").select(
         "id", rs.fingerprint(F.col("chamber_of_origin"), F.coalesce("submitted_on", "latest_event_on"), words(title)).alias("key"))
+    totals = [F.col(c) for c in ("for_count", "against", "abstention", "present_not_voting")]
+    vote_prints = t.votes.select("id", rs.fingerprint(F.col("chamber"), F.col("held_on"), words(F.col("title")), *totals).alias("key"))
+    identifiers = t.bills.select(F.explode(F.array("senate_identifier", "deputies_identifier")).alias("official_id")).where("official_id IS NOT NULL")
+    urls_of = lambda rows: rows.select(F.col("source_id").alias("id")).join(t.sources.select("id", "source_url"), "id")
+    unmatched = au.unmatched_discoveries(t.discoveries, identifiers, urls_of(t.bills), urls_of(t.votes))
     levels = coverage(t).where("coverage_level <> 'nominal'").select(F.col("vote_id").alias("id"))
     return au.audit_report([
         au.issue(rs.duplicate_keys(identifier_entries(t), "key", "id"), "duplicate_bill_identifier", "error", "key", 5),
         au.issue(rs.duplicate_keys(prints, "key", "id", skip_unknown=True), "duplicate_bill_title_date_chamber", "warning", "key", 5),
+        au.issue(rs.duplicate_keys(vote_prints, "key", "id", skip_unknown=True), "duplicate_vote_title_date_chamber_totals", "warning", "key", 5),
+        au.issue(unmatched, "imported_discovery_without_db_match", "warning", "id", 5),
         au.issue(kept.where("bill_id IS NULL"), "vote_without_linked_bill", "warning", "id", 5),
         au.issue(kept.where(au.weak_title(F.col("title"), "audit")), "weak_vote_title", "warning", "id", 5),
         au.issue(kept.join(levels, "id", "left_semi"), "non_nominal_vote_coverage", "info", "id", 5),
