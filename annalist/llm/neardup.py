@@ -15,8 +15,13 @@ texts are linked; classes are the connected components.
 In a bucket every member is first verified against one leader, the member that
 most buckets share. Members that end up in one class need no more comparisons,
 so a group of near copies costs its members and not its pairs. What is left,
-pairs of different classes in a bucket, is verified too, except pairs whose
-distances to the leader prove them apart. No bucket is capped.
+pairs of different classes in a bucket, is verified too. No bucket is capped.
+
+Pairs that are proven apart are not formed: their lengths, their distances to the
+leader (triangle inequality) or their bitmaps may show that the alignment can't
+reach the similarity. A bitmap has a bit for each hash of a labelled k-mer; bits
+that only one text has stand for different k-mers that only it has, so their
+number is a lower bound of the distance.
 """
 
 from __future__ import annotations
@@ -41,13 +46,15 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 @dataclass(frozen=True)
 class Settings:
     """``bands`` of ``rows`` sketches of ``minima`` k-mers: a pair of similarity
-    s shares a given band with probability s ** (rows * minima)."""
+    s shares a given band with probability s ** (rows * minima). Bitmaps have
+    ``longs`` numbers of 64 bits."""
 
     width: int = 5
     similarity: float = 0.8
     minima: int = 3
     rows: int = 3
     bands: int = 40
+    longs: int = 64
     seed: int = 3
 
 
@@ -112,34 +119,58 @@ def band_keys(grams: np.ndarray, settings: Settings) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bitmap(grams: np.ndarray, settings: Settings) -> np.ndarray:
+    """The bits of a text's labelled k-mers."""
+    places = np.unique(labelled(grams) % np.uint64(64 * settings.longs)).astype(np.int64)
+    made = np.zeros(settings.longs, np.uint64)
+    np.bitwise_or.at(made, places // 64, np.uint64(1) << (places % 64).astype(np.uint64))
+    return made.view(np.int64)
+
+
+def _by_slices(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in lists of about 4 MB."""
+    size = np.asarray(pc.binary_length(texts), np.int64)
+    for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(np.cumsum(size) // (4 << 20))) + 1):
+        yield texts.take(pa.array(rows)).to_pylist()
+
+
 def sketched(docs: DataFrame, text: str, settings: Settings) -> DataFrame:
-    """(node, size, keys, words) of each row with a text: the text's 128-bit
-    digest, the number of its k-mers, its band keys (none without a k-mer) and
-    its word hashes as bytes."""
+    """(node, size, keys) of the rows with a text: the text's 128-bit digest,
+    the number of its k-mers and its band keys (none without a k-mer). A key
+    is the key of one band only. Copies near each other are sketched once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0)
-            size = np.asarray(pc.binary_length(texts), np.int64)
-            for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(np.cumsum(size) // (4 << 20))) + 1):
-                nodes, sizes, keys, words, known = [], [], [], [], set()
-                for value in texts.take(pa.array(rows)).to_pylist():
-                    node = hashlib.md5(value.encode(), usedforsecurity=False).digest()
-                    if node in known:
-                        continue
-                    known.add(node)
-                    own = word_hashes(value)
-                    grams = kmers(own, settings.width)
-                    nodes.append(node)
+            for texts in _by_slices(batch.column(0)):
+                nodes, sizes, keys = [], [], []
+                for value in dict.fromkeys(texts):
+                    grams = kmers(word_hashes(value), settings.width)
+                    nodes.append(hashlib.md5(value.encode(), usedforsecurity=False).digest())
                     sizes.append(len(grams))
                     keys.append(band_keys(grams, settings) if len(grams) else np.empty(0, np.int64))
-                    words.append(own.tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.binary())],
-                    names=["node", "size", "keys", "words"],
+                    [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "size", "keys"]
                 )
 
-    return docs.where(F.col(text).isNotNull()).select(F.col(text).cast("string")).mapInArrow(run, "node binary, size int, keys array<long>, words binary")
+    return docs.where(F.col(text).isNotNull()).select(F.col(text).cast("string")).mapInArrow(run, "node binary, size int, keys array<long>")
+
+
+def worded(texts: DataFrame, settings: Settings) -> DataFrame:
+    """(node, words, bits) of ``texts`` (node, text): word hashes as bytes, and
+    the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, at = batch.column(0), 0
+            for part in _by_slices(batch.column(1)):
+                words = [word_hashes(value) for value in part]
+                bits = [bitmap(kmers(w, settings.width), settings) for w in words]
+                yield pa.RecordBatch.from_arrays(
+                    [nodes.slice(at, len(part)), pa.array([w.tobytes() for w in words], pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["node", "words", "bits"]
+                )
+                at += len(part)
+
+    return texts.mapInArrow(run, "node binary, words binary, bits array<long>")
 
 
 def indel_distance(a: list[int], b: list[int], most: int) -> int | None:
@@ -232,8 +263,14 @@ def _node(text: str) -> Column:
     return F.unhex(F.md5(F.col(text).cast("string").cast("binary")))
 
 
-def _may_be_similar(a: Column, b: Column, settings: Settings) -> Column:
-    return F.least(a, b) >= F.greatest(a, b) * F.lit(settings.similarity - 1e-9)
+def _reach(total: Column, settings: Settings) -> Column:
+    """The largest distance of two similar texts: LCS / (total - LCS) >= s."""
+    return F.floor(total * F.lit((1 - settings.similarity) / (1 + settings.similarity)) + F.lit(1e-9))
+
+
+def _differing(a: Column, b: Column, settings: Settings) -> Column:
+    """The number of bits that only one of two bitmaps has."""
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(settings.longs)), F.lit(0))
 
 
 def similar_texts(docs: DataFrame, text: str = "text", settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -244,19 +281,24 @@ def similar_texts(docs: DataFrame, text: str = "text", settings: Settings = Sett
     written to the shared folder.
     """
     sketches = cut_lineage(sketched(docs, text, settings))
-    rows = sketches.select("node", "size", F.posexplode("keys").alias("band", "key"))
-    shared = rows.groupBy("band", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("band", "key")
-    members = cut_lineage(rows.join(shared, ["band", "key"]).groupBy("band", "key", "node").agg(F.max("size").alias("size")))
-    nodes = members.select("node").distinct()
-    words = cut_lineage(sketches.select("node", "words").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    rows = sketches.select("node", "size", F.explode("keys").alias("key"))
+    # a bucket counts if it holds two texts; comparing hashes of their digests will do for that
+    shared = rows.select("key", F.xxhash64("node").alias("spot")).groupBy("key").agg(F.min("spot").alias("low"), F.max("spot").alias("high")).where("low <> high").select("key")
+    members = cut_lineage(rows.join(shared, "key").distinct())
+    nodes = cut_lineage(members.select("node").distinct())
+    # 16 bytes a node: up to 8 MB they go to the texts, beyond that both are shuffled
+    wanted = F.broadcast(nodes) if nodes.count() <= 500_000 else nodes
+    named = docs.where(F.col(text).isNotNull()).select(_node(text).alias("node"), F.col(text).cast("string").alias("text"))
+    words = cut_lineage(worded(named.join(wanted, "node", "left_semi").dropDuplicates(["node"]), settings))
 
     # the leader of a bucket is its member that meets the most others in all its buckets
-    counts = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("met"))
-    fame = members.join(counts, ["band", "key"]).groupBy("node").agg(F.sum("met").alias("fame"))
-    leaders = members.join(fame, "node").groupBy("band", "key").agg(F.max_by(F.struct("node", "size"), F.struct("fame", "node")).alias("leader"))
-    led = cut_lineage(members.join(leaders, ["band", "key"]).select("band", "key", "node", "size", F.col("leader.node").alias("leader"), F.col("leader.size").alias("leader_size")))
-    alike = _may_be_similar(F.col("size"), F.col("leader_size"), settings)
-    first = led.where((F.col("node") != F.col("leader")) & alike).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("met"))
+    fame = members.join(counts, "key").groupBy("node").agg(F.sum("met").alias("fame"))
+    leaders = members.join(fame, "node").groupBy("key").agg(F.max_by(F.struct("node", "size"), F.struct("fame", "node")).alias("leader"))
+    led = members.join(leaders, "key")
+    reach = _reach(F.col("size") + F.col("leader.size"), settings)
+    led = cut_lineage(led.select("key", "node", "size", F.col("leader.node").alias("leader"), F.abs(F.col("size") - F.col("leader.size")).alias("bound"), reach.alias("reach")))
+    first = led.where((F.col("node") != F.col("leader")) & (F.col("bound") <= F.col("reach"))).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     tried = cut_lineage(verified(first, words, settings))
     links = tried.where("link").select("a", "b")
     classes = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
@@ -267,17 +309,21 @@ def similar_texts(docs: DataFrame, text: str = "text", settings: Settings = Sett
     placed = (
         led.join(known, ["leader", "node"], "left")
         .join(classes, "node", "left")
-        .select("band", "key", "node", "size", F.coalesce("component", "node").alias("class"), leads.alias("leads"), F.coalesce("least", F.abs(F.col("size") - F.col("leader_size"))).alias("least"), "found")
+        .select("key", "node", "size", F.coalesce("component", "node").alias("class"), leads.alias("leads"), F.greatest("bound", "least").alias("least"), "found")
     )
-    mixed = placed.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band", "key")
-    still = cut_lineage(placed.where("not leads").join(mixed, ["band", "key"]))
-    x, y = (still.select("band", "key", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "size", "class", "least", "found")]) for side in "xy")
-    # distances obey the triangle inequality: what the leader is close to and
-    # what it is far from are far from each other
-    reach = (F.col("x_size") + F.col("y_size")) * F.lit((1 - settings.similarity) / (1 + settings.similarity) + 1e-9)
-    apart = F.coalesce(F.greatest(F.col("x_least") - F.col("y_found"), F.col("y_least") - F.col("x_found")) > reach, F.lit(False))
-    open_pair = (F.col("x_node") < F.col("y_node")) & (F.col("x_class") != F.col("y_class")) & _may_be_similar(F.col("x_size"), F.col("y_size"), settings) & ~apart
-    rest = x.join(y, ["band", "key"]).where(open_pair).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    mixed = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+    open_members = cut_lineage(placed.where("not leads").join(mixed, "key"))
+    held = members.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # at most one key per band
+    still = cut_lineage(open_members.join(words.select("node", "bits"), "node").join(held, "node"))
+    x, y = (still.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "size", "bits", "keys", "class", "least", "found")]) for side in "xy")
+    # what the leader is close to and what it is far from are far from each other
+    by_leader = F.greatest(F.col("x_least") - F.col("y_found"), F.col("y_least") - F.col("x_found"), F.lit(0))
+    bound = F.greatest(by_leader, F.abs(F.col("x_size") - F.col("y_size")))
+    reach = _reach(F.col("x_size") + F.col("y_size"), settings)
+    open_pair = (F.col("x_node") < F.col("y_node")) & (F.col("x_class") != F.col("y_class")) & (bound <= reach) & (_differing(F.col("x_bits"), F.col("y_bits"), settings) <= reach)
+    # a pair is formed in the first of the buckets that it shares
+    first_met = F.col("key") == F.array_min(F.array_intersect("x_keys", "y_keys"))
+    rest = x.join(y, "key").where(open_pair & first_met).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut_lineage(verified(rest.join(done, ["a", "b"], "left_anti"), words, settings))
     every = cut_lineage(links.unionByName(more.where("link").select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -293,8 +339,9 @@ def _texts(docs: DataFrame, identity: str, text: str, classes: DataFrame) -> Dat
 
 def near_duplicates(docs: DataFrame, identity: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """One row per row of ``docs``: the identity, ``class_id`` (the smallest
-    identity of its class), ``class_size`` (rows in the class), ``links`` (other
-    texts verified as similar to this text) and ``text_id`` (the smallest
+    identity of its class), ``class_size`` (rows in the class), ``verified_links``
+    (other texts that were compared with this text and found similar; texts that
+    others already join need not be compared) and ``text_id`` (the smallest
     identity with the same text).
 
     Equal texts share a class; texts of fewer than five words have no k-mer and
@@ -307,10 +354,10 @@ def near_duplicates(docs: DataFrame, identity: str = "doc_id", text: str = "text
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     texts = cut_lineage(_texts(docs, identity, text, classes))
     by_class = texts.groupBy("component").agg(F.min("text_id").alias("class_id"), F.sum("rows").alias("class_size"))
-    told = texts.join(by_class, "component").join(degree, "node", "left").select("node", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"), "text_id")
+    told = texts.join(by_class, "component").join(degree, "node", "left").select("node", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("verified_links"), "text_id")
     own = docs.select(F.col(identity).alias("__id"), _node(text).alias("node"))
     found = own.where("node is not null").join(told, "node").drop("node")
-    alone = own.where("node is null").select("__id", F.col("__id").alias("class_id"), F.lit(1).alias("class_size"), F.lit(0).alias("links"), F.col("__id").alias("text_id"))
+    alone = own.where("node is null").select("__id", F.col("__id").alias("class_id"), F.lit(1).alias("class_size"), F.lit(0).alias("verified_links"), F.col("__id").alias("text_id"))
     return found.unionByName(alone).withColumnRenamed("__id", identity)
 
 
