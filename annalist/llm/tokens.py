@@ -17,8 +17,8 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: sign whose lower case depends on its neighbours, and special tokens: texts with
 #: one of these are encoded as a whole.
 ODD = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}\x{3a3}\x{130}]|<\|"
-SLICE_BYTES = 8 << 20
-WORDS_KEPT = 1_000_000
+SLICE_BYTES = 2 << 20
+WORDS_KEPT, CHUNKS_KEPT = 400_000, 150_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -61,7 +61,7 @@ def word_tokenizer(path: str) -> Callable[[pa.Array], Iterator[tuple[np.ndarray,
     def of_chunk(chunk: str) -> tuple[int, ...]:
         found = chunks.get(chunk)
         if found is None:
-            if len(chunks) >= WORDS_KEPT:
+            if len(chunks) >= CHUNKS_KEPT:
                 chunks.clear()
             if not chunk.isascii():
                 chunk_nfc = unicodedata.normalize("NFC", chunk)
