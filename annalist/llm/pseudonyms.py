@@ -36,7 +36,24 @@ DATE = r"(?<![\d./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d{1,2}([./])\d{1,2}\1(?:19|20)\
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)|(?<![\d+])\+\d{8,15}(?!\d)"
 CARD = r"(?<![\d.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
-ANY = "|".join((EMAIL, IBAN, IP, DATE, SSN, PHONE, CARD))
+OTHERS = "|".join((EMAIL, IP, DATE, SSN, PHONE, CARD))
+
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+OWN_IBAN = "^(?:" + "|".join(_iban_of(n, c) for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
+# where an IBAN may start, and as group 1 as much as may belong to it; not the local part of an e-mail address
+IBAN_START = rf"(?<![A-Za-z0-9])(?=({IBAN}))(?![A-Za-z0-9._%+-]++@[A-Za-z0-9-]+\.[A-Za-z0-9-])"
 
 FIRST_DAY, DAY_FACTORS = "1900-01-01", (319, 229)  # 319 * 229 days up to 2099-12-31
 AREAS, GROUPS, SERIALS = 898, 99, 9999  # areas 001-899 but 666
@@ -265,6 +282,39 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     return result.otherwise(value)
 
 
+def _iban_in(candidate: Column) -> Column:
+    """The IBAN that a candidate starts with, null if none passes its check: as
+    long as its country says, else the whole."""
+    valid = lambda v: F.when((v != "") & (_mod97(F.regexp_replace(v, " ", "")) == 1), v)
+    return F.coalesce(_then(F.regexp_extract(candidate, OWN_IBAN, 0), valid), valid(candidate))
+
+
+def _around_ibans(text: Column) -> Column:
+    """``text`` as an array of (plain, iban): the text up to a valid IBAN and the
+    IBAN, null after the last. A candidate that fails its check stays in the
+    plain text, so that it hides no value that begins inside it."""
+    candidates = F.regexp_extract_all(text, F.lit(IBAN_START), F.lit(1))
+    # the space makes the first piece one without a candidate
+    pieces = F.split(F.concat(F.lit(" "), text), IBAN_START, -1)
+    starts = F.zip_with(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), candidates, lambda p, c: F.struct(p.alias("piece"), _iban_in(c).alias("iban")))
+    done = F.lit([]).cast("array<struct<plain:string,iban:string>>")
+    part = lambda plain, iban: F.array(F.struct(plain.alias("plain"), iban.cast("string").alias("iban")))
+
+    def put(acc: Column, x: Column) -> Column:
+        new = x["iban"].isNotNull() & (acc["skip"] == 0)
+        skip = F.when(new, F.length(x["iban"])).otherwise(acc["skip"])
+        rest = F.substring(x["piece"], skip + 1, F.length(x["piece"]))
+        return F.struct(
+            F.when(new, F.concat(acc["done"], part(acc["plain"], x["iban"]))).otherwise(acc["done"]).alias("done"),
+            F.when(new, rest).otherwise(F.concat(acc["plain"], rest)).alias("plain"),
+            F.greatest(skip - F.length(x["piece"]), F.lit(0)).alias("skip"),
+        )
+
+    start = F.struct(done.alias("done"), F.substring(F.get(pieces, F.lit(0)), F.lit(2), F.length(text)).alias("plain"), F.lit(0).alias("skip"))
+    cut = F.aggregate(starts, start, put, lambda acc: F.concat(acc["done"], part(acc["plain"], F.lit(None))))
+    return F.when(F.regexp_like(text, F.lit(IBAN_START)), cut).otherwise(part(text, F.lit(None)))
+
+
 def pseudonymised(docs: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced.
 
@@ -276,12 +326,13 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", found: str | No
 
     ``key`` is a literal of the plan: whoever may read plans can read it.
     """
-    hits = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
+    hits = lambda s: F.concat(F.regexp_extract_all(s["plain"], F.lit(OTHERS), F.lit(0)), F.filter(F.array(s["iban"]), lambda v: v.isNotNull()))
     told = F.transform("__hits", lambda m: _then(kind_of(m), lambda k: F.struct(k.alias("kind"), m.alias("value"), pseudonym(m, k, key).alias("pseudonym"))))
-    pieces = F.split(F.col(text), ANY, -1)
+    pieces = F.flatten(F.transform("__parts", lambda s: F.split(s["plain"], OTHERS, -1)))
     woven = F.array_join(F.flatten(F.zip_with(pieces, F.col("__told"), lambda p, t: F.array(p, t["pseudonym"]))), "")
-    out = docs.withColumn("__hits", F.coalesce(hits, F.lit([]).cast("array<string>"))).withColumn("__told", told)
+    out = docs.withColumn("__parts", _around_ibans(F.col(text)))
+    out = out.withColumn("__hits", F.coalesce(F.flatten(F.transform("__parts", hits)), F.lit([]).cast("array<string>"))).withColumn("__told", told)
     out = out.withColumn(text, F.when(F.size("__told") > 0, woven).otherwise(F.col(text)))
     if found:
         out = out.withColumn(found, F.filter("__told", lambda t: t["kind"].isNotNull()))
-    return out.drop("__hits", "__told")
+    return out.drop("__parts", "__hits", "__told")

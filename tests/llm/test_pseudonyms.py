@@ -76,6 +76,34 @@ def test_invalid_values_and_plain_text_stay(spark):
     assert pseudonymised(docs, KEY).collect() == []
 
 
+IBANS_IN_TEXT = [
+    ("pay RO49AAAA1B31007593840000 BIC AAAAROBU now", ["RO49AAAA1B31007593840000"]),
+    ("BE68 5390 0754 7034 EUR 20", ["BE68 5390 0754 7034"]),
+    ("to ES9121000418450200051332 1234", ["ES9121000418450200051332"]),
+    ("AT61 1904 3002 3457 3201 BIC BKAUATWW, DE89 3704 0044 0532 0130 00 AB.", ["AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00"]),
+    ("NR12 4111 1111 1111 1111 is one", ["4111 1111 1111 1111"]),
+    ("RO12 ABCD EFGH 4111 1111 1111 1111.", ["4111 1111 1111 1111"]),
+    ("BE12 RO49 AAAA 1B31 0075 9384 0000 ok", ["RO49 AAAA 1B31 0075 9384 0000"]),
+    ("DE89370400440532013000@x.org, x-DE89370400440532013000@x.org", ["DE89370400440532013000@x.org", "x-DE89370400440532013000@x.org"]),
+    ("RO49AAAA1B31007593840000", ["RO49AAAA1B31007593840000"]),
+    ("é RO49AAAA1B31007593840000 é 1985-02-28 BE68539007547034", ["RO49AAAA1B31007593840000", "1985-02-28", "BE68539007547034"]),
+    ("BE69 5390 0754 7034 EUR 20", []),
+]
+
+
+def test_ibans_end_where_their_country_says(spark):
+    told = run(spark, [text for text, _ in IBANS_IN_TEXT])
+    for (text, want), (new, found) in zip(IBANS_IN_TEXT, told, strict=True):
+        assert [v for _, v, _ in found] == want
+        at, out = 0, []
+        for _, value, other in found:
+            k = text.index(value, at)
+            out += [text[at:k], other]
+            at = k + len(value)
+            assert other != value
+        assert new == "".join([*out, text[at:]])
+
+
 def test_long_texts_and_many_values(spark):
     text = "bosbt.42@mail8.example.com or BosBt.42@mail8.example.com. " * 300
     new, found = run(spark, [text])[0]
