@@ -196,6 +196,13 @@ def _(t):
     return parties.seat_rows(board_votes(t), t.ballots, board_mandates(t), t.legislatures, t.memberships)
 
 
+def capped_seats(rows):
+    missing = ~F.col("voted")
+    return rows.groupBy("vote_id").agg(
+        F.count(F.lit(1)).alias("seats"), F.count(F.when(missing, 1)).alias("absent"),
+        F.coalesce(F.min(F.when(missing, F.col("member_id").cast("string"))), F.lit("")).alias("first_absent"))
+
+
 @query("t11_seat_rows_capped", "T11 R10", SEATS_SQL + """,
       n AS (SELECT vote_id, count(*) FILTER (voted) AS voters FROM seats GROUP BY 1)
     SELECT s.vote_id, count(*) AS seats, count(*) FILTER (NOT voted) AS absent,
@@ -203,11 +210,27 @@ def _(t):
     FROM (SELECT *, row_number() OVER (PARTITION BY vote_id, voted ORDER BY coalesce(group_id, ''), CAST(member_id AS VARCHAR)) AS rn FROM seats) s
     JOIN n ON n.vote_id = s.vote_id WHERE voted OR voters > 6 OR rn <= 6 - voters GROUP BY 1""")
 def _(t):
-    rows = parties.seat_rows(board_votes(t), t.ballots, board_mandates(t), t.legislatures, t.memberships, seat_count=6)
-    missing = ~F.col("voted")
-    return rows.groupBy("vote_id").agg(
-        F.count(F.lit(1)).alias("seats"), F.count(F.when(missing, 1)).alias("absent"),
-        F.coalesce(F.min(F.when(missing, F.col("member_id").cast("string"))), F.lit("")).alias("first_absent"))
+    return capped_seats(parties.seat_rows(board_votes(t), t.ballots, board_mandates(t), t.legislatures, t.memberships, seat_count=6))
+
+
+# The same two over the real chambers: each vote meets the whole roster of its
+# chamber, so the rows grow with votes x members.
+WHOLE_SEATS_SQL = SEATS_SQL.replace(" AND m.member_id % 100 = v.id % 100", "")
+
+
+@query("s3_seat_rows_whole_chamber", "S3 R10", WHOLE_SEATS_SQL + " SELECT * FROM seats")
+def _(t):
+    return parties.seat_rows(t.votes, t.ballots, t.mandates, t.legislatures, t.memberships)
+
+
+@query("t11_seat_rows_capped_whole_chamber", "T11 R10", WHOLE_SEATS_SQL + """,
+      n AS (SELECT vote_id, count(*) FILTER (voted) AS voters FROM seats GROUP BY 1)
+    SELECT s.vote_id, count(*) AS seats, count(*) FILTER (NOT voted) AS absent,
+      coalesce(min(CAST(member_id AS VARCHAR)) FILTER (NOT voted), '') AS first_absent
+    FROM (SELECT *, row_number() OVER (PARTITION BY vote_id, voted ORDER BY coalesce(group_id, ''), CAST(member_id AS VARCHAR)) AS rn FROM seats) s
+    LEFT JOIN n ON n.vote_id = s.vote_id WHERE voted OR voters > 6 OR rn <= 6 - coalesce(voters, 0) GROUP BY 1""")
+def _(t):
+    return capped_seats(parties.seat_rows(t.votes, t.ballots, t.mandates, t.legislatures, t.memberships, seat_count=6))
 
 
 @query("g9_group_totals_or_derived", "G9", """

@@ -3,8 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from annalist.plans import catalog
+from annalist.plans.bindings import Tables
 from tests.compare import duck, plain, rows_of
 
 SF = os.environ.get("ANNALIST_TEST_SF", "/root/testdata/sf0.001")
@@ -29,3 +31,15 @@ def test_query(spark, con, name):
     want, want_columns = rows_of(columns, result.fetchall())
     assert got_columns == want_columns
     assert got == want
+
+
+def test_every_active_member_of_the_chamber_has_a_seat(spark):
+    t = Tables(spark, SF)
+    ends = t.legislatures.select(F.col("id").alias("legislature_id"), F.col("ends_on").alias("w_e"))
+    held = {}
+    for m in t.mandates.join(ends, "legislature_id").select("member_id", "chamber", "starts_on", F.least("ends_on", "w_e").alias("e")).collect():
+        held.setdefault(m.chamber, []).append(m)
+    want = {(v.id, m.member_id) for v in t.votes.select("id", "chamber", "held_on").collect() for m in held.get(v.chamber, []) if v.held_on and m.starts_on <= v.held_on <= m.e}
+    want |= {(b.vote_id, b.member_id) for b in t.ballots.select("vote_id", "member_id").collect()}
+    seats = [(r.vote_id, r.member_id) for r in SPARK["s3_seat_rows_whole_chamber"](spark, SF).collect()]
+    assert len(set(seats)) == len(want) and set(seats) == want
