@@ -303,6 +303,11 @@ def _(t):
     return au.section_issues(dx.parse_sections(legal(t))).where("reason = 'duplicate_section_heading'")
 
 
+@query("r13_section_parse_warnings", "R13")
+def _(t):
+    return au.section_issues(dx.parse_sections(legal(t)))
+
+
 @query("b15_weak_title_variants", "B15", f"""
     SELECT id, (lower(title) = 'vot electronic' OR contains(lower(title), 'amendament') OR contains(lower(title), 'procedur') OR length(title) < 24) AS queue,
       (length({WORDS_SQL.format(x='title')}) < 18 OR {WORDS_SQL.format(x='title')} IN ('chamber vote', 'senate vote', 'vot', 'vot final', 'vot electronic', 'proiect de hotarare')) AS audit,

@@ -1,12 +1,16 @@
 """Every registered query on the smallest tables, against its SQL check."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from annalist.functions.documents import AMENDING
+from annalist.operators import documents as dx
 from annalist.plans import catalog
 from annalist.plans.bindings import Tables
+from annalist.plans.documents import legal
 from tests.compare import duck, plain, rows_of
 
 SF = os.environ.get("ANNALIST_TEST_SF", "/root/testdata/sf0.001")
@@ -43,3 +47,27 @@ def test_every_active_member_of_the_chamber_has_a_seat(spark):
     want |= {(b.vote_id, b.member_id) for b in t.ballots.select("vote_id", "member_id").collect()}
     seats = [(r.vote_id, r.member_id) for r in SPARK["s3_seat_rows_whole_chamber"](spark, SF).collect()]
     assert len(set(seats)) == len(want) and set(seats) == want
+
+
+def plain_warnings(text, sections):
+    if not re.sub(r"\s+", "", text):
+        return {"empty_text"}
+    own = [s for s in sections if s.section_type != "preamble"]
+    keys = [re.sub(r"[^a-z0-9]+", "-", s.heading.lower()).strip("-") or "document" for s in own]
+    told = {
+        "no_structural_headings": not own and len(text) > 700,
+        "amendment_only_document": all(s.section_type in ("amendment", "point", "paragraph") for s in own) if own else bool(re.search(AMENDING.replace("(?iu)", "(?i)"), text)),
+        "huge_section": any(len(s.text) > 8000 for s in sections),
+        "duplicate_section_heading": len(set(keys)) < len(keys),
+        "too_many_short_sections": len(own) >= 8 and sum(len(s.text) < 80 for s in own) / len(own) > 0.5,
+    }
+    return {k for k, v in told.items() if v}
+
+
+def test_every_section_warning_is_an_issue(spark):
+    parsed = dx.parse_sections(legal(Tables(spark, SF))).select("document_id", "text", "sections").collect()
+    want = {(str(r.document_id), w) for r in parsed if r.text is not None for w in plain_warnings(r.text, r.sections)}
+    got = [(r.entity_id, r.reason) for r in SPARK["r13_section_parse_warnings"](spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want
+    counts = {w: sum(x == w for _, x in got) for w in {x for _, x in got}}
+    assert set(counts) - {"duplicate_section_heading"}
