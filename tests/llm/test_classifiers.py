@@ -96,3 +96,7 @@ def test_grams():
     assert len(grams("a!! (b)", marks=True)) == 5 and grams("a a a", marks=True) == grams("a a a", marks=True)
     codes, docs, rows = next(features(pa.array(["x y", None, "", "z"]), Grams()))
     assert rows.tolist() == [0, 1, 2, 3] and sorted(docs.tolist()) == [0, 0, 0, 3]
+
+
+def test_samples_hold_as_many_labels_as_the_readme_says():
+    assert quality.SETTINGS.sample >= 8_000 and toxicity.SETTINGS.sample >= 8_000
