@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import fingerprints, kmeanstree, mixing, neardup, packing, pseudonyms, quality, toolcalls, toxicity, urlfilter
+from annalist.llm import bytebpe, fingerprints, kmeanstree, merkle, mixing, neardup, packing, periodic, pseudonyms, quality, toolcalls, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -181,3 +181,120 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_tree_neighbours")
 def tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeanstree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query("op11_byte_bpe_round_trip")
+def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bytebpe.encode(table(spark, sf_dir, "documents"), ranks_path())
+    digests = encoded.select("doc_id", "ids", "starts", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))
+    decoded = bytebpe.decode(digests, ranks_path())
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def doc_crc32() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
+def with_planted_runs(text: Column, crc: Column) -> Column:
+    """The text, or for each tenth checksum its words with a period from some
+    word on. A text without words and one with a null checksum stay as they are."""
+    g = F.floor(crc / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words)
+        a = g % F.greatest(n, F.lit(1))
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # the one-element array binds the words, so that they are cut once
+    renewed = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, F.array_join(planted(w), " "))), F.lit(0))
+    return F.when(crc % 10 == 0, F.coalesce(renewed, text)).otherwise(text)
+
+
+@query("op12_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", with_planted_runs(F.col("text"), doc_crc32()).alias("text"))
+    found = periodic.periodic_runs(docs)
+    # the longest run; of several the first, then the one with the smallest period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best_of = found.withColumn("best", best)
+    return best_of.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query(
+    "op13_merkle_manifest",
+    """
+    WITH RECURSIVE told AS (
+        SELECT doc_id, source, CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS lowered, text,
+            concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head
+        FROM (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)),
+                lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                    lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) AS crc
+            FROM documents)),
+    hashed AS (
+        SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+            sha256(head || coalesce(strlen(coalesce(lowered, text)) || ':' || coalesce(lowered, text), '-')) AS shown
+        FROM told),
+    leaves AS (
+        SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS ix,
+            count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
+        FROM hashed),
+    nodes AS (
+        SELECT tree, 0 AS level, ix, n, leaf AS digest FROM leaves
+        UNION ALL
+        SELECT tree, level + 1, ix // 16, (any_value(n) + 15) // 16, sha256(string_agg(digest, '' ORDER BY ix))
+        FROM nodes WHERE n > 1 GROUP BY tree, level, ix // 16),
+    subroots AS (SELECT tree, digest AS subroot FROM nodes WHERE n = 1),
+    tops AS (
+        SELECT 0 AS level, tree AS ix, (SELECT count(*) FROM subroots) AS n, subroot AS digest FROM subroots
+        UNION ALL
+        SELECT level + 1, ix // 16, (any_value(n) + 15) // 16, sha256(string_agg(digest, '' ORDER BY ix))
+        FROM tops WHERE n > 1 GROUP BY level, ix // 16),
+    steps AS (
+        SELECT l.tree, l.ix, x.level, string_agg(x.digest, '' ORDER BY x.ix) FILTER (x.ix < l.ix >> (4 * x.level)) AS before,
+            string_agg(x.digest, '' ORDER BY x.ix) FILTER (x.ix > l.ix >> (4 * x.level)) AS after
+        FROM leaves l JOIN nodes x ON x.tree = l.tree AND x.n > 1 AND x.ix // 16 = l.ix >> (4 * x.level + 4)
+        GROUP BY l.tree, l.ix, x.level
+        UNION ALL
+        SELECT l.tree, l.ix, 1000 + x.level, string_agg(x.digest, '' ORDER BY x.ix) FILTER (x.ix < l.tree >> (4 * x.level)),
+            string_agg(x.digest, '' ORDER BY x.ix) FILTER (x.ix > l.tree >> (4 * x.level))
+        FROM leaves l JOIN tops x ON x.n > 1 AND x.ix // 16 = l.tree >> (4 * x.level + 4)
+        GROUP BY l.tree, l.ix, x.level),
+    proofs AS (
+        SELECT tree, ix, list(coalesce(before, '') || '|' || coalesce(after, '') ORDER BY level) AS path FROM steps GROUP BY tree, ix),
+    folded AS (
+        SELECT l.doc_id, l.leaf, s.subroot, t.digest AS root, sha256(replace(array_to_string(coalesce(path, []), ''), '|', '')) AS proof_sha256,
+            list_reduce(list_prepend(l.shown, coalesce(path, [])), lambda held, step: sha256(split_part(step, '|', 1) || held || split_part(step, '|', 2))) AS folded_root
+        FROM leaves l JOIN subroots s USING (tree) JOIN tops t ON t.n = 1 LEFT JOIN proofs p ON p.tree = l.tree AND p.ix = l.ix)
+    SELECT *, folded_root = root AS verified FROM folded
+    """,
+)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = merkle.leaf_digest(list((columns | {"text": lowered}).values()))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", merkle.leaf_digest(list(columns.values())).alias("leaf"), F.when(doc_crc32() % 5 == 0, tampered).alias("tampered")
+    )
+    held = merkle.manifest(docs, "leaf", carry=["tampered"])
+    siblings = F.array_join(F.transform("proof", lambda s: F.concat(s["before"], s["after"])), "")
+    shown = held.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return shown.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
