@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+SLICE_IDS = 1 << 18
 #: Longer pieces are merged one by one with a heap, shorter ones as rows of a matrix.
 MATRIX_BYTES = 96
 _NONE = np.int32(0x7FFFFFFF)
@@ -125,12 +126,15 @@ def classes() -> np.ndarray:
     tokenizer library's own, so that both know the same Unicode version."""
     import tiktoken
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     table = np.full(0x110000, _OTHER, np.uint8)
+    single = {bytes([b]): b for b in range(256)}
     for kind, code in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER), (r"\s", _WHITE)):
-        listed = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-        found = bytes(listed.encode_ordinary(every)).decode()
-        table[np.frombuffer(found.encode("utf-32-le"), "<u4")] = code
+        listed = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks=single, special_tokens={})
+        for low in range(0, 0x110000, 0x8000):  # by small stretches, so that little memory is touched
+            stretch = np.arange(low, low + 0x8000, dtype="<u4")
+            text = stretch[(stretch < 0xD800) | (stretch > 0xDFFF)].tobytes().decode("utf-32-le")
+            found = bytes(listed.encode_ordinary(text)).decode()
+            table[np.frombuffer(found.encode("utf-32-le"), "<u4")] = code
     for letters, code in ((" ", _BLANK), ("'", _TICK), ("stmd", _SINGLE), ("r", _R), ("v", _V), ("l", _LL), ("e", _E)):
         table[[ord(c) for c in letters]] = code
     return table
@@ -157,44 +161,63 @@ def piece_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class Vocabulary:
-    """``tokens``: bytes by rank order with ``ranks``; ``of_byte``: rank of each
-    single byte; ``pairs``/``merged``: sorted keys ``left << 32 | right`` of ranks
-    and the rank of what they make; ``places``: a rank's place in ``tokens``."""
+class Tokens:
+    """``tokens``: bytes in the order of their ``ranks``; ``places``: a rank's
+    place there; ``sizes``: a rank's number of bytes, 0 for no token."""
 
     tokens: pa.Array
     ranks: np.ndarray
     places: np.ndarray
     sizes: np.ndarray
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """``of_byte``: rank of each single byte; ``pairs``/``merged``: sorted keys
+    ``left << 32 | right`` of ranks and the rank of what they make."""
+
+    listed: Tokens
     of_byte: np.ndarray
     pairs: np.ndarray
     merged: np.ndarray
 
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
+def _read(path: str) -> dict[bytes, int]:
     import base64
 
     with open(path, "rb") as lines:
-        known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}
+
+
+def _listed(known: dict[bytes, int]) -> Tokens:
     ordered = sorted(known, key=known.__getitem__)
     ranks = np.array([known[t] for t in ordered], np.int32)
+    places = np.zeros(int(ranks.max()) + 1, np.int32)
+    places[ranks] = np.arange(len(ranks))
+    sizes = np.zeros(len(places), np.int32)
+    sizes[ranks] = [len(t) for t in ordered]
+    return Tokens(pa.array(ordered, pa.large_binary()), ranks, places, sizes)
+
+
+@lru_cache(maxsize=1)
+def token_table(path: str) -> Tokens:
+    """What decoding needs."""
+    return _listed(_read(path))
+
+
+@lru_cache(maxsize=1)
+def vocabulary(path: str) -> Vocabulary:
+    known = _read(path)
     found: dict[int, int] = {}
-    for token in ordered:
+    for token, rank in known.items():
         for cut in range(1, len(token)):
             left, right = known.get(token[:cut]), known.get(token[cut:])
             if left is not None and right is not None:
-                found[left << 32 | right] = known[token]
-    keys = np.array(sorted(found), np.int64)
-    places = np.zeros(int(ranks.max()) + 1, np.int32)
-    places[ranks] = np.arange(len(ranks))
-    sizes = np.zeros(len(places), np.int64)
-    sizes[ranks] = [len(t) for t in ordered]
-    return Vocabulary(
-        pa.array(ordered, pa.large_binary()), ranks, places, sizes,
-        np.array([known[bytes([b])] for b in range(256)], np.int32),
-        keys, np.array([found[k] for k in keys.tolist()], np.int32),
-    )
+                found[left << 32 | right] = rank
+    keys = np.fromiter(found, np.int64, len(found))
+    order = np.argsort(keys)
+    merged = np.fromiter(found.values(), np.int32, len(found))
+    return Vocabulary(_listed(known), np.array([known[bytes([b])] for b in range(256)], np.int32), keys[order], merged[order])
 
 
 def _pair_ranks(left: np.ndarray, right: np.ndarray, vocab: Vocabulary) -> np.ndarray:
@@ -242,9 +265,9 @@ def merge_pieces(pieces: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.nd
     the rows that are one shorter; a row without a pair left is done.
     """
     n = len(pieces)
-    whole = np.asarray(pc.fill_null(pc.index_in(pieces, value_set=vocab.tokens), -1), np.int64)
+    whole = np.asarray(pc.fill_null(pc.index_in(pieces, value_set=vocab.listed.tokens), -1), np.int64)
     counts = np.ones(n, np.int64)
-    done: list[tuple[np.ndarray, np.ndarray]] = [(np.flatnonzero(whole >= 0), vocab.ranks[whole[whole >= 0]][:, None])]
+    done: list[tuple[np.ndarray, np.ndarray]] = [(np.flatnonzero(whole >= 0), vocab.listed.ranks[whole[whole >= 0]][:, None])]
     bounds = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + n + 1]
     raw = np.frombuffer(pieces.buffers()[2], np.uint8) if pieces.buffers()[2] is not None else np.empty(0, np.uint8)
     size = np.where(whole < 0, np.diff(bounds), 0)
@@ -306,15 +329,15 @@ def encode_slice(texts: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.nda
     chars = np.asarray(pc.utf8_length(texts), np.int64)
     first = (np.cumsum(chars) - chars)[chars > 0]
     starts = piece_starts(points, first)
-    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-    at = np.cumsum(width) - width
+    width = 1 + (points >= 0x80).astype(np.uint8) + (points >= 0x800) + (points >= 0x10000)
+    at = np.cumsum(width, dtype=np.int64) - width
     cuts = np.append(at[starts], bounds[-1]).astype(np.int64)
     pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), raw]).dictionary_encode()
     flat, offsets = merge_pieces(pieces.dictionary, vocab)
     code = pieces.indices.to_numpy()
     ids = _gather(flat, offsets[code], np.diff(offsets)[code])
-    size = vocab.sizes[ids]
-    begin = np.cumsum(size) - size
+    size = vocab.listed.sizes[ids]
+    begin = np.cumsum(size, dtype=np.int64) - size
     by_text = np.searchsorted(begin, bounds)
     by_text[-1] = len(ids)
     return ids, begin - np.repeat(bounds[:-1], np.diff(by_text)), by_text
@@ -327,7 +350,7 @@ def encode(docs: DataFrame, ranks_path: str, identity: str = "doc_id", text: str
     A null or empty text has no tokens. Bytes that are no UTF-8 are read as
     U+FFFD. Each row is encoded by itself: repeated rows and null identities give
     a row each, in any order. Other columns are left out; an identity named like
-    a result raises. Memory is bounded by an Arrow batch and a slice of about 4 MB
+    a result raises. Memory is bounded by an Arrow batch and a slice of about 1 MB
     (a longer text is a slice of its own).
     """
     if identity in ("ids", "starts"):
@@ -361,23 +384,28 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", starts: str =
     kept = [c for c in encoded.columns if c not in (ids, starts, decoded)]
     schema = T.StructType([*[encoded.schema[c] for c in kept], T.StructField(decoded, T.BinaryType())])
 
+    def slice_bytes(flat: np.ndarray, begin: np.ndarray, counts: np.ndarray, listed: Tokens) -> pa.Array:
+        if len(flat) and (flat.min() < 0 or flat.max() >= len(listed.sizes) or not listed.sizes[flat].all()):
+            raise ValueError("an id is not in the vocabulary")
+        size = listed.sizes[flat]
+        ends = np.cumsum(counts)
+        last = np.zeros(len(flat), bool)
+        last[ends[counts > 0] - 1] = True
+        if len(begin) != len(flat) or np.any((begin[1:] != (begin + size)[:-1]) & ~last[:-1]):
+            raise ValueError("offsets do not follow the tokens")
+        data = listed.tokens.take(pa.array(listed.places[flat]))
+        bounds = np.r_[0, np.cumsum(size, dtype=np.int64)][np.r_[0, ends]]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(bounds), data.buffers()[2] or pa.py_buffer(b"")]).cast(pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(ranks_path)
+        listed = token_table(ranks_path)
         for batch in batches:
-            lists, begins = batch.column(len(kept)), batch.column(len(kept) + 1)
-            flat, begin = lists.flatten().to_numpy(), begins.flatten().to_numpy()
-            counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
-            if len(flat) and (flat.min() < 0 or flat.max() >= len(vocab.sizes) or not vocab.sizes[flat].all()):
-                raise ValueError("an id is not in the vocabulary")
-            size = vocab.sizes[flat]
-            ends = np.cumsum(counts)
-            last = np.zeros(len(flat), bool)
-            last[ends[counts > 0] - 1] = True
-            if len(begin) != len(flat) or np.any((begin[1:] != (begin + size)[:-1]) & ~last[:-1]):
-                raise ValueError("offsets do not follow the tokens")
-            data = vocab.tokens.take(pa.array(vocab.places[flat]))
-            bounds = np.r_[0, np.cumsum(size)][np.r_[0, ends]].astype(np.int64)
-            out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(bounds), data.buffers()[2] or pa.py_buffer(b"")])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], out.cast(pa.binary())], names=[*kept, decoded])
+            counts = np.asarray(pc.fill_null(pc.list_value_length(batch.column(len(kept))), 0), np.int64)
+            ends = np.cumsum(counts) // SLICE_IDS
+            for rows in np.split(np.arange(len(counts)), np.flatnonzero(np.diff(ends)) + 1):
+                if len(rows):
+                    part = batch.slice(rows[0], len(rows))
+                    flat, begin = (part.column(len(kept) + k).flatten().to_numpy() for k in (0, 1))
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], slice_bytes(flat, begin, counts[rows], listed)], names=[*kept, decoded])
 
     return encoded.select(*kept, ids, starts).mapInArrow(run, schema)
