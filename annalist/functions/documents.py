@@ -72,6 +72,19 @@ def trimmed_lines(text: Column) -> Column:
     )
 
 
+def placed_lines(text: Column) -> Column:
+    """As trimmed_lines of a text with unified line ends, each with the number
+    of line ends before it: array<struct<line, before>>."""
+    placed = F.transform(F.split(text, "\n"), lambda x, i: F.struct(strip(x).alias("line"), i.alias("before")))
+    return F.filter(placed, lambda x: F.length(x["line"]) > 0)
+
+
+def line_offset(text: Column, before: Column) -> Column:
+    """Where the line after so many line ends begins, from 0."""
+    head = F.call_function("substring_index", text, F.lit("\n"), before)
+    return F.when(before == 0, F.lit(0)).otherwise(F.length(head) + 1)
+
+
 def heading_type(line: Column) -> Column:
     """Section type of a heading line, null for any other line."""
     return (
@@ -103,10 +116,12 @@ def section_starts(types: Column) -> Column:
         F.concat(F.when(F.element_at(F.concat(types, F.array(F.lit(None))), 1).isNotNull(), none).otherwise(F.array(F.lit(1))), heads))
 
 
-def sections(lines: Column, types: Column, starts: Column, ends: Column) -> Column:
+def sections(text: Column, lines: Column, before: Column, types: Column, starts: Column, ends: Column) -> Column:
     """Sections of a document: a heading with the lines up to the next one;
     what comes before the first is the preamble. Array of structs in document
-    order. ``starts`` and ``ends`` (exclusive) are line numbers."""
+    order. ``starts`` and ``ends`` (exclusive) are line numbers, ``before`` the
+    line ends before each line. From ``start_offset`` to ``end_offset`` (from 0,
+    exclusive) the text has the section, its lines untrimmed."""
     return F.transform(
         F.arrays_zip(starts.alias("s"), ends.alias("e")),
         lambda z, n: F.struct(
@@ -115,6 +130,8 @@ def sections(lines: Column, types: Column, starts: Column, ends: Column) -> Colu
             F.when(F.element_at(types, z["s"]).isNotNull(), heading_number(F.element_at(lines, z["s"]))).alias("number"),
             F.array_join(F.slice(lines, z["s"], z["e"] - z["s"]), "\n").alias("text"),
             (n + 1).alias("position"),
+            line_offset(text, F.element_at(before, z["s"])).alias("start_offset"),
+            F.when(z["e"] > F.size(lines), F.length(text)).otherwise(line_offset(text, F.get(before, z["e"] - 1))).alias("end_offset"),
         ),
     )
 

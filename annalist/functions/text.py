@@ -86,21 +86,16 @@ def loose_token_key(text: Column) -> Column:
     return F.array_join(F.array_sort(kept), " ")
 
 
+def capitalised(text: Column) -> Column:
+    """First letter of every word and hyphen part upper, the rest lower."""
+    first_up = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))
+    parts = F.split(clean(F.lower(text)), " ")
+    return F.array_join(F.transform(parts, lambda w: F.array_join(F.transform(F.split(w, "-"), first_up), "-")), " ")
+
+
 def title_case(text: Column) -> Column:
-    """First letter of every word and hyphen part upper, the rest lower; only
-    where the text has a word all in capitals."""
-    parts = F.split(F.lower(text), " ")
-    cased = F.array_join(
-        F.transform(
-            parts,
-            lambda w: F.array_join(
-                F.transform(F.split(w, "-"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))),
-                "-",
-            ),
-        ),
-        " ",
-    )
-    return F.when(text.rlike(r"(^|[\s-])\p{Lu}{2,}($|[\s-])"), cased).otherwise(text)
+    """Capitalised where the text has a word all in capitals, else as it is."""
+    return F.when(text.rlike(r"(^|[\s-])\p{Lu}{2,}($|[\s-])"), capitalised(text)).otherwise(text)
 
 
 def last_name(text: Column) -> Column:

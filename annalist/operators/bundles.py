@@ -63,11 +63,44 @@ def sections(parts: dict[str, DataFrame], key: str) -> DataFrame:
     return out
 
 
+def member_sections(
+    members: DataFrame, mandates: DataFrame, legislatures: DataFrame, memberships: DataFrame, affiliations: DataFrame, committees: DataFrame, roles: DataFrame,
+    ballots: DataFrame, votes: DataFrame, sponsors: DataFrame, events: DataFrame,
+) -> DataFrame:
+    """Every member page as rows (person, section, item, on). A page is a
+    person's: all members with one person key, a member without one alone. The
+    selected window is the newest one with a mandate; its latest mandate, the
+    latest membership during it, and the votes and sponsored bills of the window
+    are sections of their own."""
+    key = F.coalesce(F.concat(F.lit("p"), F.col("person_id").cast("string")), F.concat(F.lit("m"), F.col("id").cast("string")))
+    people = members.select(F.col("id").alias("member_id"), key.alias("person"))
+    w = legislatures.select(F.col("id").alias("legislature_id"), F.col("starts_on").alias("l_s"), F.col("ends_on").alias("l_e"))
+    held = mandates.join(people, "member_id").join(w, "legislature_id")
+    selected = held.groupBy("person").agg(F.max_by(F.struct("legislature_id", "l_s", "l_e"), "l_s").alias("w")).select("person", "w.*")
+    chosen = held.drop("l_s", "l_e").join(selected, ["person", "legislature_id"])
+    current = chosen.groupBy("person").agg(F.max_by(F.struct("id", "member_id", "starts_on", F.least("ends_on", "l_e").alias("until")), F.struct("starts_on", "id")).alias("m")).select("person", "m.*")
+    terms = memberships.select("member_id", F.col("id").alias("term"), F.col("starts_on").alias("t_s"), F.col("ends_on").alias("t_e"))
+    during = current.join(terms, "member_id").where((F.col("t_s") <= F.col("until")) & (F.col("t_e").isNull() | (F.col("t_e") >= F.col("starts_on"))))
+    membership = during.groupBy("person").agg(F.max_by(F.struct("term", "t_s"), F.struct("t_s", "term")).alias("m")).select("person", "m.*")
+    in_window = lambda day: (F.col(day) >= F.col("l_s")) & (F.col(day) < F.col("l_e"))
+    days = votes.select(F.col("id").alias("vote_id"), "held_on")
+    cast_rows = ballots.select("id", "vote_id", "member_id").join(people, "member_id").join(days, "vote_id").join(selected, "person").where(in_window("held_on"))
+    steps = events.select("bill_id", "occurred_on").distinct()
+    brought = sponsors.join(people, "member_id").select("person", "bill_id").distinct().join(selected, "person").join(steps, "bill_id").where(in_window("occurred_on")).select("person", "bill_id").distinct()
+    dated = lambda rows: rows.join(people, "member_id").select("person", F.col("id").alias("item"), F.col("starts_on").alias("on"))
+    none = F.lit(None).cast("date").alias("on")
+    return sections({
+        "related": people.select("person", F.col("member_id").alias("item"), none), "mandates": dated(mandates), "memberships": dated(memberships), "affiliations": dated(affiliations),
+        "committees": dated(committees), "roles": dated(roles), "selected_legislature": selected.select("person", F.col("legislature_id").alias("item"), F.col("l_s").alias("on")),
+        "mandate": current.select("person", F.col("id").alias("item"), F.col("starts_on").alias("on")), "membership": membership.select("person", F.col("term").alias("item"), F.col("t_s").alias("on")),
+        "votes": cast_rows.select("person", F.col("id").alias("item"), F.col("held_on").alias("on")), "sponsored": brought.select("person", F.col("bill_id").alias("item"), none)}, "person")
+
+
 def profiles(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Profile pages to members(page_id, display_name, starts_on) and
     memberships(page_id, group_name, starts_on, ends_on), the name from the
     heading, the validation date from the text, periods from a table."""
-    parsed = parse(pages)
+    parsed = parse(pages, "blocks", "cells")
     heads = parsed.select("page_id", F.explode_outer("blocks").alias("b")).select("page_id", "b.*")
     date = fd.date_after(F.col("text"), r"data valid[ăa]rii:\s*")
     members = heads.groupBy("page_id").agg(

@@ -32,13 +32,14 @@ def assemble(chunks: DataFrame) -> DataFrame:
 
 def parse_sections(docs: DataFrame, ident: str = "id", text: str = "text") -> DataFrame:
     """One row per document: its sections, warnings and parse quality."""
-    lined = docs.select(F.col(ident).alias("document_id"), F.regexp_replace(text, "\r", "\n").alias("text")).withColumn(
-        "lines", fd.trimmed_lines(F.col("text")))
+    unified = docs.select(F.col(ident).alias("document_id"), F.regexp_replace(text, "\r", "\n").alias("text"))
+    placed = unified.withColumn("placed", fd.placed_lines(F.col("text")))
+    lined = placed.select("document_id", "text", F.col("placed.line").alias("lines"), F.col("placed.before").alias("before"))
     typed = lined.withColumn("types", F.transform("lines", lambda x: fd.heading_type(x)))
     opened = typed.withColumn("starts", fd.section_starts(F.col("types")))
     closed = opened.withColumn("ends", F.concat(F.slice("starts", F.lit(2), F.greatest(F.size("starts"), F.lit(1))), F.array(F.size("lines") + 1)))
     closed = closed.withColumn("ends", F.slice("ends", F.lit(1), F.size("starts")))
-    parted = closed.withColumn("sections", fd.sections(F.col("lines"), F.col("types"), F.col("starts"), F.col("ends"))).select(
+    parted = closed.withColumn("sections", fd.sections(*[F.col(c) for c in ("text", "lines", "before", "types", "starts", "ends")])).select(
         "document_id", "text", "sections")
     own = F.filter("sections", lambda s: s["section_type"] != "preamble")
     keyed = parted.withColumn("keys", F.transform(own, lambda s: fd.heading_key(s["heading"])))
@@ -47,7 +48,7 @@ def parse_sections(docs: DataFrame, ident: str = "id", text: str = "text") -> Da
 
 
 def section_rows(docs: DataFrame, ident: str = "id", text: str = "text") -> DataFrame:
-    """One row per section, with its offset in the text and a section id."""
+    """One row per section, with its offsets in the text (line ends unified) and a section id."""
     parsed = parse_sections(docs, ident, text)
     rows = parsed.select("document_id", F.explode_outer("sections").alias("s")).where(F.col("s").isNotNull()).select("document_id", "s.*")
     key = fd.heading_key(F.col("heading"))

@@ -143,6 +143,11 @@ def cascade(parents: DataFrame, doomed: DataFrame, children: dict[str, tuple[Dat
     return parents.join(ids, "id", "left_anti"), kept, gone
 
 
+def drop_obsolete(parents: DataFrame, current: DataFrame, children: dict[str, tuple[DataFrame, str]]) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """Delete the parents that ``current`` (id) does not name, and what hangs on them."""
+    return cascade(parents, parents.join(current.select("id").distinct(), "id", "left_anti"), children)
+
+
 def reset(tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
     """Empty tables of the same shape, and the row counts before."""
     from annalist.operators.readmodels import row_counts
@@ -169,19 +174,10 @@ def seed_governments(seeds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     return governments, roles, aligned
 
 
-def normalize_profiles(profiles: DataFrame) -> dict[str, DataFrame]:
-    """profiles(profile_key, name, chamber, legislature_id, position, groups:
-    array<struct<label, starts_on, ends_on>>, committees: array<struct<name>>)
-    to members, mandates, memberships and committees; last row of an id wins."""
-    base = profiles.withColumn("member_id", F.concat(F.lit("member-"), F.col("profile_key")))
-    members = last_wins(base.select("member_id", F.col("name").alias("display_name"), "position"), ["member_id"], ["position"])
-    mandates = last_wins(base.select(F.concat_ws("-", "member_id", "legislature_id", "chamber").alias("id"), "member_id", "legislature_id", "chamber", "position"), ["id"], ["position"])
-    g = base.select("member_id", "position", F.explode("groups").alias("g")).select("member_id", "position", "g.*")
-    memberships = last_wins(g.withColumn("id", F.concat_ws("-", "member_id", "label", F.col("starts_on").cast("string"))), ["id"], ["position"])
-    c = base.select("member_id", "position", F.explode("committees").alias("c")).select("member_id", "position", "c.*")
-    committees = last_wins(c.withColumn("id", F.concat_ws("-", "member_id", "name")), ["id"], ["position"])
-    return {"members": members.drop("position"), "mandates": mandates.drop("position"),
-            "memberships": memberships.drop("position"), "committees": committees.drop("position")}
+def government_events(governments: DataFrame) -> DataFrame:
+    """An investiture per government and, where it has one, its end."""
+    event = lambda day, kind: governments.select(F.col("id").alias("government_id"), F.col(day).alias("occurred_on"), F.lit(kind).alias("event_type"))
+    return event("starts_on", "government_invested").unionByName(event("ends_on", "government_ended").where("occurred_on IS NOT NULL"))
 
 
 def frontier(edges: DataFrame, start: DataFrame, fetched: DataFrame) -> DataFrame:

@@ -6,26 +6,31 @@ that follows (classifying, joining, deduplicating) is Spark.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import classify as cl
 from annalist.functions import dates as fd
 from annalist.functions.identifiers import parse_identifier
-from annalist.functions.text import clean, slug, words
+from annalist.functions.text import clean, fold_marks, slug, words
 from annalist.functions.urls import canonical_url, chamber_of, kind_of, profile_key, query_param
 from annalist.operators.sets import first_wins, last_wins
 
-PAGE = (
-    "page_id long, links array<struct<position:int,href:string,text:string>>, "
-    "cells array<struct<tab:int,line:int,col:int,text:string,href:string,header:boolean,head:string>>, "
-    "blocks array<struct<position:int,kind:string,text:string,hrefs:array<string>>>"
-)
+#: What a page is read into. Rows are table rows with their cells in order;
+#: ``bold`` and ``link`` are a cell's first bold and linked text, ``rest`` is its
+#: text outside both; ``section`` names the classes of the elements around.
+PARTS = {
+    "links": "array<struct<position:int,href:string,text:string,label:string>>",
+    "cells": "array<struct<tab:int,line:int,col:int,text:string,href:string,header:boolean,head:string>>",
+    "blocks": "array<struct<position:int,kind:string,text:string,anchors:array<struct<href:string,text:string>>,lines:array<string>,section:string>>",
+    "rows": "array<struct<tab:int,line:int,section:string,cells:array<struct<text:string,href:string,link:string,bold:string,rest:string,header:boolean>>>>",
+    "text": "string",
+}
 
 
 def squeeze(parts: list[str]) -> str:
@@ -33,25 +38,37 @@ def squeeze(parts: list[str]) -> str:
 
 
 class PageReader(HTMLParser):
-    """Collects links, table cells and text blocks of one page."""
+    """Collects links, table cells, text blocks and the text of one page."""
+
+    HOLDERS = ("div", "section", "article", "main", "ul", "ol")
+    BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "li", "title")
 
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
         self.base = base
         self.links, self.tables, self.blocks = [], [], []
-        self._href, self._anchor = None, []
+        self._href, self._anchor, self._label = None, [], None
         self._open_tables, self._cell = [], None
-        self._block, self._block_hrefs = None, []
+        self._block, self._block_anchors = None, []
         self._silent = 0
+        self.text, self.sections = [], []
+        self._holders, self._bold = [], 0
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if tag in ("script", "style"):
             self._silent += 1
         elif tag == "a" and a.get("href"):
-            self._href, self._anchor = self._absolute(a["href"]), []
+            self._href, self._anchor, self._label = self._absolute(a["href"]), [], a.get("aria-label")
+        elif tag in self.HOLDERS:
+            self._holders.append((tag, a.get("class") or ""))
+        elif tag == "b":
+            self._bold += 1
+        elif tag == "br" and self._block is not None:
+            self._block[1].append("\0")
         elif tag == "table":
             self.tables.append([])
+            self.sections.append(" ".join(filter(None, [self._section(), a.get("class")])))
             self._open_tables.append(len(self.tables) - 1)
         elif tag == "tr" and self._open_tables:
             self._close_cell()
@@ -59,21 +76,30 @@ class PageReader(HTMLParser):
         elif tag in ("td", "th") and self._open_tables and self.tables[self._open_tables[-1]]:
             self._close_cell()
             span = lambda name: int(a[name]) if (a.get(name) or "").isdigit() and int(a[name]) > 0 else 1
-            self._cell = {"parts": [], "href": None, "rows": span("rowspan"), "cols": span("colspan"), "header": tag == "th"}
-        if tag in ("p", "h1", "h2", "h3", "li"):
+            self._cell = {"parts": [], "bold": [], "link": [], "rest": [], "href": None, "rows": span("rowspan"), "cols": span("colspan"), "header": tag == "th"}
+        if tag in self.BLOCKS:
             self._close_block()
-            self._block = (tag, [])
+            self._block = (tag, [], self._section())
 
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self._silent = max(0, self._silent - 1)
         elif tag == "a" and self._href is not None:
-            self.links.append((self._href, squeeze(self._anchor)))
+            self.links.append((self._href, squeeze(self._anchor), self._label))
             if self._cell is not None and self._cell["href"] is None:
                 self._cell["href"] = self._href
             if self._block is not None:
-                self._block_hrefs.append(self._href)
+                self._block_anchors.append((self._href, squeeze(self._anchor)))
             self._href = None
+        elif tag == "b":
+            self._bold = max(0, self._bold - 1)
+            if self._cell is not None:
+                self._cell["bolded"] = bool(self._cell["bold"])
+        elif tag in self.HOLDERS:
+            for k in range(len(self._holders) - 1, -1, -1):
+                if self._holders[k][0] == tag:
+                    del self._holders[k:]
+                    break
         elif tag in ("td", "th", "tr"):
             self._close_cell()
         elif tag == "table" and self._open_tables:
@@ -89,8 +115,19 @@ class PageReader(HTMLParser):
             self._anchor.append(data)
         if self._cell is not None:
             self._cell["parts"].append(data)
+            if self._href is not None and self._cell["href"] is None:
+                self._cell["link"].append(data)
+            if self._bold and not self._cell.get("bolded"):
+                self._cell["bold"].append(data)
+            if not self._bold and self._href is None:
+                self._cell["rest"].append(data)
         if self._block is not None:
             self._block[1].append(data)
+        if self._block is None or self._block[0] != "title":
+            self.text.append(data)
+
+    def _section(self):
+        return " ".join(c for _, c in self._holders if c)
 
     def _absolute(self, href):
         try:
@@ -105,15 +142,16 @@ class PageReader(HTMLParser):
 
     def _close_block(self):
         if self._block is not None:
-            text = squeeze(self._block[1])
-            if text or self._block_hrefs:
-                self.blocks.append((self._block[0], text, self._block_hrefs))
-        self._block, self._block_hrefs = None, []
+            lines = [squeeze([line]) for line in "".join(self._block[1]).split("\0")]
+            text = squeeze(["".join(self._block[1]).replace("\0", "")])
+            if text or self._block_anchors:
+                self.blocks.append((self._block[0], text, self._block_anchors, [line for line in lines if line], self._block[2]))
+        self._block, self._block_anchors = None, []
 
 
 def lay_out(rows: list[list[dict]]) -> list[tuple]:
-    """(line, column, text, href, header) with row and column spans filled in;
-    a span that runs past the last row ends there."""
+    """(line, column, cell) with row and column spans filled in; a span that
+    runs past the last row ends there."""
     waiting: dict[int, tuple[int, dict]] = {}
     cells = []
     for line, row in enumerate(rows):
@@ -124,58 +162,73 @@ def lay_out(rows: list[list[dict]]) -> list[tuple]:
                 waiting.pop(column)
                 if left > 1:
                     waiting[column] = (left - 1, cell)
-                cells.append((line, column, squeeze(cell["parts"]), cell["href"], cell["header"]))
+                cells.append((line, column, cell))
                 column += 1
             elif queue:
                 cell = queue.pop(0)
                 for _ in range(cell["cols"]):
                     if cell["rows"] > 1:
                         waiting[column] = (cell["rows"] - 1, cell)
-                    cells.append((line, column, squeeze(cell["parts"]), cell["href"], cell["header"]))
+                    cells.append((line, column, cell))
                     column += 1
             else:
                 column += 1
     return cells
 
 
-def read_page(base: str, html: str) -> tuple[list, list, list]:
+def read_page(base: str, html: str, parts: Sequence[str]) -> list:
     reader = PageReader(base or "")
     reader.feed(html or "")
     reader.close()
     reader._close_block()
-    links = [{"position": i, "href": h, "text": x} for i, (h, x) in enumerate(reader.links)]
-    cells = []
-    for n, table in enumerate(reader.tables):
-        laid = lay_out(table)
-        heads = {col: text for line, col, text, _, _ in laid if line == 0}
-        cells += [{"tab": n, "line": line, "col": col, "text": text, "href": href, "header": is_head, "head": heads.get(col)}
-                  for line, col, text, href, is_head in laid]
-    blocks = [{"position": i, "kind": k, "text": x, "hrefs": list(h)} for i, (k, x, h) in enumerate(reader.blocks)]
-    return links, cells, blocks
-
-
-def parse(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) to one row per page with its links, table
-    cells and text blocks, in the partitions of the input."""
+    laid = [lay_out(table) for table in reader.tables] if {"cells", "rows"} & set(parts) else []
+    found = {}
+    if "links" in parts:
+        found["links"] = [{"position": i, "href": h, "text": x, "label": a} for i, (h, x, a) in enumerate(reader.links)]
+    if "cells" in parts:
+        found["cells"] = []
+        for n, table in enumerate(laid):
+            heads = {col: squeeze(cell["parts"]) for line, col, cell in table if line == 0}
+            found["cells"] += [{"tab": n, "line": line, "col": col, "text": squeeze(cell["parts"]), "href": cell["href"], "header": cell["header"], "head": heads.get(col)}
+                               for line, col, cell in table]
+    if "blocks" in parts:
+        found["blocks"] = [{"position": i, "kind": k, "text": x, "anchors": [{"href": h, "text": t} for h, t in a], "lines": ls, "section": s} for i, (k, x, a, ls, s) in enumerate(reader.blocks)]
+    if "rows" in parts:
+        found["rows"] = []
+        for n, table in enumerate(laid):
+            lines: dict[int, list] = {}
+            for line, _, cell in table:
+                lines.setdefault(line, []).append({"text": squeeze(cell["parts"]), "href": cell["href"], "link": squeeze(cell["link"]), "bold": squeeze(cell["bold"]),
+                                                   "rest": squeeze(cell["rest"]), "header": cell["header"]})
+            found["rows"] += [{"tab": n, "line": line, "section": reader.sections[n], "cells": cells} for line, cells in lines.items()]
+    if "text" in parts:
+        found["text"] = squeeze(reader.text)
+    return [found[p] for p in parts]
+
+
+def parse(pages: DataFrame, *parts: str) -> DataFrame:
+    """pages(page_id, url, html) to one row per page (page_id, url) with the
+    asked parts, in the partitions of the input."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(p, *read_page(u, h)) for p, u, h in zip(frame["page_id"], frame["url"], frame["html"])]
-            yield pd.DataFrame(rows, columns=["page_id", "links", "cells", "blocks"])
+            rows = [(p, u, *read_page(u, h, parts)) for p, u, h in zip(frame["page_id"], frame["url"], frame["html"])]
+            yield pd.DataFrame(rows, columns=["page_id", "url", *parts])
 
-    return pages.select("page_id", "url", "html").mapInPandas(batches, PAGE)
+    schema = ", ".join(["page_id long", "url string", *[f"{p} {PARTS[p]}" for p in parts]])
+    return pages.select("page_id", "url", "html").mapInPandas(batches, schema)
 
 
 def links(pages: DataFrame) -> DataFrame:
-    return parse(pages).select("page_id", F.explode("links").alias("x")).select("page_id", "x.*")
+    return parse(pages, "links").select("page_id", F.explode("links").alias("x")).select("page_id", "x.*")
 
 
 def cells(pages: DataFrame) -> DataFrame:
-    return parse(pages).select("page_id", F.explode("cells").alias("x")).select("page_id", "x.*")
+    return parse(pages, "cells").select("page_id", F.explode("cells").alias("x")).select("page_id", "x.*")
 
 
 def blocks(pages: DataFrame) -> DataFrame:
-    return parse(pages).select("page_id", F.explode("blocks").alias("x")).select("page_id", "x.*")
+    return parse(pages, "blocks").select("page_id", F.explode("blocks").alias("x")).select("page_id", "x.*")
 
 
 def discover(pages: DataFrame) -> DataFrame:
@@ -238,11 +291,99 @@ def steps_with_document(steps: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def registry(all_blocks: DataFrame, marker: str) -> DataFrame:
-    """Paragraph links to registry files as records, one per address."""
-    rows = all_blocks.where("kind = 'p'").select("page_id", "position", "text", F.explode("hrefs").alias("href")).where(F.col("href").contains(marker))
+    """Paragraph links to registry files as records, one per address; names come
+    from the link's text, the short name from the paragraph first."""
+    rows = all_blocks.where("kind = 'p'").select("page_id", "position", F.col("text").alias("paragraph"), F.explode("anchors").alias("a")).select(
+        "page_id", "position", "paragraph", F.col("a.href").alias("href"), clean(F.col("a.text")).alias("text")).where(F.col("href").contains(marker))
     one = first_wins(rows, ["href"], ["page_id", "position"])
     return one.select("href", "page_id", cl.position(F.col("text")).alias("position"), cl.legal_name(F.col("text")).alias("legal_name"),
-                      cl.short_name(F.col("text")).alias("short_name"), cl.leading_date(F.col("text")).alias("listed_date"))
+                      cl.short_name(F.col("text"), clean(F.col("paragraph"))).alias("short_name"), cl.leading_date(F.col("text")).alias("listed_date"))
+
+
+def article_candidates(pages: DataFrame) -> DataFrame:
+    """What articles say about a party's history: lines of the fact box, cut at
+    its marker words, then the paragraphs' sentences. (page_id, n, kind, hint,
+    text, dates, confidence): ``n`` counts all lines and sentences of the page;
+    equal ones of a kind and hint count once. A page that says nothing has one
+    row of the kind no_candidate."""
+    parsed = parse(pages, "blocks", "rows")
+    boxes = F.filter("rows", lambda r: r["section"].contains("infobox"))
+    last = F.array_max(F.transform(boxes, lambda r: r["tab"]))
+    box = F.array_join(F.transform(F.filter(boxes, lambda r: r["tab"] == last), lambda r: F.array_join(F.transform(r["cells"], lambda c: c["text"]), " ")), " ")
+    tagged = lambda kind, texts: F.transform(texts, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text")))
+    paragraphs = F.flatten(F.transform(F.filter("blocks", lambda b: b["kind"] == "p"), lambda b: cl.sentences(b["text"])))
+    lines = parsed.select("page_id", F.posexplode(F.concat(tagged("infobox", cl.box_lines(box)), tagged("paragraph", paragraphs))).alias("n", "x")).select("page_id", "n", "x.*")
+    kept = lines.where(cl.speaks_of_history(F.col("text"))).withColumn("hint", cl.event_hint(F.col("text")))
+    one = first_wins(kept, ["page_id", "kind", "hint", "text"], ["n"]).withColumn("dates", fd.date_candidates(F.col("text")))
+    found = one.withColumn("confidence", F.when(F.size("dates") > 0, "medium").otherwise("low"))
+    silent = pages.select("page_id").join(found.select("page_id").distinct(), "page_id", "left_anti").select(
+        "page_id", F.lit(0).alias("n"), F.lit("no_candidate").alias("kind"), F.lit("no_candidate").alias("hint"), F.lit(None).cast("string").alias("text"),
+        F.array().cast("array<string>").alias("dates"), F.lit("none").alias("confidence"))
+    return found.select(*silent.columns).unionByName(silent)
+
+
+def step_documents(pages: DataFrame) -> DataFrame:
+    """(page_id, tab, line, url_hash, kind): the first document link of each
+    table row, if the page lists a document of that address."""
+    parsed = parse(pages, "links", "rows")
+    linked = lambda c: c["href"].rlike(r"\.pdf$|\.pdf\?|/docs\?")
+    rows = parsed.select("page_id", F.explode("rows").alias("r")).select(
+        "page_id", "r.tab", "r.line", F.get(F.filter("r.cells", linked), F.lit(0))["href"].alias("href")).where("href IS NOT NULL")
+    documents = bill_documents(parsed.select("page_id", F.explode("links").alias("x")).select("page_id", "x.*"))
+    return steps_with_document(rows, documents).where("url_hash IS NOT NULL AND kind IS NOT NULL").select("page_id", "tab", "line", "url_hash", "kind")
+
+
+def roster_groups(indexes: DataFrame, legislature: str, chamber: str = "deputies") -> DataFrame:
+    """Groups that index pages list, by address, with the number of members the
+    link's label names (0 for none): (url, group_id, name, short_name, party,
+    expected). The first link of an address counts."""
+    label = F.coalesce("label", "text")
+    found = links(indexes).where(F.col("href").rlike(r"structura(?:2015)?\.gp") & F.col("href").contains("idg=")).withColumn("said", clean(label))
+    name = clean(F.regexp_replace("said", r"(?i)\s*-\s*\d+\s*membri.*$", ""))
+    number = F.regexp_extract("href", r"(?i)idg=([^&]+)", 1)
+    one = first_wins(found.select(F.col("href").alias("url"), name.alias("name"), "said", number.alias("idg"), "page_id", "position").where("name <> ''"), ["url"], ["page_id", "position"])
+    known = cl.party_of(F.col("name"))
+    named = one.withColumn("party", known)
+    key = F.coalesce("party", F.when(F.col("name").rlike("(?i)neafili"), "unaffiliated"), slug(F.concat_ws("-", F.lit(legislature), "idg")))
+    expected = F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace("said", r"\s+", ""), r"(\d+)", 1), F.lit("")).cast("long"), F.lit(0))
+    return named.select("url", F.concat_ws("-", F.lit("group"), F.lit(chamber), key).alias("group_id"), "name", cl.group_short_name(F.col("name")).alias("short_name"), "party", expected.alias("expected"))
+
+
+# Roles that a group page's row names, and link texts that are no names.
+GROUP_ROLES = r"(?i)(?<![A-Za-z0-9_])Lider(?![A-Za-z0-9_])"
+NOT_NAMES = "activitate|cv|biografie|declaratii|interpelari|initiative"
+
+
+def group_role(text):
+    leads = text.rlike(GROUP_ROLES) & ~text.rlike("(?i)Vice")
+    return F.when(leads, "Lider grup parlamentar").when(text.rlike("(?i)Vicelider"), "Vicelider grup parlamentar").when(
+        text.rlike("(?i)Secretar"), "Secretar grup parlamentar")
+
+
+def group_members(group_pages: DataFrame, groups: DataFrame, starts_on: str) -> DataFrame:
+    """Members of group pages, each once per page: (page_id, group_id,
+    official_id, display_name, starts_on, role). The page's group is the one an
+    index lists at its address. A row that names a role gives it to its own member,
+    or else to the next member; a row without a date starts with the window."""
+    own = groups.select("url", "group_id")
+    parsed = parse(group_pages, "rows").join(own, "url").select("page_id", "group_id", "url", F.posexplode("rows").alias("n", "r"))
+    cells = F.filter("r.cells", lambda c: ~c["header"])
+    cell = lambda n: clean(F.coalesce(F.get(cells, F.lit(n))["text"], F.lit("")))
+    profile = F.get(F.filter("r.cells", lambda c: c["href"].rlike(r"structura(?:2015)?\.mp") & c["href"].contains("idm=")), F.lit(0))
+    rows = parsed.select("page_id", "group_id", "url", "n", group_role(F.when(cell(0).rlike(r"^\d+\.?$"), cell(1)).otherwise(cell(0))).alias("said"),
+                         F.nullif(F.regexp_extract(profile["href"], r"(?i)idm=(\d+)", 1), F.lit("")).alias("official_id"), clean(profile["link"]).alias("display_name"),
+                         profile["bold"].contains(profile["link"]).alias("bold"), F.array_join(F.transform("r.cells", lambda c: c["text"]), " ").alias("text"))
+    # a member row is what the role of the row before it, if that named one, can pass to
+    linked = F.col("official_id").isNotNull() & (F.col("display_name") != "") & ~fold_marks(F.col("display_name")).rlike(NOT_NAMES)
+    linked = linked & (~F.col("url").contains("structura2015.gp") | F.col("bold"))
+    first = F.row_number().over(Window.partitionBy("page_id", "official_id", F.coalesce(linked, F.lit(False))).orderBy("n")) == 1
+    marked = rows.withColumn("member", F.coalesce(linked, F.lit(False)) & first)
+    # pages are bounded, so a page's rows are one window
+    along = Window.partitionBy("page_id").orderBy("n")
+    since = F.sum(F.when(F.col("member"), 1).otherwise(0)).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    passed = marked.withColumn("turn", F.coalesce(since, F.lit(0)))
+    passed = passed.withColumn("role", F.coalesce("said", F.last("said", ignorenulls=True).over(Window.partitionBy("page_id", "turn").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))))
+    return passed.where("member").select("page_id", "group_id", "official_id", "display_name", F.coalesce(fd.parse_date(F.col("text")), F.to_date(F.lit(starts_on))).alias("starts_on"), "role")
 
 
 def history_candidates(all_blocks: DataFrame) -> DataFrame:

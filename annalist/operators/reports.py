@@ -81,12 +81,76 @@ def retention(files: DataFrame, as_of: str, keep: int, days: int) -> DataFrame:
     return files.join(newest, "id", "left").select("id", "category", reason.alias("reason"))
 
 
-def work_queue(queue: DataFrame, limit: int, kind: str | None = None, most_failures: int = 3) -> tuple[DataFrame, DataFrame]:
+def work_queue(
+    queue: DataFrame, limit: int, kind: str | None = None, most_failures: int = 3, chamber: str | None = None, official_id: str | None = None,
+    source_url: str | None = None, years: Sequence[int] = (),
+) -> tuple[DataFrame, DataFrame]:
     """Rows to import next (few failures first, then newest), and the rows left
-    out because they failed too often."""
+    out because they failed too often. An address counts in its canonical form;
+    ``years`` are years of discovery."""
+    from annalist.functions.urls import canonical_url
+
     due = queue.where(F.col("status").isin("pending", "partial", "failed"))
-    if kind:
-        due = due.where(F.col("kind") == kind)
+    for column, value in (("kind", kind), ("chamber", chamber), ("official_id", official_id)):
+        if value:
+            due = due.where(F.col(column) == value)
+    if source_url:
+        due = due.where(F.col("source_url") == canonical_url(F.lit(source_url)))
+    if years:
+        due = due.where(F.year("first_seen").isin(*years))
     ready = due.where(F.col("failure_count") < most_failures)
     skipped = due.where(F.col("failure_count") >= most_failures)
     return ready.orderBy(F.asc("failure_count"), F.desc_nulls_last("last_seen"), F.asc("id")).limit(limit), skipped
+
+
+def select_assets(items: DataFrame, asset_type: str | None = None, legislature: str | None = None, limit: int | None = None) -> DataFrame:
+    """Inventory items(id, asset_type, legislature_id, position) of a type and a
+    window, named by the start of its id, the first ``limit`` in their order."""
+    if asset_type:
+        items = items.where(F.col("asset_type") == asset_type)
+    if legislature:
+        items = items.where(F.coalesce(F.col("legislature_id"), F.lit("")).startswith(legislature))
+    return items.orderBy("position", "id").limit(limit) if limit else items
+
+
+def text_queue(
+    documents: DataFrame, dates: DataFrame, kind: str = "proposal", year: int | None = None, failed: bool = False, unsupported: bool = False, limit: int = 10
+) -> DataFrame:
+    """Documents(id, bill_id, kind, text_status) whose text is to be read next,
+    those of the latest bills first; dates(bill_id, submitted_on,
+    latest_event_on). ``failed`` takes those that failed or are missing too,
+    ``unsupported`` all that are not stored."""
+    wanted = ["pending", *(["failed", "missing"] if failed or unsupported else []), *(["unsupported"] if unsupported else [])]
+    day = dates.select("bill_id", F.coalesce("latest_event_on", "submitted_on").alias("event_on"))
+    rows = documents.where((F.col("kind") == kind) & F.col("text_status").isin(*wanted)).join(day, "bill_id", "left")
+    if year:
+        rows = rows.where(F.year("event_on") == year)
+    return rows.orderBy(F.desc_nulls_last("event_on"), "bill_id", "id").limit(limit)
+
+
+def merge_plan(parents: DataFrame, children: dict[str, DataFrame], key: str) -> DataFrame:
+    """Parents(id) with the number of rows of each child table, to weigh two
+    rows before they are merged."""
+    planned = parents
+    for name, rows in children.items():
+        counted = rows.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias(name))
+        planned = planned.join(counted, "id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return planned
+
+
+def crawl_report(profiles: DataFrame, top: int = 50) -> DataFrame:
+    """(section, item, value) of crawled profiles: counts by window and chamber,
+    how many lack each field, how many have a replacement, the names that several
+    profiles share (the ``top`` most frequent), and each profile without a constituency."""
+    one = F.count(F.lit(1)).alias("value")
+    by_place = profiles.groupBy(F.concat_ws(":", "year", "chamber").alias("item")).agg(one).withColumn("section", F.lit("profiles"))
+    empty = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    lacking = {"name": blank("name"), "logo": empty("logo_urls"), "party": empty("party_links"), "group": empty("group_links"), "constituency": blank("constituency")}
+    counted = profiles.agg(*[F.count_if(c).alias(n) for n, c in lacking.items()], F.count_if(F.col("related_name").isNotNull()).alias("replacement"))
+    unpivoted = counted.select(F.explode(F.array(*[F.struct(F.lit(n).alias("item"), F.col(n).alias("value")) for n in [*lacking, "replacement"]])).alias("x")).select("x.*")
+    fields = unpivoted.withColumn("section", F.when(F.col("item") == "replacement", "with").otherwise("missing"))
+    shared = profiles.where(~blank("name")).groupBy(F.col("name").alias("item")).agg(one).where("value > 1")
+    names = shared.orderBy(F.desc("value"), "item").limit(top).withColumn("section", F.lit("shared_name"))
+    places = profiles.where(blank("constituency")).select(F.col("profile_key").alias("item"), F.lit(1).cast("long").alias("value"), F.lit("without_constituency").alias("section"))
+    return by_place.unionByName(fields).unionByName(names).unionByName(places).select("section", "item", "value")

@@ -93,18 +93,19 @@ def linked_candidates(texts: DataFrame, bills: DataFrame, identifiers: Sequence[
     return top_per_key(pairs, ["text_id"], [F.asc("bill_id")], k)
 
 
-def text_candidates(texts: DataFrame, bills: DataFrame, identifiers: Sequence[str], shortest: int = 24, prefix: int = 80) -> DataFrame:
+def text_candidates(texts: DataFrame, bills: DataFrame, identifiers: Sequence[str], shortest: int = 24, prefix: int = 80, detail: bool = False) -> DataFrame:
     """Bills named in each text(id, text): by identifier, or because the first
     ``prefix`` folded characters of a title longer than ``shortest`` occur in it.
+    With ``detail`` also the first of the bill's identifiers that the text has.
 
     Titles are blocked on their rarest inner word (an occurrence may cut the
     first and last word); a title with no inner word is blocked on each word
     that contains its only usable piece, found by a join on pieces of words.
     """
     t = texts.select(F.col("id").alias("text_id"), identifier_values(F.col("text")).alias("ids"), words(F.col("text")).alias("folded"))
-    carried = bills.select(F.col("id").alias("bill_id"), F.explode(F.array_compact(F.array(*identifiers))).alias("value")).distinct()
+    carried = bills.select(F.col("id").alias("bill_id"), F.posexplode(F.array_compact(F.array(*identifiers))).alias("nth", "value")).distinct()
     by_id = t.select("text_id", F.explode_outer("ids").alias("value")).where(F.col("value").isNotNull()).join(carried, "value").groupBy("text_id", "bill_id").agg(
-        F.min("value").alias("detail")).withColumn("reason", F.lit("identifier"))
+        F.min_by("value", "nth").alias("detail")).withColumn("reason", F.lit("identifier"))
     b = bills.select(F.col("id").alias("bill_id"), words(F.col("title")).alias("full")).where(F.length("full") > shortest)
     titled = b.select("bill_id", F.substr("full", F.lit(1), F.lit(prefix)).alias("needle"))
     # equal titles are looked up once
@@ -128,7 +129,8 @@ def text_candidates(texts: DataFrame, bills: DataFrame, identifiers: Sequence[st
     found = maybe.join(texts_once, "h").where(F.col("folded").contains(F.col("needle"))).select("needle", "folded").distinct()
     by_title = titled.join(found, "needle").join(t.select("text_id", "folded"), "folded").select("text_id", "bill_id").distinct().join(
         by_id.select("text_id", "bill_id"), ["text_id", "bill_id"], "left_anti")
-    return by_id.select("text_id", "bill_id", "reason").unionByName(by_title.withColumn("reason", F.lit("title")).select("text_id", "bill_id", "reason"))
+    found_by = by_id.unionByName(by_title.withColumn("reason", F.lit("title")), allowMissingColumns=True)
+    return found_by.select("text_id", "bill_id", "reason", *(["detail"] if detail else []))
 
 
 def discovery_candidates(discoveries: DataFrame, votes: DataFrame, bills: DataFrame, identifiers: Sequence[str]) -> DataFrame:
@@ -308,15 +310,31 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _person_key(component: Column) -> Column:
+    return F.concat(F.lit("person-"), F.substr(F.sha1(component.cast("string").cast("binary")), F.lit(1), F.lit(12)))
+
+
+def _flagged(members: DataFrame, known: DataFrame, links: DataFrame) -> DataFrame:
+    have = known.select("node").distinct().withColumn("have", F.lit(True))
+    linked = links.select(F.col("dst").alias("node")).distinct().withColumn("linked", F.lit(True))
+    return members.join(have, "node", "left").join(linked, "node", "left")
+
+
 def person_candidates(members: DataFrame, known: DataFrame, links: DataFrame) -> DataFrame:
     """Per component: size, least name, profiles already imported and linked
     profiles not imported. members(component, node, name); known(node);
     links(src, dst)."""
-    have = known.select("node").distinct().withColumn("have", F.lit(True))
-    flagged = members.join(have, "node", "left")
-    linked = links.select(F.col("dst").alias("node")).distinct().withColumn("linked", F.lit(True))
-    joined = flagged.join(linked, "node", "left")
-    return joined.groupBy("component").agg(
+    return _flagged(members, known, links).groupBy("component").agg(
         F.count(F.lit(1)).alias("profiles"), F.min("name").alias("name"), F.count("have").alias("imported"),
         F.count(F.when(F.col("linked") & F.col("have").isNull(), 1)).alias("missing_linked"),
-    ).withColumn("person_key", F.concat(F.lit("person-"), F.substr(F.sha1(F.col("component").cast("string").cast("binary")), F.lit(1), F.lit(12))))
+    ).withColumn("person_key", _person_key(F.col("component")))
+
+
+def person_candidate_keys(members: DataFrame, known: DataFrame, links: DataFrame) -> DataFrame:
+    """(person_key, role, value): the names of each component, its imported
+    profiles and its linked profiles that are not imported, a row each, so that no
+    component is gathered."""
+    rows = _flagged(members, known, links).withColumn("person_key", _person_key(F.col("component")))
+    tag = lambda kept, role, value: kept.select("person_key", F.lit(role).alias("role"), F.col(value).cast("string").alias("value"))
+    return tag(rows.select("person_key", "name").distinct(), "name", "name").unionByName(tag(rows.where("have"), "imported", "node")).unionByName(
+        tag(rows.where("linked AND have IS NULL"), "missing_linked", "node"))

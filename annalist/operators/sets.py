@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
-    """First ``k`` rows of each key. Spark keeps ``k`` rows per key and input
-    partition before the shuffle, so a hot key arrives already cut down."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__rn", rank).where(F.col("__rn") <= k).drop("__rn")
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
+    """First ``k`` rows of each key, with their ``rank`` from 1 if it is named.
+    Spark keeps ``k`` rows per key and input partition before the shuffle, so a
+    hot key arrives already cut down."""
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    kept = df.withColumn(rank or "__rn", number).where(F.col(rank or "__rn") <= k)
+    return kept if rank else kept.drop("__rn")
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

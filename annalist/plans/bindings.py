@@ -190,6 +190,23 @@ VIEWS: dict[str, str] = {
           CAST(DATE '1998-01-01' + CAST(page_id % 900 AS INT) AS DATE) AS first_seen,
           CAST(DATE '1999-01-01' + CAST(page_id % 700 AS INT) AS DATE) AS last_seen
         FROM {pages}""",
+    # Bills that share titles, votes that quote them, and discoveries of votes' own addresses.
+    "named_bills": """
+        SELECT id, 'Proiect de lege privind ' || lower(status) || ' ' || CAST(id % 20 AS STRING) AS title, chamber_of_origin,
+          senate_identifier, deputies_identifier, source_id FROM {bills}""",
+    "titled_votes": """
+        SELECT v.id, v.bill_id, v.chamber,
+          CASE WHEN v.id % 3 = 0 THEN 'Raport comun despre ' || b.title || ' x' WHEN v.id % 31 = 1 THEN 'Vot asupra AMA ' || CAST(v.id AS STRING) || ' la proiect'
+            ELSE v.title END AS title,
+          v.held_on, v.present, v.for_count, v.against, v.abstention, v.present_not_voting,
+          CASE WHEN v.id % 7 = 0 THEN NULL ELSE CAST(v.id % 4 AS INT) END AS absent, v.source_id
+        FROM {votes} AS v JOIN {orders} AS o ON o.o_orderkey = v.id JOIN {named_bills} AS b ON b.id = o.o_custkey""",
+    "found_pages": """
+        SELECT id, chamber, kind,
+          CASE WHEN id % 6 = 1 THEN 'https://www.chamber.example/pls/vot?idv=' || CAST(id AS STRING)
+            WHEN id % 6 = 3 THEN 'http://www.chamber.example/bill/' || CAST(id % 700 AS STRING) ELSE source_url END AS source_url,
+          official_id, CASE WHEN id % 4 = 1 THEN 'Despre proiect de lege privind building ' || CAST(id % 20 AS STRING) END AS title,
+          CAST(DATE '1997-01-01' + CAST(id % 900 AS INT) AS DATE) AS discovered_on, status FROM {discoveries}""",
     "formation_events": """
         SELECT n_nationkey AS id, CAST(DATE '1995-04-01' + 90 * n_nationkey AS DATE) AS occurred_on,
           CASE n_nationkey % 4 WHEN 0 THEN 'party_merged' WHEN 1 THEN 'party_absorbed' WHEN 2 THEN 'party_renamed'

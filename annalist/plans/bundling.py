@@ -93,36 +93,6 @@ def _(t):
     return bd.profiles(profile_pages(t))[0]
 
 
-def nested_profiles(t):
-    groups = t.memberships.groupBy("member_id").agg(F.array_sort(F.collect_list(F.struct(F.col("group_id").alias("label"), "starts_on", "ends_on"))).alias("groups"))
-    committees = t.committee_terms.groupBy("member_id").agg(F.array_sort(F.collect_set(F.struct(F.col("committee_name").alias("name")))).alias("committees"))
-    return t.mandates.join(groups, "member_id").join(committees, "member_id").join(t.members.select(F.col("id").alias("member_id"), "display_name"), "member_id").select(
-        F.col("member_id").cast("string").alias("profile_key"), F.col("display_name").alias("name"), "chamber", "legislature_id", F.split("id", "-")[1].cast("int").alias("position"), "groups", "committees")
-
-
-@query("i16_profiles_normalized", "I16 I17", """
-    SELECT 'members' AS model, count(*) AS row_count FROM (SELECT DISTINCT member_id FROM mandates) UNION ALL SELECT 'mandates', count(*) FROM (SELECT DISTINCT member_id, legislature_id, chamber FROM mandates)
-    UNION ALL SELECT 'memberships', count(*) FROM (SELECT DISTINCT member_id, group_id, starts_on FROM memberships) UNION ALL SELECT 'committees', count(*) FROM (SELECT DISTINCT member_id, committee_name FROM committee_terms)""")
-def _(t):
-    return ig.reset(ig.normalize_profiles(nested_profiles(t)))[1]
-
-
-@query("i18_seeded_alignments", "I18 I19", """
-    SELECT a.government_id, a.party_id, a.alignment, CASE WHEN a.alignment = 'support' THEN g.starts_on ELSE a.starts_on END AS starts_on, coalesce(a.ends_on, g.ends_on) AS ends_on
-    FROM government_party_alignments a JOIN governments g ON g.id = a.government_id""")
-def _(t):
-    own = F.when(F.col("alignment") != "support", F.col("starts_on"))
-    nested = t.government_party_alignments.groupBy(F.col("government_id").alias("id")).agg(
-        F.collect_list(F.struct("party_id", "alignment", own.alias("starts_on"), "ends_on")).alias("alignments"))
-    seeds = t.governments.join(nested, "id").withColumn("roles", F.array(F.struct(F.col("prime_minister_id").alias("person"), F.lit("PM").alias("title"))))
-    return ig.seed_governments(seeds)[2]
-
-
-@query("i13_reset_counts", "I13", "SELECT 'mandates' AS model, count(*) AS row_count FROM mandates UNION ALL SELECT 'memberships', count(*) FROM memberships")
-def _(t):
-    return ig.reset({"mandates": t.mandates, "memberships": t.memberships})[1]
-
-
 @query("i20_published_bill_summary", "I20 G1", SUMMARY_SQL)
 def _(t):
     root = fresh_root(t)
@@ -140,19 +110,28 @@ def _(t):
 
 
 @query("u4_discoveries_merged", "U4 I5", """
-    SELECT id, source_url, coalesce(official_id, 'L' || id || '/1998') AS official_id, 'imported' AS status, first_seen, greatest(last_seen, DATE '2001-01-01') AS last_seen FROM (
-      SELECT min(id) AS id, source_url, NULL AS official_id FROM discoveries GROUP BY 2) x JOIN discoveries d USING (id, source_url)""".replace("coalesce(official_id, 'L' || id || '/1998') AS official_id", "d.official_id").replace(", NULL AS official_id", ""))
-def _(t):
+    WITH inc AS (SELECT CASE WHEN page_id % 3 = 1 THEN NULL ELSE url END AS source_url, CASE WHEN page_id % 3 = 1 AND page_id % 4 <> 0 THEN 'L' || page_id || '/1998' END AS official_id,
+        CASE page_id % 2 WHEN 0 THEN 'senate' ELSE 'deputies' END AS chamber, CASE WHEN page_id % 7 = 1 THEN 'bill' WHEN page_id % 3 = 0 THEN 'bill' ELSE 'vote' END AS kind FROM pages),
+      placed AS (SELECT i.*, coalesce((SELECT min(d.id) FROM discoveries d WHERE d.source_url = i.source_url),
+        (SELECT min(d.id) FROM discoveries d WHERE d.official_id = i.official_id AND d.chamber = i.chamber AND d.kind = i.kind)) AS id FROM inc i),
+      hit AS (SELECT id, max(kind) AS kind FROM placed WHERE id IS NOT NULL GROUP BY 1)
+    SELECT d.id, d.source_url, d.official_id, d.chamber, CASE WHEN h.id IS NULL THEN d.status ELSE 'imported' END AS status, d.first_seen,
+      CASE WHEN h.id IS NULL THEN d.last_seen ELSE greatest(d.last_seen, DATE '2001-01-01') END AS last_seen FROM discoveries d LEFT JOIN hit h ON h.id = d.id
+    UNION ALL SELECT NULL, NULL, official_id, chamber, 'imported', DATE '2001-01-01', DATE '2001-01-01' FROM placed WHERE id IS NULL GROUP BY official_id, chamber, kind""")
+def _(t):
+    """Streamed pages by address, by chamber, kind and number, and by a hash of
+    what there is; the whole table after the merge, new rows without their number."""
     root = fresh_root(t)
-    pages = table_stream(t, "pages")
-    none = F.lit(None).cast("string")
-    incoming = pages.select(F.col("url").alias("source_url"), none.alias("official_id"), none.alias("chamber"), none.alias("kind"), F.lit("imported").alias("status"),
-                            F.to_date(F.lit("2001-01-01")).alias("seen_on"))
+    n = F.col("page_id")
+    incoming = table_stream(t, "pages").select(
+        F.when(n % 3 != 1, F.col("url")).alias("source_url"), F.when((n % 3 == 1) & (n % 4 != 0), F.concat(F.lit("L"), n.cast("string"), F.lit("/1998"))).alias("official_id"),
+        F.when(n % 2 == 0, "senate").otherwise("deputies").alias("chamber"), F.when((n % 7 == 1) | (n % 3 == 0), "bill").otherwise("vote").alias("kind"),
+        F.lit("imported").alias("status"), F.to_date(F.lit("2001-01-01")).alias("seen_on"))
     versions.publish(f"{root}/t", {"discoveries": t.discoveries})
     jobs.merge_discoveries(incoming, f"{root}/t", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     merged = versions.read(t.spark, f"{root}/t", "discoveries")
-    first = t.discoveries.groupBy("source_url").agg(F.min("id").alias("id")).select("id")
-    return merged.join(first, "id", "left_semi").select("id", "source_url", "official_id", "status", "first_seen", "last_seen")
+    known = t.discoveries.select("id", F.lit(True).alias("known"))
+    return merged.join(known, "id", "left").select(F.when(F.col("known"), F.col("id")).alias("id"), "source_url", "official_id", "chamber", "status", "first_seen", "last_seen")
 
 
 @query("u5_bill_summary_refreshed", "U5 G1", SUMMARY_SQL)
@@ -197,14 +176,39 @@ def _(t):
 
 
 @query("x26_career_links", "X25 X26", """
-    SELECT DISTINCT 'leg2000:cam2:idm' || l.l_partkey AS src, 'leg2000:cam2:idm' || m.b AS dst FROM lineitem l
-    JOIN (SELECT l_orderkey, l_suppkey, min(l_partkey) AS b FROM lineitem GROUP BY 1, 2) m ON m.l_orderkey = l.l_orderkey AND m.l_suppkey = l.l_suppkey WHERE l.l_partkey <> m.b""")
+    WITH e AS (SELECT DISTINCT l.l_partkey AS a, m.b FROM lineitem l JOIN (SELECT l_orderkey, l_suppkey, min(l_partkey) AS b FROM lineitem GROUP BY 1, 2) m ON m.l_orderkey = l.l_orderkey AND m.l_suppkey = l.l_suppkey WHERE l.l_partkey <> m.b)
+    SELECT 'edge' AS kind, 'leg2000:cam2:idm' || a AS src, 'leg2000:cam2:idm' || b AS dst FROM e
+    UNION ALL SELECT 'replaces', 'leg2000:cam2:idm' || a, 'leg2000:cam2:idm' || b FROM e WHERE b % 3 = 0
+    UNION ALL SELECT DISTINCT 'photo', 'leg2000:cam2:idm' || a, 'https://www.chamber.example/foto/' || a || '.jpg' FROM e
+    UNION ALL SELECT DISTINCT 'party_logo', 'leg2000:cam2:idm' || a, 'https://www.chamber.example/sigle/p.png?x=1' FROM e""")
 def _(t):
     """Profile pages that link to the parts the same supplier delivers."""
     from annalist.operators import pages as pg
     from annalist.plans.resolving import career_edges
     address = lambda c: F.concat(F.lit("https://www.chamber.example/mp?leg=2000&cam=2&idm="), F.col(c).cast("string"))
-    anchors = career_edges(t).withColumn("a", F.concat(F.lit("<a href=\""), address("dst"), F.lit("\">alt mandat</a>")))
-    built = anchors.groupBy("src").agg(F.array_join(F.array_sort(F.collect_list("a")), "").alias("html"))
-    edges, _, _ = pg.career_links(built.select(F.col("src").alias("page_id"), address("src").alias("url"), "html"))
-    return edges
+    said = F.when(F.col("dst") % 3 == 0, "Înlocuiește pe").otherwise("alt mandat")
+    anchors = career_edges(t).withColumn("a", F.concat(F.lit("<a href=\""), address("dst"), F.lit("\">"), said, F.lit("</a>")))
+    images = F.concat(F.lit("<a href=\"/foto/"), F.col("src").cast("string"), F.lit(".jpg\">foto</a><a href=\"/sigle/p.png?x=1\">sigla</a>"))
+    built = anchors.groupBy("src").agg(F.array_join(F.array_sort(F.collect_list("a")), "").alias("links"))
+    pages = built.select(F.col("src").alias("page_id"), address("src").alias("url"), F.concat("links", images).alias("html"))
+    edges, replaced, assets = pg.career_links(pages)
+    tag = lambda rows, kind, dst: rows.select(kind.alias("kind"), "src", F.col(dst).alias("dst"))
+    return tag(edges, F.lit("edge"), "dst").unionByName(tag(replaced, F.lit("replaces"), "replaced")).unionByName(tag(assets, F.col("asset_type"), "href"))
+
+
+@query("r21_member_page_sections", "R21", """
+    WITH p AS (SELECT id AS member_id, coalesce('p' || person_id, 'm' || id) AS person FROM members),
+      md AS (SELECT p.person, m.*, l.starts_on AS l_s, l.ends_on AS l_e FROM mandates m JOIN p USING (member_id) JOIN legislatures l ON l.id = m.legislature_id),
+      sel AS (SELECT person, arg_max(legislature_id, l_s) AS lid, max(l_s) AS l_s, arg_max(l_e, l_s) AS l_e FROM md GROUP BY 1),
+      cur AS (SELECT md.person, md.member_id, md.id, md.starts_on, least(md.ends_on, md.l_e) AS until FROM md JOIN sel ON sel.person = md.person AND sel.lid = md.legislature_id
+        QUALIFY row_number() OVER (PARTITION BY md.person ORDER BY md.starts_on DESC, md.id DESC) = 1)
+    SELECT person, 'related' AS section, CAST(member_id AS VARCHAR) AS item, CAST(NULL AS DATE) AS "on" FROM p
+    UNION ALL SELECT person, 'mandates', id, starts_on FROM md UNION ALL SELECT person, 'memberships', s.id, s.starts_on FROM memberships s JOIN p USING (member_id)
+    UNION ALL SELECT person, 'affiliations', a.id, a.starts_on FROM affiliations a JOIN p USING (member_id) UNION ALL SELECT person, 'committees', c.id, c.starts_on FROM committee_terms c JOIN p USING (member_id)
+    UNION ALL SELECT person, 'roles', r.id, r.starts_on FROM role_terms r JOIN p USING (member_id) UNION ALL SELECT person, 'selected_legislature', lid, l_s FROM sel UNION ALL SELECT person, 'mandate', id, starts_on FROM cur
+    UNION ALL SELECT person, 'membership', sid, s_s FROM (SELECT cur.person, s.id AS sid, s.starts_on AS s_s FROM cur JOIN memberships s ON s.member_id = cur.member_id AND s.starts_on <= cur.until AND (s.ends_on IS NULL OR s.ends_on >= cur.starts_on)
+      QUALIFY row_number() OVER (PARTITION BY cur.person ORDER BY s.starts_on DESC, s.id DESC) = 1)
+    UNION ALL SELECT p.person, 'votes', b.id, v.held_on FROM ballots b JOIN p USING (member_id) JOIN votes v ON v.id = b.vote_id JOIN sel ON sel.person = p.person AND v.held_on >= sel.l_s AND v.held_on < sel.l_e
+    UNION ALL SELECT DISTINCT p.person, 'sponsored', CAST(s.bill_id AS VARCHAR), NULL FROM sponsors s JOIN p USING (member_id) JOIN bill_events e ON e.bill_id = s.bill_id JOIN sel ON sel.person = p.person AND e.occurred_on >= sel.l_s AND e.occurred_on < sel.l_e""")
+def _(t):
+    return bd.member_sections(t.members, t.mandates, t.legislatures, t.memberships, t.affiliations, t.committee_terms, t.role_terms, t.ballots, t.votes, t.sponsors, t.bill_events)

@@ -138,3 +138,63 @@ def _(t):
     raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("{bad "), "props")).otherwise(F.col("props"))
     parsed = F.coalesce(F.from_json(raw, T.MapType(T.StringType(), T.StringType()), {"mode": "PERMISSIVE"}), F.create_map().cast("map<string,string>"))
     return t.events.select("event_id", parsed.alias("m")).select("event_id", F.size("m").alias("keys"), F.col("m")["k"].alias("k"))
+
+
+# Labels and what they are read as: the rule tables met by real wordings.
+PARTY_LABELS = (
+    ("Partidul Social Democrat", "psd"), ("PNL", "pnl"), ("Uniunea Salvați România", "usr"), ("AUR", "aur"), ("U.D.M.R.", None), ("UDMR", "udmr"),
+    ("Alianța Liberalilor și Democraților", "alde"), ("Partidul Democrației Sociale din România", "pdsr"), ("Uniunea Social Liberală", None),
+    ("Convenția Democrată Română", None), ("Minoritățile naționale", "minoritati"), ("Frontul Salvării Naționale", "fsn"), ("S.O.S. România", "sos-ro"), ("Formațiune nouă", None),
+)
+STEP_LABELS = (
+    ("Curtea Constituțională", "constitutional_review"), ("Adoptat de Senat", "adopted_by_senate"), ("Vot final", "final_vote"), ("Trimis la promulgare", "promulgation"),
+    ("Dezbatere în plenul Camerei", "plenary_debate"), ("Primire raport", "committee_report_received"), ("Primire aviz", "committee_opinion_received"),
+    ("Trimis pentru aviz", "committee_opinion_requested"), ("Trimis pentru raport", "sent_to_committee"), ("Înaintat la Senat", "sent_to_senate"),
+    ("Înregistrat la Camera Deputaților", "sent_to_deputies"), ("Prezentare în plen", "registered"), ("Altceva", "other"),
+)
+DOCUMENT_LABELS = (
+    ("Forma adoptată de Cameră", "adopted_form"), ("Forma pentru promulgare", "promulgation_form"), ("pl123_cd_1.pdf", "adopted_form"), ("Proiect de lege", "proposal"),
+    ("Forma adoptată de Senat", "senate_adopted_form"), ("Raport", "committee_report"), ("av12.pdf", "committee_opinion"), ("Adresa", "other"),
+)
+HINT_LABELS = (
+    ("A fost reînființat", "party_reestablished"), ("Fondat în 1990", "party_founded"), ("A fost absorbit", "party_absorbed"), ("A fuzionat", "party_merged"), ("Alianța", "alliance_context"),
+    ("S-a dizolvat", "party_or_alliance_dissolved"), ("Redenumit", "party_renamed"), ("S-a desprins", "party_split"), ("Un congres", "history_context"),
+)
+
+
+def _picked(labels, number):
+    return F.element_at(F.array(*[F.lit(said) for said, _ in labels]), (number % len(labels) + 1).cast("int"))
+
+
+def _expected_sql(labels, number):
+    cases = " ".join(f"WHEN {k} THEN " + ("NULL" if read is None else f"'{read}'") for k, (_, read) in enumerate(labels))
+    return f"CASE {number} % {len(labels)} {cases} END"
+
+
+@query("f27_party_labels", "F27", f"SELECT p_partkey AS id, {_expected_sql(PARTY_LABELS, 'p_partkey')} AS party FROM part")
+def _(t):
+    return t.part.select(F.col("p_partkey").alias("id"), cl.party_of(_picked(PARTY_LABELS, F.col("p_partkey"))).alias("party"))
+
+
+@query("f29_steps_documents_hints", "F29 F30 F33", f"""SELECT id, {_expected_sql(STEP_LABELS, 'id')} AS step, {_expected_sql(DOCUMENT_LABELS, 'id')} AS document, {_expected_sql(HINT_LABELS, 'id')} AS hint FROM votes""")
+def _(t):
+    n = F.col("id")
+    return t.votes.select("id", cl.step_type(_picked(STEP_LABELS, n)).alias("step"), cl.document_kind(_picked(DOCUMENT_LABELS, n), F.lit("")).alias("document"),
+                          cl.event_hint(_picked(HINT_LABELS, n)).alias("hint"))
+
+
+@query("f31_bill_facts", "F31", """
+    SELECT id, CASE id % 4 WHEN 0 THEN 'deputies' WHEN 1 THEN 'senate' WHEN 2 THEN 'deputies' ELSE 'unknown' END AS origin, CASE id % 3 WHEN 0 THEN 'deputies' WHEN 1 THEN 'senate' END AS decided_by,
+      CASE WHEN id % 5 = 0 THEN 'unknown' ELSE 'la comisii ' || id END AS stage, CASE id % 3 WHEN 0 THEN 'Guvernul României' WHEN 1 THEN 'deputat ' || id ELSE 'Inițiator necunoscut' END AS sponsor,
+      CASE id % 3 WHEN 0 THEN 'senate' WHEN 1 THEN 'deputies' END AS source, CASE WHEN id % 2 = 0 THEN 'Comisia pentru buget ' || id END AS committee FROM bills""")
+def _(t):
+    n, s = F.col("id"), F.col("id").cast("string")
+    way = F.when(n % 4 == 0, "Înaintat la Senat").when(n % 4 == 1, "transmisă Camerei Deputaților").when(n % 4 == 2, "Camera Deputaților").otherwise("plen")
+    decides = F.when(n % 3 == 0, " | Cameră decizională: Camera Deputaților |").when(n % 3 == 1, " | camera decizionala - Senat |").otherwise(" | fără |")
+    stage = F.when(n % 5 != 0, F.concat(F.lit(" Stadiu: la comisii "), s, F.lit(" |"))).otherwise("")
+    sponsor = F.when(n % 3 == 0, " Iniţiator: Guvern |").when(n % 3 == 1, F.concat(F.lit(" Initiator: deputat "), s, F.lit(" |"))).otherwise("")
+    committee = F.when(n % 2 == 0, F.concat(F.lit("; Comisia pentru buget "), s, F.lit("; x"))).otherwise("")
+    text = F.concat(way, decides, stage, sponsor, committee)
+    origin = F.when(n % 3 == 0, "Adresa SE ").when(n % 3 == 1, "Adresa CD").otherwise("Adresa")
+    return t.bills.select("id", cl.origin_chamber(way).alias("origin"), cl.decision_chamber(text).alias("decided_by"), cl.stage_of(text).alias("stage"), cl.sponsor_of(text).alias("sponsor"),
+                          cl.source_chamber(origin).alias("source"), cl.committee_of(text).alias("committee"))

@@ -65,13 +65,23 @@ def _(t):
     return dx.assemble(dx.chunk_rows(t.docs))
 
 
-@query("x3_document_sections", "X3 X5", "WITH " + SECTIONS_SQL + """
-    SELECT document_id, position, heading, section_type, number, key, key || '-' || position AS section_id, text FROM sections""")
+# Offsets: raw lines by a running sum of their lengths, the heads among those that are not empty.
+OFFSETS_SQL = SECTIONS_SQL + f""",
+    raw AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM (SELECT id, replace(text, chr(13), chr(10)) AS text FROM legal)),
+    placed AS (SELECT id, pos, {strip_sql('line')} AS line, coalesce(sum(length(line) + 1) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM raw),
+    kept AS (SELECT id, off, row_number() OVER (PARTITION BY id ORDER BY pos) AS pos FROM placed WHERE length(line) > 0),
+    heads AS (SELECT k.id AS document_id, n, CAST(min(off) AS BIGINT) AS start_offset FROM kept k JOIN numbered t ON t.id = k.id AND t.pos = k.pos GROUP BY 1, 2),
+    offsets AS (SELECT document_id, n, start_offset, coalesce(lead(start_offset) OVER (PARTITION BY document_id ORDER BY n), length(l.text)) AS end_offset FROM heads JOIN legal l ON l.id = document_id)"""
+
+
+@query("x3_document_sections", "X3 X5", "WITH " + OFFSETS_SQL + """
+    SELECT s.document_id, position, heading, section_type, number, key, key || '-' || position AS section_id, text, start_offset, end_offset
+    FROM sections s JOIN offsets o ON o.document_id = s.document_id AND o.n = s.n""")
 def _(t):
-    return dx.section_rows(legal(t)).select("document_id", "position", "heading", "section_type", "number", "key", "section_id", "text")
+    return dx.section_rows(legal(t)).select("document_id", "position", "heading", "section_type", "number", "key", "section_id", "text", "start_offset", "end_offset")
 
 
-@query("x4_section_warnings", "X4", "WITH " + SECTIONS_SQL + r""",
+WARNINGS_SQL = SECTIONS_SQL + r""",
     stats AS (SELECT document_id, count(*) FILTER (section_type <> 'preamble') AS own, count(*) AS total, max(length(text)) AS longest,
         count(DISTINCT key) FILTER (section_type <> 'preamble') AS keys, bool_and(section_type = 'amendment') FILTER (section_type <> 'preamble') AS minor,
         count(*) FILTER (section_type <> 'preamble' AND length(text) < 80) AS short FROM sections GROUP BY 1),
@@ -80,7 +90,10 @@ def _(t):
         CASE WHEN (own > 0 AND minor) OR (coalesce(own, 0) = 0 AND regexp_matches(text, '(?i)\b(se\s+modific[ăa]|se\s+completeaz[ăa]|se\s+abrog[ăa]|va\s+avea\s+urm[ăa]torul\s+cuprins|dup[ăa]\s+.*se\s+introduce)\b')) THEN 'amendment_only_document' END,
         CASE WHEN longest > 8000 THEN 'huge_section' END, CASE WHEN keys < own THEN 'duplicate_section_heading' END,
         CASE WHEN own >= 8 AND short / own > 0.5 THEN 'too_many_short_sections' END], lambda x: x IS NOT NULL) AS ws, text
-        FROM legal l LEFT JOIN stats s ON s.document_id = l.id)
+        FROM legal l LEFT JOIN stats s ON s.document_id = l.id)"""
+
+
+@query("x4_section_warnings", "X4", "WITH " + WARNINGS_SQL + """
     SELECT document_id, sections, array_to_string(CASE WHEN sections = 0 THEN ['empty_text'] ELSE ws END, ',') AS warnings,
       CASE WHEN sections > 0 AND len(ws) = 0 THEN 'good' WHEN sections > 0 AND len(ws) <= 2 AND own > 0 THEN 'partial' ELSE 'weak' END AS quality FROM w""")
 def _(t):

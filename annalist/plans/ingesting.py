@@ -51,16 +51,18 @@ def _(t):
       placed AS (SELECT i.*, coalesce((SELECT min(d.id) FROM discoveries d WHERE d.source_url = i.source_url),
         (SELECT min(d.id) FROM discoveries d WHERE d.official_id = i.official_id AND d.chamber = i.chamber AND d.kind = i.kind)) AS id FROM inc i),
       m AS (SELECT id, arg_max(source_url, source_url) AS source_url, arg_max(official_id, source_url) FILTER (official_id IS NOT NULL) AS official_id FROM placed WHERE id IS NOT NULL GROUP BY 1)
-    SELECT coalesce(m.source_url, d.source_url) AS source_url, coalesce(m.official_id, d.official_id) AS official_id, d.chamber, d.kind,
+    SELECT d.id, coalesce(m.source_url, d.source_url) AS source_url, coalesce(m.official_id, d.official_id) AS official_id, d.chamber, d.kind,
       CASE WHEN m.id IS NULL THEN d.status ELSE 'imported' END AS status, d.failure_count, d.first_seen, CASE WHEN m.id IS NULL THEN d.last_seen ELSE greatest(d.last_seen, DATE '2001-01-01') END AS last_seen
     FROM discoveries d LEFT JOIN m ON m.id = d.id
-    UNION ALL SELECT source_url, max(official_id), any_value(chamber), any_value(kind), 'imported', 0, DATE '2001-01-01', DATE '2001-01-01' FROM placed WHERE id IS NULL GROUP BY source_url""")
+    UNION ALL SELECT NULL, source_url, max(official_id), any_value(chamber), any_value(kind), 'imported', 0, DATE '2001-01-01', DATE '2001-01-01' FROM placed WHERE id IS NULL GROUP BY source_url""")
 def _(t):
     changed = t.discoveries.select(
         F.when(F.col("id") % 3 == 0, F.concat("source_url", F.lit("&new"))).otherwise(F.col("source_url")).alias("source_url"),
         F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("official_id")).alias("official_id"), "chamber", "kind",
         F.lit("imported").alias("status"), F.to_date(F.lit("2001-01-01")).alias("seen_on"))
-    return ig.upsert_discoveries(t.discoveries, changed).drop("id")
+    # a new row's number is a hash that SQL lacks; it is shown as null
+    known = t.discoveries.select("id", F.lit(True).alias("known"))
+    return ig.upsert_discoveries(t.discoveries, changed).join(known, "id", "left").withColumn("id", F.when(F.col("known"), F.col("id"))).drop("known")
 
 
 OUTCOMES = "(SELECT id, CASE id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'imported' WHEN 2 THEN 'partial' ELSE 'skipped' END AS outcome FROM discoveries WHERE status <> 'skipped')"
@@ -113,7 +115,7 @@ def _(t):
     return ig.assign(t.members.select("id", "person_id"), t.part.where("p_size > 25").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("person_id")), "id", "person_id")
 
 
-@query("i12_cascade_counts", "I12 I14", """
+@query("i12_cascade_counts", "I12", """
     WITH d AS (SELECT id FROM members WHERE party_id = 'PROMO')
     SELECT 'parents' AS child, count(*) AS deleted FROM d UNION ALL SELECT 'mandates', count(*) FROM mandates WHERE member_id IN (SELECT id FROM d)
     UNION ALL SELECT 'ballots', count(*) FROM ballots WHERE member_id IN (SELECT id FROM d)""")
@@ -157,7 +159,7 @@ def _(t):
     return rp.grouped_counts(t.discoveries, [["kind"], ["chamber"], []], "source_url")
 
 
-@query("g34_missing_fields", "G34 R19", """
+@query("g34_missing_fields", "G34", """
     SELECT legislature_id, chamber, count(*) AS rows, count(*) FILTER (constituency IS NULL) AS missing_constituency, count(*) FILTER (ends_on IS NULL) AS missing_ends_on FROM mandates GROUP BY 1, 2""")
 def _(t):
     return rp.missing_fields(t.mandates, ["legislature_id", "chamber"], ["constituency", "ends_on"])
@@ -180,14 +182,30 @@ def _(t):
 DOUBLES = """(SELECT id FROM bills WHERE deputies_identifier IN (SELECT deputies_identifier FROM bills GROUP BY 1 HAVING count(*) > 1))"""
 
 
-@query("g29_dependent_rows", "G29", f"""
-    SELECT 'votes' AS child, bill_id AS parent_id, count(*) AS rows FROM votes WHERE bill_id IN {DOUBLES} GROUP BY 2
-    UNION ALL SELECT 'events', bill_id, count(*) FROM bill_events WHERE bill_id IN {DOUBLES} GROUP BY 2
-    UNION ALL SELECT 'sponsors', bill_id, count(*) FROM sponsors WHERE bill_id IN {DOUBLES} GROUP BY 2""")
-def _(t):
+CHILDREN_SQL = {"events": "SELECT bill_id FROM bill_events", "procedure_steps": "SELECT bill_id FROM bill_events WHERE label = 'Raport'", "documents": "SELECT bill_no AS bill_id FROM docs",
+                "sponsors": "SELECT bill_id FROM sponsors", "votes": "SELECT bill_id FROM votes WHERE bill_id IS NOT NULL", "text_chunks": "SELECT bill_no AS bill_id FROM docs WHERE length(text) > 500"}
+
+
+def doubles(t):
     shared = t.bills.where("deputies_identifier IS NOT NULL").groupBy("deputies_identifier").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    doubles = t.bills.join(shared, "deputies_identifier", "left_semi")
-    return rp.dependents(doubles, {"votes": t.votes, "events": t.bill_events, "sponsors": t.sponsors}, "bill_id")
+    return t.bills.join(shared, "deputies_identifier", "left_semi")
+
+
+def children(t):
+    docs = t.docs.select(F.col("bill_no").alias("bill_id"), "text")
+    return {"events": t.bill_events, "procedure_steps": t.bill_events.where("label = 'Raport'"), "documents": docs, "sponsors": t.sponsors,
+            "votes": t.votes.where("bill_id IS NOT NULL"), "text_chunks": docs.where("length(text) > 500")}
+
+
+@query("g29_dependent_rows", "G29", " UNION ALL ".join(
+    f"SELECT '{name}' AS child, bill_id AS parent_id, count(*) AS rows FROM ({rows}) WHERE bill_id IN {DOUBLES} GROUP BY 2" for name, rows in CHILDREN_SQL.items()))
+def _(t):
+    return rp.dependents(doubles(t), children(t), "bill_id")
+
+
+@query("g29_merge_plan", "G29", f"SELECT b.id, b.title, " + ", ".join(f"(SELECT count(*) FROM ({rows}) x WHERE x.bill_id = b.id) AS {name}" for name, rows in CHILDREN_SQL.items()) + f" FROM bills b WHERE b.id IN {DOUBLES}")
+def _(t):
+    return rp.merge_plan(doubles(t).select("id", "title"), children(t), "bill_id")
 
 
 @query("g38_people_merged", "G38", """
@@ -215,7 +233,47 @@ def _(t):
     return rp.retention(t.discoveries.select("id", F.col("kind").alias("category"), F.col("last_seen").alias("modified_on")), "2000-06-01", 10, 365)
 
 
-@query("b19_work_queue", "B19 B20 B21", """
+@query("b19_work_queue_filtered", "B19", """
+    SELECT id, kind, chamber, failure_count, first_seen, last_seen FROM discoveries WHERE status IN ('pending', 'partial', 'failed') AND chamber = 'senate' AND year(first_seen) IN (1998, 1999) AND failure_count < 3
+    ORDER BY failure_count, last_seen DESC, id LIMIT 25""")
+def _(t):
+    ready, _ = rp.work_queue(t.discoveries.select("id", "kind", "chamber", "status", "failure_count", "first_seen", "last_seen"), 25, chamber="senate", years=[1998, 1999])
+    return ready.drop("status")
+
+
+@query("b20_asset_selection", "B20", """
+    SELECT a.id, m.legislature_id, a.logo_url FROM affiliations a JOIN mandates m ON m.id = a.id WHERE a.logo_url IS NOT NULL AND starts_with(m.legislature_id, 'L199') ORDER BY a.member_id, a.id LIMIT 200""")
+def _(t):
+    items = t.affiliations.join(t.mandates.select("id", "legislature_id"), "id").select(
+        "id", F.when(F.col("logo_url").isNotNull(), "party_logo").otherwise("photo").alias("asset_type"), "legislature_id", F.col("member_id").alias("position"), "logo_url")
+    return rp.select_assets(items, "party_logo", "L199", 200).select("id", "legislature_id", "logo_url")
+
+
+QUEUED_SQL = """SELECT d.id, d.bill_no AS bill_id, d.kind, d.text_status, coalesce(s.latest_event_on, s.submitted_on) AS event_on
+    FROM (SELECT *, CASE kind_no WHEN 0 THEN 'proposal' WHEN 1 THEN 'adopted_form' ELSE 'other' END AS kind, CASE id % 7 WHEN 0 THEN 'pending' WHEN 1 THEN 'failed' WHEN 2 THEN 'missing' WHEN 3 THEN 'unsupported' ELSE 'stored' END AS text_status FROM docs) d
+    LEFT JOIN (SELECT bill_id, min(occurred_on) AS submitted_on, max(occurred_on) AS latest_event_on FROM bill_events GROUP BY 1) s ON s.bill_id = d.bill_no WHERE """
+
+
+def text_queue(t, **options):
+    kind = F.when(F.col("kind_no") == 0, "proposal").when(F.col("kind_no") == 1, "adopted_form").otherwise("other")
+    status = F.element_at(F.array(*[F.lit(x) for x in ("pending", "failed", "missing", "unsupported", "stored", "stored", "stored")]), (F.col("id") % 7 + 1).cast("int"))
+    documents = t.docs.select("id", F.col("bill_no").alias("bill_id"), kind.alias("kind"), status.alias("text_status"))
+    dates = t.bill_events.groupBy("bill_id").agg(F.min("occurred_on").alias("submitted_on"), F.max("occurred_on").alias("latest_event_on"))
+    return rp.text_queue(documents, dates, **options).select("id", "bill_id", "kind", "text_status", "event_on")
+
+
+@query("b21_text_queue", "B21", QUEUED_SQL + "d.kind = 'proposal' AND d.text_status = 'pending' ORDER BY event_on DESC NULLS LAST, d.bill_no, d.id LIMIT 10")
+def _(t):
+    return text_queue(t)
+
+
+@query("b21_text_queue_of_year", "B21", QUEUED_SQL + """d.kind = 'adopted_form' AND d.text_status IN ('pending', 'failed', 'missing', 'unsupported') AND year(coalesce(s.latest_event_on, s.submitted_on)) = 1998
+    ORDER BY event_on DESC NULLS LAST, d.bill_no, d.id LIMIT 40""")
+def _(t):
+    return text_queue(t, kind="adopted_form", year=1998, unsupported=True, limit=40)
+
+
+@query("b19_work_queue", "B19", """
     SELECT id, kind, failure_count, last_seen FROM discoveries WHERE status IN ('pending', 'partial', 'failed') AND kind = 'vote' AND failure_count < 3
     ORDER BY failure_count, last_seen DESC, id LIMIT 25""")
 def _(t):

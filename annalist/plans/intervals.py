@@ -169,18 +169,9 @@ def _(t):
     return parties.sample_members(parties.party_window_members(evidence(t), persons(t)))
 
 
-# Each vote is held by one of a hundred boards, so a roster is a board's size.
-def board_votes(t):
-    return t.votes.withColumn("chamber", F.concat_ws("-", "chamber", (F.col("id") % 100).cast("string")))
-
-
-def board_mandates(t):
-    return t.mandates.withColumn("chamber", F.concat_ws("-", "chamber", (F.col("member_id") % 100).cast("string")))
-
-
 SEATS_SQL = """
     WITH roster AS (SELECT DISTINCT v.id AS vote_id, m.member_id, v.held_on FROM votes v JOIN mandates m
-        ON m.chamber = v.chamber AND m.member_id % 100 = v.id % 100 JOIN legislatures l ON l.id = m.legislature_id
+        ON m.chamber = v.chamber JOIN legislatures l ON l.id = m.legislature_id
         WHERE m.starts_on <= v.held_on AND least(m.ends_on, l.ends_on) >= v.held_on),
       everyone AS (SELECT vote_id, member_id, held_on FROM roster UNION
         SELECT b.vote_id, b.member_id, v.held_on FROM ballots b JOIN votes v ON v.id = b.vote_id),
@@ -191,11 +182,6 @@ SEATS_SQL = """
         b.id IS NOT NULL AS voted FROM placed p LEFT JOIN ballots b ON b.vote_id = p.vote_id AND b.member_id = p.member_id)"""
 
 
-@query("s3_seat_rows", "S3 R10", SEATS_SQL + " SELECT * FROM seats")
-def _(t):
-    return parties.seat_rows(board_votes(t), t.ballots, board_mandates(t), t.legislatures, t.memberships)
-
-
 def capped_seats(rows):
     missing = ~F.col("voted")
     return rows.groupBy("vote_id").agg(
@@ -203,27 +189,12 @@ def capped_seats(rows):
         F.coalesce(F.min(F.when(missing, F.col("member_id").cast("string"))), F.lit("")).alias("first_absent"))
 
 
-@query("t11_seat_rows_capped", "T11 R10", SEATS_SQL + """,
-      n AS (SELECT vote_id, count(*) FILTER (voted) AS voters FROM seats GROUP BY 1)
-    SELECT s.vote_id, count(*) AS seats, count(*) FILTER (NOT voted) AS absent,
-      coalesce(min(CAST(member_id AS VARCHAR)) FILTER (NOT voted), '') AS first_absent
-    FROM (SELECT *, row_number() OVER (PARTITION BY vote_id, voted ORDER BY coalesce(group_id, ''), CAST(member_id AS VARCHAR)) AS rn FROM seats) s
-    JOIN n ON n.vote_id = s.vote_id WHERE voted OR voters > 6 OR rn <= 6 - voters GROUP BY 1""")
-def _(t):
-    return capped_seats(parties.seat_rows(board_votes(t), t.ballots, board_mandates(t), t.legislatures, t.memberships, seat_count=6))
-
-
-# The same two over the real chambers: each vote meets the whole roster of its
-# chamber, so the rows grow with votes x members.
-WHOLE_SEATS_SQL = SEATS_SQL.replace(" AND m.member_id % 100 = v.id % 100", "")
-
-
-@query("s3_seat_rows_whole_chamber", "S3 R10", WHOLE_SEATS_SQL + " SELECT * FROM seats")
+@query("s3_seat_rows", "S3 R10", SEATS_SQL + " SELECT * FROM seats")
 def _(t):
     return parties.seat_rows(t.votes, t.ballots, t.mandates, t.legislatures, t.memberships)
 
 
-@query("t11_seat_rows_capped_whole_chamber", "T11 R10", WHOLE_SEATS_SQL + """,
+@query("t11_seat_rows_capped", "T11 R10", SEATS_SQL + """,
       n AS (SELECT vote_id, count(*) FILTER (voted) AS voters FROM seats GROUP BY 1)
     SELECT s.vote_id, count(*) AS seats, count(*) FILTER (NOT voted) AS absent,
       coalesce(min(CAST(member_id AS VARCHAR)) FILTER (NOT voted), '') AS first_absent
@@ -494,8 +465,7 @@ def _(t):
           WHERE hi IS NOT NULL AND (w_e IS NULL OR hi + 1 <= w_e))
     SELECT DISTINCT * FROM u WHERE ends_on IS NULL OR starts_on <= ends_on""")
 def _(t):
-    rows = t.affiliations.where("ends_on IS NULL OR ends_on >= starts_on")
-    return tl.governance_contexts(rows, t.governments, t.government_party_alignments, "id", "party_id")
+    return tl.governance_contexts(t.affiliations, t.governments, t.government_party_alignments, "id", "party_id")
 
 
 @query("w8_segments_deduplicated", "W8", """

@@ -10,7 +10,7 @@ from annalist.operators import audit as au
 from annalist.operators import documents as dx
 from annalist.operators import resolve as rs
 from annalist.operators.readmodels import join_in_window
-from annalist.plans.documents import REASONS_SQL, SECTIONS_SQL, legal, scored
+from annalist.plans.documents import REASONS_SQL, SECTIONS_SQL, WARNINGS_SQL, legal, scored
 from annalist.plans.readmodels import COVERAGE_SQL, coverage, summaries, with_identifiers, SUMMARY_SQL
 from annalist.plans.registry import query
 
@@ -253,14 +253,28 @@ def _(t):
     return person_groups(t)
 
 
-@query("r2_person_candidates", "R2", REACH_SQL + """,
-      c AS (SELECT node, min(seen) AS component FROM reach GROUP BY 1)
-    SELECT c.component, count(*) AS profiles, min(p.p_name) AS name, count(*) FILTER (p.p_partkey % 3 = 0) AS imported,
-      count(*) FILTER (p.p_partkey % 3 <> 0 AND p.p_partkey IN (SELECT b FROM e)) AS missing_linked FROM c JOIN part p ON p.p_partkey = c.node GROUP BY 1""")
-def _(t):
+NAMED_SQL = REACH_SQL + """,
+      c AS (SELECT node, min(seen) AS component FROM reach GROUP BY 1),
+      k AS (SELECT c.component, 'person-' || substr(sha1(CAST(c.component AS VARCHAR)), 1, 12) AS person_key, p.p_name AS name, p.p_partkey AS node, p.p_partkey % 3 = 0 AS have,
+        p.p_partkey IN (SELECT b FROM e) AS linked FROM c JOIN part p ON p.p_partkey = c.node)"""
+
+
+def named_components(t):
     named = person_groups(t).join(t.part.select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name")), "node")
-    known = t.part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("node"))
-    return rs.person_candidates(named, known, career_edges(t)).drop("person_key")
+    return named, t.part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("node")), career_edges(t)
+
+
+@query("r2_person_candidates", "R2", NAMED_SQL + """
+    SELECT component, count(*) AS profiles, min(name) AS name, count(*) FILTER (have) AS imported, count(*) FILTER (NOT have AND linked) AS missing_linked, any_value(person_key) AS person_key FROM k GROUP BY 1""")
+def _(t):
+    return rs.person_candidates(*named_components(t))
+
+
+@query("r2_person_candidate_keys", "R2", NAMED_SQL + """
+    SELECT DISTINCT person_key, 'name' AS role, name AS value FROM k UNION ALL SELECT person_key, 'imported', CAST(node AS VARCHAR) FROM k WHERE have
+    UNION ALL SELECT person_key, 'missing_linked', CAST(node AS VARCHAR) FROM k WHERE NOT have AND linked""")
+def _(t):
+    return rs.person_candidate_keys(*named_components(t))
 
 
 # --- health queues and audits -----------------------------------------------------
@@ -296,14 +310,8 @@ def _(t):
     return au.open_counts(queues(t))
 
 
-@query("r13_section_parse_issues", "R13", "WITH " + SECTIONS_SQL + """
-    SELECT 'weak-section-parse:' || document_id AS issue_key, 'weak-section-parse' AS issue_type, CAST(document_id AS VARCHAR) AS entity_id, 'duplicate_section_heading' AS reason
-    FROM sections WHERE section_type <> 'preamble' GROUP BY document_id HAVING count(DISTINCT key) < count(*)""")
-def _(t):
-    return au.section_issues(dx.parse_sections(legal(t))).where("reason = 'duplicate_section_heading'")
-
-
-@query("r13_section_parse_warnings", "R13")
+@query("r13_section_parse_issues", "R13", "WITH " + WARNINGS_SQL + """
+    SELECT 'weak-section-parse:' || document_id AS issue_key, 'weak-section-parse' AS issue_type, CAST(document_id AS VARCHAR) AS entity_id, unnest(CASE WHEN sections = 0 THEN ['empty_text'] ELSE ws END) AS reason FROM w""")
 def _(t):
     return au.section_issues(dx.parse_sections(legal(t)))
 
@@ -317,53 +325,7 @@ def _(t):
     return t.votes.select("id", *[au.weak_title(F.col("title"), v).alias(v) for v in ("queue", "audit", "dossier")])
 
 
-def _issue_sql(code, severity, rows, n=5):
-    return f"""SELECT '{code}' AS code, '{severity}' AS severity, count(*) AS count, array_to_string((list(CAST(i AS VARCHAR) ORDER BY CAST(i AS VARCHAR)))[1:{n}], ',') AS samples
-      FROM (SELECT i FROM ({rows})) HAVING count(*) > 0"""
-
-
-_WINDOW = "held_on >= DATE '1997-01-01' AND held_on < DATE '1999-01-01'"
-
-
-@query("r17_window_audit", "R17 J33 G24 G25 B23", " UNION ALL ".join([
-    _issue_sql("duplicate_bill_identifier", "error", f"SELECT key AS i FROM {ENTRIES_SQL} GROUP BY key HAVING count(*) > 1"),
-    _issue_sql("duplicate_bill_title_date_chamber", "warning", f"""SELECT key AS i FROM (SELECT chamber_of_origin || '|' || coalesce(CAST(coalesce(submitted_on, latest_event_on) AS VARCHAR), 'unknown') || '|'
-        || {WORDS_SQL.format(x="regexp_replace(title, '[0-9]{3,}', '')")} AS key
-        FROM bills b JOIN ({SUMMARY_SQL}) s ON s.bill_id = b.id) WHERE key NOT LIKE '%unknown%' GROUP BY key HAVING count(*) > 1"""),
-    _issue_sql("duplicate_vote_title_date_chamber_totals", "warning", f"""SELECT key AS i FROM (SELECT chamber || '|' || held_on || '|' || {WORDS_SQL.format(x='title')} || '|' || for_count || '|' || against
-        || '|' || abstention || '|' || present_not_voting AS key FROM votes) WHERE key NOT LIKE '%unknown%' GROUP BY key HAVING count(*) > 1"""),
-    _issue_sql("imported_discovery_without_db_match", "warning", """SELECT id AS i FROM discoveries WHERE status IN ('imported', 'partial') AND CASE WHEN kind = 'bill'
-        THEN NOT EXISTS (SELECT 1 FROM bills b WHERE official_id IN (b.senate_identifier, b.deputies_identifier)) AND NOT EXISTS (SELECT 1 FROM sources s JOIN bills b ON b.source_id = s.id WHERE replace(s.source_url, 'http://', 'https://') = replace(discoveries.source_url, 'http://', 'https://'))
-        ELSE NOT EXISTS (SELECT 1 FROM sources s JOIN votes v ON v.source_id = s.id WHERE replace(s.source_url, 'http://', 'https://') = replace(discoveries.source_url, 'http://', 'https://')) END"""),
-    _issue_sql("vote_without_linked_bill", "warning", f"SELECT id AS i FROM votes WHERE bill_id IS NULL AND {_WINDOW}"),
-    _issue_sql("weak_vote_title", "warning", f"""SELECT id AS i FROM votes WHERE {_WINDOW} AND (length({WORDS_SQL.format(x='title')}) < 18
-        OR {WORDS_SQL.format(x='title')} IN ('chamber vote', 'senate vote', 'vot', 'vot final', 'vot electronic', 'proiect de hotarare'))"""),
-    _issue_sql("non_nominal_vote_coverage", "info", f"SELECT c.vote_id AS i FROM ({COVERAGE_SQL}) c JOIN votes v ON v.id = c.vote_id WHERE c.coverage_level <> 'nominal' AND {_WINDOW}"),
-]))
-def _(t):
-    kept = t.votes.where("held_on >= DATE '1997-01-01' AND held_on < DATE '1999-01-01'")
-    # the test titles are numbered; without the numbers some are alike
-    title = F.regexp_replace("title", "[0-9]{3,}", "")
-    prints = t.bills.join(summaries(t).withColumnRenamed("bill_id", "id"), "id").select(
-        "id", rs.fingerprint(F.col("chamber_of_origin"), F.coalesce("submitted_on", "latest_event_on"), words(title)).alias("key"))
-    totals = [F.col(c) for c in ("for_count", "against", "abstention", "present_not_voting")]
-    vote_prints = t.votes.select("id", rs.fingerprint(F.col("chamber"), F.col("held_on"), words(F.col("title")), *totals).alias("key"))
-    identifiers = t.bills.select(F.explode(F.array("senate_identifier", "deputies_identifier")).alias("official_id")).where("official_id IS NOT NULL")
-    urls_of = lambda rows: rows.select(F.col("source_id").alias("id")).join(t.sources.select("id", "source_url"), "id")
-    unmatched = au.unmatched_discoveries(t.discoveries, identifiers, urls_of(t.bills), urls_of(t.votes))
-    levels = coverage(t).where("coverage_level <> 'nominal'").select(F.col("vote_id").alias("id"))
-    return au.audit_report([
-        au.issue(rs.duplicate_keys(identifier_entries(t), "key", "id"), "duplicate_bill_identifier", "error", "key", 5),
-        au.issue(rs.duplicate_keys(prints, "key", "id", skip_unknown=True), "duplicate_bill_title_date_chamber", "warning", "key", 5),
-        au.issue(rs.duplicate_keys(vote_prints, "key", "id", skip_unknown=True), "duplicate_vote_title_date_chamber_totals", "warning", "key", 5),
-        au.issue(unmatched, "imported_discovery_without_db_match", "warning", "id", 5),
-        au.issue(kept.where("bill_id IS NULL"), "vote_without_linked_bill", "warning", "id", 5),
-        au.issue(kept.where(au.weak_title(F.col("title"), "audit")), "weak_vote_title", "warning", "id", 5),
-        au.issue(kept.join(levels, "id", "left_semi"), "non_nominal_vote_coverage", "info", "id", 5),
-    ])
-
-
-@query("g27_dossier_completeness", "G27 R18", """
+@query("g27_dossier_completeness", "G27", """
     SELECT b.id, coalesce(e.n, 0) AS steps, coalesce(d.n, 0) AS documents, coalesce(v.n, 0) AS votes, (coalesce(e.n, 0) = 0 OR coalesce(d.n, 0) = 0) AS incomplete FROM bills b
     LEFT JOIN (SELECT bill_id, count(*) AS n FROM bill_events WHERE label = 'Raport' GROUP BY 1) e ON e.bill_id = b.id
     LEFT JOIN (SELECT bill_no, count(*) AS n FROM docs GROUP BY 1) d ON d.bill_no = b.id LEFT JOIN (SELECT bill_id, count(*) AS n FROM votes GROUP BY 1) v ON v.bill_id = b.id""")

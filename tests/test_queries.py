@@ -45,7 +45,7 @@ def test_every_active_member_of_the_chamber_has_a_seat(spark):
         held.setdefault(m.chamber, []).append(m)
     want = {(v.id, m.member_id) for v in t.votes.select("id", "chamber", "held_on").collect() for m in held.get(v.chamber, []) if v.held_on and m.starts_on <= v.held_on <= m.e}
     want |= {(b.vote_id, b.member_id) for b in t.ballots.select("vote_id", "member_id").collect()}
-    seats = [(r.vote_id, r.member_id) for r in SPARK["s3_seat_rows_whole_chamber"](spark, SF).collect()]
+    seats = [(r.vote_id, r.member_id) for r in SPARK["s3_seat_rows"](spark, SF).collect()]
     assert len(set(seats)) == len(want) and set(seats) == want
 
 
@@ -67,7 +67,7 @@ def plain_warnings(text, sections):
 def test_every_section_warning_is_an_issue(spark):
     parsed = dx.parse_sections(legal(Tables(spark, SF))).select("document_id", "text", "sections").collect()
     want = {(str(r.document_id), w) for r in parsed if r.text is not None for w in plain_warnings(r.text, r.sections)}
-    got = [(r.entity_id, r.reason) for r in SPARK["r13_section_parse_warnings"](spark, SF).collect()]
+    got = [(r.entity_id, r.reason) for r in SPARK["r13_section_parse_issues"](spark, SF).collect()]
     assert len(got) == len(want) and set(got) == want
     counts = {w: sum(x == w for _, x in got) for w in {x for _, x in got}}
     assert set(counts) - {"duplicate_section_heading"}
