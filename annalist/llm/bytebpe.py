@@ -15,7 +15,7 @@ one is merged once per slice, all of one length together.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -30,10 +30,10 @@ SLICE_BYTES = 1 << 20
 SLICE_IDS = 1 << 18
 #: Longer pieces are merged one by one with a heap, shorter ones as rows of a matrix.
 MATRIX_BYTES = 96
-_NONE = np.int32(0x7FFFFFFF)
+NONE = np.int32(0x7FFFFFFF)
 
 # Classes of a code point.
-_OTHER, _LETTER, _NUMBER, _WHITE, _BLANK, _TICK, _SINGLE, _R, _V, _LL, _E, _END = range(12)
+OTHER, LETTER, NUMBER, WHITE, BLANK, TICK, SINGLE, R, V, LL, E, END = range(12)
 # Symbols: what a code point does to the scanner.
 _RUN_WHITE, _LAST_BLANK, _LAST_WHITE, _S_NUMBER, _S_OTHER, _S_TICK, _S_LETTER, _S_SINGLE, _S_DOUBLE = range(9)
 # States: which token is open after a code point.
@@ -80,12 +80,12 @@ class Scanner:
     begins: np.ndarray
 
 
-@lru_cache(maxsize=1)
-def scanner() -> Scanner:
-    states = range(8)
-    own = [tuple(_step(q, s)[0] for q in states) for s in range(9)]
-    first = [(f[_FRESH],) * 8 for f in own]
-    known = {f: k for k, f in enumerate(dict.fromkeys([tuple(states), *own, *first]))}
+def built(step: Callable[[int, int], tuple[int, bool]], states: int, symbols: int, fresh: int) -> Scanner:
+    """The scanner of a step function (state, symbol) -> (next state, begins):
+    all functions that compositions of the symbols' give, by number."""
+    own = [tuple(step(q, s)[0] for q in range(states)) for s in range(symbols)]
+    first = [(f[fresh],) * states for f in own]
+    known = {f: k for k, f in enumerate(dict.fromkeys([tuple(range(states)), *own, *first]))}
     todo = list(known)
     while todo:
         f = todo.pop()
@@ -96,10 +96,15 @@ def scanner() -> Scanner:
                 todo.append(both)
     functions = list(known)
     compose = np.array([[known[tuple(g[q] for q in f)] for g in functions] for f in functions], np.uint8)
-    begins = np.array([[_step(q, s)[1] for s in range(9)] for q in states], bool)
+    begins = np.array([[step(q, s)[1] for s in range(symbols)] for q in range(states)], bool)
     return Scanner(np.array([[known[a], known[b]] for a, b in zip(own, first)], np.uint8), compose, np.array(functions, np.uint8), begins)
 
 
+@lru_cache(maxsize=1)
+def scanner() -> Scanner:
+    return built(_step, 8, 9, _FRESH)
+
+
 def prefixes(functions: np.ndarray, compose: np.ndarray, width: int = 64) -> np.ndarray:
     """The composition of all functions up to each place. Blocks of ``width``
     places are scanned side by side, then their totals the same way."""
@@ -126,20 +131,26 @@ def classes() -> np.ndarray:
     tokenizer library's own, so that both know the same Unicode version."""
     import tiktoken
 
-    table = np.full(0x110000, _OTHER, np.uint8)
+    table = np.full(0x110000, OTHER, np.uint8)
     single = {bytes([b]): b for b in range(256)}
-    for kind, code in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER), (r"\s", _WHITE)):
+    for kind, code in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", WHITE)):
         listed = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks=single, special_tokens={})
         for low in range(0, 0x110000, 0x8000):  # by small stretches, so that little memory is touched
             stretch = np.arange(low, low + 0x8000, dtype="<u4")
             text = stretch[(stretch < 0xD800) | (stretch > 0xDFFF)].tobytes().decode("utf-32-le")
             found = bytes(listed.encode_ordinary(text)).decode()
             table[np.frombuffer(found.encode("utf-32-le"), "<u4")] = code
-    for letters, code in ((" ", _BLANK), ("'", _TICK), ("stmd", _SINGLE), ("r", _R), ("v", _V), ("l", _LL), ("e", _E)):
+    for letters, code in ((" ", BLANK), ("'", TICK), ("stmd", SINGLE), ("r", R), ("v", V), ("l", LL), ("e", E)):
         table[[ord(c) for c in letters]] = code
     return table
 
 
+def doubles(own: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Where, by the classes of code points and of those after them, a
+    contraction of two letters may begin."""
+    return (((own == R) | (own == V)) & (after == E)) | ((own == LL) & (after == LL))
+
+
 def piece_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The places at which a piece begins. ``first``: the places at which a text begins."""
     if not len(points):
@@ -147,13 +158,13 @@ def piece_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     own = classes()[points]
     starts = np.zeros(len(points), np.uint8)
     starts[first] = 1
-    after = np.append(own[1:], np.uint8(_END))
-    after[first[first > 0] - 1] = _END
-    white = (own == _WHITE) | (own == _BLANK)
-    last = white & (after != _WHITE) & (after != _BLANK) & (after != _END)
+    after = np.append(own[1:], np.uint8(END))
+    after[first[first > 0] - 1] = END
+    white = (own == WHITE) | (own == BLANK)
+    last = white & (after != WHITE) & (after != BLANK) & (after != END)
     symbol = _SYMBOL_OF[own]
-    symbol[last] = np.where(own[last] == _BLANK, _LAST_BLANK, _LAST_WHITE)
-    symbol[(((own == _R) | (own == _V)) & (after == _E)) | ((own == _LL) & (after == _LL))] = _S_DOUBLE
+    symbol[last] = np.where(own[last] == BLANK, _LAST_BLANK, _LAST_WHITE)
+    symbol[doubles(own, after)] = _S_DOUBLE
     held = scanner()
     state = held.apply[prefixes(held.numbers[symbol, starts], held.compose), _FRESH]
     before = np.append(np.uint8(_FRESH), state[:-1])
@@ -220,80 +231,74 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(_listed(known), np.array([known[bytes([b])] for b in range(256)], np.int32), keys[order], merged[order])
 
 
-def _pair_ranks(left: np.ndarray, right: np.ndarray, vocab: Vocabulary) -> np.ndarray:
-    if not len(vocab.pairs):
-        return np.full(left.shape, _NONE, np.int32)
-    key = left.astype(np.int64) << 32 | right
-    at = np.minimum(np.searchsorted(vocab.pairs, key), len(vocab.pairs) - 1)
-    return np.where(vocab.pairs[at] == key, vocab.merged[at], _NONE)
-
-
-def _merge_long(ids: list[int], vocab: Vocabulary) -> list[int]:
+def _merge_long(ids: np.ndarray, pair_ranks: Callable, made: np.ndarray) -> list[int]:
     """Merge one long piece: a heap of (rank, place), a list linked both ways."""
-
-    def rank_of(a: int, b: int) -> int:
-        return int(_pair_ranks(np.array([ids[a]]), np.array([ids[b]]), vocab)[0])
-
+    first = pair_ranks(ids[:-1], ids[1:]).tolist()
+    ids = ids.tolist()
     n = len(ids)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    first = _pair_ranks(np.array(ids[:-1]), np.array(ids[1:]), vocab).tolist()
-    now = [*first, int(_NONE)]
-    heap = [(r, k) for k, r in enumerate(first) if r != _NONE]
+    now = [*first, int(NONE)]
+    heap = [(r, k) for k, r in enumerate(first) if r != NONE]
     heapq.heapify(heap)
     while heap:
         rank, k = heapq.heappop(heap)
         if now[k] != rank:
             continue  # one of the two has been merged since
         gone = after[k]
-        ids[k], ids[gone], now[gone] = rank, -1, -1
+        ids[k], ids[gone], now[gone] = int(made[rank]), -1, -1
         after[k] = after[gone]
         if after[k] < n:
             before[after[k]] = k
         for a in (before[k], k):
             if a >= 0:
-                now[a] = rank_of(a, after[a]) if after[a] < n else int(_NONE)
-                if now[a] != _NONE:
+                now[a] = int(pair_ranks(np.array([ids[a]]), np.array([ids[after[a]]]))[0]) if after[a] < n else int(NONE)
+                if now[a] != NONE:
                     heapq.heappush(heap, (now[a], a))
     return [i for i in ids if i >= 0]
 
 
-def merge_pieces(pieces: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+def merge_rows(pieces: pa.Array, first_ids: Callable, pair_ranks: Callable, made: np.ndarray, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids one after another, offsets by piece) of distinct non-empty pieces.
 
-    A piece that is a token is that token. Of the others, all of one length are
-    rows of a matrix: each row merges its leftmost pair of least rank and joins
-    the rows that are one shorter; a row without a pair left is done.
+    ``first_ids`` gives the ids of pieces' bytes, ``pair_ranks`` the ranks of
+    pairs of ids (NONE for a pair that does not merge) and ``made[rank]`` the id of
+    the merged pair; ``whole`` holds the ids of pieces that are not merged at all,
+    else -1. All pieces of one length are rows of a matrix: each row merges its
+    leftmost pair of least rank and joins the rows that are one shorter; a row
+    without a pair left is done.
     """
     n = len(pieces)
-    whole = np.asarray(pc.fill_null(pc.index_in(pieces, value_set=vocab.listed.tokens), -1), np.int64)
+    alone = np.zeros(n, bool) if whole is None else whole >= 0
     counts = np.ones(n, np.int64)
-    done: list[tuple[np.ndarray, np.ndarray]] = [(np.flatnonzero(whole >= 0), vocab.listed.ranks[whole[whole >= 0]][:, None])]
-    bounds = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + n + 1]
-    raw = np.frombuffer(pieces.buffers()[2], np.uint8) if pieces.buffers()[2] is not None else np.empty(0, np.uint8)
-    size = np.where(whole < 0, np.diff(bounds), 0)
+    done: list[tuple[np.ndarray, np.ndarray]] = [] if whole is None else [(np.flatnonzero(alone), whole[alone][:, None])]
+    bounds = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + n + 1] if n else np.zeros(1, np.int64)
+    raw = np.frombuffer(pieces.buffers()[2], np.uint8) if n and pieces.buffers()[2] is not None else np.empty(0, np.uint8)
+    size = np.where(alone, 0, np.diff(bounds))
     for k in np.flatnonzero(size > MATRIX_BYTES):
-        ids = np.array(_merge_long(vocab.of_byte[raw[bounds[k] : bounds[k + 1]]].tolist(), vocab), np.int32)
+        ids = np.array(_merge_long(first_ids(raw[bounds[k] : bounds[k + 1]]), pair_ranks, made), np.int32)
         counts[k] = len(ids)
         done.append((np.array([k]), ids[None, :]))
     size[size > MATRIX_BYTES] = 0
     who, ids = np.empty(0, np.int64), np.empty((0, 0), np.int32)
     ranks = ids
-    for length in range(int(size.max(initial=0)), 1, -1):
+    for length in range(int(size.max(initial=0)), 0, -1):
         fresh = np.flatnonzero(size == length)
         if len(fresh):
-            own = vocab.of_byte[raw[bounds[fresh][:, None] + np.arange(length)]]
-            theirs = _pair_ranks(own[:, :-1], own[:, 1:], vocab)
+            own = first_ids(raw[bounds[fresh][:, None] + np.arange(length)])
+            theirs = pair_ranks(own[:, :-1], own[:, 1:]).astype(np.int32)
             who, ids, ranks = (np.r_[who, fresh], np.r_[ids, own], np.r_[ranks, theirs]) if len(who) else (fresh, own, theirs)
         if not len(who):
             continue
+        if length == 1:
+            break
         at = ranks.argmin(axis=1)
         best = ranks[np.arange(len(who)), at]
-        ended = best == _NONE
+        ended = best == NONE
         done.append((who[ended], ids[ended]))
         counts[who[ended]] = length
         who, ids, ranks, at, best = who[~ended], ids[~ended], ranks[~ended], at[~ended], best[~ended]
         rows = np.arange(len(who))
-        ids[rows, at] = best
+        ids[rows, at] = made[best]
         kept = np.ones(ids.shape, bool)
         kept[rows, at + 1] = False
         ids = ids[kept].reshape(len(who), length - 1)
@@ -302,7 +307,7 @@ def merge_pieces(pieces: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.nd
         ranks = ranks[kept].reshape(len(who), length - 2)
         for left, here in ((at - 1, at > 0), (at, at < length - 2)):
             r, c = rows[here], left[here]
-            ranks[r, c] = _pair_ranks(ids[r, c], ids[r, c + 1], vocab)
+            ranks[r, c] = pair_ranks(ids[r, c], ids[r, c + 1])
     done.append((who, ids))
     offsets = np.r_[0, np.cumsum(counts)]
     flat = np.empty(int(offsets[-1]), np.int32)
@@ -312,7 +317,24 @@ def merge_pieces(pieces: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.nd
     return flat, offsets
 
 
-def _gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def merge_pieces(pieces: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(ids one after another, offsets by piece) of distinct non-empty pieces; a
+    piece that is a token is that token."""
+    place = np.asarray(pc.fill_null(pc.index_in(pieces, value_set=vocab.listed.tokens), -1), np.int64)
+    whole = np.where(place >= 0, vocab.listed.ranks[place], -1)
+
+    def pair_ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not len(vocab.pairs):
+            return np.full(left.shape, NONE, np.int32)
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(vocab.pairs, key), len(vocab.pairs) - 1)
+        return np.where(vocab.pairs[at] == key, vocab.merged[at], NONE)
+
+    # a merged pair's id is its rank
+    return merge_rows(pieces, lambda raw: vocab.of_byte[raw], pair_ranks, np.arange(len(vocab.listed.places), dtype=np.int32), whole)
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The stretches ``flat[start : start + count]`` one after another."""
     ends = np.cumsum(counts)
     total = int(ends[-1]) if len(ends) else 0
@@ -335,7 +357,7 @@ def encode_slice(texts: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.nda
     pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), raw]).dictionary_encode()
     flat, offsets = merge_pieces(pieces.dictionary, vocab)
     code = pieces.indices.to_numpy()
-    ids = _gather(flat, offsets[code], np.diff(offsets)[code])
+    ids = gather(flat, offsets[code], np.diff(offsets)[code])
     size = vocab.listed.sizes[ids]
     begin = np.cumsum(size, dtype=np.int64) - size
     by_text = np.searchsorted(begin, bounds)

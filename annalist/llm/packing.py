@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annalist.llm.tokens import word_tokenizer
+from annalist.llm.tokens import encode_texts
 from annalist.session import cut_lineage
 
 
@@ -49,10 +49,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, identity: str = "doc_id",
     names = [f.name for f in fields]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_tokenizer(tokenizer_path)
         tail = np.array([end_id], dtype="<u4")
         for batch in batches:
-            for ids, offsets, rows in encode(batch.column(1)):
+            for ids, offsets, rows in encode_texts(batch.column(1), tokenizer_path):
                 which, piece, start, length, crc, kept = [], [], [], [], [], []
                 for k in range(len(rows)):
                     own = np.concatenate([ids[offsets[k] : offsets[k + 1]], tail])

@@ -10,11 +10,12 @@ import pytest
 from tokenizers import Tokenizer
 
 from annalist.llm import packing, queries
-from annalist.llm.tokens import word_tokenizer
+from annalist.llm.tokens import encode_texts
 
 TEXTS = [
     "", " \n ", "It's a TEST, isn't it?  12 345\u00a0x\u2003y", "caf\u00e9 CAFE\u0301 na\u00efve \u00dfe \u00c4\u00d6", "\u03a3\u03a3 \u0130x", "a\x1cb\x85c\u200bd",
     "<|endoftext|> in <|start", "\u65e5\u672c\u8a9e \ud55c\uad6d\uc5b4 \U0001f600\U0001f600!!", "... ... '' 's't 'RE don't", "e\u0301 \u0301a", "word " * 50,
+    "don't we'll I've they're 's's 'S ''s !'s 'll'll'l 'r 'v x'", "a1b22c333 ١½Ⅸ", "x" * 3000, "\U00016ea0꟎ Ᲊ", "a b᠎c d　e﻿f g",
 ]
 
 
@@ -30,13 +31,22 @@ def plain_ids(tokenizer, text):
 def test_words_one_by_one_give_the_tokenizers_ids(tokenizer, spark, sf):
     texts = TEXTS + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {}
-    for ids, offsets, rows in word_tokenizer(queries.tokenizer_path())(pa.array(texts)):
+    for ids, offsets, rows in encode_texts(pa.array(texts), queries.tokenizer_path()):
         for k, row in enumerate(rows):
             got[int(row)] = ids[offsets[k] : offsets[k + 1]].tolist()
     for row, text in enumerate(texts):
         assert got[row] == plain_ids(tokenizer, text), repr(text[:60])
 
 
+def test_any_letters_in_any_order(tokenizer):
+    rng = random.Random(5)
+    letters = "aabbesttmdrvvlle@@@@@ @  \n\t \u0085 123½éÉΣİ漢\U0001f642!?.-_".replace("@", "'")
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 50))) for _ in range(3000)]
+    for ids, offsets, rows in encode_texts(pa.array(texts), queries.tokenizer_path()):
+        for k, row in enumerate(rows):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == plain_ids(tokenizer, texts[row]), repr(texts[row])
+
+
 def test_pieces_cover_documents_and_sequences_have_no_gaps(tokenizer, spark):
     rows = [(1, None, 0), (2, "", 0), (3, "one two " * 40, 0), (3, "one two " * 40, 0), (None, "x", 0), (5, "a b c", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, offset int")
