@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
-WORDS_KEPT = 200_000
+WORDS_KEPT = 50_000
 #: What stands before and after a word: anything but letters, marks and digits.
 _EDGES = re.compile(r"^([\W_]*)(.*?)([\W_]*)$", re.S)
 _REPEAT = np.uint32(0x9E3779B9)
