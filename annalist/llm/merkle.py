@@ -23,10 +23,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from annalist.llm.ranks import placed
 from annalist.session import cut_lineage
 
 ARITY, BITS, DIGEST = 16, 4, 64
@@ -46,22 +46,6 @@ def leaf_digest(values: Sequence[Column]) -> Column:
     return F.sha2(F.concat(*[encoded(v) for v in values]), 256)
 
 
-def _placed(rows: DataFrame, order: Sequence[str], place: str) -> DataFrame:
-    """``rows`` with ``place``: their number in the order, from 0, without a task
-    that sees them all. Equal rows are told apart by their place in the input."""
-    dealt = rows.withColumn("__tie", F.monotonically_increasing_id())
-    keys = [F.col(c).asc_nulls_first() for c in (*order, "__tie")]
-    dealt = dealt.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__tie")
-    dealt = cut_lineage(dealt.withColumn("__at", F.monotonically_increasing_id()))
-    part = F.shiftright("__at", 33)
-    # one row per partition; its running sum is the only window over all
-    sizes = dealt.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__rows"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    heads = sizes.select(F.col("__part"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
-    joined = dealt.withColumn("__part", part).join(F.broadcast(heads), "__part")  # as many rows as partitions
-    return joined.withColumn(place, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__before", "__at")
-
-
 def _climbed(nodes: DataFrame, most: int) -> tuple[list[DataFrame], DataFrame]:
     """From nodes (tree, level 0, ix, ``of``: nodes of that level in the tree,
     lo, hi, digest) the inner nodes by level, with their children's digests
@@ -154,9 +138,9 @@ def manifest(rows: DataFrame, leaf: str, identity: str = "doc_id", group: str =
         F.coalesce(F.col(leaf), F.raise_error(F.lit("a leaf's digest is null"))).alias("__leaf"),
         *[F.col(c).alias(f"__carry_{k}") for k, c in enumerate(carry)],
     )
-    leaves = _placed(cut_lineage(given), ["__group", "__id", "__leaf"], "__place")
+    leaves = placed(cut_lineage(given), ["__group", "__id", "__leaf"], "__place")
     counted = leaves.groupBy("__group").agg(F.count(F.lit(1)).alias("of"), F.min("__place").alias("start"))
-    groups = cut_lineage(_placed(counted, ["start"], "tree").select("__group", "tree", "of", "start"))
+    groups = cut_lineage(placed(counted, ["start"], "tree").select("__group", "tree", "of", "start"))
     sizes = groups.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.max("of"), F.lit(0)).alias("most")).first()
     unit = lambda c: F.expr(f"{c} div {SPREAD}")
     covering = groups.select("tree", "of", "start", F.col("__group").alias("__of_group"), F.explode(F.sequence(unit("start"), unit("(start + of - 1)"))).alias("__of_unit"))
