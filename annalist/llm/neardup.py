@@ -45,16 +45,23 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 @dataclass(frozen=True)
 class Settings:
-    """``bands`` of ``rows`` sketches of ``minima`` k-mers: a pair of similarity
-    s shares a given band with probability s ** (rows * minima). Bitmaps have
-    ``longs`` numbers of 64 bits."""
+    """``bands`` of ``rows`` sketches of ``minima`` k-mers: a pair of long texts of
+    similarity s shares a given band with probability s ** (rows * minima), so that
+    at 0.8 a pair in 300 shares none. Minima are drawn without replacement, which
+    short texts would feel: texts of fewer than ``long_from`` k-mers have sketches
+    of one minimum instead, whose bands a pair of 0.8 shares with probability
+    0.8 ** rows; none of 40 in 10 ** 12. Texts that can be similar to both kinds
+    have both. Bitmaps have ``longs`` numbers of 64 bits. ``side`` bounds how many
+    members of a bucket meet in one task, and how many pairs are verified there."""
 
     width: int = 5
     similarity: float = 0.8
     minima: int = 3
     rows: int = 3
     bands: int = 40
+    long_from: int = 21
     longs: int = 64
+    side: int = 1024
     seed: int = 3
 
 
@@ -93,14 +100,25 @@ def labelled(grams: np.ndarray) -> np.ndarray:
 
 
 def band_keys(grams: np.ndarray, settings: Settings) -> np.ndarray:
-    """The band keys of one text with at least one k-mer."""
+    """The band keys of one text with at least one k-mer. Of two similar texts
+    either both have keys of long texts or both have keys of short ones."""
+    keys = []
+    # the longest text that a short one can be similar to
+    if len(grams) * settings.similarity < settings.long_from:
+        keys.append(_keys_of(grams, settings, 1))
+    if len(grams) >= settings.long_from:
+        keys.append(_keys_of(grams, settings, settings.minima))
+    return np.concatenate(keys)
+
+
+def _keys_of(grams: np.ndarray, settings: Settings, minima: int) -> np.ndarray:
     rng = np.random.default_rng(settings.seed)
     sketches = settings.bands * settings.rows
     factor = rng.integers(1, 2**32, sketches, dtype=np.uint32) | np.uint32(1)
     shift = rng.integers(0, 2**32, sketches, dtype=np.uint32)
     marks = labelled(grams)
     small = (marks >> np.uint64(32)).astype(np.uint32)
-    taken = min(settings.minima, len(grams))
+    taken = min(minima, len(grams))
     places = np.empty((sketches, taken), np.int64)
     step = max(1, 200_000 // len(small))
     for at in range(0, sketches, step):
@@ -113,7 +131,8 @@ def band_keys(grams: np.ndarray, settings: Settings) -> np.ndarray:
             hashed[rows, least] = np.uint32(0xFFFFFFFF)
     places.sort(axis=1)
     chosen = marks[places].reshape(settings.bands, -1)
-    key = np.arange(settings.bands, dtype=np.uint64)
+    # a key of a short text's band is never one of a long text's
+    key = np.arange(settings.bands, dtype=np.uint64) + np.uint64(settings.bands * minima)
     for k in range(chosen.shape[1]):
         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + chosen[:, k])
     return key.view(np.int64)
@@ -255,7 +274,12 @@ def verified(pairs: DataFrame, words: DataFrame, settings: Settings) -> DataFram
 
     left = words.select(F.col("node").alias("a"), F.col("words").alias("a_words"))
     right = words.select(F.col("node").alias("b"), F.col("words").alias("b_words"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "a_words", "b_words")
+    # the leader of a large class is one side of very many pairs: its words go to
+    # as many slots as its pairs ask for
+    slots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / settings.side).alias("slots"))
+    dealt = pairs.select("a", "b").join(slots, "a").withColumn("slot", F.pmod(F.xxhash64("b"), F.col("slots")))
+    spread = left.join(slots, "a").select("a", "a_words", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"))
+    both = dealt.join(spread, ["a", "slot"]).join(right, "b").select("a", "b", "a_words", "b_words")
     return both.mapInArrow(run, "a binary, b binary, link boolean, least int, found int")
 
 
@@ -286,10 +310,8 @@ def similar_texts(docs: DataFrame, text: str = "text", settings: Settings = Sett
     shared = rows.select("key", F.xxhash64("node").alias("spot")).groupBy("key").agg(F.min("spot").alias("low"), F.max("spot").alias("high")).where("low <> high").select("key")
     members = cut_lineage(rows.join(shared, "key").distinct())
     nodes = cut_lineage(members.select("node").distinct())
-    # 16 bytes a node: up to 8 MB they go to the texts, beyond that both are shuffled
-    wanted = F.broadcast(nodes) if nodes.count() <= 500_000 else nodes
     named = docs.where(F.col(text).isNotNull()).select(_node(text).alias("node"), F.col(text).cast("string").alias("text"))
-    words = cut_lineage(worded(named.join(wanted, "node", "left_semi").dropDuplicates(["node"]), settings))
+    words = cut_lineage(worded(named.join(nodes, "node", "left_semi").dropDuplicates(["node"]), settings))
 
     # the leader of a bucket is its member that meets the most others in all its buckets
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("met"))
@@ -313,17 +335,27 @@ def similar_texts(docs: DataFrame, text: str = "text", settings: Settings = Sett
     )
     mixed = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
     open_members = cut_lineage(placed.where("not leads").join(mixed, "key"))
-    held = members.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # at most one key per band
+    held = members.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # at most two keys per band
     still = cut_lineage(open_members.join(words.select("node", "bits"), "node").join(held, "node"))
-    x, y = (still.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "size", "bits", "keys", "class", "least", "found")]) for side in "xy")
+    # a bucket is met by bands of sizes that can be similar, and a full one in slots:
+    # the shorter text lies in one band and slot, the longer one goes to its own band
+    # and the one below, in all slots
+    ratio = F.log(F.lit(1 / settings.similarity + 1e-9))
+    band = F.floor(F.log(F.col("size") + 0.5) / ratio).cast("int")
+    full = still.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / settings.side).alias("slots"))
+    still = still.join(full, "key").withColumn("band", band)
+    x, y = (still.select("key", "band", "slots", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "size", "bits", "keys", "class", "least", "found")]) for side in "xy")
     # what the leader is close to and what it is far from are far from each other
     by_leader = F.greatest(F.col("x_least") - F.col("y_found"), F.col("y_least") - F.col("x_found"), F.lit(0))
     bound = F.greatest(by_leader, F.abs(F.col("x_size") - F.col("y_size")))
     reach = _reach(F.col("x_size") + F.col("y_size"), settings)
-    open_pair = (F.col("x_node") < F.col("y_node")) & (F.col("x_class") != F.col("y_class")) & (bound <= reach) & (_differing(F.col("x_bits"), F.col("y_bits"), settings) <= reach)
+    shorter = (F.col("x_size") < F.col("y_size")) | ((F.col("x_size") == F.col("y_size")) & (F.col("x_node") < F.col("y_node")))
+    open_pair = shorter & (F.col("x_class") != F.col("y_class")) & (bound <= reach) & (_differing(F.col("x_bits"), F.col("y_bits"), settings) <= reach)
     # a pair is formed in the first of the buckets that it shares
     first_met = F.col("key") == F.array_min(F.array_intersect("x_keys", "y_keys"))
-    rest = x.join(y, "key").where(open_pair & first_met).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    x = x.withColumn("slot", F.pmod(F.xxhash64("x_node"), F.col("slots"))).drop("slots")
+    y = y.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1))).drop("slots")
+    rest = x.join(y, ["key", "band", "slot"]).where(open_pair & first_met).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut_lineage(verified(rest.join(done, ["a", "b"], "left_anti"), words, settings))
     every = cut_lineage(links.unionByName(more.where("link").select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -371,6 +403,7 @@ def deduplicated(docs: DataFrame, identity: str = "doc_id", text: str = "text",
     stays = stays.select(F.col("first.node").alias("__stays"), F.col("first.text_id").alias("__first"))
     named = docs.withColumn("__node", _node(text))
     kept = named.join(stays, (F.col("__node") == F.col("__stays")) & F.col(identity).eqNullSafe(F.col("__first")))
-    once = Window.partitionBy("__node").orderBy(F.lit(1))
+    # repeated rows of one identity: the least by all columns, so that reruns agree
+    once = Window.partitionBy("__node").orderBy(F.xxhash64(*docs.columns), F.to_json(F.struct(*docs.columns)))
     kept = kept.withColumn("__nth", F.row_number().over(once)).where("__nth = 1")
     return kept.select(*docs.columns).unionByName(docs.where(F.col(text).isNull()))

@@ -150,3 +150,52 @@ def test_collisions_follow_the_similarity(wanted):
         b[:cut] = rng.integers(0, 2**32, cut, dtype=np.uint32)
         met += bool(set(neardup.band_keys(neardup.kmers(a, 5), S).tolist()) & set(neardup.band_keys(neardup.kmers(b, 5), S).tolist()))
     assert met >= 149 if wanted > 0.8 else met <= 40
+
+
+def test_every_pair_of_short_texts_is_found(spark):
+    rng = random.Random(11)
+    texts = set()
+    while len(texts) < 1000:
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randint(5, 15))]
+        texts.add(" ".join(words))
+        for _ in range(rng.randint(0, 2)):
+            near = list(words)
+            if rng.random() < 0.5:
+                near.append(f"w{rng.randrange(400)}")
+            else:
+                near = near[1:]
+            if len(near) >= 5:
+                texts.add(" ".join(near))
+    texts = sorted(texts)
+    grams = [[tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)] for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    links = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if set(grams[a]) & set(grams[b]):
+                small, large = sorted((grams[a], grams[b]), key=len)
+                # one is the other without an end, or they are compared as they stand
+                common = max(sum(x == y for x, y in zip(small, large[shift:])) for shift in range(len(large) - len(small) + 1))
+                if common / (len(small) + len(large) - common) >= 0.8:
+                    links += 1
+                    parent[root(a)] = root(b)
+    classes = {}
+    for k in range(len(texts)):
+        classes.setdefault(root(k), []).append(k)
+    want = {k: min(own) for own in classes.values() for k in own}
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert links > 200 and got == want
+
+
+def test_full_buckets_and_leaders_are_met_in_slots(spark):
+    rows = [(k, f"a common opening of many words that all texts share here {k // 3} " + " ".join(f"t{k // 3}x{n}" for n in range(30)) + f" tail{k}") for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, neardup.near_duplicates(docs).collect()))
+    slotted = sorted(map(tuple, neardup.near_duplicates(docs, settings=neardup.Settings(side=2)).collect()))
+    assert plain == slotted and all(r[1] == 3 * (r[0] // 3) for r in plain)
