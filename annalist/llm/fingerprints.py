@@ -77,38 +77,65 @@ def from_text(fingerprint: Column) -> Column:
     return F.when(F.length(raw) >= 16, F.transform(F.sequence(F.lit(0), (F.length(raw) / 16 - 1).cast("int")), whole)).otherwise(F.lit([]).cast("array<bigint>"))
 
 
-def with_next_text(docs: DataFrame, identity: str, text: str, slice_rows: int = 1024) -> DataFrame:
+def with_next_text(docs: DataFrame, identity: str, text: str, slice_rows: int = 1024, buckets: int = 512) -> DataFrame:
     """``docs`` (identity, text) with ``next_text``, the text of the next row by
-    ascending identity; the last row's next is the first. ``__slice`` and
-    ``__tie`` stay as the order's columns, ``__ends`` marks the last of a slice.
-
-    Rows are cut into slices of the identity's range of about ``slice_rows``
-    rows; a window looks ahead within a slice, and the last row of a slice gets
-    the first row of the next one by a join. Null identities come first; ties
-    are ordered by a hash of the text.
+    ascending identity; the last row's next is the first. ``__bucket``,
+    ``__slice`` and ``__tie`` stay as the order's columns, ``__ends`` marks the last
+    of a slice.
+
+    Quantiles of the identities cut the rows into ``buckets`` of about equal
+    size, whatever the identities' spread. A bucket is cut evenly into slices of
+    about ``slice_rows`` rows, by identity, or by a hash of the text where it holds
+    one identity only (null ones, say). A window looks ahead within a slice, and
+    the last row of a slice gets the first row of the next one by a join. Null
+    identities come first; ties are ordered by that hash.
     """
-    spread = docs.agg(F.min(identity).alias("low"), F.max(identity).alias("high"), F.count(F.lit(1)).alias("rows")).first()
-    low = spread["low"] or 0
-    width = max(1, ((spread["high"] or 0) - low + 1) * slice_rows // max(1, spread["rows"]))
-    number = F.coalesce(F.floor((F.col(identity) - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
-    cut = docs.withColumn("__slice", number).withColumn("__tie", F.xxhash64(text))
-    # one narrow row per slice: its first row, and the slice before it. Written,
-    # so that Spark knows the size and broadcasts it only if it is small
-    heads = cut.groupBy("__slice").agg(F.min(F.struct(F.col(identity).alias("id"), F.col("__tie").alias("tie"))).alias("head"))
-    last = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.coalesce(F.lag("__slice").over(Window.orderBy("__slice")), F.last("__slice").over(last))
-    heads = cut_lineage(heads.select(before.alias("__before"), F.col("__slice").alias("__at"), "head"))
-    is_head = (F.col("__slice") == F.col("__at")) & F.col(identity).eqNullSafe(F.col("head.id")) & (F.col("__tie") == F.col("head.tie"))
-    first = cut.join(heads, is_head).select(F.col("__before").alias("__slice"), F.col(text).alias("__first")).dropDuplicates(["__slice"])
+    tied = docs.withColumn("__tie", F.xxhash64(text))
+    told = docs.agg(F.percentile_approx(identity, [k / buckets for k in range(1, buckets)], 10 * buckets).alias("cuts")).first()
+    cuts = sorted(set(told["cuts"] or []))  # at most one number a bucket
+    above = F.size(F.filter(F.lit(cuts), lambda c: c < F.col(identity))) if cuts else F.lit(0)
+    placed = tied.withColumn("__bucket", F.when(F.col(identity).isNull(), -1).otherwise(above))
+    spread = placed.groupBy("__bucket").agg(F.min(identity).alias("low"), F.max(identity).alias("high"), F.count(F.lit(1)).alias("rows")).collect()  # a row a bucket
+    known = {r["__bucket"]: r for r in spread}
+
+    def by_bucket(value) -> Column:
+        """A value of each bucket, by its number."""
+        return F.element_at(F.lit([value(known.get(k)) for k in range(-1, len(cuts) + 1)]), F.col("__bucket") + 2)
+
+    pieces = lambda r: -(-r["rows"] // slice_rows) if r else 1
+    one = by_bucket(lambda r: r is None or r["low"] is None or r["low"] == r["high"])
+    low = by_bucket(lambda r: float(r["low"] or 0) if r else 0.0)
+    range_ = by_bucket(lambda r: float((r["high"] or 0) - (r["low"] or 0) + 1) if r else 1.0)
+    count = by_bucket(lambda r: int(pieces(r)))
+    even = F.floor((F.col(identity) - low) / range_ * count)
+    by_tie = F.floor((F.col("__tie").cast("double") / F.lit(_SPAN) + 0.5) * count)
+    cut = placed.withColumn("__slice", F.greatest(F.lit(0), F.least(F.coalesce(F.when(one, by_tie).otherwise(even), F.lit(0)), count - 1)).cast("int"))
+    # one narrow row per slice: its first row, and the slice before it, in the
+    # bucket or at the end of the bucket before. Written, so that Spark knows the
+    # size and broadcasts it only if it is small
+    heads = cut_lineage(cut.groupBy("__bucket", "__slice").agg(F.min(F.struct(F.col(identity).alias("id"), F.col("__tie").alias("tie"))).alias("head")))
+    ends = {r["__bucket"]: r["last"] for r in heads.groupBy("__bucket").agg(F.max("__slice").alias("last")).collect()}  # a row a bucket
+    order = sorted(ends)
+    before_of = {b: order[k - 1] for k, b in enumerate(order)}
+    named = lambda values: F.element_at(F.lit([int(values.get(k, 0)) for k in range(-1, len(cuts) + 1)]), F.col("__bucket") + 2)
+    inside = F.lag("__slice").over(Window.partitionBy("__bucket").orderBy("__slice"))
+    linked = heads.withColumn("__inside", inside).select(
+        F.when(F.col("__inside").isNotNull(), F.col("__bucket")).otherwise(named(before_of)).alias("__before_bucket"),
+        F.coalesce("__inside", named({b: ends[before_of[b]] for b in order})).alias("__before"),
+        F.col("__bucket").alias("__at_bucket"), F.col("__slice").alias("__at"), "head",
+    )
+    heads = cut_lineage(linked)
+    is_head = (F.col("__bucket") == F.col("__at_bucket")) & (F.col("__slice") == F.col("__at")) & F.col(identity).eqNullSafe(F.col("head.id")) & (F.col("__tie") == F.col("head.tie"))
+    first = cut.join(heads, is_head).select(F.col("__before_bucket").alias("__bucket"), F.col("__before").alias("__slice"), F.col(text).alias("__first")).dropDuplicates(["__bucket", "__slice"])
     ahead = next_order(identity)
     within = cut.select("*", F.lead(F.lit(True)).over(ahead).isNull().alias("__ends"), F.lead(text).over(ahead).alias("next_text"))
-    joined = within.join(first, "__slice", "left")
+    joined = within.join(first, ["__bucket", "__slice"], "left")
     return joined.withColumn("next_text", F.when(F.col("__ends"), F.col("__first")).otherwise(F.col("next_text"))).drop("__first")
 
 
 def next_order(identity: str):
     """The window of ``with_next_text``: what looks ahead over it again needs no other shuffle."""
-    return Window.partitionBy("__slice").orderBy(F.col(identity).asc_nulls_first(), "__tie")
+    return Window.partitionBy("__bucket", "__slice").orderBy(F.col(identity).asc_nulls_first(), "__tie")
 
 
 def edited_fingerprints(docs: DataFrame, identity: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
