@@ -61,24 +61,37 @@ def discovery_key(url: Column, chamber: Column, kind: Column, official_id: Colum
         .otherwise(F.concat(F.lit("hash:"), F.substr(F.sha2(F.concat_ws("|", chamber, kind), 256), F.lit(1), F.lit(12)))))
 
 
-def upsert_discoveries(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Match on address, else on (chamber, kind, official id), else insert.
-    First-seen is kept, last-seen advances, a null never overwrites. Several
-    incoming rows for one discovery: the newest value that is present."""
-    payload = ["source_url", "official_id", "chamber", "kind", "status"]
+PAYLOAD = ("source_url", "official_id", "chamber", "kind", "status")
+
+
+def place_discoveries(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``incoming`` with the id of the stored row that it means: by address, else
+    by (chamber, kind, official id), else a new one. Reads the keys of ``stored``."""
     by_url = stored.where("source_url IS NOT NULL").groupBy("source_url").agg(F.min("id").alias("__u"))
     triple = ["chamber", "kind", "official_id"]
     by_id = stored.where("official_id IS NOT NULL").groupBy(*triple).agg(F.min("id").alias("__i"))
     new_id = F.xxhash64(discovery_key(F.col("source_url"), F.col("chamber"), F.col("kind"), F.col("official_id")))
-    placed = incoming.join(by_url, "source_url", "left").join(by_id, triple, "left").withColumn("id", F.coalesce("__u", "__i", new_id))
+    placed = incoming.join(by_url, "source_url", "left").join(by_id, triple, "left")
+    return placed.select(*incoming.columns, F.coalesce("__u", "__i", new_id).alias("id"))
+
+
+def merge_placed(stored: DataFrame, placed: DataFrame) -> DataFrame:
+    """``stored`` with the placed rows merged in. First-seen is kept, last-seen
+    advances, a null never overwrites. Several incoming rows for one discovery:
+    the newest value that is present."""
     newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("seen_on", "source_url"))).alias(f"__n_{c}")
-    merged = placed.groupBy("id").agg(*[newest(c) for c in payload], F.min("seen_on").alias("__first"), F.max("seen_on").alias("__last"))
+    merged = placed.groupBy("id").agg(*[newest(c) for c in PAYLOAD], F.min("seen_on").alias("__first"), F.max("seen_on").alias("__last"))
     joined = stored.join(merged, "id", "full_outer")
     return joined.select(
-        "id", *[F.coalesce(f"__n_{c}", c).alias(c) for c in payload], F.coalesce("failure_count", F.lit(0)).alias("failure_count"),
+        "id", *[F.coalesce(f"__n_{c}", c).alias(c) for c in PAYLOAD], F.coalesce("failure_count", F.lit(0)).alias("failure_count"),
         F.coalesce("first_seen", "__first").alias("first_seen"), F.greatest("last_seen", "__last").alias("last_seen"))
 
 
+def upsert_discoveries(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The stored discoveries after incoming ones (see ``place_discoveries`` and ``merge_placed``)."""
+    return merge_placed(stored, place_discoveries(stored, incoming))
+
+
 def mark_outcomes(queue: DataFrame, outcomes: DataFrame, on: str) -> DataFrame:
     """Apply outcomes(id, outcome): a failure adds one to the count, anything
     else sets it to zero; the import date is set by an import, whole or partial,

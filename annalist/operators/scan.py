@@ -4,7 +4,8 @@ that do not put a whole key into one task.
 A window over a key sorts all its rows in one task. Here a key's rows are cut
 into slices that follow the order (a month of the start date, say). Windows run
 inside (key, slice); what a slice passes on is one aggregated row, and only
-those rows, as many as there are slices, are scanned per key.
+those rows, as many as there are slices, are scanned per key. The sliced rows are
+written once and read for both, so that stacked scans plan their input once.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annalist.session import cut_lineage
+
 SLICE = "__slice"
 
 
@@ -29,7 +32,7 @@ def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: C
 
     ``slice_by`` must never fall along ``order``.
     """
-    sliced = df.withColumn(SLICE, slice_by)
+    sliced = cut_lineage(df.withColumn(SLICE, slice_by))
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
     values = F.struct(F.lit(True).alias("__present"), *[F.col(c).alias(n) for n, c in previous.items()])
     local = sliced.withColumn("__prev", F.lag(values).over(inside))
@@ -52,7 +55,7 @@ def running(
     'last' carries the newest non-null value forward. ``before`` leaves the
     row itself out.
     """
-    sliced = df.withColumn(SLICE, slice_by)
+    sliced = cut_lineage(df.withColumn(SLICE, slice_by))
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
     frame = inside.rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
     along = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)

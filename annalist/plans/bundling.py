@@ -16,7 +16,7 @@ from annalist.plans.registry import query
 from annalist.session import shared_dir
 from annalist.sources import files, versions
 from annalist.plans.streams import table_stream
-from annalist.streaming import jobs
+from annalist.streaming import buckets, jobs
 
 
 def fresh_root(t):
@@ -127,9 +127,9 @@ def _(t):
         F.when(n % 3 != 1, F.col("url")).alias("source_url"), F.when((n % 3 == 1) & (n % 4 != 0), F.concat(F.lit("L"), n.cast("string"), F.lit("/1998"))).alias("official_id"),
         F.when(n % 2 == 0, "senate").otherwise("deputies").alias("chamber"), F.when((n % 7 == 1) | (n % 3 == 0), "bill").otherwise("vote").alias("kind"),
         F.lit("imported").alias("status"), F.to_date(F.lit("2001-01-01")).alias("seen_on"))
-    versions.publish(f"{root}/t", {"discoveries": t.discoveries})
+    buckets.create(t.discoveries, f"{root}/t", ["id"])
     jobs.merge_discoveries(incoming, f"{root}/t", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    merged = versions.read(t.spark, f"{root}/t", "discoveries")
+    merged = buckets.stored(t.spark, f"{root}/t")
     known = t.discoveries.select("id", F.lit(True).alias("known"))
     return merged.join(known, "id", "left").select(F.when(F.col("known"), F.col("id")).alias("id"), "source_url", "official_id", "chamber", "status", "first_seen", "last_seen")
 
@@ -138,15 +138,15 @@ def _(t):
 def _(t):
     root = fresh_root(t)
     stale = summaries(t).withColumn("vote_count", F.lit(-1).cast("long"))
-    versions.publish(f"{root}/t", {"bill_summary": stale})
+    buckets.create(stale, f"{root}/t", ["bill_id"])
     touched = table_stream(t, "customer").select(F.col("c_custkey").alias("bill_id"))
 
     def rebuild(keys):
         bills = t.bills.join(keys.select(F.col("bill_id").alias("id")), "id", "left_semi")
         return bill_summary(bills, t.bill_events.join(keys, "bill_id", "left_semi"), t.votes.join(keys, "bill_id", "left_semi"), t.sources)
 
-    jobs.refresh_touched(touched, "bill_id", f"{root}/t", "bill_summary", rebuild, f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return versions.read(t.spark, f"{root}/t", "bill_summary")
+    jobs.refresh_touched(touched, "bill_id", f"{root}/t", rebuild, f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return buckets.stored(t.spark, f"{root}/t")
 
 
 @query("a2_json_lines_round_trip", "A2 A3 A5", "SELECT id, title, senate_identifier FROM bills WHERE senate_identifier IS NOT NULL")

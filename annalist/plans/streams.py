@@ -14,7 +14,12 @@ from annalist.streaming import jobs
 def table_stream(t, name: str):
     """A table's own path as a stream, whether it is a file or a folder of files."""
     schema = t.spark.read.parquet(f"{t.sf_dir}/{name}.parquet").schema
-    return t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/{name}.parquet*")
+    path = f"{t.sf_dir}/{name}.parquet"
+    # a stream's source is a folder: the table's own, or that of its one file, by name
+    files = t.spark.read.format("binaryFile").load(path).select("path").limit(1).first()
+    if files is not None and files["path"].endswith(f"/{name}.parquet"):
+        return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.sf_dir)
+    return t.spark.readStream.schema(schema).parquet(path)
 
 
 def event_stream(t):
@@ -29,18 +34,11 @@ def reaction_stream(t):
         F.col("user_id").alias("visitor"), F.col("ts").cast("timestamp").alias("created_at"))
 
 
-def drain(t, stream, mode: str = "append"):
-    """Run a stream over what there is and read its output back."""
-    root = f"{shared_dir(t.spark)}/annalist/{uuid.uuid4().hex}"
-    done = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    done.awaitTermination()
-    return t.spark.read.parquet(f"{root}/out")
-
-
 @query("u2_reactions_once_per_visitor", "U2", "SELECT entity_type, entity_id, count(DISTINCT visitor) AS visitors FROM reactions GROUP BY 1, 2")
 def _(t):
-    kept = drain(t, jobs.once_per_visitor(reaction_stream(t)).select("entity_type", "entity_id", "visitor"))
-    return kept.groupBy("entity_type", "entity_id").agg(F.count(F.lit(1)).alias("visitors"))
+    root = f"{shared_dir(t.spark)}/annalist/{uuid.uuid4().hex}"
+    jobs.keep_once(reaction_stream(t), f"{root}/out", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").groupBy("entity_type", "entity_id").agg(F.count(F.lit(1)).alias("visitors"))
 
 
 @query("u1_engagement_appended", "U1", "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type IN ('view', 'purchase') GROUP BY 1, 2")
@@ -55,7 +53,6 @@ def _(t):
     SELECT CAST(date_trunc('month', created_at) AS DATE) AS month, entity_type, entity_id, count(*) AS count FROM reactions GROUP BY 1, 2, 3
     QUALIFY row_number() OVER (PARTITION BY month ORDER BY count DESC, entity_type, entity_id) <= 5""")
 def _(t):
-    from annalist.sources import versions
     root = f"{shared_dir(t.spark)}/annalist/{uuid.uuid4().hex}"
     jobs.keep_monthly_top(reaction_stream(t), "created_at", ["entity_type", "entity_id"], f"{root}/table", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return versions.read(t.spark, f"{root}/table", "top").select(F.col("month").cast("date").alias("month"), "entity_type", "entity_id", "count")
+    return t.spark.read.parquet(f"{root}/table/top").select(F.to_date(F.concat(F.date_format("month", "yyyy-MM"), F.lit("-01"))).alias("month"), "entity_type", "entity_id", "count")
