@@ -156,13 +156,37 @@ def _(t):
     return files.read_lines(t.spark, path, "id long, title string, senate_identifier string", ["senate_identifier"])
 
 
-@query("a7_warnings_round_trip", "A6 A7", "SELECT CAST(id AS VARCHAR) AS id, title || ' \"x\"' AS title, status || '; ' || slug AS notes FROM bills")
+@query("a7_warnings_round_trip", "A7", "SELECT CAST(id AS VARCHAR) AS id, title || ' \"x\"' AS title, status || '; ' || slug AS notes FROM bills")
 def _(t):
     path = fresh_root(t)
     files.write_warnings(t.bills.select("id", F.concat("title", F.lit(' "x"')).alias("title"), F.array("status", "slug").alias("notes")), path, ["notes"])
     return t.spark.read.schema("id string, title string, notes string").options(header=True, quoteAll=True, escape='"').csv(path)
 
 
+@query("a4_nested_document", "A4", """
+    SELECT 'parent' AS "table", CAST(id AS VARCHAR) AS id, title AS label, NULL AS role FROM formation_events
+    UNION ALL SELECT 'child', CAST(event_id AS VARCHAR), entity_id, role FROM formation_entities""")
+def _(t):
+    """The events and their entities as one curated document, read back as two tables."""
+    path = fresh_root(t)
+    nested = t.formation_entities.groupBy(F.col("event_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("entity_id", "role"))).alias("entities"))
+    whole = t.formation_events.select("id", "title").join(nested, "id").agg(F.to_json(F.collect_list(F.struct("id", "title", "entities"))).alias("value"))
+    whole.write.text(path)
+    parents, children = files.read_nested(t.spark, path, "id long, title string, entities array<struct<entity_id:string,role:string>>", "entities")
+    text = lambda c: F.col(c).cast("string")
+    return parents.select(F.lit("parent").alias("table"), text("id").alias("id"), F.col("title").alias("label"), F.lit(None).cast("string").alias("role")).unionByName(
+        children.select(F.lit("child").alias("table"), text("parent_id").alias("id"), F.col("entity_id").alias("label"), "role"))
+
+
+@query("a6_report_round_trip", "A6", "SELECT CAST(id AS VARCHAR) AS id, title || ' \"x\", y' AS title, title || ' \"x\", y' AS title_in_table FROM bills WHERE status = 'BUILDING'")
+def _(t):
+    path = fresh_root(t)
+    files.write_report(t.bills.where("status = 'BUILDING'").select(F.col("id").cast("string").alias("id"), F.concat("title", F.lit(' "x", y')).alias("title")), path)
+    rows = t.spark.read.schema("id string, title string").json(f"{path}/json")
+    table = t.spark.read.schema("id string, title_in_table string").options(header=True, quoteAll=True, escape='"', enforceSchema=True).csv(f"{path}/table")
+    return rows.join(table, "id")
+
+
 @query("a9_pages_decoded", "A9", """
     SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'utf-8' WHEN page_id % 3 = 1 THEN 'utf-16be' ELSE 'iso-8859-2' END AS charset,
       CASE WHEN page_id % 3 = 0 THEN repeat(' ', 6000) || '<meta charset="utf-8">' || html WHEN page_id % 3 = 1 THEN html ELSE regexp_replace(replace(html, 'charset', 'chars'), '[^\x00-\x7f]', '', 'g') END AS html FROM pages""")

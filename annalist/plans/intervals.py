@@ -599,7 +599,7 @@ def _(t):
     return top_per_key(hits.select("government_id", "event_id", "occurred_on").distinct(), ["government_id"], [F.desc("occurred_on"), F.desc("event_id")], 6)
 
 
-@query("g39_formation_events_nested", "G39 A4", """
+@query("g39_formation_events_nested", "G39", """
     SELECT e.id, e.occurred_on, e.event_type, e.title, string_agg(x.role || ':' || x.entity_id, ',' ORDER BY x.role, x.entity_id) AS entities
     FROM formation_events e JOIN formation_entities x ON x.event_id = e.id GROUP BY 1, 2, 3, 4""")
 def _(t):

@@ -210,7 +210,7 @@ def nested_events(t, first, kept):
     return t.formation_events.where(first).join(entities, "id", "left").withColumn("entities", F.coalesce("entities", empty)).withColumn("position", F.col("id"))
 
 
-@query("i19_events_after_two_loads", "I19 A4", """
+@query("i19_events_after_two_loads", "I19", """
     SELECT 'events' AS "table", CAST(id AS VARCHAR) AS id, NULL AS event_id, CASE WHEN id % 2 = 0 THEN title || ' (2)' ELSE title END AS label FROM formation_events
     UNION ALL SELECT 'entities', event_id || '-' || entity_type || '-' || entity_id || '-' || role, CAST(event_id AS VARCHAR), role FROM formation_entities
       WHERE event_id % 2 = 1 OR (event_id % 6 <> 0 AND role = 'absorber')""")
