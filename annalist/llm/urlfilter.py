@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Slots over which a rule is joined.
+SLOTS = 16
+
 
 def url_host(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, ASCII lower
@@ -107,8 +110,13 @@ def judge_urls(
         .withColumn("bloom", bloom)
         .select("__id", "host", "path", "__row", F.explode_outer(possible).alias("hit"))
     )
-    ruled = listed.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("verdict").alias("__verdict"), F.concat("host", "path").alias("__rule"))
-    matched = hits.join(ruled, (F.col("hit.host") == F.col("__host")) & (F.col("hit.path") == F.col("__path")), "left")
+    # hits of one rule may be a third of all rows, and rows without a hit are many:
+    # both are dealt to slots by row, rules go to all of them
+    slot = F.pmod("__row", F.lit(SLOTS)).cast("int")
+    hits = hits.withColumn("__slot", F.when(F.col("hit").isNull(), -1 - F.pmod("__row", F.lit(1 << 20)).cast("int")).otherwise(slot))
+    hits = hits.withColumn("__hit_host", F.coalesce("hit.host", F.lit(""))).withColumn("__hit_path", F.coalesce("hit.path", F.lit("")))
+    ruled = listed.select(F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("__in"), F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("verdict").alias("__verdict"), F.concat("host", "path").alias("__rule"))
+    matched = hits.join(ruled, (F.col("__slot") == F.col("__in")) & (F.col("__hit_host") == F.col("__host")) & (F.col("__hit_path") == F.col("__path")), "left")
     order = F.when(F.col("__rule").isNotNull(), F.struct(-F.length("__rule"), F.col("__rule")))
     # a URL's keys are a handful, so the winner is an aggregate with map-side combine
     won = matched.groupBy("__row", "__id", "host", "path").agg(F.min_by(F.struct("__rule", "__verdict"), order).alias("won"))
