@@ -111,7 +111,7 @@ def article_pages(t):
     told = F.col("p_partkey") % 5 != 0
     box = F.when(told, F.concat(F.lit("<table class=\"infobox vcard\"><tr><th>Președinte</th><td>"), name, F.lit("</td></tr><tr><th>Fondat</th><td>5 martie 1990</td></tr><tr><th>Dizolvată</th><td>în "),
                                 (F.col("p_size") % 30 + 1991).cast("string"), F.lit("</td></tr></table>"))).otherwise("")
-    sentence = F.when(told, F.concat(F.lit("Partidul "), n, F.lit(" a fuzionat la 03.04.1999. Alianța a durat. A fuzionat cu altul. A fuzionat cu altul."))).otherwise("")
+    sentence = F.when(told, F.concat(F.lit("Partidul x"), n, F.lit(" a fuzionat la 03.04.1999. Alianța a durat. A fuzionat cu altul. A fuzionat cu altul."))).otherwise("")
     html = F.concat(F.lit("<html><body>"), box, F.lit("<p>Un text despre "), name, F.lit(".</p><p>"), sentence, F.lit("</p></body></html>"))
     return t.part.select(F.col("p_partkey").alias("page_id"), F.lit("https://www.enciclopedie.example/articol").alias("url"), html.alias("html"))
 
@@ -120,7 +120,7 @@ def article_pages(t):
     WITH told AS (SELECT p_partkey AS page_id, p_size % 30 + 1991 AS y FROM part WHERE p_partkey % 5 <> 0)
     SELECT page_id, 1 AS n, 'infobox' AS kind, 'party_founded' AS hint, 'Fondat 5 martie 1990' AS text, '1990-03-05' AS dates, 'medium' AS confidence FROM told
     UNION ALL SELECT page_id, 2, 'infobox', 'party_or_alliance_dissolved', 'Dizolvată în ' || y, CAST(y AS VARCHAR), 'medium' FROM told
-    UNION ALL SELECT page_id, 4, 'paragraph', 'party_merged', 'Partidul ' || page_id || ' a fuzionat la 03.04.1999.', '1999-04-03', 'medium' FROM told
+    UNION ALL SELECT page_id, 4, 'paragraph', 'party_merged', 'Partidul x' || page_id || ' a fuzionat la 03.04.1999.', '1999-04-03', 'medium' FROM told
     UNION ALL SELECT page_id, 5, 'paragraph', 'alliance_context', 'Alianța a durat.', '', 'low' FROM told
     UNION ALL SELECT page_id, 6, 'paragraph', 'party_merged', 'A fuzionat cu altul.', '', 'low' FROM told
     UNION ALL SELECT p_partkey, 0, 'no_candidate', 'no_candidate', NULL, '', 'none' FROM part WHERE p_partkey % 5 = 0""")
