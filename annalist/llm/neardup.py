@@ -310,8 +310,9 @@ def similar_texts(docs: DataFrame, text: str = "text", settings: Settings = Sett
     shared = rows.select("key", F.xxhash64("node").alias("spot")).groupBy("key").agg(F.min("spot").alias("low"), F.max("spot").alias("high")).where("low <> high").select("key")
     members = cut_lineage(rows.join(shared, "key").distinct())
     nodes = cut_lineage(members.select("node").distinct())
+    # merged at any size: what is shuffled grows in proportion, and no side is broadcast
     named = docs.where(F.col(text).isNotNull()).select(_node(text).alias("node"), F.col(text).cast("string").alias("text"))
-    words = cut_lineage(worded(named.join(nodes, "node", "left_semi").dropDuplicates(["node"]), settings))
+    words = cut_lineage(worded(named.join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), settings))
 
     # the leader of a bucket is its member that meets the most others in all its buckets
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("met"))
