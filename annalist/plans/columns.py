@@ -198,3 +198,18 @@ def _(t):
     origin = F.when(n % 3 == 0, "Adresa SE ").when(n % 3 == 1, "Adresa CD").otherwise("Adresa")
     return t.bills.select("id", cl.origin_chamber(way).alias("origin"), cl.decision_chamber(text).alias("decided_by"), cl.stage_of(text).alias("stage"), cl.sponsor_of(text).alias("sponsor"),
                           cl.source_chamber(origin).alias("source"), cl.committee_of(text).alias("committee"))
+
+
+@query("f24_url_parameters", "F24 F25", """
+    SELECT id, CASE id % 5 WHEN 0 THEN year(held_on) WHEN 1 THEN 1997 END AS year, CASE id % 5 WHEN 1 THEN '5' WHEN 2 THEN CAST(id AS VARCHAR) END AS member,
+      CASE id % 5 WHEN 2 THEN 'leg2000:cam2:idm' || id END AS profile, CASE id % 5 WHEN 0 THEN 'bill' WHEN 4 THEN 'vote' END AS kind, CASE id % 5 WHEN 0 THEN 'senate' ELSE 'deputies' END AS chamber FROM votes""")
+def _(t):
+    n, s = F.col("id"), F.col("id").cast("string")
+    address = F.when(n % 5 == 0, F.concat(F.lit("https://www.senat.ro/legis/lista.aspx?nr_cls=L"), s, F.lit("&an_cls="), F.year("held_on").cast("string"))).when(
+        n % 5 == 1, F.lit("http://www.cdep.ro/pls/x?AN=1997&IDM=5#top")).when(
+        n % 5 == 2, F.concat(F.lit("https://www.cdep.ro/pls/parlam/structura2015.mp?idm="), s, F.lit("&leg=2000"))).when(
+        n % 5 == 3, F.lit("https://www.cdep.ro/pls/parlam/structura2015.mp?idm=&cam=1&leg=1996&an_cls=98")).otherwise(
+        F.concat(F.lit("https://www.cdep.ro/ords/pls/steno/evot2015.Nominal?idv="), s))
+    return t.votes.select("id", address.alias("u")).select(
+        "id", ur.year_of(F.col("u")).alias("year"), ur.query_param(F.col("u"), "idm").alias("member"), ur.profile_key(F.col("u")).alias("profile"),
+        ur.kind_of(F.col("u")).alias("kind"), ur.chamber_of(F.col("u")).alias("chamber"))

@@ -213,7 +213,7 @@ def _(t):
     return parties.totals_or_derived(t.group_totals, t.ballots)
 
 
-@query("g10_choice_breakdown", "G10 G43", """
+@query("g10_choice_breakdown", "G10", """
     SELECT vote_id, group_id, count(*) AS seats, count(*) FILTER (choice = 'for') AS n_for, count(*) FILTER (choice = 'against') AS n_against,
       count(*) FILTER (choice = 'abstention') AS n_abstention, count(*) FILTER (choice = 'present_not_voting') AS n_present_not_voting,
       count(*) FILTER (choice = 'absent') AS n_absent, count(*) FILTER (choice = 'unknown') AS n_unknown
@@ -222,6 +222,13 @@ def _(t):
     return parties.choice_breakdown(t.ballots)
 
 
+@query("g43_used_groups", "G43", """
+    SELECT b.vote_id, b.group_id, g.short_name, g.color, count(*) AS seats, row_number() OVER (PARTITION BY b.vote_id ORDER BY count(*) DESC, g.short_name, b.group_id) AS place
+    FROM ballots b JOIN party_groups g ON g.id = b.group_id GROUP BY 1, 2, 3, 4""")
+def _(t):
+    return parties.used_groups(t.ballots, t.party_groups)
+
+
 @query("g12_totals_check", "G11 G12", """
     SELECT v.id AS vote_id, coalesce(c.n, 0) AS rows,
       CASE WHEN c.n IS NULL THEN 'failed' WHEN c.f = v.for_count AND c.a = v.against AND c.ab = v.abstention AND c.p = v.present_not_voting
