@@ -312,7 +312,9 @@ def similar_texts(docs: DataFrame, text: str = "text", settings: Settings = Sett
     nodes = cut_lineage(members.select("node").distinct())
     # merged at any size: what is shuffled grows in proportion, and no side is broadcast
     named = docs.where(F.col(text).isNotNull()).select(_node(text).alias("node"), F.col(text).cast("string").alias("text"))
-    words = cut_lineage(worded(named.join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), settings))
+    # copies go before the shuffle, not after it: a text's copies may be a third of all rows
+    single = named.dropDuplicates(["node"])
+    words = cut_lineage(worded(single.join(nodes.hint("merge"), "node", "left_semi"), settings))
 
     # the leader of a bucket is its member that meets the most others in all its buckets
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("met"))
