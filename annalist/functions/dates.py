@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from annalist.functions.text import fold_marks
+from annalist.functions.text import bound, fold_marks
 
 # Month names and their numbers.
 MONTHS = ("ianuarie", "februarie", "martie", "aprilie", "mai", "iunie", "iulie", "august", "septembrie", "octombrie", "noiembrie", "decembrie")
@@ -24,31 +24,41 @@ def _iso(year: Column, month: Column, day: Column) -> Column:
     return F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("int").cast("string"), 2, "0"))
 
 
+def _date_of(year: Column, month: Column, day: Column) -> Column:
+    return F.try_make_timestamp(year.cast("int"), month.cast("int"), day.cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+
+
+def _first_match(text: Column, pattern: str, apart: str, make) -> Column:
+    """``make`` of the three parts of the first match; null without one."""
+    return bound(F.regexp_extract(text, pattern, 0), lambda m: F.when(m != "", bound(F.split(m, apart), make)))
+
+
 def parse_date(text: Column) -> Column:
     """First date in the text: numeric, else with a month name."""
-    part = lambda p, g: F.nullif(F.regexp_extract(text, p, g), F.lit(""))
-    numeric = F.try_make_timestamp(*[part(NUMERIC, g).cast("int") for g in (3, 2, 1)], F.lit(0), F.lit(0), F.lit(0)).cast("date")
-    named = F.try_make_timestamp(part(LONG, 3).cast("int"), month_number(part(LONG, 2)), part(LONG, 1).cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date")
-    return F.coalesce(numeric, named)
+    return bound(text, lambda t: F.coalesce(
+        _first_match(t, NUMERIC, "[./]", lambda p: _date_of(p[2], p[1], p[0])),
+        _first_match(t, LONG, r"\s+", lambda p: _date_of(p[2], month_number(p[1]), p[0]))))
 
 
 def date_candidates(text: Column) -> Column:
     """All dates as text: long forms, numeric forms, then years that begin none
     of them."""
-    long = F.transform(F.regexp_extract_all(text, F.lit(LONG), F.lit(0)), lambda m: F.when(
-        month_number(F.regexp_extract(m, LONG, 2)).isNotNull(),
-        _iso(F.regexp_extract(m, LONG, 3), month_number(F.regexp_extract(m, LONG, 2)), F.regexp_extract(m, LONG, 1))))
-    numeric = F.transform(F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(0)), lambda m: _iso(
-        F.regexp_extract(m, NUMERIC, 3), F.regexp_extract(m, NUMERIC, 2).cast("int"), F.regexp_extract(m, NUMERIC, 1)))
-    full = F.array_distinct(F.concat(F.array_compact(long), numeric))
-    years = F.array_distinct(F.regexp_extract_all(text, F.lit(BARE_YEAR), F.lit(1)))
-    return F.concat(full, F.filter(years, lambda y: ~F.exists(full, lambda d: d.startswith(y))))
+
+    def found(t: Column) -> Column:
+        long = F.transform(F.regexp_extract_all(t, F.lit(LONG), F.lit(0)), lambda m: bound(F.split(m, r"\s+"), lambda p: bound(
+            month_number(p[1]), lambda n: F.when(n.isNotNull(), _iso(p[2], n, p[0])))))
+        numeric = F.transform(F.regexp_extract_all(t, F.lit(NUMERIC), F.lit(0)), lambda m: bound(F.split(m, "[./]"), lambda p: _iso(p[2], p[1].cast("int"), p[0])))
+        years = F.array_distinct(F.regexp_extract_all(t, F.lit(BARE_YEAR), F.lit(1)))
+        return bound(F.array_distinct(F.concat(F.array_compact(long), numeric)), lambda full: F.concat(
+            full, F.filter(years, lambda y: ~F.exists(full, lambda d: d.startswith(y)))))
+
+    return bound(text, found)
 
 
 def date_after(text: Column, phrase: str) -> Column:
     """ISO text of the numeric date that follows a phrase (a pattern)."""
     found = F.nullif(F.regexp_extract(text, rf"(?i)(?:{phrase})(\d{{1,2}}[./]\d{{1,2}}[./]\d{{4}})", 1), F.lit(""))
-    return F.when(found.isNotNull(), _iso(F.split(found, "[./]")[2], F.split(found, "[./]")[1].cast("int"), F.split(found, "[./]")[0]))
+    return bound(F.split(found, "[./]"), lambda p: F.when(p.isNotNull(), _iso(p[2], p[1].cast("int"), p[0])))
 
 
 # Short month names next to the full ones.
@@ -57,25 +67,26 @@ SHORT_MONTHS = {
 }
 
 
+FROM, UNTIL = r"din\s+([a-z.]+)\s+(\d{4})", r"pana(?:\s+in)?\s+([a-z.]+)\s+(\d{4})"
+
+
 def period_start(text: Column) -> Column:
     """First day of the month after 'din'."""
-    return _month_start(text, r"din\s+([a-z.]+)\s+(\d{4})")
+    return bound(fold_marks(text), lambda folded: _month_start(folded, FROM))
 
 
 def period_end(text: Column) -> Column:
     """Last day of the month before the one after 'până (în)'; null where that
     lies before the start."""
-    end = F.date_sub(_month_start(text, r"pana(?:\s+in)?\s+([a-z.]+)\s+(\d{4})"), 1)
-    start = period_start(text)
-    return F.when(start.isNull() | (end >= start), end)
-
-
-def _month_start(text: Column, pattern: str) -> Column:
-    folded = fold_marks(text)
-    name = F.replace(F.regexp_extract(folded, _S + pattern, 1), F.lit("."))
-    short = F.lit(None).cast("int")
-    for key, number in SHORT_MONTHS.items():
-        short = F.when(name == key, F.lit(number)).otherwise(short)
-    month = F.coalesce(month_number(name), short)
+    ends = lambda start, end: F.when(start.isNull() | (end >= start), end)
+    return bound(fold_marks(text), lambda folded: bound(F.struct(
+        _month_start(folded, FROM).alias("start"), F.date_sub(_month_start(folded, UNTIL), 1).alias("end")), lambda p: ends(p["start"], p["end"])))
+
+
+def _month_start(folded: Column, pattern: str) -> Column:
+    numbers = {month: n for n, month in enumerate(MONTHS, 1)} | SHORT_MONTHS
+    known = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
+    month = known[F.replace(F.regexp_extract(folded, _S + pattern, 1), F.lit("."))]
     year = F.nullif(F.regexp_extract(folded, _S + pattern, 2), F.lit("")).cast("int")
-    return F.when(month.isNotNull() & year.isNotNull(), F.make_date(year, month, F.lit(1)))
+    return bound(F.struct(month.alias("month"), year.alias("year")), lambda p: F.when(
+        p["month"].isNotNull() & p["year"].isNotNull(), F.make_date(p["year"], p["month"], F.lit(1))))
