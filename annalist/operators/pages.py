@@ -1,17 +1,20 @@
 """Pages to rows: links, tables, paragraphs and what is read from them.
 
-One small parser runs per page inside ``mapInPandas`` and gives arrays; all
+One small parser runs per page inside ``mapInArrow`` and gives arrays; all
 that follows (classifying, joining, deduplicating) is Spark.
 """
 
 from __future__ import annotations
 
+import re
+from collections import deque
 from collections.abc import Iterator, Sequence
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import classify as cl
@@ -20,6 +23,7 @@ from annalist.functions.identifiers import parse_identifier
 from annalist.functions.text import clean, fold_marks, slug, words
 from annalist.functions.urls import canonical_url, chamber_of, kind_of, profile_key, query_param
 from annalist.operators.sets import first_wins, last_wins
+from annalist.session import cut_lineage
 
 #: What a page is read into. Rows are table rows with their cells in order;
 #: ``bold`` and ``link`` are a cell's first bold and linked text, ``rest`` is its
@@ -34,18 +38,22 @@ PARTS = {
 
 
 def squeeze(parts: list[str]) -> str:
-    return " ".join("".join(parts).split())
+    return " ".join((parts[0] if len(parts) == 1 else "".join(parts)).split())
 
 
 class PageReader(HTMLParser):
-    """Collects links, table cells, text blocks and the text of one page."""
+    """Collects links, table cells, text blocks and the text of one page; of
+    these, only what ``parts`` ask for. A closed cell is kept as (text, href,
+    header, rows, columns, link, bold, rest)."""
 
     HOLDERS = ("div", "section", "article", "main", "ul", "ol")
     BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "li", "title")
 
-    def __init__(self, base: str):
+    def __init__(self, base: str, parts: Sequence[str] = tuple(PARTS)):
         super().__init__(convert_charrefs=True)
         self.base = base
+        self._wants_rows, self._wants_blocks, self._wants_text = "rows" in parts, "blocks" in parts, "text" in parts
+        self._wants_tables = self._wants_rows or "cells" in parts
         self.links, self.tables, self.blocks = [], [], []
         self._href, self._anchor, self._label = None, [], None
         self._open_tables, self._cell = [], None
@@ -56,7 +64,14 @@ class PageReader(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        if tag in ("script", "style"):
+        if tag in ("td", "th"):
+            if self._open_tables and self.tables[self._open_tables[-1]]:
+                if self._cell is not None:
+                    self._close_cell()
+                span = lambda name: int(a[name]) if (a.get(name) or "").isdigit() and int(a[name]) > 0 else 1
+                self._cell = {"parts": [], "bold": [], "link": [], "rest": [], "href": None, "rows": span("rowspan") if a else 1, "cols": span("colspan") if a else 1,
+                              "header": tag == "th"}
+        elif tag in ("script", "style"):
             self._silent += 1
         elif tag == "a" and a.get("href"):
             self._href, self._anchor, self._label = self._absolute(a["href"]), [], a.get("aria-label")
@@ -66,30 +81,30 @@ class PageReader(HTMLParser):
             self._bold += 1
         elif tag == "br" and self._block is not None:
             self._block[1].append("\0")
-        elif tag == "table":
+        elif tag == "table" and self._wants_tables:
             self.tables.append([])
             self.sections.append(" ".join(filter(None, [self._section(), a.get("class")])))
             self._open_tables.append(len(self.tables) - 1)
         elif tag == "tr" and self._open_tables:
             self._close_cell()
             self.tables[self._open_tables[-1]].append([])
-        elif tag in ("td", "th") and self._open_tables and self.tables[self._open_tables[-1]]:
-            self._close_cell()
-            span = lambda name: int(a[name]) if (a.get(name) or "").isdigit() and int(a[name]) > 0 else 1
-            self._cell = {"parts": [], "bold": [], "link": [], "rest": [], "href": None, "rows": span("rowspan"), "cols": span("colspan"), "header": tag == "th"}
-        if tag in self.BLOCKS:
+        if tag in self.BLOCKS and (self._wants_blocks or self._wants_text):
             self._close_block()
             self._block = (tag, [], self._section())
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style"):
+        if tag in ("td", "th", "tr"):
+            if self._cell is not None:
+                self._close_cell()
+        elif tag in ("script", "style"):
             self._silent = max(0, self._silent - 1)
         elif tag == "a" and self._href is not None:
-            self.links.append((self._href, squeeze(self._anchor), self._label))
+            anchor = squeeze(self._anchor)
+            self.links.append((self._href, anchor, self._label))
             if self._cell is not None and self._cell["href"] is None:
                 self._cell["href"] = self._href
             if self._block is not None:
-                self._block_anchors.append((self._href, squeeze(self._anchor)))
+                self._block_anchors.append((self._href, anchor))
             self._href = None
         elif tag == "b":
             self._bold = max(0, self._bold - 1)
@@ -100,8 +115,6 @@ class PageReader(HTMLParser):
                 if self._holders[k][0] == tag:
                     del self._holders[k:]
                     break
-        elif tag in ("td", "th", "tr"):
-            self._close_cell()
         elif tag == "table" and self._open_tables:
             self._close_cell()
             self._open_tables.pop()
@@ -113,17 +126,18 @@ class PageReader(HTMLParser):
             return
         if self._href is not None:
             self._anchor.append(data)
-        if self._cell is not None:
-            self._cell["parts"].append(data)
-            if self._href is not None and self._cell["href"] is None:
-                self._cell["link"].append(data)
-            if self._bold and not self._cell.get("bolded"):
-                self._cell["bold"].append(data)
+        cell = self._cell
+        if cell is not None:
+            cell["parts"].append(data)
+            if self._href is not None and cell["href"] is None:
+                cell["link"].append(data)
+            if self._bold and not cell.get("bolded"):
+                cell["bold"].append(data)
             if not self._bold and self._href is None:
-                self._cell["rest"].append(data)
+                cell["rest"].append(data)
         if self._block is not None:
             self._block[1].append(data)
-        if self._block is None or self._block[0] != "title":
+        if self._wants_text and (self._block is None or self._block[0] != "title"):
             self.text.append(data)
 
     def _section(self):
@@ -136,87 +150,205 @@ class PageReader(HTMLParser):
             return href
 
     def _close_cell(self):
-        if self._cell is not None:
-            self.tables[self._open_tables[-1]][-1].append(self._cell)
+        cell = self._cell
+        if cell is not None:
+            text = squeeze(cell["parts"])
+            closed = (text, cell["href"], cell["header"], cell["rows"], cell["cols"])
+            if self._wants_rows:
+                # a part that is all of the text needs no second reading, and no copy
+                parts, link, bold, rest = cell["parts"], cell["link"], cell["bold"], cell["rest"]
+                closed += (link and (text if link == parts else squeeze(link)) or "", bold and (text if bold == parts else squeeze(bold)) or "",
+                           rest and (text if rest == parts else squeeze(rest)) or "")
+            self.tables[self._open_tables[-1]][-1].append(closed)
             self._cell = None
 
     def _close_block(self):
         if self._block is not None:
-            lines = [squeeze([line]) for line in "".join(self._block[1]).split("\0")]
-            text = squeeze(["".join(self._block[1]).replace("\0", "")])
-            if text or self._block_anchors:
+            whole = "".join(self._block[1])
+            lines = [squeeze([line]) for line in whole.split("\0")]
+            text = squeeze([whole.replace("\0", "")])
+            if self._wants_blocks and (text or self._block_anchors):
                 self.blocks.append((self._block[0], text, self._block_anchors, [line for line in lines if line], self._block[2]))
         self._block, self._block_anchors = None, []
 
 
-def lay_out(rows: list[list[dict]]) -> list[tuple]:
+# Markup that needs no tolerant reading, and elements whose content is no markup.
+PLAIN = re.compile(r'<(/?)([A-Za-z][A-Za-z0-9]*)((?:[ \t\n]+[A-Za-z][-A-Za-z0-9_]*="[^"<>\0]*")*)[ \t\n]*(/?)>([^<\0]*)')
+ATTRIBUTE = re.compile(r'([A-Za-z][-A-Za-z0-9_]*)="([^"]*)"')
+RAW = frozenset(("script", "style", "textarea", "iframe", "noembed", "noframes", "noscript", "xmp", "plaintext", "math", "svg"))
+
+
+def feed_plain(reader: PageReader, html: str) -> bool:
+    """Give ``reader`` what HTMLParser finds in a page of nothing but text and
+    well-formed tags, an order faster; False, part of the way, for any other."""
+    at, inside_title = html.find("<"), False
+    if at < 0 or "\0" in html[:at]:
+        return False
+    start, end, data = reader.handle_starttag, reader.handle_endtag, reader.handle_data
+    if at:
+        data(unescape(html[:at]))
+    for token in PLAIN.finditer(html, at):
+        if token.start() != at:
+            return False
+        at = token.end()
+        closing, tag, attributes, empty, text = token.groups()
+        tag = tag.lower()
+        if closing:
+            if attributes or empty or inside_title and tag != "title":
+                return False
+            inside_title = False
+            end(tag)
+        else:
+            # what may be a character reference in an attribute is for the library to say
+            if inside_title or tag in RAW or "&" in attributes and unescape(attributes) != attributes:
+                return False
+            start(tag, [(name.lower(), value) for name, value in ATTRIBUTE.findall(attributes)] if attributes else ())
+            inside_title = tag == "title"
+            if empty:
+                if inside_title:
+                    return False
+                end(tag)
+        if text:
+            if "&" in text:
+                if inside_title:
+                    return False
+                text = unescape(text)
+            data(text)
+    return at == len(html) and not inside_title
+
+
+def lay_out(rows: list[list[tuple]]) -> Iterator[tuple]:
     """(line, column, cell) with row and column spans filled in; a span that
     runs past the last row ends there."""
-    waiting: dict[int, tuple[int, dict]] = {}
-    cells = []
+    waiting: dict[int, tuple[int, tuple]] = {}
     for line, row in enumerate(rows):
-        column, queue = 0, list(row)
+        column, queue = 0, deque(row)
         while queue or any(c >= column for c in waiting):
             if column in waiting:
-                left, cell = waiting[column]
-                waiting.pop(column)
+                left, cell = waiting.pop(column)
                 if left > 1:
                     waiting[column] = (left - 1, cell)
-                cells.append((line, column, cell))
+                yield line, column, cell
                 column += 1
             elif queue:
-                cell = queue.pop(0)
-                for _ in range(cell["cols"]):
-                    if cell["rows"] > 1:
-                        waiting[column] = (cell["rows"] - 1, cell)
-                    cells.append((line, column, cell))
+                cell = queue.popleft()
+                for _ in range(cell[4]):
+                    if cell[3] > 1:
+                        waiting[column] = (cell[3] - 1, cell)
+                    yield line, column, cell
                     column += 1
             else:
                 column += 1
-    return cells
 
 
-def read_page(base: str, html: str, parts: Sequence[str]) -> list:
-    reader = PageReader(base or "")
-    reader.feed(html or "")
-    reader.close()
+def read_page(base: str, html: str, parts: Sequence[str]) -> PageReader:
+    reader = PageReader(base or "", parts)
+    if not feed_plain(reader, html or ""):
+        reader = PageReader(base or "", parts)
+        reader.feed(html or "")
+        reader.close()
     reader._close_block()
-    laid = [lay_out(table) for table in reader.tables] if {"cells", "rows"} & set(parts) else []
-    found = {}
-    if "links" in parts:
-        found["links"] = [{"position": i, "href": h, "text": x, "label": a} for i, (h, x, a) in enumerate(reader.links)]
-    if "cells" in parts:
-        found["cells"] = []
-        for n, table in enumerate(laid):
-            heads = {col: squeeze(cell["parts"]) for line, col, cell in table if line == 0}
-            found["cells"] += [{"tab": n, "line": line, "col": col, "text": squeeze(cell["parts"]), "href": cell["href"], "header": cell["header"], "head": heads.get(col)}
-                               for line, col, cell in table]
-    if "blocks" in parts:
-        found["blocks"] = [{"position": i, "kind": k, "text": x, "anchors": [{"href": h, "text": t} for h, t in a], "lines": ls, "section": s} for i, (k, x, a, ls, s) in enumerate(reader.blocks)]
-    if "rows" in parts:
-        found["rows"] = []
-        for n, table in enumerate(laid):
-            lines: dict[int, list] = {}
-            for line, _, cell in table:
-                lines.setdefault(line, []).append({"text": squeeze(cell["parts"]), "href": cell["href"], "link": squeeze(cell["link"]), "bold": squeeze(cell["bold"]),
-                                                   "rest": squeeze(cell["rest"]), "header": cell["header"]})
-            found["rows"] += [{"tab": n, "line": line, "section": reader.sections[n], "cells": cells} for line, cells in lines.items()]
-    if "text" in parts:
-        found["text"] = squeeze(reader.text)
-    return [found[p] for p in parts]
+    return reader
+
+
+def _listed(ends: list[int], **fields: pa.Array) -> pa.Array:
+    items = pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+
+
+def _columns(width: int) -> list[list]:
+    return [[] for _ in range(width)]
+
+
+def _links(readers: list[PageReader]) -> pa.Array:
+    ends, flat = [0], []
+    positions = []
+    for reader in readers:
+        flat += reader.links
+        positions += range(len(reader.links))
+        ends.append(len(flat))
+    return _listed(ends, position=pa.array(positions, pa.int32()), **{n: pa.array([x[k] for x in flat], pa.string()) for k, n in enumerate(("href", "text", "label"))})
+
+
+def _cells(readers: list[PageReader]) -> pa.Array:
+    ends, (tab, line, col, text, href, header, head) = [0], _columns(7)
+    for reader in readers:
+        for n, table in enumerate(reader.tables):
+            heads = {}
+            for at, column, cell in lay_out(table):
+                if at == 0:
+                    # the last cell of a column counts, for the first line's own cells too
+                    heads[column] = cell[0]
+                tab.append(n), line.append(at), col.append(column), text.append(cell[0]), href.append(cell[1]), header.append(cell[2])
+            head += [heads.get(column) for column in col[len(head):]]
+        ends.append(len(tab))
+    return _listed(ends, tab=pa.array(tab, pa.int32()), line=pa.array(line, pa.int32()), col=pa.array(col, pa.int32()), text=pa.array(text, pa.string()),
+                   href=pa.array(href, pa.string()), header=pa.array(header, pa.bool_()), head=pa.array(head, pa.string()))
+
+
+def _blocks(readers: list[PageReader]) -> pa.Array:
+    ends, anchor_ends, line_ends, anchors, lines, flat, positions = [0], [0], [0], [], [], [], []
+    for reader in readers:
+        for position, block in enumerate(reader.blocks):
+            positions.append(position)
+            flat.append(block)
+            anchors += block[2]
+            lines += block[3]
+            anchor_ends.append(len(anchors))
+            line_ends.append(len(lines))
+        ends.append(len(flat))
+    text = lambda k: pa.array([x[k] for x in flat], pa.string())
+    return _listed(
+        ends, position=pa.array(positions, pa.int32()), kind=text(0), text=text(1),
+        anchors=_listed(anchor_ends, href=pa.array([a[0] for a in anchors], pa.string()), text=pa.array([a[1] for a in anchors], pa.string())),
+        lines=pa.ListArray.from_arrays(pa.array(line_ends, pa.int32()), pa.array(lines, pa.string())), section=text(4))
+
+
+def _rows(readers: list[PageReader]) -> pa.Array:
+    ends, cell_ends, (tab, line, section), cells = [0], [0], _columns(3), []
+    for reader in readers:
+        for n, table in enumerate(reader.tables):
+            last = None
+            for at, _, cell in lay_out(table):
+                if at != last:
+                    if last is not None:
+                        cell_ends.append(len(cells))
+                    tab.append(n), line.append(at), section.append(reader.sections[n])
+                    last = at
+                cells.append(cell)
+            if last is not None:
+                cell_ends.append(len(cells))
+        ends.append(len(tab))
+    text = lambda k: pa.array([c[k] for c in cells], pa.string())
+    return _listed(ends, tab=pa.array(tab, pa.int32()), line=pa.array(line, pa.int32()), section=pa.array(section, pa.string()),
+                   cells=_listed(cell_ends, text=text(0), href=text(1), link=text(5), bold=text(6), rest=text(7), header=pa.array([c[2] for c in cells], pa.bool_())))
+
+
+_READ = {"links": _links, "cells": _cells, "blocks": _blocks, "rows": _rows, "text": lambda readers: pa.array([squeeze(r.text) for r in readers], pa.string())}
+
+#: Characters of pages that are read before a batch of rows is handed on.
+BATCH_CHARS = 4_000_000
 
 
 def parse(pages: DataFrame, *parts: str) -> DataFrame:
     """pages(page_id, url, html) to one row per page (page_id, url) with the
     asked parts, in the partitions of the input."""
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            rows = [(p, u, *read_page(u, h, parts)) for p, u, h in zip(frame["page_id"], frame["url"], frame["html"])]
-            yield pd.DataFrame(rows, columns=["page_id", "url", *parts])
+            begin, size, readers = 0, 0, []
+            urls, pages_html = frame["url"], frame["html"]
+            for n in range(frame.num_rows):
+                html = pages_html[n].as_py()
+                readers.append(read_page(urls[n].as_py(), html, parts))
+                size += len(html or "")
+                if size >= BATCH_CHARS or n + 1 == frame.num_rows:
+                    read = [_READ[p](readers) for p in parts]
+                    yield pa.RecordBatch.from_arrays([frame["page_id"].slice(begin, len(readers)), frame["url"].slice(begin, len(readers)), *read], names=["page_id", "url", *parts])
+                    begin, size, readers = n + 1, 0, []
 
     schema = ", ".join(["page_id long", "url string", *[f"{p} {PARTS[p]}" for p in parts]])
-    return pages.select("page_id", "url", "html").mapInPandas(batches, schema)
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(batches, schema)
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -271,14 +403,18 @@ def listing(rows: DataFrame) -> DataFrame:
     """records(number, title) of a listing as discoveries, with the number of
     rows expected per page."""
     parsed = rows.withColumn("ident", parse_identifier(F.col("number"))).where(F.col("ident").isNotNull())
-    per_page = parsed.groupBy("page_id").agg(F.count(F.lit(1)).alias("expected"))
-    return parsed.select("page_id", "line", F.col("ident.value").alias("official_id"), clean(F.col("title")).alias("title"),
-                         F.col("number_href").alias("href")).join(per_page, "page_id")
+    # written once, as the counts and the rows would each read all pages
+    named = cut_lineage(parsed.select("page_id", "line", F.col("ident.value").alias("official_id"), clean(F.col("title")).alias("title"), F.col("number_href").alias("href")))
+    return named.join(named.groupBy("page_id").agg(F.count(F.lit(1)).alias("expected")), "page_id")
+
+
+def names_document(href: Column) -> Column:
+    return F.lower(href).rlike(r"\.(pdf|docx?|html?)($|\?)")
 
 
 def bill_documents(all_links: DataFrame) -> DataFrame:
     """Document links with label, kind and address hash, one per address and page."""
-    docs = all_links.where(F.lower("href").rlike(r"\.(pdf|docx?|html?)($|\?)"))
+    docs = all_links.where(names_document(F.col("href")))
     one = first_wins(docs, ["page_id", "href"], ["position"])
     return one.select("page_id", "href", F.col("text").alias("label"), cl.document_kind(F.col("text"), F.col("href")).alias("kind"),
                       F.sha2("href", 256).alias("url_hash"))
@@ -327,9 +463,11 @@ def step_documents(pages: DataFrame) -> DataFrame:
     table row, if the page lists a document of that address."""
     parsed = parse(pages, "links", "rows")
     linked = lambda c: c["href"].rlike(r"\.pdf$|\.pdf\?|/docs\?")
-    rows = parsed.select("page_id", F.explode("rows").alias("r")).select(
-        "page_id", "r.tab", "r.line", F.get(F.filter("r.cells", linked), F.lit(0))["href"].alias("href")).where("href IS NOT NULL")
-    documents = bill_documents(parsed.select("page_id", F.explode("links").alias("x")).select("page_id", "x.*"))
+    linked_rows = F.transform("rows", lambda r: F.struct(r["tab"].alias("tab"), r["line"].alias("line"), F.get(F.filter(r["cells"], linked), F.lit(0))["href"].alias("href")))
+    # written once, and no more than the join needs: rows and documents would each read all pages
+    kept = cut_lineage(parsed.select("page_id", F.filter(linked_rows, lambda r: r["href"].isNotNull()).alias("rows"), F.filter("links", lambda x: names_document(x["href"])).alias("links")))
+    rows = kept.select("page_id", F.explode("rows").alias("r")).select("page_id", "r.*")
+    documents = bill_documents(kept.select("page_id", F.explode("links").alias("x")).select("page_id", "x.*"))
     return steps_with_document(rows, documents).where("url_hash IS NOT NULL AND kind IS NOT NULL").select("page_id", "tab", "line", "url_hash", "kind")
 
 
