@@ -1,5 +1,6 @@
 """Work done once: texts bound before they are used, pages read once."""
 
+import datetime as dt
 import random
 
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from annalist.functions import classify as cl
 from annalist.functions import dates as fd
 from annalist.operators import pages as pg
+from annalist.operators import timeline as tl
 
 BITS = ("<table class=\"infobox\">", "</table>", "<tr>", "</tr>", "<td rowspan=\"2\">", "<td colspan=\"2\">", "<td>", "</td>", "<th>", "a  b", "&amp;", "<b>", "</b>",
         "<a href=\"/x?a=1&b=2\" aria-label=\"L &amp; q\">", "<a href=\"/q&copy\">", "</a>", "<p>", "</p>", "<br>", "<br/>", "<div class=\"k\">", "</div>", "<title>", "</title>",
@@ -61,3 +63,22 @@ def test_pages_of_steps_and_listings_are_read_once(spark):
     listed = pg.listing(pg.records(pg.cells(pages), {"number": "^nr$", "title": "^etapa"}))
     assert "MapIn" not in listed._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.official_id, r.title, r.expected) for r in listed.collect()] == [("PL-x 6/1999", "Raport", 1)]
+
+
+def test_touching_rows_are_merged_in_two_shuffles(spark):
+    draw, items = random.Random(5), []
+    for member in range(20):
+        day = dt.date(2000, 1, 1)
+        for n in range(15):
+            end = day + dt.timedelta(days=draw.choice((2, 9, 30, 45)))
+            items.append((f"{member}-{n}", f"m{member}", draw.choice("AAAB"), day, None if draw.random() < 0.05 else end))
+            day = end + dt.timedelta(days=draw.choice((0, 1, 1, 1, 3)))
+    want, before = [], None
+    for ident, member, label, start, end in sorted(items, key=lambda r: (r[1], r[3], r[2], r[0])):
+        touches = before and before[:2] == (member, label) and before[2] and (start - before[2]).days in (0, 1)
+        want = [*want[:-1], (*want[-1][:4], end, want[-1][5] + 1)] if touches else [*want, (member, label, ident, start, end, 1)]
+        before = (member, label, end)
+    got = tl.merge_touching(spark.createDataFrame(items, "id string, member_id string, label string, starts_on date, ends_on date"), "member_id", ["label"], "id")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 2 and "FileScan" not in plan
