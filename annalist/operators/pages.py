@@ -11,6 +11,8 @@ from collections import deque
 from collections.abc import Iterator, Sequence
 from html import unescape
 from html.parser import HTMLParser
+from itertools import groupby
+from operator import itemgetter
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -28,11 +30,13 @@ from annalist.session import cut_lineage
 #: What a page is read into. Rows are table rows with their cells in order;
 #: ``bold`` and ``link`` are a cell's first bold and linked text, ``rest`` is its
 #: text outside both; ``section`` names the classes of the elements around.
+#: ``plain_rows`` are rows without these three.
 PARTS = {
     "links": "array<struct<position:int,href:string,text:string,label:string>>",
     "cells": "array<struct<tab:int,line:int,col:int,text:string,href:string,header:boolean,head:string>>",
     "blocks": "array<struct<position:int,kind:string,text:string,anchors:array<struct<href:string,text:string>>,lines:array<string>,section:string>>",
     "rows": "array<struct<tab:int,line:int,section:string,cells:array<struct<text:string,href:string,link:string,bold:string,rest:string,header:boolean>>>>",
+    "plain_rows": "array<struct<tab:int,line:int,section:string,cells:array<struct<text:string,href:string,header:boolean>>>>",
     "text": "string",
 }
 
@@ -53,7 +57,7 @@ class PageReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.base = base
         self._wants_rows, self._wants_blocks, self._wants_text = "rows" in parts, "blocks" in parts, "text" in parts
-        self._wants_tables = self._wants_rows or "cells" in parts
+        self._wants_tables = self._wants_rows or "plain_rows" in parts or "cells" in parts
         self.links, self.tables, self.blocks = [], [], []
         self._href, self._anchor, self._label = None, [], None
         self._open_tables, self._cell = [], None
@@ -63,14 +67,18 @@ class PageReader(HTMLParser):
         self._holders, self._bold = [], 0
 
     def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
+        a = dict(attrs) if attrs else {}
         if tag in ("td", "th"):
             if self._open_tables and self.tables[self._open_tables[-1]]:
                 if self._cell is not None:
                     self._close_cell()
-                span = lambda name: int(a[name]) if (a.get(name) or "").isdigit() and int(a[name]) > 0 else 1
-                self._cell = {"parts": [], "bold": [], "link": [], "rest": [], "href": None, "rows": span("rowspan") if a else 1, "cols": span("colspan") if a else 1,
-                              "header": tag == "th"}
+                if not self._wants_rows:
+                    self._cell = {"parts": [], "href": None, "rows": 1, "cols": 1, "header": tag == "th"}
+                else:
+                    self._cell = {"parts": [], "bold": [], "link": [], "rest": [], "href": None, "rows": 1, "cols": 1, "header": tag == "th"}
+                if a:
+                    span = lambda name: int(a[name]) if (a.get(name) or "").isdigit() and int(a[name]) > 0 else 1
+                    self._cell["rows"], self._cell["cols"] = span("rowspan"), span("colspan")
         elif tag in ("script", "style"):
             self._silent += 1
         elif tag == "a" and a.get("href"):
@@ -108,7 +116,7 @@ class PageReader(HTMLParser):
             self._href = None
         elif tag == "b":
             self._bold = max(0, self._bold - 1)
-            if self._cell is not None:
+            if self._cell is not None and self._wants_rows:
                 self._cell["bolded"] = bool(self._cell["bold"])
         elif tag in self.HOLDERS:
             for k in range(len(self._holders) - 1, -1, -1):
@@ -129,12 +137,13 @@ class PageReader(HTMLParser):
         cell = self._cell
         if cell is not None:
             cell["parts"].append(data)
-            if self._href is not None and cell["href"] is None:
-                cell["link"].append(data)
-            if self._bold and not cell.get("bolded"):
-                cell["bold"].append(data)
-            if not self._bold and self._href is None:
-                cell["rest"].append(data)
+            if self._wants_rows:
+                if self._href is not None and cell["href"] is None:
+                    cell["link"].append(data)
+                if self._bold and not cell.get("bolded"):
+                    cell["bold"].append(data)
+                if not self._bold and self._href is None:
+                    cell["rest"].append(data)
         if self._block is not None:
             self._block[1].append(data)
         if self._wants_text and (self._block is None or self._block[0] != "title"):
@@ -175,6 +184,7 @@ class PageReader(HTMLParser):
 # Markup that needs no tolerant reading, and elements whose content is no markup.
 PLAIN = re.compile(r'<(/?)([A-Za-z][A-Za-z0-9]*)((?:[ \t\n]+[A-Za-z][-A-Za-z0-9_]*="[^"<>\0]*")*)[ \t\n]*(/?)>([^<\0]*)')
 ATTRIBUTE = re.compile(r'([A-Za-z][-A-Za-z0-9_]*)="([^"]*)"')
+READ_TAGS = frozenset((*PageReader.HOLDERS, *PageReader.BLOCKS, "table", "tr", "td", "th", "a", "b", "br", "script", "style"))
 RAW = frozenset(("script", "style", "textarea", "iframe", "noembed", "noframes", "noscript", "xmp", "plaintext", "math", "svg"))
 
 
@@ -184,37 +194,40 @@ def feed_plain(reader: PageReader, html: str) -> bool:
     at, inside_title = html.find("<"), False
     if at < 0 or "\0" in html[:at]:
         return False
+    # what lies between two matches, and behind the last, is no plain markup
+    found = PLAIN.split(html[at:])
+    if any(found[::6]):
+        return False
     start, end, data = reader.handle_starttag, reader.handle_endtag, reader.handle_data
     if at:
         data(unescape(html[:at]))
-    for token in PLAIN.finditer(html, at):
-        if token.start() != at:
-            return False
-        at = token.end()
-        closing, tag, attributes, empty, text = token.groups()
+    for closing, tag, attributes, empty, text in zip(found[1::6], found[2::6], found[3::6], found[4::6], found[5::6]):
         tag = tag.lower()
         if closing:
             if attributes or empty or inside_title and tag != "title":
                 return False
             inside_title = False
-            end(tag)
+            if tag in READ_TAGS:
+                end(tag)
         else:
             # what may be a character reference in an attribute is for the library to say
             if inside_title or tag in RAW or "&" in attributes and unescape(attributes) != attributes:
                 return False
-            start(tag, [(name.lower(), value) for name, value in ATTRIBUTE.findall(attributes)] if attributes else ())
+            if tag in READ_TAGS:
+                start(tag, [(name.lower(), value) for name, value in ATTRIBUTE.findall(attributes)] if attributes else ())
             inside_title = tag == "title"
             if empty:
                 if inside_title:
                     return False
-                end(tag)
+                if tag in READ_TAGS:
+                    end(tag)
         if text:
             if "&" in text:
                 if inside_title:
                     return False
                 text = unescape(text)
             data(text)
-    return at == len(html) and not inside_title
+    return not inside_title
 
 
 def lay_out(rows: list[list[tuple]]) -> Iterator[tuple]:
@@ -304,27 +317,32 @@ def _blocks(readers: list[PageReader]) -> pa.Array:
         lines=pa.ListArray.from_arrays(pa.array(line_ends, pa.int32()), pa.array(lines, pa.string())), section=text(4))
 
 
-def _rows(readers: list[PageReader]) -> pa.Array:
+def _row_lists(readers: list[PageReader], cell_fields) -> pa.Array:
     ends, cell_ends, (tab, line, section), cells = [0], [0], _columns(3), []
     for reader in readers:
         for n, table in enumerate(reader.tables):
-            last = None
-            for at, _, cell in lay_out(table):
-                if at != last:
-                    if last is not None:
-                        cell_ends.append(len(cells))
-                    tab.append(n), line.append(at), section.append(reader.sections[n])
-                    last = at
-                cells.append(cell)
-            if last is not None:
+            if all(cell[3] == 1 and cell[4] == 1 for row in table for cell in row):
+                laid = ((at, row) for at, row in enumerate(table) if row)
+            else:
+                laid = ((at, [cell for _, _, cell in group]) for at, group in groupby(lay_out(table), key=itemgetter(0)))
+            for at, row in laid:
+                tab.append(n), line.append(at), section.append(reader.sections[n])
+                cells += row
                 cell_ends.append(len(cells))
         ends.append(len(tab))
-    text = lambda k: pa.array([c[k] for c in cells], pa.string())
     return _listed(ends, tab=pa.array(tab, pa.int32()), line=pa.array(line, pa.int32()), section=pa.array(section, pa.string()),
-                   cells=_listed(cell_ends, text=text(0), href=text(1), link=text(5), bold=text(6), rest=text(7), header=pa.array([c[2] for c in cells], pa.bool_())))
+                   cells=_listed(cell_ends, **cell_fields(lambda k, kind=pa.string(): pa.array([c[k] for c in cells], kind))))
+
+
+def _rows(readers: list[PageReader]) -> pa.Array:
+    return _row_lists(readers, lambda of: {"text": of(0), "href": of(1), "link": of(5), "bold": of(6), "rest": of(7), "header": of(2, pa.bool_())})
+
+
+def _plain_rows(readers: list[PageReader]) -> pa.Array:
+    return _row_lists(readers, lambda of: {"text": of(0), "href": of(1), "header": of(2, pa.bool_())})
 
 
-_READ = {"links": _links, "cells": _cells, "blocks": _blocks, "rows": _rows, "text": lambda readers: pa.array([squeeze(r.text) for r in readers], pa.string())}
+_READ = {"links": _links, "cells": _cells, "blocks": _blocks, "rows": _rows, "plain_rows": _plain_rows, "text": lambda readers: pa.array([squeeze(r.text) for r in readers], pa.string())}
 
 #: Characters of pages that are read before a batch of rows is handed on.
 BATCH_CHARS = 4_000_000
@@ -442,7 +460,7 @@ def article_candidates(pages: DataFrame) -> DataFrame:
     text, dates, confidence): ``n`` counts all lines and sentences of the page;
     equal ones of a kind and hint count once. A page that says nothing has one
     row of the kind no_candidate."""
-    parsed = parse(pages, "blocks", "rows")
+    parsed = parse(pages, "blocks", "plain_rows").withColumnRenamed("plain_rows", "rows")
     boxes = F.filter("rows", lambda r: r["section"].contains("infobox"))
     last = F.array_max(F.transform(boxes, lambda r: r["tab"]))
     box = F.array_join(F.transform(F.filter(boxes, lambda r: r["tab"] == last), lambda r: F.array_join(F.transform(r["cells"], lambda c: c["text"]), " ")), " ")
@@ -461,7 +479,7 @@ def article_candidates(pages: DataFrame) -> DataFrame:
 def step_documents(pages: DataFrame) -> DataFrame:
     """(page_id, tab, line, url_hash, kind): the first document link of each
     table row, if the page lists a document of that address."""
-    parsed = parse(pages, "links", "rows")
+    parsed = parse(pages, "links", "plain_rows").withColumnRenamed("plain_rows", "rows")
     linked = lambda c: c["href"].rlike(r"\.pdf$|\.pdf\?|/docs\?")
     linked_rows = F.transform("rows", lambda r: F.struct(r["tab"].alias("tab"), r["line"].alias("line"), F.get(F.filter(r["cells"], linked), F.lit(0))["href"].alias("href")))
     # written once, and no more than the join needs: rows and documents would each read all pages

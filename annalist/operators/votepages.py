@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions import classify as cl
 from annalist.functions.identifiers import bill_id, canonical, find_identifiers, identifier_record
-from annalist.functions.text import capitalised, clean, fold_marks, slug
+from annalist.functions.text import bound, capitalised, clean, fold_marks, slug
 from annalist.functions.urls import query_param
 from annalist.operators.pages import parse
 from annalist.operators.sets import last_wins
@@ -74,18 +74,29 @@ def _date(text: Column, pattern: str) -> Column:
     return F.to_date(F.try_to_timestamp(_none(F.concat_ws("-", part(3), part(2), part(1)))))
 
 
+def _made(rows: DataFrame) -> DataFrame:
+    """The same rows; a filter on them does not make their columns again below."""
+    return rows.select(F.explode_outer(F.array(F.struct(*rows.columns))).alias("__made")).select("__made.*")
+
+
 def group_short(name: Column) -> Column:
     """Short name of a senate group."""
-    folded, key = fold_marks(name), _key(name)
-    return F.when(folded.contains("neafilia") | folded.contains("fara apartenenta"), "Neafiliați").when(
-        (key == "pir") | key.contains("intairomania") | key.contains("pace"), "PACE").otherwise(name)
+    def of(folded):
+        unaffiliated = folded.contains("neafilia") | folded.contains("fara apartenenta")
+        pace = bound(F.regexp_replace(folded, "[^a-z0-9]+", ""), lambda key: (key == "pir") | key.contains("intairomania") | key.contains("pace"))
+        return F.when(unaffiliated, "Neafiliați").when(pace, "PACE").otherwise(name)
+
+    return bound(fold_marks(name), of)
 
 
 def _colored(short: Column) -> Column:
-    color = F.lit("#64748b")
-    for part, value in reversed(GROUP_COLORS):
-        color = F.when(_key(short).contains(part), value).otherwise(color)
-    return color
+    def of(key):
+        color = F.lit("#64748b")
+        for part, value in reversed(GROUP_COLORS):
+            color = F.when(key.contains(part), value).otherwise(color)
+        return color
+
+    return bound(_key(short), of)
 
 
 def senate_votes(pages: DataFrame) -> VoteTables:
@@ -96,7 +107,7 @@ def senate_votes(pages: DataFrame) -> VoteTables:
     in the name. Members without an official number are named by their slug. A
     row needs both names. The count of those who did not vote is read from its
     own label."""
-    parsed = cut_lineage(parse(pages, "blocks", "rows"))
+    parsed = cut_lineage(parse(pages, "blocks", "plain_rows").withColumnRenamed("plain_rows", "rows"))
     head = _first("blocks", lambda b: (b["kind"] == "h2") & b["section"].contains(HEADING))
     named = _first("blocks", lambda b: (b["kind"] == "h5") & b["section"].contains(PLENARY))["text"]
     items = F.filter("blocks", lambda b: (b["kind"] == "li") & b["section"].contains(TOTALS))
@@ -117,26 +128,25 @@ def senate_votes(pages: DataFrame) -> VoteTables:
     votes = facts.withColumn("vote_id", F.concat(F.lit("vote-senate-"), slug(about)))
     rows = votes.select("page_id", "vote_id", "group_tab", "member_tab", F.explode("rows").alias("r")).withColumn(
         "cells", F.filter("r.cells", lambda c: ~c["header"])).withColumn("line", F.col("r.line"))
-    group_of = lambda name: F.concat(F.lit("group-senate-"), slug(group_short(name)))
-    counted = rows.where("r.tab = group_tab").withColumn("name", _text(F.col("cells"), 0)).where("name <> ''").withColumn("group_id", group_of(F.col("name")))
+    grouped = lambda df: df.withColumn("short_name", group_short(F.col("name"))).withColumn("group_id", F.concat(F.lit("group-senate-"), slug(F.col("short_name"))))
+    counted = grouped(_made(rows.where("r.tab = group_tab").select("page_id", "vote_id", "cells", _text(F.col("cells"), 0).alias("name"))).where("name <> ''"))
     totals = counted.select(
         "page_id", "vote_id", F.concat_ws("-", F.lit("gvt"), "vote_id", "group_id").alias("id"), "group_id",
         *[count_in(_text(F.col("cells"), n + 1)).alias(c) for n, c in enumerate(CHOICES)])
-    voting = rows.where("r.tab = member_tab").select(
-        "page_id", "vote_id", "line", "cells", _text(F.col("cells"), 0).alias("family"), _text(F.col("cells"), 1).alias("first_name"),
+    seated = rows.where("r.tab = member_tab").select(
+        "page_id", "vote_id", "line", "cells", _text(F.col("cells"), 0).alias("family"), _text(F.col("cells"), 1).alias("first_name"))
+    voting = _made(seated).where("family <> '' AND first_name <> ''").select(
+        "page_id", "vote_id", "line", "cells", "family", "first_name",
         F.coalesce(_none(_text(F.col("cells"), 2)), F.lit("unknown")).alias("name"),
-        _none(F.regexp_extract(F.coalesce(F.get("cells", F.lit(0))["href"], F.lit("")), r"ParlamentarID=([^&']+)", 1)).alias("source_key"),
-    ).where("family <> '' AND first_name <> ''")
-    voting = voting.withColumn("last_name", capitalised(F.col("family"))).withColumn("display_name", F.concat_ws(" ", "first_name", "last_name"))
-    voting = voting.withColumn("member_id", F.coalesce(F.concat(F.lit("member-senate-"), "source_key"), F.concat(F.lit("member-"), slug(F.col("display_name"))))).withColumn(
-        "group_id", group_of(F.col("name")))
+        _none(F.regexp_extract(F.coalesce(F.get("cells", F.lit(0))["href"], F.lit("")), r"ParlamentarID=([^&']+)", 1)).alias("source_key"))
+    voting = grouped(voting).withColumn("last_name", capitalised(F.col("family"))).withColumn("display_name", F.concat_ws(" ", "first_name", "last_name"))
+    voting = voting.withColumn("member_id", F.coalesce(F.concat(F.lit("member-senate-"), "source_key"), F.concat(F.lit("member-"), slug(F.col("display_name")))))
     ballots = voting.select(
         "page_id", "vote_id", F.concat_ws("-", F.lit("iv"), "vote_id", "member_id").alias("id"), "member_id", "group_id",
         cl.choice_from_marks(*[_text(F.col("cells"), n) for n in (3, 4, 5, 6)]).alias("choice"), _none(_text(F.col("cells"), 7)).alias("method"))
     members = last_wins(voting.select("page_id", "member_id", "line", slug(F.col("display_name")).alias("slug"), "first_name", "last_name", "display_name", "source_key"),
                         ["page_id", "member_id"], ["line"]).drop("line")
-    short = group_short(F.col("name"))
-    groups = counted.select("page_id", "group_id", short.alias("short_name"), "name").unionByName(voting.select("page_id", "group_id", short.alias("short_name"), "name"))
+    groups = counted.select("page_id", "group_id", "short_name", "name").unionByName(voting.select("page_id", "group_id", "short_name", "name"))
     groups = groups.groupBy("page_id", "group_id").agg(F.min("short_name").alias("short_name"), F.min("name").alias("name")).withColumn("color", _colored(F.col("short_name")))
     shown = F.when(F.col("code").isNotNull(), F.concat("code", F.lit(" — "), "vote_type")).otherwise(title)
     votes = votes.select("page_id", "vote_id", F.concat(F.lit("bill-"), slug(F.col("code"))).alias("bill_id"), shown.alias("title"), "held_on", "vote_type", *LABELS)
@@ -145,9 +155,10 @@ def senate_votes(pages: DataFrame) -> VoteTables:
 
 def deputies_group(label: Column) -> Column:
     bare = F.trim(F.regexp_replace(label, r"(?i)\(afiliat\)", ""))
-    return F.when(slug(bare) == "", F.lit(None)).when(bare.rlike("(?i)neafili"), "group-deputies-unaffiliated").when(
-        bare.rlike("(?i)minorit"), "group-deputies-minoritati").when(bare.rlike(r"(?i)^SOS(?![A-Za-z0-9_])"), "group-deputies-sos-ro").otherwise(
-        F.concat(F.lit("group-deputies-"), slug(bare)))
+    named = lambda text, key: F.when(key == "", F.lit(None)).when(text.rlike("(?i)neafili"), "group-deputies-unaffiliated").when(
+        text.rlike("(?i)minorit"), "group-deputies-minoritati").when(text.rlike(r"(?i)^SOS(?![A-Za-z0-9_])"), "group-deputies-sos-ro").otherwise(
+        F.concat(F.lit("group-deputies-"), key))
+    return bound(bare, lambda text: bound(slug(text), lambda key: named(text, key)))
 
 
 def deputies_votes(pages: DataFrame) -> VoteTables:
@@ -159,8 +170,8 @@ def deputies_votes(pages: DataFrame) -> VoteTables:
     without warnings, partial with rows, else failed."""
     parsed = cut_lineage(parse(pages, "blocks", "rows", "text"))
     every = F.array_join(F.transform("rows", lambda r: F.array_join(F.transform(r["cells"], lambda c: c["text"]), " ")), " ")
-    whole = lambda word: every.rlike(rf"(?i)(?<![A-Za-z0-9_]){word}(?![A-Za-z0-9_])")
-    joint = whole("Parlamentar") & every.rlike("(?i)Camera Deputat") & whole("Senat")
+    whole = lambda text, word: text.rlike(rf"(?i)(?<![A-Za-z0-9_]){word}(?![A-Za-z0-9_])")
+    joint = bound(every, lambda text: whole(text, "Parlamentar") & text.rlike("(?i)Camera Deputat") & whole(text, "Senat"))
     body = lambda r: F.filter(r["cells"], lambda c: ~c["header"])
     subject = _first("rows", lambda r: F.coalesce(F.get(body(r), F.lit(0))["text"], F.lit("")).rlike(SUBJECT))
     official = [_none(F.regexp_extract("text", rf"(?is){mark}.*?(?<![A-Za-z0-9_])(\d+)(?![A-Za-z0-9_])", 1)).cast("long").alias(f"official_{n}") for n, mark in OFFICIAL.items()]
@@ -171,9 +182,10 @@ def deputies_votes(pages: DataFrame) -> VoteTables:
     rows = facts.where(~F.col("joint")).select("page_id", "vote_id", F.explode("rows").alias("r")).select(
         "page_id", "vote_id", F.col("r.tab").alias("tab"), F.col("r.line").alias("line"), F.filter("r.cells", lambda c: ~c["header"]).alias("cells"))
     profile = _first("cells", lambda c: c["href"].contains("structura2015.mp"))["href"]
-    read = rows.select("page_id", "vote_id", "tab", "line", query_param(profile, "idm").alias("source_key"), _text(F.col("cells"), 0).alias("number"), _text(F.col("cells"), 1).alias("name"),
-                       deputies_group(_text(F.col("cells"), 2)).alias("group_id"), cl.choice(_text(F.col("cells"), 3)).alias("choice"), _text(F.col("cells"), 3).alias("said"))
-    voting = read.where(r"number RLIKE '^\\d+\\.$' AND source_key RLIKE '^\\d+$' AND name <> '' AND said <> '' AND choice <> 'unknown'")
+    read = rows.select("page_id", "vote_id", "tab", "line", "cells", query_param(profile, "idm").alias("source_key"), _text(F.col("cells"), 0).alias("number"), _text(F.col("cells"), 1).alias("name"),
+                       _text(F.col("cells"), 3).alias("said"))
+    listed = _made(read).where(r"number RLIKE '^\\d+\\.$' AND source_key RLIKE '^\\d+$' AND name <> '' AND said <> ''")
+    voting = _made(listed.select("*", cl.choice(F.col("said")).alias("choice"))).where("choice <> 'unknown'").withColumn("group_id", deputies_group(_text(F.col("cells"), 2)))
     voting = voting.withColumn("member_id", F.concat(F.lit("member-deputies-"), "source_key")).withColumn("display_name", capitalised(F.col("name")))
     ballots = voting.select("page_id", "vote_id", F.concat_ws("-", F.lit("iv"), "vote_id", "member_id").alias("id"), "member_id", "group_id", "choice")
     names = F.split("display_name", " ")
@@ -211,5 +223,6 @@ def deputies_votes(pages: DataFrame) -> VoteTables:
     status = F.when(F.col("present") == 0, "failed").when(F.size("warnings") > 0, "partial").otherwise("parsed")
     votes = found.select("page_id", "vote_id", "bill_id", F.when(F.col("told"), title).otherwise(F.coalesce(_none(F.col("page_title")), F.lit("Chamber nominal vote"))).alias("title"),
                          "held_on", "present", *CHOICES, status.alias("status"), "warnings")
-    bills = found.where("bill_id IS NOT NULL").select("page_id", "bill_id", F.col("bill_title").alias("title"), identifier_record(F.col("ids")).alias("identifiers"))
+    billed = _made(found.select("page_id", "bill_id", F.col("bill_title").alias("title"), "ids")).where("bill_id IS NOT NULL")
+    bills = billed.select("page_id", "bill_id", "title", identifier_record(F.col("ids")).alias("identifiers"))
     return VoteTables(votes, groups, members, ballots.limit(0), ballots, bills)

@@ -9,6 +9,7 @@ from annalist.functions import classify as cl
 from annalist.functions import dates as fd
 from annalist.operators import pages as pg
 from annalist.operators import timeline as tl
+from annalist.operators import votepages as vp
 
 BITS = ("<table class=\"infobox\">", "</table>", "<tr>", "</tr>", "<td rowspan=\"2\">", "<td colspan=\"2\">", "<td>", "</td>", "<th>", "a  b", "&amp;", "<b>", "</b>",
         "<a href=\"/x?a=1&b=2\" aria-label=\"L &amp; q\">", "<a href=\"/q&copy\">", "</a>", "<p>", "</p>", "<br>", "<br/>", "<div class=\"k\">", "</div>", "<title>", "</title>",
@@ -82,3 +83,20 @@ def test_touching_rows_are_merged_in_two_shuffles(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning") == 2 and "FileScan" not in plan
+
+
+def test_plain_rows_are_rows_without_their_parts():
+    html = "<table><tr><td rowspan=\"2\">a</td><td><b>x</b> <a href=\"/q\">y</a> z</td></tr><tr></tr><tr><th>h</th></tr></table>"
+    read = lambda part: pg._READ[part]([pg.read_page("http://b/c", html, (part,))]).to_pylist()[0]
+    kept = ("text", "href", "header")
+    assert read("plain_rows") == [{**r, "cells": [{k: c[k] for k in kept} for c in r["cells"]]} for r in read("rows")]
+
+
+def test_filters_on_vote_pages_do_not_make_their_columns_again(spark):
+    pages = spark.createDataFrame([(1, "http://a/b", None)], "page_id long, url string, html string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    deputies, senate = vp.deputies_votes(pages), vp.senate_votes(pages)
+    assert plan(deputies.bills).count("Subiect") == 1
+    # one for the short name of either table, one for its key, and one for the colours
+    assert plan(senate.groups).count("neafilia") == 2 and plan(senate.groups).count("udmr") == 1
+    assert deputies.bills.collect() == [] and senate.groups.collect() == []
