@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,13 +127,14 @@ def with_excerpts(diff: DataFrame, limit: int = 900) -> DataFrame:
     return diff.withColumn("before_excerpt", excerpt(F.col("before"), limit)).withColumn("after_excerpt", excerpt(F.col("after"), limit))
 
 
-def _common_lengths(a: np.ndarray, b: np.ndarray, start: np.ndarray, top: int, low: int) -> Iterator[np.ndarray]:
+def _common_rows(a: list[str], places: dict[str, int], full: int, start: int, top: int, low: int) -> Iterator[int]:
     """Rows top - 1 down to low of the table of longest common subsequences of
-    what is left of both, from the row below them."""
+    what is left of both, from the row below them. A row is one number: bit p is
+    clear where the subsequence grows by the word p places before the last."""
     row = start
     for i in range(top - 1, low - 1, -1):
-        best = np.maximum(row[:-1], np.where(b == a[i], row[1:] + 1, 0))
-        row = np.append(np.maximum.accumulate(best[::-1])[::-1], 0)
+        hits = row & places.get(a[i], 0)
+        row = ((row + hits) | (row - hits)) & full
         yield row
 
 
@@ -142,18 +142,19 @@ def word_runs(before: str, after: str) -> list[tuple[str, str]]:
     """Longest-common-subsequence word diff as merged runs; on a tie a word is
     removed before one is added.
 
-    Of the table only every root(n)-th row is kept; the rows between two kept
-    ones are made again when the walk comes there, so memory grows with the
-    length times the root of the length.
+    A row of the table is a bit vector, made from the one below it by a few
+    operations on whole numbers. Only every root(n)-th row is kept; the rows
+    between two kept ones are made again when the walk comes there, so memory
+    grows with the length times the root of the length, in bits.
     """
-    left, right = before.split(), after.split()
-    codes: dict[str, int] = {}
-    a = np.array([codes.setdefault(w, len(codes)) for w in left], dtype=np.int64)
-    b = np.array([codes.setdefault(w, len(codes)) for w in right], dtype=np.int64)
+    a, b = before.split(), after.split()
+    places: dict[str, int] = {}
+    for p, word in enumerate(reversed(b)):
+        places[word] = places.get(word, 0) | 1 << p
+    full = (1 << len(b)) - 1
     step = max(1, int(len(a) ** 0.5))
-    last = np.zeros(len(b) + 1, dtype=np.int32)
-    kept = {len(a): last}
-    for i, row in zip(range(len(a) - 1, -1, -1), _common_lengths(a, b, last, len(a), 0)):
+    kept = {len(a): full}
+    for i, row in zip(range(len(a) - 1, -1, -1), _common_rows(a, places, full, full, len(a), 0)):
         if i % step == 0:
             kept[i] = row
     runs: list[tuple[str, list[str]]] = []
@@ -164,21 +165,26 @@ def word_runs(before: str, after: str) -> list[tuple[str, str]]:
         else:
             runs.append((kind, [word]))
 
+    def common(row: int, j: int) -> int:
+        rest = len(b) - j
+        return rest - (row & ((1 << rest) - 1)).bit_count()
+
     i = j = 0
-    block: dict[int, np.ndarray] = {}
+    block: dict[int, int] = {}
     while i < len(a) or j < len(b):
-        if i not in block or (i < len(a) and i + 1 not in block):
-            low = i - i % step
-            top = min(len(a), low + step)
-            block = {top: kept[top], **dict(zip(range(top - 1, low - 1, -1), _common_lengths(a, b, kept[top], top, low)))}
         if i < len(a) and j < len(b) and a[i] == b[j]:
-            put("same", left[i])
+            put("same", a[i])
             i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and block[i + 1][j] >= block[i][j + 1]):
-            put("removed", left[i])
+            continue
+        if i < len(a) and j < len(b) and (i not in block or i + 1 not in block):
+            low = i - i % step
+            top = min(len(a), low + step)
+            block = {top: kept[top], **dict(zip(range(top - 1, low - 1, -1), _common_rows(a, places, full, kept[top], top, low)))}
+        if j == len(b) or (i < len(a) and common(block[i + 1], j) >= common(block[i], j + 1)):
+            put("removed", a[i])
             i += 1
         else:
-            put("added", right[j])
+            put("added", b[j])
             j += 1
     return [(kind, " ".join(words)) for kind, words in runs]
 

@@ -2,11 +2,13 @@
 
 import datetime as dt
 import random
+import tracemalloc
 
 from pyspark.sql import functions as F
 
 from annalist.functions import classify as cl
 from annalist.functions import dates as fd
+from annalist.operators import documents as dx
 from annalist.operators import pages as pg
 from annalist.operators import timeline as tl
 from annalist.operators import votepages as vp
@@ -100,3 +102,15 @@ def test_filters_on_vote_pages_do_not_make_their_columns_again(spark):
     # one for the short name of either table, one for its key, and one for the colours
     assert plan(senate.groups).count("neafilia") == 2 and plan(senate.groups).count("udmr") == 1
     assert deputies.bills.collect() == [] and senate.groups.collect() == []
+
+
+def test_word_diff_keeps_bits_not_numbers():
+    draw = random.Random(7)
+    left, right = ([str(draw.randint(0, 50)) for _ in range(6000)] for _ in range(2))
+    tracemalloc.start()
+    runs = dx.word_runs(" ".join(left), " ".join(right))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_500_000
+    assert [w for k, v in runs if k != "added" for w in v.split()] == left and [w for k, v in runs if k != "removed" for w in v.split()] == right
+    assert dx.word_runs("", "") == [] and dx.word_runs("", "x y") == [("added", "x y")] and dx.word_runs("x x", "x") == [("same", "x"), ("removed", "x")]
