@@ -10,6 +10,7 @@ from annalist.functions import classify as cl
 from annalist.functions import dates as fd
 from annalist.operators import documents as dx
 from annalist.operators import pages as pg
+from annalist.operators import resolve as rs
 from annalist.operators import timeline as tl
 from annalist.operators import votepages as vp
 
@@ -114,3 +115,14 @@ def test_word_diff_keeps_bits_not_numbers():
     assert peak < 2_500_000
     assert [w for k, v in runs if k != "added" for w in v.split()] == left and [w for k, v in runs if k != "removed" for w in v.split()] == right
     assert dx.word_runs("", "") == [] and dx.word_runs("", "x y") == [("added", "x y")] and dx.word_runs("x x", "x") == [("same", "x"), ("removed", "x")]
+
+
+def test_spans_of_a_row_are_made_distinct_where_they_are_made(spark):
+    rows = spark.sql("SELECT * FROM VALUES ('a', 'P', DATE '1999-01-01', DATE '1999-12-31'), ('a', 'Q', DATE '1999-01-01', DATE '1999-12-31'), (null, 'Q', DATE '1999-02-01', null) AS t(id, party_id, starts_on, ends_on)")
+    governments = spark.sql("SELECT * FROM VALUES (1, DATE '1999-01-01', DATE '1999-06-30') AS t(id, starts_on, ends_on)")
+    aligned = spark.sql("SELECT * FROM VALUES (1, 'R', 'support', 'x', DATE '1999-01-01', CAST(null AS DATE)) AS t(government_id, party_id, alignment, basis, starts_on, ends_on)")
+    got = tl.governance_contexts(rows, governments, aligned, "id", "party_id")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(row_id") == 1 and "REPARTITION_BY_NUM" in plan
+    assert sorted([(r.row_id, r.alignment, str(r.starts_on), str(r.ends_on)) for r in got.collect()], key=repr) == [
+        ("a", "opposition", "1999-01-01", "1999-06-30"), (None, "opposition", "1999-02-01", "1999-06-30")]
