@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions.identifiers import identifier_values, link_keys
@@ -206,31 +206,34 @@ def merge_labels(rows: DataFrame) -> DataFrame:
 
 # --- scored match -----------------------------------------------------------
 
-def score_names(registry: DataFrame, candidates: DataFrame) -> DataFrame:
+def score_names(registry: DataFrame, candidates: DataFrame, most: int | None = None) -> DataFrame:
     """Score registry(id, legal_name, short_name) against candidates(id, names:
     array). Tiers: legal name 96; short name 100, or 88 when it is at most
     three characters; compact form 94 or 88; without boilerplate 84; else the
     share of common words times 80, with at least two in common.
 
     Every tier is an equi join on a derived key, and the word tier meets only
-    names that share words; no pair is formed without a common key.
+    names that share words; no pair is formed without a common key. Equal names
+    are scored once; their rows join the scores, and only an id with several names
+    is aggregated behind that. ``most``: the first so many of an id, best score first.
     """
-    r = registry.select(
-        F.col("id").alias("r_id"), match_words(F.col("legal_name")).alias("legal"), match_words(F.coalesce("short_name", F.lit(""))).alias("short"),
-        F.array_distinct(F.filter(F.array(compact(F.coalesce("short_name", F.lit(""))), compact(F.col("legal_name"))), lambda x: x != "")).alias("compacts"),
-        F.array_distinct(F.filter(F.array(strip_boilerplate(F.coalesce("short_name", F.lit(""))), strip_boilerplate(F.col("legal_name"))), lambda x: x != "")).alias("strips"))
+    named = registry.select(
+        F.col("id").alias("r_id"), match_words(F.col("legal_name")).alias("legal"), match_words(F.coalesce("short_name", F.lit(""))).alias("short")).distinct()
+    listed = lambda made: F.array_distinct(F.filter(F.array(made(F.col("short")), made(F.col("legal"))), lambda x: x != ""))
+    r = named.select("legal", "short").distinct().withColumn("compacts", listed(compact)).withColumn("strips", listed(strip_boilerplate))
+    form = ["legal", "short"]
     c = candidates.select(F.col("id").alias("c_id"), F.explode("names").alias("name"))
     forms = lambda made, alias: c.select("c_id", made.alias(alias)).where(F.col(alias) != "").distinct()
     normal, packed, bare = forms(match_words(F.col("name")), "k"), forms(compact(F.col("name")), "k"), forms(strip_boilerplate(F.col("name")), "k")
     short_form = F.replace(F.col("short"), F.lit(" "))
     shortest = F.array_min(F.transform("compacts", lambda x: F.length(x)))
     tiers = [
-        r.select("r_id", F.col("legal").alias("k"), F.lit(1).alias("tier"), F.lit(96).alias("score"), F.lit("exact_label_or_name").alias("reason")).join(normal, "k"),
-        r.select("r_id", F.col("short").alias("k"), F.lit(2).alias("tier"), F.when(F.length(short_form) <= 3, 88).otherwise(100).alias("score"),
+        r.select(*form, F.col("legal").alias("k"), F.lit(1).alias("tier"), F.lit(96).alias("score"), F.lit("exact_label_or_name").alias("reason")).join(normal, "k"),
+        r.select(*form, F.col("short").alias("k"), F.lit(2).alias("tier"), F.when(F.length(short_form) <= 3, 88).otherwise(100).alias("score"),
                  F.when(F.length(short_form) <= 3, "exact_short_name_needs_review").otherwise("exact_short_name").alias("reason")).join(normal, "k"),
-        r.select("r_id", F.explode("compacts").alias("k"), F.lit(3).alias("tier"), F.when(shortest <= 3, 88).otherwise(94).alias("score"),
+        r.select(*form, F.explode("compacts").alias("k"), F.lit(3).alias("tier"), F.when(shortest <= 3, 88).otherwise(94).alias("score"),
                  F.when(shortest <= 3, "exact_compact_label_needs_review").otherwise("exact_compact_label").alias("reason")).join(packed, "k"),
-        r.select("r_id", F.explode("strips").alias("k"), F.lit(4).alias("tier"), F.lit(84).alias("score"), F.lit("exact_boilerplate_stripped").alias("reason")).join(bare, "k"),
+        r.select(*form, F.explode("strips").alias("k"), F.lit(4).alias("tier"), F.lit(84).alias("score"), F.lit("exact_boilerplate_stripped").alias("reason")).join(bare, "k"),
     ]
     # equal bare names are scored once, whatever the number of rows behind them
     left = r.select(F.explode("strips").alias("l")).distinct().withColumn("lw", F.array_distinct(F.split("l", " ")))
@@ -244,14 +247,22 @@ def score_names(registry: DataFrame, candidates: DataFrame) -> DataFrame:
     share = F.floor(F.size(F.array_intersect("lw", "ow")) / F.greatest(F.size("lw"), F.size("ow")) * 80).cast("int")
     scored = met.select("l", "o", share.alias("score"))
     tiers.append(
-        r.select("r_id", F.explode("strips").alias("l")).join(scored, "l").join(bare.select("c_id", F.col("k").alias("o")), "o")
-        .groupBy("r_id", "c_id").agg(F.max("score").alias("score"))
-        .select("r_id", "c_id", F.lit(5).alias("tier"), "score", F.lit("token_overlap").alias("reason")))
-    columns = ["r_id", "c_id", "tier", "score", "reason"]
+        r.select(*form, F.explode("strips").alias("l")).join(scored, "l").join(bare.select("c_id", F.col("k").alias("o")), "o")
+        .groupBy(*form, "c_id").agg(F.max("score").alias("score"))
+        .select(*form, "c_id", F.lit(5).alias("tier"), "score", F.lit("token_overlap").alias("reason")))
+    columns = [*form, "c_id", "tier", "score", "reason"]
     every = tiers[0].select(*columns)
     for tier in tiers[1:]:
         every = every.unionByName(tier.select(*columns))
-    return every.groupBy("r_id", "c_id").agg(F.min_by(F.struct("score", "reason"), "tier").alias("b")).select("r_id", "c_id", "b.score", "b.reason").where("score > 0")
+    best = F.min_by(F.struct("tier", "score", "reason"), "tier").alias("b")
+    once = every.groupBy(*form, "c_id").agg(best).where("b.score > 0").select(F.col("legal").alias("__l"), F.col("short").alias("__s"), "c_id", "b")
+    counted = named.withColumn("__forms", F.count(F.lit(1)).over(Window.partitionBy("r_id")))
+    same = F.col("legal").eqNullSafe(F.col("__l")) & (F.col("short") == F.col("__s"))
+    order = [F.desc("score"), F.asc("c_id")]
+    first = once if most is None else top_per_key(once.withColumn("score", F.col("b.score")), ["__l", "__s"], order, most).drop("score")
+    single = counted.where("__forms = 1").join(first, same).select("r_id", "c_id", "b.score", "b.reason")
+    several = counted.where("__forms > 1").join(once, same).groupBy("r_id", "c_id").agg(F.min_by("b", "b.tier").alias("b")).select("r_id", "c_id", "b.score", "b.reason")
+    return single.unionByName(several if most is None else top_per_key(several, ["r_id"], order, most))
 
 
 def decide(registry: DataFrame, scored: DataFrame, k: int = 5) -> DataFrame:

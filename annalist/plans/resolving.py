@@ -226,7 +226,7 @@ def _(t):
     SELECT r.r_id, coalesce(max(score), 0) AS best_score, CASE WHEN coalesce(max(score), 0) >= 92 THEN 'auto_match' WHEN coalesce(max(score), 0) >= 65 THEN 'needs_review' ELSE 'no_match' END AS status,
       coalesce(string_agg(CAST(c_id AS VARCHAR), ',' ORDER BY score DESC, c_id), '') AS matches FROM r LEFT JOIN top ON top.r_id = r.r_id GROUP BY 1""")
 def _(t):
-    return rs.decide(name_registry(t), rs.score_names(name_registry(t), name_candidates(t)))
+    return rs.decide(name_registry(t), rs.score_names(name_registry(t), name_candidates(t), most=5))
 
 
 # --- components ---------------------------------------------------------------

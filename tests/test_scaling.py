@@ -117,6 +117,17 @@ def test_word_diff_keeps_bits_not_numbers():
     assert dx.word_runs("", "") == [] and dx.word_runs("", "x y") == [("added", "x y")] and dx.word_runs("x x", "x") == [("same", "x"), ("removed", "x")]
 
 
+def test_equal_names_are_scored_once_and_ids_with_several_names_settled(spark):
+    registry = spark.sql("SELECT * FROM VALUES (1, 'Partidul red rod', 'rr'), (2, 'Partidul red rod', 'rr'), (2, 'Partidul red rod', 'rr'), (3, 'x', 'blue rod'), (3, 'green oak elm', null), (4, null, null) AS t(id, legal_name, short_name)")
+    candidates = spark.sql("SELECT * FROM VALUES (7, array('red rod', 'Uniunea rr')), (8, array('blue rod')), (9, array('green oak ash')) AS t(id, names)")
+    scored = rs.score_names(registry, candidates)
+    want = [(1, 7, 84, "exact_boilerplate_stripped"), (2, 7, 84, "exact_boilerplate_stripped"), (3, 8, 100, "exact_short_name"), (3, 9, 53, "token_overlap")]
+    assert sorted(map(tuple, scored.collect())) == want
+    assert sorted(map(tuple, rs.score_names(registry, candidates, most=1).collect())) == want[:3]
+    decided = lambda rows: sorted(map(tuple, rs.decide(registry.distinct(), rows, 1).collect()), key=repr)
+    assert decided(scored) == decided(rs.score_names(registry, candidates, most=1))
+
+
 def test_spans_of_a_row_are_made_distinct_where_they_are_made(spark):
     rows = spark.sql("SELECT * FROM VALUES ('a', 'P', DATE '1999-01-01', DATE '1999-12-31'), ('a', 'Q', DATE '1999-01-01', DATE '1999-12-31'), (null, 'Q', DATE '1999-02-01', null) AS t(id, party_id, starts_on, ends_on)")
     governments = spark.sql("SELECT * FROM VALUES (1, DATE '1999-01-01', DATE '1999-06-30') AS t(id, starts_on, ends_on)")
