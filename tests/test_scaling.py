@@ -10,9 +10,11 @@ from annalist.functions import classify as cl
 from annalist.functions import dates as fd
 from annalist.operators import documents as dx
 from annalist.operators import pages as pg
+from annalist.operators import parties
 from annalist.operators import resolve as rs
 from annalist.operators import timeline as tl
 from annalist.operators import votepages as vp
+from annalist.operators.asof import latest_on
 
 BITS = ("<table class=\"infobox\">", "</table>", "<tr>", "</tr>", "<td rowspan=\"2\">", "<td colspan=\"2\">", "<td>", "</td>", "<th>", "a  b", "&amp;", "<b>", "</b>",
         "<a href=\"/x?a=1&b=2\" aria-label=\"L &amp; q\">", "<a href=\"/q&copy\">", "</a>", "<p>", "</p>", "<br>", "<br/>", "<div class=\"k\">", "</div>", "<title>", "</title>",
@@ -137,3 +139,38 @@ def test_spans_of_a_row_are_made_distinct_where_they_are_made(spark):
     assert plan.count("hashpartitioning(row_id") == 1 and "REPARTITION_BY_NUM" in plan
     assert sorted([(r.row_id, r.alignment, str(r.starts_on), str(r.ends_on)) for r in got.collect()], key=repr) == [
         ("a", "opposition", "1999-01-01", "1999-06-30"), (None, "opposition", "1999-02-01", "1999-06-30")]
+
+
+def test_rosters_are_looked_up_once_a_day(spark, monkeypatch):
+    day, other = dt.date(2000, 5, 5), dt.date(2000, 5, 6)
+    held = [(n, "s", day) for n in range(40)] + [(1, "d", day), (2, "s", other), (3, "s", day), (50, "s", None), (51, None, day), (None, "s", day)]
+    seated = [(m, "sd"[m % 2], day, None if m % 3 else day, "L") for m in range(9)] + [(4, "d", day, None, "L"), (None, "s", day, None, "L")]
+    cast = [(0, m, f"G{m}", "for") for m in range(9)] + [(1, 4, None, "for"), (2, 0, None, None), (2, 2, "G", "for"), (2, 2, "G", "against"), (3, None, "G", "for"), (50, 77, "G", "for"), (99, 1, "G", "for")]
+    votes = spark.createDataFrame(held, "id long, chamber string, held_on date")
+    ballots = spark.createDataFrame(cast, "vote_id long, member_id long, group_id string, choice string")
+    mandates = spark.createDataFrame(seated, "member_id long, chamber string, starts_on date, ends_on date, legislature_id string")
+    windows = spark.createDataFrame([("L", dt.date(2001, 1, 1))], "id string, ends_on date")
+    member_of = spark.createDataFrame([(m, m, f"G{m % 4}", day, day if m == 4 else None) for m in range(0, 9, 2)], "member_id long, id long, group_id string, starts_on date, ends_on date")
+    looked_up = []
+    monkeypatch.setattr(parties, "latest_on", lambda facts, *rest: looked_up.append(facts.count()) or latest_on(facts, *rest))
+
+    active = {(v, m, d) for v, c, d in held if v is not None and c and d for m, k, s, e, _ in seated if c == k and s <= d <= (e or dt.date(2001, 1, 1))}
+    group = lambda m, d: f"G{m % 4}" if m is not None and m in range(0, 9, 2) and d and not (m == 4 and d > day) else None
+    want = []
+    for copy in [v for v in held if v[0] is not None]:
+        voters = {m for v, m, _, _ in cast if v == copy[0] and m is not None}
+        want += [(v, m, group(m, d), "absent", False) for v, m, d in active if v == copy[0] and m not in voters]
+        for v, m, g, choice in cast:
+            if v == copy[0]:
+                dates = [d for a, b, d in active if m is not None and (a, b) == (v, m)] or [copy[2]]
+                want += [(v, m, g or group(m, d), choice or "absent", True) for d in dates]
+    rows = lambda count=None: [tuple(r) for r in parties.seat_rows(votes, ballots, mandates, windows, member_of, count).collect()]
+    assert sorted(rows(), key=repr) == sorted(want, key=repr)
+    assert sum(looked_up) < 60
+    for count in (3, 6):
+        kept = []
+        for vote in {r[0] for r in want}:
+            voted = [r for r in want if r[0] == vote and r[4]]
+            absent = sorted([r for r in want if r[0] == vote and not r[4]], key=lambda r: (r[2] or "", "" if r[1] is None else str(r[1])))
+            kept += voted + (absent if len(voted) > count else absent[:count - len(voted)])
+        assert sorted(rows(count), key=repr) == sorted(kept, key=repr)
