@@ -174,3 +174,31 @@ def test_rosters_are_looked_up_once_a_day(spark, monkeypatch):
             absent = sorted([r for r in want if r[0] == vote and not r[4]], key=lambda r: (r[2] or "", "" if r[1] is None else str(r[1])))
             kept += voted + (absent if len(voted) > count else absent[:count - len(voted)])
         assert sorted(rows(count), key=repr) == sorted(kept, key=repr)
+
+
+def test_mergers_are_applied_in_one_shuffle(spark, monkeypatch):
+    draw, days = random.Random(3), [dt.date(2000, 1, 1) + dt.timedelta(days=n) for n in range(40)]
+    items = [(f"{n:03d}", draw.choice(("m", "n", None)), draw.choice("ABC"), "c", draw.choice(("L", "L", "L", None)), "party", draw.choice(days + [None]), draw.choice(days + [None]))
+             for n in range(150)]
+    mergers = [(days[9], "A", "B"), (days[15], "B", "C"), (days[22], "C", "A"), (days[30], "A", "A")]
+    df = spark.createDataFrame(items, "id string, member_id string, label string, chamber string, legislature_id string, type string, starts_on date, ends_on date")
+    far, current = dt.date(9999, 12, 31), [list(r) for r in items]
+    for on, gone, into in mergers:
+        old = [tuple(r) for r in current]
+        for r, o in zip(current, old):
+            s, e = o[6], o[7] or far
+            reaches = s is not None and s < on <= e
+            hit = reaches and any(g[2] == gone and None not in (o[1], o[4]) and (g[1], g[4]) == (o[1], o[4]) and (g[6] is None or g[6] <= e) and (g[7] or far) >= s for g in old)
+            if r[2] == gone and reaches:
+                r[7] = on - dt.timedelta(days=1)
+            if r[2] == into and hit:
+                r[6] = on
+    want = {(r[1], r[2], r[4], r[6], r[7]) for r in current if r[7] is None or (r[6] is not None and r[6] <= r[7])}
+    written = []
+    monkeypatch.setattr(tl, "cut_lineage", lambda one: written.append(1) or one)
+    got = tl.rewrite_mergers(df, "member_id", "label", mergers, "id")
+    assert sorted([(r.member_id, r.label, r.legislature_id, r.starts_on, r.ends_on) for r in got.collect()], key=repr) == sorted(want, key=repr)
+    assert not written
+    monkeypatch.setattr(tl, "MERGERS_A_PLAN", 3)
+    assert sorted(map(repr, tl.rewrite_mergers(df, "member_id", "label", mergers, "id").collect())) == sorted(map(repr, got.collect()))
+    assert len(written) == 1
