@@ -15,6 +15,7 @@ from annalist.operators import resolve as rs
 from annalist.operators import timeline as tl
 from annalist.operators import votepages as vp
 from annalist.operators.asof import latest_on
+from annalist.plans import intervals
 
 BITS = ("<table class=\"infobox\">", "</table>", "<tr>", "</tr>", "<td rowspan=\"2\">", "<td colspan=\"2\">", "<td>", "</td>", "<th>", "a  b", "&amp;", "<b>", "</b>",
         "<a href=\"/x?a=1&b=2\" aria-label=\"L &amp; q\">", "<a href=\"/q&copy\">", "</a>", "<p>", "</p>", "<br>", "<br/>", "<div class=\"k\">", "</div>", "<title>", "</title>",
@@ -202,3 +203,47 @@ def test_mergers_are_applied_in_one_shuffle(spark, monkeypatch):
     monkeypatch.setattr(tl, "MERGERS_A_PLAN", 3)
     assert sorted(map(repr, tl.rewrite_mergers(df, "member_id", "label", mergers, "id").collect())) == sorted(map(repr, got.collect()))
     assert len(written) == 1
+
+
+def test_rosters_are_kept_as_stretches_not_days(spark, monkeypatch):
+    draw, first = random.Random(11), dt.date(2000, 1, 1)
+    on = lambda n: first + dt.timedelta(days=n)
+    span = lambda most: (lambda s: (on(s), draw.choice((None, on(s + draw.randrange(most))))))(draw.randrange(200))
+    held = [(n, draw.choice("sd"), on(draw.randrange(240))) for n in range(150)]
+    seated = [(m, draw.choice("sd"), *span(200), draw.choice("LLW")) for m in range(30) for _ in range(3)]
+    moved = [(m, n, draw.choice(("A", "B", "C", None)), *span(90)) for n, m in enumerate(m for m in range(0, 30, 2) for _ in range(4))]
+    cast = [(v, m, None, "for") for v in range(0, 150, 3) for m in draw.sample(range(30), draw.randrange(1, 7))]
+    votes = spark.createDataFrame(held, "id long, chamber string, held_on date")
+    mandates = spark.createDataFrame(seated, "member_id long, chamber string, starts_on date, ends_on date, legislature_id string")
+    windows = spark.createDataFrame([("L", on(230))], "id string, ends_on date")
+    member_of = spark.createDataFrame(moved, "member_id long, id long, group_id string, starts_on date, ends_on date")
+    ballots = spark.createDataFrame(cast, "vote_id long, member_id long, group_id string, choice string")
+    looked_up = []
+    monkeypatch.setattr(parties, "latest_on", lambda facts, *rest: looked_up.append(facts.count()) or latest_on(facts, *rest))
+
+    def group(m, day):
+        return max([(s, n, g) for k, n, g, s, e in moved if k == m and s <= day and (e is None or day <= e)], default=(0, 0, None))[2]
+
+    until = lambda e, w: min([x for x in (e, on(230) if w == "L" else None) if x], default=dt.date.max)
+    want = []
+    for v, c, day in held:
+        voters = {m for x, m, _, _ in cast if x == v}
+        want += [(v, m, group(m, day), m in voters) for m in {m for m, k, s, e, w in seated if k == c and s <= day <= until(e, w)} | voters]
+    rows = lambda count=None: [(r.vote_id, r.member_id, r.group_id, r.voted) for r in parties.seat_rows(votes, ballots, mandates, windows, member_of, count).collect()]
+    assert sorted(rows(), key=repr) == sorted(want, key=repr)
+    # a member's stretches, of both chambers, are no more than the starts and ends of its rows
+    assert sum(looked_up) <= len(cast) + 2 * 2 * (len(seated) + len(moved))
+    kept = []
+    for vote in range(150):
+        voted = [r for r in want if r[0] == vote and r[3]]
+        absent = sorted([r for r in want if r[0] == vote and not r[3]], key=lambda r: (r[2] or "", str(r[1])))
+        kept += voted + (absent if len(voted) > 4 else absent[:4 - len(voted)])
+    assert sorted(rows(4), key=repr) == sorted(kept, key=repr)
+
+
+def test_counts_of_seats_sort_no_rows(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1, 10L, false), (1, 9L, false), (1, 100L, false), (2, -9L, false), (2, -10L, false), (2, -12L, false), (2, 5L, true), (3, 7L, true), (4, CAST(null AS LONG), false), (4, 9223372036854775807L, false) AS t(vote_id, member_id, voted)")
+    counted = intervals.capped_seats(rows)
+    assert sorted(map(tuple, counted.collect())) == [(1, 3, 3, "10"), (2, 4, 3, "-10"), (3, 1, 0, ""), (4, 2, 2, "9223372036854775807")]
+    plan = counted._jdf.queryExecution().sparkPlan().toString()
+    assert sum("HashAggregate(" in line for line in plan.splitlines()) == 2
