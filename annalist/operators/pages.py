@@ -45,6 +45,11 @@ def squeeze(parts: list[str]) -> str:
     return " ".join((parts[0] if len(parts) == 1 else "".join(parts)).split())
 
 
+# Addresses that are joined by putting them behind each other, without dots, parameters or fragments.
+ORIGIN = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?=[/?#]|$)")
+ADDRESS = re.compile(r"(https?://[A-Za-z0-9.-]+)?(?:/[A-Za-z0-9_-][A-Za-z0-9_.-]*)+(?:\?[A-Za-z0-9_=&%.+-]+)?")
+
+
 class PageReader(HTMLParser):
     """Collects links, table cells, text blocks and the text of one page; of
     these, only what ``parts`` ask for. A closed cell is kept as (text, href,
@@ -55,7 +60,7 @@ class PageReader(HTMLParser):
 
     def __init__(self, base: str, parts: Sequence[str] = tuple(PARTS)):
         super().__init__(convert_charrefs=True)
-        self.base = base
+        self.base, self._origin = base, None
         self._wants_rows, self._wants_blocks, self._wants_text = "rows" in parts, "blocks" in parts, "text" in parts
         self._wants_tables = self._wants_rows or "plain_rows" in parts or "cells" in parts
         self.links, self.tables, self.blocks = [], [], []
@@ -65,6 +70,7 @@ class PageReader(HTMLParser):
         self._silent = 0
         self.text, self.sections = [], []
         self._holders, self._bold = [], 0
+        self.spans = False
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs) if attrs else {}
@@ -79,6 +85,7 @@ class PageReader(HTMLParser):
                 if a:
                     span = lambda name: int(a[name]) if (a.get(name) or "").isdigit() and int(a[name]) > 0 else 1
                     self._cell["rows"], self._cell["cols"] = span("rowspan"), span("colspan")
+                    self.spans = self.spans or self._cell["rows"] > 1 or self._cell["cols"] > 1
         elif tag in ("script", "style"):
             self._silent += 1
         elif tag == "a" and a.get("href"):
@@ -149,10 +156,43 @@ class PageReader(HTMLParser):
         if self._wants_text and (self._block is None or self._block[0] != "title"):
             self.text.append(data)
 
+    def handle_cells(self, opening: str, run: str) -> bool:
+        """Take a run of cells that hold a text or one link each, and the row's start
+        if ``opening`` is one, as if tag by tag; False, and nothing taken, where
+        what is open around them or a character reference has a say."""
+        if self._href is not None or self._bold or self._block is not None or not self._open_tables or "&" in run and unescape(run) != run:
+            return False
+        rows = self.tables[self._open_tables[-1]]
+        if not opening and not rows:
+            return False
+        self._close_cell()
+        if opening:
+            rows.append([])
+        row, whole, kind = rows[-1], self._wants_rows, run[1:3]
+        header = kind == "th"
+        for item in run[4:-10 if run.endswith("</tr>") else -5].split(f"</{kind}><{kind}>"):
+            href = None
+            if item[:1] == "<":
+                href, _, item = item[9:-4].partition('">')
+                href = self._absolute(href)
+            text = " ".join(item.split())
+            if href is None:
+                row.append((text, None, header, 1, 1, "", "", text) if whole else (text, None, header, 1, 1))
+            else:
+                self.links.append((href, text, None))
+                row.append((text, href, header, 1, 1, text, "", "") if whole else (text, href, header, 1, 1))
+            if item and self._wants_text:
+                self.text.append(item)
+        return True
+
     def _section(self):
         return " ".join(c for _, c in self._holders if c)
 
     def _absolute(self, href):
+        if self._origin is None:
+            self._origin = (ORIGIN.match(self.base) or ("",))[0]
+        if self._origin and (found := ADDRESS.fullmatch(href)):
+            return href if found[1] else self._origin + href
         try:
             return urljoin(self.base, href)
         except ValueError:
@@ -181,35 +221,43 @@ class PageReader(HTMLParser):
         self._block, self._block_anchors = None, []
 
 
-# Markup that needs no tolerant reading, and elements whose content is no markup.
-PLAIN = re.compile(r'<(/?)([A-Za-z][A-Za-z0-9]*)((?:[ \t\n]+[A-Za-z][-A-Za-z0-9_]*="[^"<>\0]*")*)[ \t\n]*(/?)>([^<\0]*)')
+# Markup that needs no tolerant reading (tag by tag, or with a run of a row's plain cells as one), and elements
+# whose content is no markup.
+TAG = r'<(/?)([A-Za-z][A-Za-z0-9]*)((?:[ \t\n]+[A-Za-z][-A-Za-z0-9_]*="[^"<>\0]*")*)[ \t\n]*(/?)>'
+TAGS = re.compile(rf"()(){TAG}([^<\0]*)")
+RUN = r'(?:<{0}>(?:<a href="[^"<>\0]+">[^<\0]*</a>|[^<\0]*)</{0}>)+'
+PLAIN = re.compile(rf"(?:(<tr>)?((?:{RUN.format('td')}|{RUN.format('th')})(?:</tr>)?)|{TAG})([^<\0]*)")
 ATTRIBUTE = re.compile(r'([A-Za-z][-A-Za-z0-9_]*)="([^"]*)"')
 READ_TAGS = frozenset((*PageReader.HOLDERS, *PageReader.BLOCKS, "table", "tr", "td", "th", "a", "b", "br", "script", "style"))
 RAW = frozenset(("script", "style", "textarea", "iframe", "noembed", "noframes", "noscript", "xmp", "plaintext", "math", "svg"))
 
 
-def feed_plain(reader: PageReader, html: str) -> bool:
+def feed_plain(reader: PageReader, html: str, markup: re.Pattern = PLAIN) -> bool:
     """Give ``reader`` what HTMLParser finds in a page of nothing but text and
     well-formed tags, an order faster; False, part of the way, for any other."""
     at, inside_title = html.find("<"), False
     if at < 0 or "\0" in html[:at]:
         return False
     # what lies between two matches, and behind the last, is no plain markup
-    found = PLAIN.split(html[at:])
-    if any(found[::6]):
+    found = markup.split(html[at:])
+    if any(found[::8]):
         return False
     start, end, data = reader.handle_starttag, reader.handle_endtag, reader.handle_data
     if at:
         data(unescape(html[:at]))
-    for closing, tag, attributes, empty, text in zip(found[1::6], found[2::6], found[3::6], found[4::6], found[5::6]):
-        tag = tag.lower()
-        if closing:
+    for opening, run, closing, tag, attributes, empty, text in zip(*[found[n::8] for n in range(1, 8)]):
+        if run:
+            if inside_title or not reader.handle_cells(opening, run) and not feed_plain(reader, (opening or "") + run, TAGS):
+                return False
+        elif closing:
+            tag = tag.lower()
             if attributes or empty or inside_title and tag != "title":
                 return False
             inside_title = False
             if tag in READ_TAGS:
                 end(tag)
         else:
+            tag = tag.lower()
             # what may be a character reference in an attribute is for the library to say
             if inside_title or tag in RAW or "&" in attributes and unescape(attributes) != attributes:
                 return False
@@ -256,7 +304,7 @@ def lay_out(rows: list[list[tuple]]) -> Iterator[tuple]:
 
 def read_page(base: str, html: str, parts: Sequence[str]) -> PageReader:
     reader = PageReader(base or "", parts)
-    if not feed_plain(reader, html or ""):
+    if not feed_plain(reader, html or "", PLAIN if reader._wants_tables else TAGS):
         reader = PageReader(base or "", parts)
         reader.feed(html or "")
         reader.close()
@@ -288,7 +336,7 @@ def _cells(readers: list[PageReader]) -> pa.Array:
     for reader in readers:
         for n, table in enumerate(reader.tables):
             heads = {}
-            for at, column, cell in lay_out(table):
+            for at, column, cell in lay_out(table) if reader.spans else ((at, k, cell) for at, row in enumerate(table) for k, cell in enumerate(row)):
                 if at == 0:
                     # the last cell of a column counts, for the first line's own cells too
                     heads[column] = cell[0]
@@ -321,7 +369,7 @@ def _row_lists(readers: list[PageReader], cell_fields) -> pa.Array:
     ends, cell_ends, (tab, line, section), cells = [0], [0], _columns(3), []
     for reader in readers:
         for n, table in enumerate(reader.tables):
-            if all(cell[3] == 1 and cell[4] == 1 for row in table for cell in row):
+            if not reader.spans:
                 laid = ((at, row) for at, row in enumerate(table) if row)
             else:
                 laid = ((at, [cell for _, _, cell in group]) for at, group in groupby(lay_out(table), key=itemgetter(0)))
@@ -330,8 +378,9 @@ def _row_lists(readers: list[PageReader], cell_fields) -> pa.Array:
                 cells += row
                 cell_ends.append(len(cells))
         ends.append(len(tab))
+    fields = list(zip(*cells)) or [()] * 8
     return _listed(ends, tab=pa.array(tab, pa.int32()), line=pa.array(line, pa.int32()), section=pa.array(section, pa.string()),
-                   cells=_listed(cell_ends, **cell_fields(lambda k, kind=pa.string(): pa.array([c[k] for c in cells], kind))))
+                   cells=_listed(cell_ends, **cell_fields(lambda k, kind=pa.string(): pa.array(fields[k], kind))))
 
 
 def _rows(readers: list[PageReader]) -> pa.Array:

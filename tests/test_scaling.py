@@ -3,11 +3,13 @@
 import datetime as dt
 import random
 import tracemalloc
+from urllib.parse import urljoin
 
 from pyspark.sql import functions as F
 
 from annalist.functions import classify as cl
 from annalist.functions import dates as fd
+from annalist.functions import text as tx
 from annalist.operators import documents as dx
 from annalist.operators import pages as pg
 from annalist.operators import parties
@@ -247,3 +249,55 @@ def test_counts_of_seats_sort_no_rows(spark):
     assert sorted(map(tuple, counted.collect())) == [(1, 3, 3, "10"), (2, 4, 3, "-10"), (3, 1, 0, ""), (4, 2, 2, "9223372036854775807")]
     plan = counted._jdf.queryExecution().sparkPlan().toString()
     assert sum("HashAggregate(" in line for line in plan.splitlines()) == 2
+
+
+def tolerant(base, html, parts):
+    reader = pg.PageReader(base, parts)
+    reader.feed(html)
+    reader.close()
+    reader._close_block()
+    return reader
+
+
+def test_plain_cells_are_read_a_run_at_a_time(monkeypatch):
+    runs = ("<tr><td>1</td><td><a href=\"/p.aspx?ID=S1&cam=2\">x  y</a></td><td></td></tr>", "<td> q &lt; r</td>", "<td>é > \" b</td></tr>", "<td><a href=\"/q&copy=1\">l</a></td>", "<tr><td>k</td>\n",
+            "<td><a href=\"http://u.ro/a/b.htm\"></a></td>", "<td><a href=\"a/../b\">t&amp;</a></td></tr>", "<tr><th>g</th><th>h</th></tr>", "<th>z</th><td>y</td>", "<table>", "<table>\n<tr>", "</table>",
+            "<td rowspan=\"2\">", "</td>", "<b>", "</b>", "<p>", "</p>", "<a href=\"/o\">", "</a>", "<title>", "</title>", "x")
+    draw, parts = random.Random(4), tuple(pg.PARTS)
+    for _ in range(1500):
+        html, base = "".join(draw.choice(runs) for _ in range(draw.randrange(1, 12))), draw.choice(("https://x.ro/a/b?c=d", "", "HTTP://x.ro/"))
+        try:
+            want = [pg._READ[p]([tolerant(base, html, parts)]) for p in parts]
+        except IndexError:
+            continue
+        got = pg.read_page(base, html, parts)
+        assert [pg._READ[p]([got]) for p in parts] == want, html
+    started = []
+    was = pg.PageReader.handle_starttag
+    monkeypatch.setattr(pg.PageReader, "handle_starttag", lambda self, tag, attrs: started.append(tag) or was(self, tag, attrs))
+    page = "<html><body><table>" + "<tr><td>1.</td><td><a href=\"/m?idm=1&cam=2\">A B</a></td><td></td></tr>" * 50 + "</table></body></html>"
+    read = pg.read_page("https://x.ro/v", page, ("rows",))
+    assert [row[1][:2] for row in read.tables[0]] == [("A B", "https://x.ro/m?idm=1&cam=2")] * 50
+    assert started == ["table"]
+
+
+def test_plain_addresses_are_joined_as_the_library_joins_them():
+    draw = random.Random(9)
+    for _ in range(4000):
+        base = "".join(draw.choice(("http://", "https://", "x.ro", "/a", "?b", "#c", ":80", ".", "//", "HTTP:")) for _ in range(draw.randrange(5)))
+        href = "".join(draw.choice(("http://", "https://x.ro", "/", "a", "..", ".", "b.aspx", "?", "c=d&e", "%20", "#f", ";g", " ", ":")) for _ in range(draw.randrange(1, 6)))
+        try:
+            want = urljoin(base, href)
+        except ValueError:
+            want = href
+        assert pg.PageReader(base)._absolute(href) == want, (base, href)
+
+
+def test_white_space_and_marks_fold_as_before(spark):
+    draw, odd = random.Random(6), [" ", "\t", "\r", "\x0b", "\x1c", "\x85", "\u00a0", "\u1680", "\u180e", "\u2009", "\u3000", "\ufeff", "\uffff", "\U0001F600", "a", "B", "Ș", "é", "e\u0301", "İ"]
+    texts = [(c + "x" + c + c + "y" + c,) for c in odd] + [("".join(draw.choice(odd) for _ in range(draw.randrange(9))),) for _ in range(3000)] + [(None,)]
+    df, t = spark.createDataFrame(texts, "t string"), F.col("t")
+    spaces = F.trim(F.regexp_replace(t, f"[{tx.WHITE}]+", " "))
+    marks = F.lower(F.regexp_replace(F.translate(t, tx._NFD_FROM, tx._NFD_TO), r"\p{M}+", ""))
+    assert df.where(~spaces.eqNullSafe(tx.clean(t)) | ~marks.eqNullSafe(tx.fold_marks(t))).count() == 0
+    assert "octet_length" in df.select(tx.slug(t))._jdf.queryExecution().optimizedPlan().toString()
